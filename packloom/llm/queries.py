@@ -16,6 +16,14 @@ def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(table(spark, sf_dir, "documents"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from packloom.llm import bpe
+
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from packloom.llm import warc
 
@@ -23,9 +31,17 @@ def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packloom.llm import secrets
+
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": op1_ogg_media,
+    "op5_byte_bpe": op5_byte_bpe,
     "op7_warc_round_trip": op7_warc_round_trip,
+    "op8_secret_scan": op8_secret_scan,
 }
 
 ORACLE: dict[str, str] = {
