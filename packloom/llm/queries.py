@@ -16,6 +16,12 @@ def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(table(spark, sf_dir, "documents"))
 
 
+def op3_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packloom.llm import pii
+
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,6 +45,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": op1_ogg_media,
+    "op3_pii_disclosure": op3_pii_disclosure,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_warc_round_trip": op7_warc_round_trip,
     "op8_secret_scan": op8_secret_scan,
