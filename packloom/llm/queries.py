@@ -43,12 +43,23 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packloom.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.spread("doc_id", 3) == 1
+    model = langid.fit(docs, where=~held_out)
+    rows = langid.predict(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
+    return rows.select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": op1_ogg_media,
     "op3_pii_disclosure": op3_pii_disclosure,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_warc_round_trip": op7_warc_round_trip,
     "op8_secret_scan": op8_secret_scan,
+    "op10_language_crf": op10_language_crf,
 }
 
 ORACLE: dict[str, str] = {
