@@ -16,6 +16,12 @@ def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packloom.llm import neardup
+
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op3_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     from packloom.llm import pii
 
@@ -55,6 +61,7 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": op1_ogg_media,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_pii_disclosure": op3_pii_disclosure,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_warc_round_trip": op7_warc_round_trip,
