@@ -36,6 +36,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packloom.llm import substr
+
+    return substr.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from packloom.llm import warc
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_pii_disclosure": op3_pii_disclosure,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_suffix_repeats": op6_suffix_repeats,
     "op7_warc_round_trip": op7_warc_round_trip,
     "op8_secret_scan": op8_secret_scan,
     "op10_language_crf": op10_language_crf,
