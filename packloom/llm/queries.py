@@ -55,6 +55,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_lsa_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packloom.llm import decontam
+
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from packloom.llm import langid
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix_repeats": op6_suffix_repeats,
     "op7_warc_round_trip": op7_warc_round_trip,
     "op8_secret_scan": op8_secret_scan,
+    "op9_lsa_decontamination": op9_lsa_decontamination,
     "op10_language_crf": op10_language_crf,
 }
 
