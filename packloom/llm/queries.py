@@ -28,6 +28,12 @@ def op3_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op4_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packloom.llm import lblm
+
+    return lblm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": op1_ogg_media,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_pii_disclosure": op3_pii_disclosure,
+    "op4_log_bilinear": op4_log_bilinear,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_suffix_repeats": op6_suffix_repeats,
     "op7_warc_round_trip": op7_warc_round_trip,
