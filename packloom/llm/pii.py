@@ -140,8 +140,7 @@ def disclosing(docs: DataFrame, scanned: DataFrame, text: str, min_support: int,
     pairs = pairs.where(F.col("df_te") >= min_support).join(entity, "entity")
     pairs = materialise(pairs, "pii-pairs")
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(_WORD), F.lit(0)))).alias("term"))
-    wanted = pairs.select("term").distinct()
-    counts = words.groupBy("term").agg(F.count("*").alias("df_t")).join(wanted, "term", "left_semi")
+    counts = words.groupBy("term").agg(F.count("*").alias("df_t"))
     n = scanned.agg(F.count("*").alias("n")).first()["n"]
     ic = F.log(F.lit(float(n)) / F.col("df_e"))
     pmi = F.log(F.lit(float(n)) * F.col("df_te") / (F.col("df_t") * F.col("df_e")))
@@ -161,8 +160,10 @@ def _found(docs: DataFrame, text: str, keep: list[str], window: int, min_support
     near = near.select("__id", F.explode("__near").alias("w")).select("__id", "w.*")
     terms = near.join(reveal, ["entity", "term"]).groupBy("__id", "s", "e").agg(F.max("remove").alias("remove"))
     terms = terms.groupBy("__id").agg(F.sort_array(F.collect_list(F.struct("s", "e", "remove"))).alias("__terms"))
-    out = scanned.join(terms, "__id", "left")
-    out = out.withColumn("__terms", F.coalesce("__terms", F.array().cast("array<struct<s:int,e:int,remove:boolean>>")))
+    # Rows without personal data have no id and stay out of the join.
+    none = F.array().cast("array<struct<s:int,e:int,remove:boolean>>")
+    out = scanned.where("__id is not null").join(terms, "__id", "left").withColumn("__terms", F.coalesce("__terms", none))
+    out = out.unionByName(scanned.where("__id is null").withColumn("__terms", none))
     return out.select(*(F.col(a).alias(c) for c, a in names.items()), *KINDS, "__terms")
 
 
