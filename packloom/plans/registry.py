@@ -1,13 +1,499 @@
-"""Registered queries over the library's own operators, and their SQL."""
+"""Registered queries over the library's own operators, and their SQL.
+
+The provided pages hold no images, tables, frames or lower headings, so the
+detectors for these read fragments that are built by the same expression here and
+in the SQL. The SQL states each result in another way where there is one.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-FLAGSHIP = "page_audit"
+from packloom.functions import html as H
+from packloom.operators import cohort, detect, findings, manifest, metrics, practice, resolve, rules, sets
+from packloom.runtime import table
 
+FLAGSHIP = "page_audit"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+REPLACEMENTS = [
+    rules.Replacement("Drop comments", r"<!--.*?-->", "", "s"),
+    rules.Replacement("Decode ampersands", r"&amp;", "&"),
+    rules.Replacement("Close breaks", r"<br\s*/?>", "<br />", "i"),
+    rules.Replacement("Swap link quotes", r'<a href="(?P<u>[^"]*)"', r"<a href='\g<u>'"),
+]
+REWRITES = [rules.Rewrite("Move site", "/the", "/page/the"), rules.Rewrite("Drop track", "track(0);", "")]
+TRIGGERS = [
+    rules.Trigger("Legacy script blocks need review", r"<script\b[^>]*>", "i"),
+    rules.Trigger("Embedded iframe needs review", r"<iframe\b", "i"),
+    rules.Trigger("Navigation block", r"<nav>\s*<ul>", "i"),
+    rules.Trigger("Comment left in page", r"<!--[^-]{0,200}", "s"),
+    rules.Trigger("Spanish page", r'<html lang="es"', "i"),
+]
+
+
+@query(r"""
+WITH p AS (SELECT page_id, html,
+  trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+    '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'),
+    '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS plain FROM pages)
+SELECT page_id, len(regexp_extract_all(html, '(?i)<h[1-6]\b'))::BIGINT AS heading_count, len(regexp_extract_all(html, '(?i)<img\b'))::BIGINT AS image_count,
+  len(regexp_extract_all(html, '(?i)<(?:ul|ol)\b'))::BIGINT AS list_count, len(regexp_extract_all(html, '(?i)<a\b'))::BIGINT AS link_count,
+  len(regexp_extract_all(plain, '[\p{L}\p{N}_\p{M}]+'))::BIGINT AS word_count
+FROM p""")
+def page_content_metrics(spark, sf):
+    """Counts of tags and words of each page."""
+    m = metrics.content_metrics(F.col("html"))
+    keep = ["heading_count", "image_count", "list_count", "link_count", "word_count"]
+    return table(spark, sf, "pages").select("page_id", *(m[k].alias(k) for k in keep))
+
+
+@query(r"""
+WITH a AS (SELECT page_id, html, len(regexp_extract_all(html, '(?s)<!--.*?-->')) AS n1, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS h1 FROM pages),
+b AS (SELECT *, len(regexp_extract_all(h1, '&amp;')) AS n2, regexp_replace(h1, '&amp;', '&', 'g') AS h2 FROM a),
+c AS (SELECT *, len(regexp_extract_all(h2, '(?i)<br\s*/?>')) AS n3, regexp_replace(h2, '(?i)<br\s*/?>', '<br />', 'g') AS h3 FROM b),
+d AS (SELECT *, len(regexp_extract_all(h3, '<a href="[^"]*"')) AS n4, regexp_replace(h3, '<a href="([^"]*)"', '<a href=''\1''', 'g') AS h4 FROM c),
+e AS (SELECT *, len(string_split(h4, '/the')) - 1 AS n5, replace(h4, '/the', '/page/the') AS h5 FROM d),
+f AS (SELECT *, len(string_split(h5, 'track(0);')) - 1 AS n6, replace(h5, 'track(0);', '') AS h6 FROM e)
+SELECT page_id, md5(h6) AS digest, length(h6)::BIGINT AS n_chars, (n1 + n2 + n3 + n4 + n5 + n6)::BIGINT AS n_changes,
+  ((n1 > 0)::INT + (n2 > 0)::INT + (n3 > 0)::INT + (n4 > 0)::INT + (n5 > 0)::INT + (n6 > 0)::INT)::BIGINT AS n_rules FROM f""")
+def rule_rewrites(spark, sf):
+    """Ordered replacements, then literal rewrites, with their counts."""
+    df = rules.apply_rewrites(rules.apply_replacements(table(spark, sf, "pages"), REPLACEMENTS), REWRITES)
+    total = F.aggregate("changes", F.lit(0).cast("long"), lambda a, c: a + c["count"])
+    return df.select("page_id", F.md5("html").alias("digest"), F.length("html").cast("long").alias("n_chars"), total.alias("n_changes"), F.size("changes").cast("long").alias("n_rules"))
+
+
+@query(r"""
+WITH h AS (SELECT page_id, html, '<div class="site">Notice</div>' AS b, regexp_extract(html, '(?is)^(.*?<body[^>]*>)', 1) AS head FROM pages)
+SELECT page_id, md5(CASE WHEN head <> '' THEN head || chr(10) || b || chr(10) || substr(html, length(head) + 1) ELSE b || chr(10) || html END) AS digest FROM h""")
+def banner_pages(spark, sf):
+    """A banner put after the body tag; the second call changes nothing."""
+    b = rules.Banner(True, '<div class="site">Notice</div>')
+    df = rules.apply_banner(rules.apply_banner(table(spark, sf, "pages"), b), b)
+    return df.select("page_id", F.md5("html").alias("digest"))
+
+
+def _page_issues(spark, sf) -> DataFrame:
+    h = F.col("html")
+    repeated = F.when(metrics.title_repeated(h), F.array(detect.issue("Title repeated in first heading", H.title_text(h)))).otherwise(F.array().cast(rules.ISSUE))
+    pages = table(spark, sf, "pages").withColumn("path", F.col("url"))
+    return findings.explode_issues(pages, "page_id", F.concat(rules.triggered(h, TRIGGERS), repeated), detect.accessibility(h))
+
+
+_TRIGGER_SQL = r"""
+found AS (SELECT page_id, 'Legacy script blocks need review' AS reason FROM pages WHERE regexp_matches(html, '(?i)<script\b[^>]*>')
+  UNION ALL SELECT page_id, 'Embedded iframe needs review' FROM pages WHERE regexp_matches(html, '(?i)<iframe\b')
+  UNION ALL SELECT page_id, 'Navigation block' FROM pages WHERE regexp_matches(html, '(?i)<nav>\s*<ul>')
+  UNION ALL SELECT page_id, 'Comment left in page' FROM pages WHERE regexp_matches(html, '(?s)<!--[^-]{0,200}')
+  UNION ALL SELECT page_id, 'Spanish page' FROM pages WHERE regexp_matches(html, '(?i)<html lang="es"'))"""
+
+
+@query(rf"""
+WITH {_TRIGGER_SQL.strip()},
+t AS (SELECT page_id, trim(regexp_replace(regexp_replace(lower(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', 'and')), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS a,
+  trim(regexp_replace(regexp_replace(lower(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]>', 1), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', 'and')), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS b FROM pages),
+every AS (SELECT * FROM found UNION ALL SELECT page_id, 'Title repeated in first heading' FROM t WHERE a = b AND a <> '')
+SELECT 'manual' AS type, reason, count(*)::BIGINT AS n_issues, count(DISTINCT page_id)::BIGINT AS n_files FROM every GROUP BY reason""")
+def page_audit(spark, sf):
+    """Triggers, repeated titles and accessibility findings, counted by reason."""
+    return findings.reason_counts(_page_issues(spark, sf).withColumnRenamed("page_id", "path"))
+
+
+@query(rf"""
+WITH {_TRIGGER_SQL.strip()} SELECT page_id, reason FROM found""")
+def trigger_findings(spark, sf):
+    h = F.col("html")
+    return table(spark, sf, "pages").select("page_id", F.explode(rules.triggered(h, TRIGGERS)).alias("x")).select("page_id", "x.reason")
+
+
+@query(r"""
+SELECT o_orderkey, 'Non-descriptive link text' AS reason, trim(t) AS evidence FROM (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'Click Here' WHEN 1 THEN ' here ' WHEN 2 THEN 'learn <b>more</b>' WHEN 3 THEN 'MORE' ELSE 'Order of ' || o_orderpriority END AS raw, regexp_replace(CASE o_orderkey % 5 WHEN 0 THEN 'Click Here' WHEN 1 THEN ' here ' WHEN 2 THEN 'learn <b>more</b>' WHEN 3 THEN 'MORE' ELSE 'Order of ' || o_orderpriority END, '<[^>]+>', '', 'g') AS t FROM orders) WHERE lower(trim(t)) IN ('click here', 'here', 'learn more', 'more')""")
+def vague_links(spark, sf):
+    k = F.col("o_orderkey") % 5
+    text = F.when(k == 0, "Click Here").when(k == 1, " here ").when(k == 2, "learn <b>more</b>").when(k == 3, "MORE").otherwise(F.concat(F.lit("Order of "), "o_orderpriority"))
+    o = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit('<p><a href="/x">'), text, F.lit("</a></p>")).alias("html"))
+    return o.select("o_orderkey", F.explode(detect.link_issues(F.col("html"))).alias("x")).select("o_orderkey", "x.reason", "x.evidence")
+
+
+@query(r"""
+WITH l AS (SELECT l_orderkey, (1 + (l_linenumber * 3 + l_partkey) % 6)::INT AS level, lag((1 + (l_linenumber * 3 + l_partkey) % 6)::INT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS before FROM lineitem)
+SELECT l_orderkey, 'h' || before || ' -> h' || level AS evidence, count(*)::BIGINT AS n FROM l WHERE level - before > 1 GROUP BY ALL""")
+def heading_level_jumps(spark, sf):
+    """Pages of headings, one per order, whose levels come from its lines."""
+    l = table(spark, sf, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", (1 + (F.col("l_linenumber") * 3 + F.col("l_partkey")) % 6).cast("int").alias("level")).alias("x"))
+    page = l.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    tag = lambda x: F.concat(F.lit("<h"), x.level, F.lit(">t</h"), x.level, F.lit(">"))
+    page = page.select("l_orderkey", F.array_join(F.transform("xs", tag), "").alias("html"))
+    rows = page.select("l_orderkey", F.explode(detect.heading_jumps(F.col("html"))).alias("x"))
+    return rows.groupBy("l_orderkey", "x.evidence").agg(F.count("*").alias("n"))
+
+
+@query(r"""
+WITH p AS (SELECT p_partkey, p_partkey % 6 AS k FROM part)
+SELECT p_partkey, CASE WHEN k IN (0, 1) THEN 'Image missing alt attribute' ELSE 'Image alt attribute is empty' END AS reason FROM p WHERE k IN (0, 1, 2)
+UNION ALL SELECT p_partkey, 'Table missing caption' FROM p WHERE p_partkey % 4 IN (0, 1)""")
+def image_and_table_findings(spark, sf):
+    """Images: no alt, alt in another attribute, empty alt, empty but presentational
+    twice, good; tables without, with an empty and with a good caption."""
+    k = F.col("p_partkey") % 6
+    img = F.when(k == 0, '<img src="a.png">').when(k == 1, "<IMG data-x='alt' src='b'>").when(k == 2, "<img alt=' ' src=b>").when(k == 3, '<img role="presentation" alt="">').when(k == 4, "<img alt='' aria-hidden='true'>").otherwise(F.concat(F.lit('<img alt="'), "p_name", F.lit('">')))
+    t = F.col("p_partkey") % 4
+    tab = F.when(t == 0, "<table><tr><td>1</td></tr></table>").when(t == 1, "<table><caption><b> </b></caption></table>").when(t == 2, F.concat(F.lit("<table><CAPTION class=x>"), "p_brand", F.lit("</caption></table>"))).otherwise("")
+    p = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("<div>"), img, tab, F.lit("</div>")).alias("html"))
+    h = F.col("html")
+    return p.select("p_partkey", F.explode(F.concat(detect.image_issues(h), detect.table_issues(h))).alias("x")).select("p_partkey", "x.reason")
+
+
+_STYLE_SQL = "CASE p_partkey % 8 WHEN 0 THEN 'float: left' WHEN 1 THEN 'position:ABSOLUTE; top:0' WHEN 2 THEN 'display: flex' WHEN 3 THEN 'column-count: 2; color: red' WHEN 4 THEN 'width: ' || (480 + p_size) || 'px' WHEN 5 THEN 'overflow-x:auto;z-index:3' WHEN 6 THEN 'float:left;float:none' ELSE 'color: red' END"
+
+
+@query(f"""
+WITH s AS (SELECT p_partkey, p_partkey % 8 AS k, 480 + p_size AS w FROM part)
+SELECT p_partkey, k IN (1, 2, 3) AS breaking, k = 0 AS has_float, CASE WHEN k = 4 THEN w END::INT AS fixed_width_px, k = 5 AS has_overflow_control
+FROM s WHERE k IN (0, 1, 2, 3, 5) OR (k = 4 AND w > 500)""")
+def layout_css(spark, sf):
+    """Inline styles that break or change a layout, from styled blocks."""
+    k = F.col("p_partkey") % 8
+    style = (
+        F.when(k == 0, "float: left").when(k == 1, "position:ABSOLUTE; top:0").when(k == 2, "display: flex").when(k == 3, "column-count: 2; color: red")
+        .when(k == 4, F.concat(F.lit("width: "), (F.lit(480) + F.col("p_size")).cast("string"), F.lit("px"))).when(k == 5, "overflow-x:auto;z-index:3").when(k == 6, "float:left;float:none").otherwise("color: red")
+    )
+    page = F.concat(F.lit('<p>x</p><div class="a" style="'), style, F.lit('">y</div><div class="migration-x" style="float:left"></div>'))
+    p = table(spark, sf, "part").select("p_partkey", F.explode(detect.layout_elements(page)).alias("x"))
+    i = F.col("x.intent")
+    return p.select("p_partkey", detect.is_breaking(i).alias("breaking"), i.has_float.alias("has_float"), i.fixed_width_px.alias("fixed_width_px"), i.has_overflow_control.alias("has_overflow_control"))
+
+
+@query(r"""
+WITH d AS (SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'Panopto' WHEN 1 THEN 'Canvas Studio' WHEN 2 THEN 'Kaltura' WHEN 3 THEN 'YuJa' WHEN 4 THEN 'Canvas Studio' END AS tool FROM supplier)
+SELECT s_suppkey, 'LTI tool embed (' || tool || ') — verify launch URL after migration' AS reason FROM d WHERE tool IS NOT NULL
+UNION ALL SELECT s_suppkey, 'LTI tool embed (Panopto) — verify launch URL after migration' FROM d WHERE s_suppkey % 6 <> 0 AND s_suppkey % 4 = 0""")
+def tool_embeds(spark, sf):
+    k = F.col("s_suppkey") % 6
+    host = F.when(k == 0, "x.hosted.PANOPTO.com").when(k == 1, "a.instructuremedia.com").when(k == 2, "cdn.kaltura.com").when(k == 3, "my.yuja.com").when(k == 4, "studio.canvas.com").otherwise("example.org")
+    frame = lambda h, a="src": F.concat(F.lit(f'<iframe {a}="https://'), h, F.lit('/e/1" width="5"></iframe>'))
+    page = F.concat(frame(host), frame(host, "data-mce-src"), F.when(F.col("s_suppkey") % 4 == 0, frame(F.lit("b.panopto.com"))).otherwise(""))
+    return table(spark, sf, "supplier").select("s_suppkey", F.explode(detect.tool_embeds(page)).alias("x")).select("s_suppkey", "x.reason")
+
+
+@query(r"""
+SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'Instructor Note placeholder remains in content' WHEN 1 THEN 'Template placeholder text remains in content' WHEN 2 THEN 'Legacy quiz instructions detected ("Take the Quiz")' WHEN 3 THEN 'Module Checklist closing reminder appears to be missing' END AS reason,
+  CASE c_custkey % 6 WHEN 0 THEN '[Instructor Note: ...]' WHEN 1 THEN 'fill in text here' WHEN 2 THEN 'Click the "Take the Quiz" button' WHEN 3 THEN 'Contact your instructor with any questions or post in the Course Q&A.' END AS evidence
+FROM customer WHERE c_custkey % 6 < 4""")
+def template_placeholders(spark, sf):
+    k = F.col("c_custkey") % 6
+    text = (
+        F.when(k == 0, "<p>[ instructor note: add]</p>").when(k == 1, "<p>Fill in text here, xx</p>").when(k == 2, '<p>Click the  "Take the Quiz" button</p>').when(k == 3, "<h2>Introduction and Checklist</h2>")
+        .when(k == 4, "<h2>Introduction and Checklist</h2><li>Contact your instructor with any questions or post in the course Q&amp;A</li>").otherwise(F.concat(F.lit("<p>"), "c_name", F.lit("</p>")))
+    )
+    c = table(spark, sf, "customer").select("c_custkey", F.explode(detect.template_issues(text, F.lit("a.html"))).alias("x"))
+    return c.select("c_custkey", "x.reason", "x.evidence")
+
+
+_PATHS = "'dir' || (p_partkey % 7) || '/' || chr((65 + p_partkey % 5)::INT) || '_page' || (p_partkey % 211) || '.html'"
+_REFS = f"""SELECT l_orderkey, l_linenumber, CASE (l_linenumber + l_orderkey) % 6 WHEN 0 THEN {_PATHS} WHEN 1 THEN upper({_PATHS}) WHEN 2 THEN 'other/' || chr((65 + p_partkey % 5)::INT) || '_page' || (p_partkey % 211) || '.html'
+ WHEN 3 THEN 'page' || (p_partkey % 211) || '.html' WHEN 4 THEN 'q/page' || (p_partkey % 400) || '.html' ELSE 'gone' || l_orderkey || '.html' END AS ref, 'dir' || (p_partkey % 3) AS page_dir FROM lineitem JOIN part ON l_partkey = p_partkey"""
+
+
+def _paths(spark, sf) -> DataFrame:
+    p = F.col("p_partkey")
+    path = F.concat(F.lit("dir"), (p % 7).cast("string"), F.lit("/"), F.char((p % 5) + 65), F.lit("_page"), (p % 211).cast("string"), F.lit(".html"))
+    return table(spark, sf, "part").select("p_partkey", path.alias("path"))
+
+
+@query(rf"""
+WITH paths AS (SELECT DISTINCT {_PATHS} AS path FROM part), refs AS ({_REFS}),
+idx AS (SELECT path, lower(path) AS low, lower(regexp_extract(path, '([^/]*)$', 1)) AS base, lower(regexp_extract(path, '^(.*)/[^/]*$', 1)) AS dir, lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^[^_]*_(.+)$', 1)) AS tail FROM paths),
+keys AS (SELECT DISTINCT ref, page_dir, lower(ref) AS low, lower(regexp_extract(ref, '([^/]*)$', 1)) AS base FROM refs),
+r AS (SELECT k.ref, k.page_dir, (SELECT max(path) FROM idx WHERE path = k.ref) AS e, (SELECT min(path) FROM idx WHERE idx.low = k.low) AS f,
+  (SELECT CASE WHEN count(*) = 1 THEN min(path) END FROM idx WHERE idx.base = k.base) AS b,
+  (SELECT count(*) FROM idx WHERE idx.tail = k.base AND idx.dir = k.page_dir) AS nn, (SELECT min(path) FROM idx WHERE idx.tail = k.base AND idx.dir = k.page_dir) AS np,
+  (SELECT count(*) FROM idx WHERE idx.tail = k.base) AS fn, (SELECT min(path) FROM idx WHERE idx.tail = k.base) AS fp FROM keys k)
+SELECT l_orderkey, l_linenumber, ref, CASE WHEN e IS NOT NULL THEN 'exact' WHEN f IS NOT NULL THEN 'casefold' WHEN b IS NOT NULL THEN 'basename' WHEN nn = 1 THEN 'same_dir_tail' WHEN nn = 0 AND fn = 1 THEN 'cross_dir_tail' ELSE 'missing' END AS arm,
+  CASE WHEN e IS NOT NULL THEN e WHEN f IS NOT NULL THEN f WHEN b IS NOT NULL THEN b WHEN nn = 1 THEN np WHEN nn = 0 AND fn = 1 THEN fp END AS target
+FROM refs JOIN r USING (ref, page_dir)""")
+def reference_resolution(spark, sf):
+    """The cascade of path lookups, with references for every arm."""
+    p = F.col("p_partkey")
+    parts = _paths(spark, sf)
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey")).join(parts, "p_partkey")
+    k = (F.col("l_linenumber") + F.col("l_orderkey")) % 6
+    name = F.concat(F.char((p % 5) + 65), F.lit("_page"), (p % 211).cast("string"), F.lit(".html"))
+    ref = F.when(k == 0, F.col("path")).when(k == 1, F.upper("path")).when(k == 2, F.concat(F.lit("other/"), name)).when(k == 3, F.concat(F.lit("page"), (p % 211).cast("string"), F.lit(".html"))).when(k == 4, F.concat(F.lit("q/page"), (p % 400).cast("string"), F.lit(".html"))).otherwise(F.concat(F.lit("gone"), F.col("l_orderkey").cast("string"), F.lit(".html")))
+    refs = l.select("l_orderkey", "l_linenumber", ref.alias("ref"), F.concat(F.lit("dir"), (p % 3).cast("string")).alias("page_dir"))
+    return resolve.resolve_paths(refs, parts.select("path").distinct()).select("l_orderkey", "l_linenumber", "ref", "arm", "target")
+
+
+_ASSETS = "SELECT lower('icon' || (p_partkey % 40) || '.png') AS name, p_partkey AS id FROM part WHERE p_partkey % 40 < 20 AND (p_partkey < 40 OR p_partkey % 40 < 5)"
+_ALIASES = "(VALUES ('icon25.png', 0, 'none.png'), ('icon25.png', 1, 'icon7.png'), ('icon26.png', 0, 'icon1.png'), ('icon26.png', 1, 'icon8.png'), ('icon2.png', 0, 'icon9.png'), ('icon27.png', 0, 'nil.png'))"
+
+
+def _asset_query(stop_direct: bool, stop_alias: bool):
+    def run(spark, sf):
+        p = F.col("p_partkey")
+        name = F.concat(F.lit("icon"), (p % 40).cast("string"), F.lit(".png"))
+        assets = table(spark, sf, "part").where((p % 40 < 20) & ((p < 40) | (p % 40 < 5))).select(name.alias("name"), p.alias("id"))
+        aliases = spark.createDataFrame([("Icon25.png", 0, "none.png"), ("icon25.png", 1, "icon7.png"), ("icon26.png", 0, "icon1.png"), ("icon26.png", 1, "icon8.png"), ("icon2.png", 0, "icon9.png"), ("icon27.png", 0, "nil.png")], "source string, pos int, target string")
+        refs = table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("ICON"), (F.col("s_suppkey") % 40).cast("string"), F.lit(".png")).alias("name"))
+        return resolve.resolve_assets(refs, assets, aliases, stop_direct, stop_alias).select("s_suppkey", "asset", "outcome")
+
+    return run
+
+
+def _asset_sql(stop_direct: bool, stop_alias: bool) -> str:
+    skip = "" if stop_alias else "WHERE i.n = 1"
+    return f"""
+WITH a AS ({_ASSETS}), i AS (SELECT name, count(*) AS n, min(id) AS id FROM a GROUP BY name), al(source, pos, target) AS (SELECT * FROM {_ALIASES}),
+hit AS (SELECT source, arg_min(i.n, pos) AS n, arg_min(i.id, pos) AS id FROM al JOIN i ON al.target = i.name {skip} GROUP BY source),
+r AS (SELECT s_suppkey, 'icon' || (s_suppkey % 40) || '.png' AS name FROM supplier),
+j AS (SELECT s_suppkey, d.n AS dn, d.id AS did, h.n AS hn, h.id AS hid FROM r LEFT JOIN i d ON d.name = r.name LEFT JOIN hit h ON h.source = r.name),
+o AS (SELECT *, CASE WHEN dn = 1 THEN 'direct' WHEN dn > 1 AND {stop_direct} THEN 'collision' WHEN hn IS NULL AND dn > 1 THEN 'collision' WHEN hn IS NULL THEN 'unmapped' WHEN hn > 1 THEN 'collision' ELSE 'alias' END AS outcome FROM j)
+SELECT s_suppkey, CASE outcome WHEN 'direct' THEN did WHEN 'alias' THEN hid END AS asset, outcome FROM o"""
+
+
+for _name, _stops in (("asset_overlay", (True, True)), ("asset_relink", (False, False)), ("asset_live_audit", (True, False))):
+    QUERIES[_name] = _asset_query(*_stops)
+    ORACLE[_name] = _asset_sql(*_stops)
+
+
+@query(r"""
+WITH l AS (SELECT l_orderkey AS k FROM lineitem), links AS (SELECT p_partkey AS link_id, lower(p_name) AS text FROM part),
+t AS (SELECT lower(p_name) AS key, 'u/' || p_partkey AS url FROM part WHERE p_partkey % 3 = 0 UNION SELECT lower(split_part(p_name, ' ', 1)), 'w/' || p_partkey FROM part WHERE p_partkey % 50 = 1),
+s AS (SELECT link_id, url, CASE WHEN text = key THEN 100 WHEN starts_with(key, text) THEN 95 WHEN starts_with(text, key) THEN 94 WHEN ends_with(key, text) THEN 93 WHEN ends_with(text, key) THEN 90 WHEN contains(key, text) OR contains(text, key) THEN 80 END AS score
+  FROM links, t), w AS (SELECT link_id, max(score) AS score FROM s GROUP BY link_id)
+SELECT links.link_id, (SELECT max(url) FROM s WHERE s.link_id = links.link_id AND s.score = w.score) AS url, w.score::INT AS score FROM links LEFT JOIN w USING (link_id)""")
+def best_link_targets(spark, sf):
+    p = table(spark, sf, "part")
+    k = F.col("p_partkey")
+    links = p.select(k.alias("link_id"), F.lower("p_name").alias("text"))
+    t = p.where(k % 3 == 0).select(F.lower("p_name").alias("key"), F.concat(F.lit("u/"), k.cast("string")).alias("url"))
+    t = t.unionByName(p.where(k % 50 == 1).select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("key"), F.concat(F.lit("w/"), k.cast("string")).alias("url"))).distinct()
+    return resolve.best_targets(links, t).select("link_id", "url", "score")
+
+
+@query(r"""
+WITH u AS (SELECT lower('brand' || (l_partkey % 60)) AS name, count(*)::BIGINT AS uses FROM lineitem GROUP BY 1), a AS (SELECT DISTINCT 'brand' || p_size AS name FROM part)
+SELECT u.name, uses, a.name IS NOT NULL AS available FROM u LEFT JOIN a USING (name)""")
+def template_compatibility(spark, sf):
+    refs = table(spark, sf, "lineitem").select(F.concat(F.lit("Brand"), (F.col("l_partkey") % 60).cast("string")).alias("name"))
+    assets = table(spark, sf, "part").select(F.concat(F.lit("brand"), F.col("p_size").cast("string")).alias("name"))
+    return resolve.availability(refs, assets)
+
+
+@query(r"""
+WITH b AS (SELECT page_id, html, len(regexp_extract_all(html, '(?i)<h[1-6]\b')) AS h, len(string_split(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), ' ')) AS w FROM pages WHERE page_id % 5 <> 4)
+SELECT p.page_id, p.page_id % 5 <> 4 AS converted_exists, CASE WHEN p.page_id % 5 = 4 THEN 0 ELSE len(regexp_extract_all(html, '(?i)<title\b')) * (p.page_id % 2) END::BIGINT AS title_tags FROM pages p""")
+def before_after_audit(spark, sf):
+    """Pages against a conversion that drops every second title and every fifth page."""
+    p = table(spark, sf, "pages").select(F.col("page_id").alias("path"), "html")
+    after = p.where(F.col("path") % 5 != 4).withColumn("html", F.when(F.col("path") % 2 == 0, F.regexp_replace("html", r"(?is)<title\b[^>]*>.*?</title>", "")).otherwise(F.col("html")))
+    rows = metrics.visual_audit(metrics.pair_versions(p, after))
+    return rows.select(F.col("path").alias("page_id"), "converted_exists", F.col("converted_title_tags").alias("title_tags"))
+
+
+@query()
+def page_drift(spark, sf):
+    """Drift reasons and review priority of pages whose lists are cut out."""
+    p = table(spark, sf, "pages").select(F.col("page_id").alias("path"), "html")
+    after = p.withColumn("html", F.regexp_replace("html", r"(?is)<(p|article)\b[^>]*>.*?</\1>", ""))
+    pair = metrics.pair_versions(p, after)
+    b, a = metrics.content_metrics(F.col("original")), metrics.content_metrics(F.col("converted"))
+    keys = list(b)
+    both = pair.select("path", *(b[k].alias(f"b_{k}") for k in keys), *(a[k].alias(f"a_{k}") for k in keys))
+    drift = metrics.metric_drift({k: F.col(f"b_{k}") for k in keys}, {k: F.col(f"a_{k}") for k in keys})
+    n = F.size("reasons")
+    score = metrics.review_score(F.lit(0), F.lit(0), F.lit(0), n, F.lit(1.0))
+    return both.withColumn("reasons", drift).select("path", F.array_join("reasons", " ").alias("reasons"), metrics.review_priority(score, F.lit(0), F.lit(0)).alias("priority"))
+
+
+@query(r"""
+SELECT sha256(trim(regexp_replace(lower(trim(text)), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS fingerprint, count(*)::BIGINT AS n, min(doc_id) AS first_row, (count(*) - 1)::BIGINT AS excess FROM documents GROUP BY 1 HAVING count(*) > 1""")
+def exact_duplicates(spark, sf):
+    return practice.duplicates(table(spark, sf, "documents"), practice.fingerprint("text"), "doc_id")
+
+
+@query(r"""
+SELECT 'user ' || user_id AS source_key, count(*)::BIGINT AS n_rows, count(DISTINCT event_type)::BIGINT AS n_advice FROM events GROUP BY 1 HAVING count(DISTINCT event_type) > 1""")
+def practice_conflicts(spark, sf):
+    e = table(spark, sf, "events")
+    return practice.conflicts(e, F.concat(F.lit(" User  "), F.col("user_id").cast("string")), F.col("event_type"))
+
+
+@query()
+def fuzzy_practice_pairs(spark, sf):
+    """Near-equal benchmark rows; each item stands beside an edited copy of itself."""
+    b = table(spark, sf, "benchmark")
+    rows = b.select((F.col("item_id") * 2).alias("row"), "text").unionByName(b.select((F.col("item_id") * 2 + 1).alias("row"), F.concat(F.lit("x"), F.substring("text", 2, 100_000), F.lit(" end")).alias("text")))
+    return practice.fuzzy_pairs(rows, "row", F.col("text"), practice.fingerprint("text"))
+
+
+_LINES = r"SELECT DISTINCT trim(regexp_replace(lower(trim(line)), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM {t}) WHERE length(trim(regexp_replace(lower(trim(line)), '[ \t\n\x0B\f\r]+', ' ', 'g'))) >= 25"
+
+
+@query(f"""
+WITH a AS ({_LINES.format(t="(SELECT text FROM documents WHERE lang = 'en')")}), b AS ({_LINES.format(t="(SELECT text FROM documents WHERE source = 'src1' OR source = 'src0')")})
+SELECT side, count(*)::BIGINT AS n FROM (SELECT 'missing' AS side, line FROM (SELECT line FROM a EXCEPT SELECT line FROM b) UNION ALL SELECT 'extra', line FROM (SELECT line FROM b EXCEPT SELECT line FROM a)) GROUP BY side""")
+def instruction_gap(spark, sf):
+    """Lines that one of two sets of texts has and the other has not."""
+    d = table(spark, sf, "documents")
+    gap = sets.line_gap(sets.lines(d.where("lang = 'en'"), "text"), sets.lines(d.where("source in ('src0', 'src1')"), "text"))
+    return gap.groupBy("side").agg(F.count("*").alias("n"))
+
+
+SIGNALS = [("license", ["license", "copyright"]), ("contact", ["@mail", "phone"]), ("secret", ["token", "password"]), ("absent", ["zzzz-not-there"])]
+
+
+@query("""
+WITH d AS (SELECT lower(text) AS t FROM documents), s(signal, n) AS (
+  SELECT 'license', count(*) FILTER (contains(t, 'license') OR contains(t, 'copyright')) FROM d UNION ALL SELECT 'contact', count(*) FILTER (contains(t, '@mail') OR contains(t, 'phone')) FROM d
+  UNION ALL SELECT 'secret', count(*) FILTER (contains(t, 'token') OR contains(t, 'password')) FROM d UNION ALL SELECT 'absent', count(*) FILTER (contains(t, 'zzzz-not-there')) FROM d)
+SELECT signal, n::BIGINT AS n, n > 0 AS covered, (SELECT count(*) FROM d)::BIGINT AS "rows" FROM s""")
+def keyword_coverage(spark, sf):
+    return sets.coverage(table(spark, sf, "documents"), "text", SIGNALS)
+
+
+def _checklist(spark, sf) -> DataFrame:
+    issues = _page_issues(spark, sf)
+    manual = findings.review_checklist(issues.withColumnRenamed("page_id", "path"))
+    o = table(spark, sf, "orders")
+    k = F.col("o_orderkey") % 8
+    kinds = [m.lstrip("^") + "item" for m, *_ in findings.IMPORT_LADDER] + [""]
+    d = F.element_at(F.array(*(F.lit(x) for x in kinds)), (k + 1).cast("int"))
+    imports = o.where("o_orderstatus = 'F'").select(d.alias("description"), F.col("o_orderkey").cast("string").alias("reference"))
+    return findings.checklist(manual, findings.import_checklist(imports), findings.standard_tasks(spark))
+
+
+_IMPORT_SQL = "CASE o_orderkey % 8 WHEN 2 THEN 'P2' WHEN 7 THEN 'P2' ELSE 'P1' END"
+
+
+@query(rf"""
+WITH {_TRIGGER_SQL.strip()},
+every AS (SELECT DISTINCT reason FROM found UNION SELECT 'Title repeated in first heading'),
+m AS (SELECT CASE WHEN reason LIKE 'Legacy script%' OR reason LIKE 'Embedded iframe%' THEN 'P1' ELSE 'P2' END AS priority, 'manual_review' AS source FROM every),
+i AS (SELECT {_IMPORT_SQL} AS priority, 'canvas_import' AS source FROM orders WHERE o_orderstatus = 'F'),
+a AS (SELECT * FROM m UNION ALL SELECT * FROM i UNION ALL SELECT 'P2', 'standard_migration' FROM range(6))
+SELECT priority AS value, 'priority' AS kind, count(*)::BIGINT AS n FROM a GROUP BY 1 UNION ALL SELECT source, 'source', count(*)::BIGINT FROM a GROUP BY 1""")
+def checklist_counts(spark, sf):
+    """The checklist of all sources, counted by priority and by source."""
+    return findings.checklist_counts(_checklist(spark, sf)).where("kind <> 'category'").select("value", "kind", "n")
+
+
+@query()
+def fix_checklist(spark, sf):
+    return _checklist(spark, sf)
+
+
+@query("""
+SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
+def latest_artifact(spark, sf):
+    return sets.latest(table(spark, sf, "events"), ["user_id"], F.desc("ts"), F.desc("event_id")).select("event_id", "user_id", "event_type")
+
+
+@query("""
+SELECT user_id, bool_or(value > 50) AS changed, sum(1 + event_id % 3)::BIGINT AS count, arg_max(event_type, event_id) AS issue, count(*)::BIGINT AS versions FROM events GROUP BY user_id""")
+def upsert_by_key(spark, sf):
+    e = table(spark, sf, "events").select("user_id", (F.col("value") > 50).alias("changed"), (1 + F.col("event_id") % 3).alias("count"), F.col("event_type").alias("issue"), "event_id")
+    return sets.upsert(e, "user_id", "event_id")
+
+
+@query("""
+WITH b AS (SELECT user_id, max(ts) AS t FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+SELECT event_id, ts >= t AS is_current FROM events JOIN b USING (user_id) WHERE event_type = 'view'""")
+def artifact_currency(spark, sf):
+    e = table(spark, sf, "events")
+    return sets.current_artifacts(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), "user_id").select("event_id", "is_current")
+
+
+@query("""
+SELECT l_suppkey, l_partkey, n, rank FROM (SELECT l_suppkey, l_partkey, count(*)::BIGINT AS n, row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, l_partkey)::INT AS rank FROM lineitem GROUP BY 1, 2) WHERE rank <= 20""")
+def top_references_per_course(spark, sf):
+    n = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"))
+    return sets.top_per_group(n, "l_suppkey", "n", 20, "l_partkey").select("l_suppkey", "l_partkey", "n", "rank")
+
+
+_TITLES = """SELECT c_nationkey AS package, CASE o_orderkey % 4 WHEN 0 THEN 'module' WHEN 1 THEN 'page' WHEN 2 THEN 'assignment' ELSE 'discussion' END AS kind,
+CASE o_orderkey % 11 WHEN 0 THEN 'Module ' || (o_orderkey % 9) WHEN 1 THEN 'Topic 0' || (o_orderkey % 7) || ' | Start' WHEN 2 THEN 'Start Here' WHEN 3 THEN 'Introduction and Objectives' WHEN 4 THEN 'Introduction and Checklist' WHEN 5 THEN 'Learning Activities' WHEN 6 THEN 'Help Discussion' WHEN 7 THEN 'Course Overview' WHEN 8 THEN 'Do Not Publish' ELSE o_orderpriority END AS title
+FROM orders JOIN customer ON o_custkey = c_custkey"""
+
+
+def _titles(spark, sf) -> DataFrame:
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    k = F.col("o_orderkey")
+    kind = F.when(k % 4 == 0, "module").when(k % 4 == 1, "page").when(k % 4 == 2, "assignment").otherwise("discussion")
+    t = F.when(k % 11 == 0, F.concat(F.lit("Module "), (k % 9).cast("string"))).when(k % 11 == 1, F.concat(F.lit("Topic 0"), (k % 7).cast("string"), F.lit(" | Start")))
+    for i, s in enumerate(["Start Here", "Introduction and Objectives", "Introduction and Checklist", "Learning Activities", "Help Discussion", "Course Overview", "Do Not Publish"]):
+        t = t.when(k % 11 == i + 2, s)
+    return o.select(F.col("c_nationkey").alias("package"), kind.alias("kind"), t.otherwise(F.col("o_orderpriority")).alias("title"))
+
+
+def _profiles(spark, sf) -> DataFrame:
+    f = cohort.snapshot_features(_titles(spark, sf))
+    return f.withColumn("cohort", cohort.structure_cohort()).withColumn("issue_total", F.col("module_count") % 7)
+
+
+_FEATURES = f"""t AS ({_TITLES}), f AS (SELECT package, count(*) FILTER (kind = 'module') AS mc, count(*) FILTER (kind = 'page') AS pc, count(*) FILTER (kind = 'assignment') AS ac, count(*) FILTER (kind = 'discussion') AS dc,
+ count(*) FILTER (kind = 'module' AND title LIKE 'Module %') AS ms, count(*) FILTER (kind = 'module' AND title LIKE 'Topic %') AS ts, count(*) FILTER (kind = 'module' AND title = 'Start Here') AS sh, count(*) FILTER (kind = 'module' AND title = 'Do Not Publish') AS im,
+ count(*) FILTER (kind = 'module' AND title = 'Help Discussion') AS hd, count(*) FILTER (kind = 'module' AND title = 'Course Overview') AS ov, count(*) FILTER (kind = 'page' AND title = 'Introduction and Objectives') AS io,
+ count(*) FILTER (kind = 'page' AND title = 'Introduction and Checklist') AS ic, count(*) FILTER (kind = 'page' AND title = 'Learning Activities') AS la FROM t GROUP BY package),
+p AS (SELECT *, round(ms / greatest(mc, 1), 3) AS mr, round(ts / greatest(mc, 1), 3) AS tr, mc % 7 AS iss, CASE WHEN ms >= 4 AND ic >= 2 AND la >= 2 THEN 'template-module' WHEN ts >= 4 THEN 'topic-sequence' WHEN hd > 0 OR ov > 0 OR io > ic THEN 'overview-objectives' ELSE 'hybrid' END AS cohort FROM f)"""
+
+
+@query(f"WITH {_FEATURES} SELECT package, mc AS module_count, pc AS page_count, ms AS module_style_count, ts AS topic_style_count, io AS intro_objectives_pages, sh AS start_here_modules, cohort FROM p")
+def package_features(spark, sf):
+    return _profiles(spark, sf).select("package", "module_count", "page_count", "module_style_count", "topic_style_count", "intro_objectives_pages", "start_here_modules", "cohort")
+
+
+@query(f"""WITH {_FEATURES} SELECT cohort, count(*)::BIGINT AS reference_courses, round(median(pc), 1) AS median_pages, round(avg(CASE WHEN sh > 0 THEN 1.0 ELSE 0.0 END), 3) AS start_here_presence_rate,
+ CASE WHEN sum(ts) > sum(ms) THEN 'topic' WHEN sum(ms) = 0 AND sum(ts) = 0 THEN 'neutral' ELSE 'module' END AS preferred_module_style FROM p GROUP BY cohort""")
+def cohort_consensus(spark, sf):
+    return cohort.consensus(_profiles(spark, sf)).select("cohort", "reference_courses", "median_pages", "start_here_presence_rate", "preferred_module_style")
+
+
+_D = lambda a: f"abs(x.{a} - y.{a}) / greatest(abs(x.{a}), abs(y.{a}), 1.0)"
+
+
+@query(f"""WITH {_FEATURES}, s AS (SELECT x.package AS query, y.package AS reference, round(greatest(100.0 - CASE WHEN x.cohort <> y.cohort THEN 25.0 ELSE 0.0 END - 14.0 * {_D('mc')} - 14.0 * {_D('pc')} - 8.0 * {_D('ac')} - 4.0 * {_D('dc')} - 8.0 * {_D('mr')} - 8.0 * {_D('tr')} - 6.0 * {_D('ic')} - 6.0 * {_D('io')} - 6.0 * {_D('la')}
+ - 3.0 * ((x.sh > 0) <> (y.sh > 0))::INT - 3.0 * ((x.im > 0) <> (y.im > 0))::INT - 3.0 * ((x.hd > 0) <> (y.hd > 0))::INT - 3.0 * ((x.ov > 0) <> (y.ov > 0))::INT - 8.0 * {_D('iss')}, 0.0), 1) AS score FROM p x JOIN p y ON x.package <> y.package)
+SELECT query, rank, reference FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, reference)::INT AS rank FROM s) WHERE rank <= 3""")
+def nearest_packages(spark, sf):
+    p = _profiles(spark, sf)
+    return cohort.nearest(p, p).select("query", "rank", "reference")
+
+
+@query(f"""WITH {_FEATURES}, c AS (SELECT cohort, CASE WHEN sum(ts) > sum(ms) THEN 'topic' WHEN sum(ms) = 0 AND sum(ts) = 0 THEN 'neutral' ELSE 'module' END AS m, CASE WHEN sum(io) > sum(ic) THEN 'o' ELSE 'c' END AS i FROM p GROUP BY cohort)
+SELECT package, CASE WHEN ok THEN 100 ELSE 50 END::BIGINT AS score, CASE WHEN ok THEN 'approved' ELSE 'review' END AS overall FROM (SELECT package, CASE c.m WHEN 'module' THEN ms >= ts WHEN 'topic' THEN ts >= ms ELSE true END AND CASE c.i WHEN 'c' THEN ic >= io ELSE io >= ic END AS ok FROM p JOIN c USING (cohort))""")
+def approval_gates(spark, sf):
+    p = _profiles(spark, sf)
+    return cohort.approval_score(cohort.structure_gate(p, cohort.consensus(p)))
+
+
+@query(f"""SELECT package, title, count(*)::BIGINT AS n FROM (SELECT package, CASE WHEN title LIKE 'Topic 0% | Start' THEN 'Module ' || substr(title, 8, 1) || ': Start' ELSE title END AS title FROM ({_TITLES})) GROUP BY ALL""")
+def title_delimiters(spark, sf):
+    t = manifest.normal_delimiters(manifest.topic_to_module(F.col("title")))
+    return _titles(spark, sf).select("package", t.alias("title")).groupBy("package", "title").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH t AS ({_TITLES}), k AS (SELECT package, title, CASE WHEN lower(title) LIKE '%introduction%' OR lower(title) LIKE '%overview%' OR lower(title) LIKE '%objectives%' OR lower(title) LIKE '%checklist%' THEN 0 WHEN lower(title) LIKE '%review%' OR lower(title) LIKE '%summary%' OR lower(title) LIKE '%wrap%' THEN 2 ELSE 1 END AS r FROM t WHERE kind = 'page'),
+d AS (SELECT DISTINCT package, title, r FROM k), b AS (SELECT package, title, r, 1 AS h FROM d UNION ALL SELECT DISTINCT package, CASE r WHEN 0 THEN 'Overview' WHEN 1 THEN 'Activity' ELSE 'Review' END, r, 0 FROM d)
+SELECT package, row_number() OVER (PARTITION BY package ORDER BY r, h, CASE WHEN h = 1 THEN title END)::INT AS position, h = 0 AS is_header, title FROM b""")
+def module_structure(spark, sf):
+    t = _titles(spark, sf).where("kind = 'page'").select("package", "title").distinct()
+    w = Window.partitionBy("package").orderBy("title")
+    items = t.select("package", F.lit("m").alias("parent_id"), F.lit(1).alias("depth"), F.row_number().over(w).alias("ordinal"), "title")
+    return manifest.restructure(items).select("package", "position", "is_header", "title")
