@@ -497,3 +497,52 @@ def module_structure(spark, sf):
     w = Window.partitionBy("package").orderBy("title")
     items = t.select("package", F.lit("m").alias("parent_id"), F.lit(1).alias("depth"), F.row_number().over(w).alias("ordinal"), "title")
     return manifest.restructure(items).select("package", "position", "is_header", "title")
+
+
+_FRAGMENTS = "'<html><head><title>' || p_name || '</title></head><body><h1 id=\"t\">Part</h1><table style=\"width:' || (450 + p_size * 2) || 'px\"><tr><td>x</td></tr></table><div class=\"row\"><span> </span></div><p>' || p_brand || '</p></body></html>'"
+
+
+def _fragments(spark, sf) -> DataFrame:
+    """Pages with titles, first headings, tables of many widths and empty wrappers."""
+    p = table(spark, sf, "part")
+    parts = [F.lit("<html><head><title>"), F.col("p_name"), F.lit('</title></head><body><h1 id="t">Part</h1><table style="width:'), (F.lit(450) + F.col("p_size") * 2).cast("string"), F.lit('px"><tr><td>x</td></tr></table><div class="row"><span> </span></div><p>'), F.col("p_brand"), F.lit("</p></body></html>")]
+    return p.select("p_partkey", F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".html")).alias("path"), F.concat(*parts).alias("html"))
+
+
+@query(r"""
+SELECT p_partkey, md5('<html><head></head><body><h2 id="t">Part</h2><table style="width: ' || CASE WHEN 450 + p_size * 2 > 500 THEN '100%; max-width: ' || (450 + p_size * 2) || 'px;' ELSE 'X' END || '"><tr><td>x</td></tr></table><p>' || p_brand || '</p></body></html>') AS digest,
+ 5::BIGINT AS n_changes FROM part WHERE 450 + p_size * 2 > 500""")
+def rewrite_chain_fragments(spark, sf):
+    """The whole chain over fragments whose result can be written down."""
+    from packloom.rewrite import chain
+
+    out = chain.sanitise(_fragments(spark, sf))
+    wide = out.join(table(spark, sf, "part").where(F.col("p_size") * 2 + 450 > 500).select("p_partkey"), "p_partkey", "left_semi")
+    return wide.select("p_partkey", F.md5("html").alias("digest"), F.size("changes").cast("long").alias("n_changes"))
+
+
+@query()
+def rewrite_chain(spark, sf):
+    """The whole chain over the pages: changes by pass."""
+    from packloom.rewrite import chain
+
+    pages = table(spark, sf, "pages").select(F.col("url").alias("path"), "html")
+    rows = chain.sanitise(pages).select("path", F.explode("changes").alias("c"))
+    return rows.groupBy("c.description").agg(F.sum("c.count").alias("n"), F.count("*").alias("n_files"))
+
+
+@query(r"""
+SELECT CASE WHEN s_suppkey % 5 IN (0, 3) THEN 1 ELSE 0 END::BIGINT AS mathml, CASE WHEN s_suppkey % 5 IN (1, 3) THEN 1 ELSE 0 END::BIGINT AS equation_images, CASE s_suppkey % 5 WHEN 2 THEN 2 ELSE 0 END::BIGINT AS raw_tex, CASE WHEN s_suppkey % 5 = 3 THEN 1 ELSE 0 END::BIGINT AS wiris, s_suppkey FROM supplier""")
+def math_content(spark, sf):
+    k = F.col("s_suppkey") % 5
+    page = F.when(k == 0, "<p><math><mi>x</mi></math></p>").when(k == 1, '<img class="equation_image" src="/equation_images/a">').when(k == 2, r"<p>\(a\) and $$b$$</p>").when(k == 3, "<math><annotation encoding='wiris'>q</annotation></math><IMG data-equation-content=\"x\">").otherwise("<p>none</p>")
+    m = metrics.math_counts(page)
+    return table(spark, sf, "supplier").select("s_suppkey", *(m[c].alias(c) for c in ("mathml", "equation_images", "raw_tex", "wiris")))
+
+
+@query(r"""
+SELECT count(*)::BIGINT AS files_scanned, count(*) FILTER (page_id % 5 <> 4 AND page_id % 2 = 1)::BIGINT AS files_with_remaining_title_tags FROM pages""")
+def visual_summary(spark, sf):
+    p = table(spark, sf, "pages").select(F.col("page_id").alias("path"), "html")
+    after = p.where(F.col("path") % 5 != 4).withColumn("html", F.when(F.col("path") % 2 == 0, F.regexp_replace("html", r"(?is)<title\b[^>]*>.*?</title>", "")).otherwise(F.col("html")))
+    return metrics.visual_summary(metrics.visual_audit(metrics.pair_versions(p, after))).select("files_scanned", "files_with_remaining_title_tags")
