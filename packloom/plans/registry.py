@@ -546,3 +546,83 @@ def visual_summary(spark, sf):
     p = table(spark, sf, "pages").select(F.col("page_id").alias("path"), "html")
     after = p.where(F.col("path") % 5 != 4).withColumn("html", F.when(F.col("path") % 2 == 0, F.regexp_replace("html", r"(?is)<title\b[^>]*>.*?</title>", "")).otherwise(F.col("html")))
     return metrics.visual_summary(metrics.visual_audit(metrics.pair_versions(p, after))).select("files_scanned", "files_with_remaining_title_tags")
+
+
+from packloom.operators import links, patterns, reports  # noqa: E402
+
+_FILES = "SELECT 'f' || (p_partkey % 60) || '.pdf' AS name, p_partkey AS id FROM part WHERE p_partkey % 60 < 40 AND (p_partkey <= 60 OR p_partkey % 60 < 4)"
+_LIVE = """SELECT s_suppkey, pos, attr, ref FROM (SELECT s_suppkey, 0 AS pos, 'href' AS attr, CASE s_suppkey % 4 WHEN 0 THEN '/d2l/x/' || s_suppkey WHEN 1 THEN '/shared/Brightspace_HTML_Template/a' WHEN 2 THEN 'http://e.org/a' ELSE 'd/F' || (s_suppkey % 60) || '.pdf?x=1' END AS ref FROM supplier UNION ALL SELECT s_suppkey, 1, 'src', 'sub/f' || (s_suppkey % 60) || '.pdf' FROM supplier)"""
+
+
+def _live(spark, sf) -> DataFrame:
+    s = F.col("s_suppkey")
+    k, n = s % 4, (s % 60).cast("string")
+    ref = F.when(k == 0, F.concat(F.lit("/d2l/x/"), s.cast("string"))).when(k == 1, "/shared/Brightspace_HTML_Template/a").when(k == 2, "http://e.org/a").otherwise(F.concat(F.lit("d/F"), n, F.lit(".pdf?x=1")))
+    page = F.concat(F.lit('<p><a href="'), ref, F.lit('">x</a><img src=\'sub/f'), n, F.lit(".pdf'></p>"))
+    refs = links.page_references(table(spark, sf, "supplier").select("s_suppkey", page.alias("html")), "s_suppkey")
+    p = F.col("p_partkey")
+    files = table(spark, sf, "part").where((p % 60 < 40) & ((p <= 60) | (p % 60 < 4))).select(F.concat(F.lit("f"), (p % 60).cast("string"), F.lit(".pdf")).alias("name"), p.alias("id"))
+    aliases = spark.createDataFrame([("f45.pdf", 0, "f1.pdf"), ("f45.pdf", 1, "f20.pdf"), ("f46.pdf", 0, "no.pdf")], "source string, pos int, target string")
+    return links.audit_references(refs, files, aliases)
+
+
+_LIVE_SQL = f"""WITH f AS ({_FILES}), i AS (SELECT name, count(*) AS n, min(id) AS id FROM f GROUP BY name), r AS ({_LIVE}),
+k AS (SELECT *, CASE WHEN ref LIKE '/d2l/%' THEN 'legacy_d2l_link' WHEN ref LIKE '/shared/%' THEN 'brightspace_template_link' WHEN ref LIKE 'http:%' THEN NULL ELSE 'relative_local_reference' END AS kind, lower(regexp_extract(regexp_replace(ref, '\\?.*', ''), '([^/]*)$', 1)) AS name FROM r),
+j AS (SELECT k.*, i.n, i.id, CASE WHEN k.name = 'f45.pdf' THEN (SELECT id FROM i WHERE i.name = 'f20.pdf' AND i.n = 1) END AS alias_id FROM k LEFT JOIN i ON i.name = k.name WHERE kind IS NOT NULL),
+a AS (SELECT s_suppkey, pos, attr, CASE WHEN kind <> 'relative_local_reference' THEN kind WHEN n = 1 THEN kind WHEN n > 1 THEN kind || '_collision' WHEN alias_id IS NOT NULL THEN kind || '_alias_match' ELSE kind || '_unresolved' END AS issue_type, CASE WHEN kind = 'relative_local_reference' THEN CASE WHEN n = 1 THEN id WHEN n IS NULL THEN alias_id END END AS asset FROM j)"""
+
+
+@query(f"{_LIVE_SQL} SELECT s_suppkey, pos::INT AS pos, attr, issue_type, CASE WHEN issue_type IN ('relative_local_reference', 'relative_local_reference_alias_match') THEN 'info' ELSE 'warning' END AS severity, asset FROM a")
+def link_audit(spark, sf):
+    """References of pages by kind, with the file that would serve."""
+    return _live(spark, sf).select("s_suppkey", "pos", "attr", "issue_type", "severity", "asset")
+
+
+@query(f"{_LIVE_SQL} SELECT s_suppkey, count(*) FILTER (issue_type IN ('relative_local_reference', 'relative_local_reference_alias_match'))::BIGINT AS rewritten, count(*) FILTER (issue_type LIKE '%alias_match')::BIGINT AS via_alias, count(*) FILTER (issue_type LIKE '%collision' OR issue_type LIKE '%unresolved')::BIGINT AS unresolved FROM a GROUP BY 1")
+def relink_totals(spark, sf):
+    return links.relink_totals(_live(spark, sf), "s_suppkey")
+
+
+@query(r"""
+SELECT page_id % 12 AS package, count(*)::BIGINT AS page_count, sum(len(regexp_extract_all(html, '(?i)<li\b')))::BIGINT AS list_items, sum(len(regexp_extract_all(html, '(?i)<a\b')))::BIGINT AS links, sum(len(regexp_extract_all(html, '(?i)<h[1-6]\b')))::BIGINT AS headings FROM pages GROUP BY 1""")
+def package_html_features(spark, sf):
+    p = table(spark, sf, "pages").withColumn("package", F.col("page_id") % 12)
+    return patterns.package_html_features(p).select("package", "page_count", "list_items", "links", "headings")
+
+
+@query("""
+SELECT * FROM (VALUES ('accordion_modernization', 12::BIGINT, 8::BIGINT, 0.667::DOUBLE, true), ('divider_normalization', 12::BIGINT, 4::BIGINT, 0.333::DOUBLE, false)) v(key, applicable, matching, rate, is_consensus)""")
+def consensus_transforms(spark, sf):
+    """Twelve packages of pages; accordions go in two of three, dividers in one."""
+    p = table(spark, sf, "pages").withColumn("package", F.col("page_id") % 12)
+    k = F.col("package") % 3
+    before = p.withColumn("html", F.concat("html", F.lit('<div class="card-header">x</div><hr>')))
+    after = p.withColumn("html", F.concat("html", F.when(k < 2, "").otherwise('<div class="card-header">x</div>'), F.when(k == 0, '<hr style="height: 2px">').otherwise("<hr>")))
+    return patterns.consensus_transforms(patterns.package_html_features(before), patterns.package_html_features(after))
+
+
+@query(r"""
+SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Module ' || (o_orderkey % 30) || ': the module' WHEN 1 THEN 'By the end of this module, you will be able to: ' || o_orderpriority ELSE 'Introduction and Checklist' END AS text FROM orders""")
+def module_wording(spark, sf):
+    k = F.col("o_orderkey")
+    t = F.when(k % 3 == 0, F.concat(F.lit("TOPIC 0"), (k % 30).cast("string"), F.lit(" - The topic"))).when(k % 3 == 1, F.concat(F.lit("After completing the learning activities for this topic, you will be able to : "), "o_orderpriority")).otherwise("Introduction and objectives")
+    return table(spark, sf, "orders").select("o_orderkey", patterns.module_wording(t).alias("text"))
+
+
+@query("""
+SELECT CASE WHEN p_partkey % 4 = 0 THEN 'module_intro' WHEN p_partkey % 4 = 1 THEN 'welcome_instructor' ELSE 'standalone' END AS role, count(*)::BIGINT AS n FROM part GROUP BY 1""")
+def page_roles(spark, sf):
+    k = F.col("p_partkey") % 4
+    path = F.when(k == 0, "01-Cells_and-Life/Introduction and Objectives.html").when(k == 2, "introduction.html").otherwise("a/b.html")
+    title = F.when(k == 1, " Welcome to the course").otherwise(F.lit("Cells"))
+    return table(spark, sf, "part").select(patterns.page_role(path, title).alias("role")).groupBy("role").agg(F.count("*").alias("n"))
+
+
+@query(r"""
+SELECT count(*)::BIGINT AS files, count(*) FILTER (regexp_matches(html, '(?s)<!--.*?-->') OR regexp_matches(html, '&amp;') OR regexp_matches(html, '(?i)<br\s*/?>') OR regexp_matches(html, '<a href="[^"]*"'))::BIGINT AS changed_files FROM pages""")
+def report_totals(spark, sf):
+    """Totals of the replacement stage and the findings of its output."""
+    df = rules.apply_replacements(table(spark, sf, "pages").withColumn("path", F.col("url")), REPLACEMENTS)
+    h = F.col("html")
+    files = df.select("path", (F.size("changes") > 0).alias("changed"), "changes", rules.triggered(h, TRIGGERS).alias("manual"), detect.accessibility(h).alias("accessibility"))
+    return reports.file_summary(files).select("files", "changed_files")
