@@ -626,3 +626,89 @@ def report_totals(spark, sf):
     h = F.col("html")
     files = df.select("path", (F.size("changes") > 0).alias("changed"), "changes", rules.triggered(h, TRIGGERS).alias("manual"), detect.accessibility(h).alias("accessibility"))
     return reports.file_summary(files).select("files", "changed_files")
+
+
+from packloom.operators import corpus, review  # noqa: E402
+from packloom.plans import convert  # noqa: E402
+
+
+@query()
+def converted_pages(spark, sf):
+    """The conversion of all pages: findings and changes of each."""
+    config = rules.Rules(REPLACEMENTS, REWRITES, TRIGGERS)
+    pages = table(spark, sf, "pages").select(F.col("url").alias("path"), "html")
+    out = convert.convert(pages, config, convert.Profile("strict"), best_practice=True)
+    return out.select("path", "changed", F.size("changes").alias("n_changes"), F.size("manual").alias("n_manual"), F.size("accessibility").alias("n_accessibility"), F.md5("html").alias("digest"))
+
+
+@query()
+def review_pages(spark, sf):
+    """Pages against their conversion: priority, score and similarity."""
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("path"), "html")
+    after = pages.withColumn("html", F.regexp_replace("html", r"(?is)<(ul|title)\b[^>]*>.*?</\1>", ""))
+    counts = _page_issues(spark, sf).groupBy(F.col("path")).agg(F.count(F.when(F.col("type") == "manual", 1)).alias("manual"), F.count(F.when(F.col("type") != "manual", 1)).alias("accessibility"))
+    rows = review.review_rows(metrics.pair_versions(pages, after), counts)
+    return rows.select("path", "priority", "score", "similarity")
+
+
+@query("""
+SELECT p.page_id AS path, CASE WHEN p.page_id % 3 = 0 THEN CASE WHEN p.page_id % 2 = 0 THEN 'updated' ELSE 'unchanged' END ELSE 'kept' END AS status, CASE WHEN p.page_id % 3 = 0 AND p.page_id % 2 = 0 THEN 'new ' || p.page_id ELSE 'page ' || p.page_id END AS html FROM pages p
+UNION ALL SELECT -page_id - 1, 'missing', NULL FROM pages WHERE page_id % 10 = 0""")
+def draft_write_back(spark, sf):
+    p = table(spark, sf, "pages").select(F.col("page_id").alias("path"))
+    k = F.col("path")
+    pages = p.select("path", F.concat(F.lit("page "), k.cast("string")).alias("html"))
+    edit = F.concat(F.when(k % 2 == 0, "new ").otherwise("page "), k.cast("string"))
+    drafts = p.where(k % 3 == 0).select("path", edit.alias("edited_body_html")).unionByName(p.where(k % 10 == 0).select((-k - 1).alias("path"), F.lit("x").alias("edited_body_html")))
+    return review.apply_drafts(pages, drafts)
+
+
+@query("""
+WITH c AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'ABC-' || (1000 + s_suppkey) WHEN 1 THEN 'sec ' || (1000 + s_suppkey) WHEN 2 THEN 'zz ' || (1000 + s_suppkey) || ' q' ELSE 'none' || s_suppkey END AS course FROM supplier)
+SELECT course, CASE WHEN s_suppkey % 4 < 3 THEN 's' || s_suppkey END AS snapshot, CASE s_suppkey % 4 WHEN 0 THEN 'token' WHEN 1 THEN 'contains' WHEN 2 THEN 'number' END AS how FROM c""")
+def snapshot_match(spark, sf):
+    """Courses to snapshots by an equal token, by containment and by number."""
+    s = table(spark, sf, "supplier")
+    k = F.col("s_suppkey")
+    n = (k + 1000).cast("string")
+    course = F.when(k % 4 == 0, F.concat(F.lit("ABC-"), n)).when(k % 4 == 1, F.concat(F.lit("sec "), n)).when(k % 4 == 2, F.concat(F.lit("zz "), n, F.lit(" q"))).otherwise(F.concat(F.lit("none"), k.cast("string")))
+    name = F.when(k % 4 == 0, F.concat(F.lit("abc "), n)).when(k % 4 == 1, F.concat(F.lit("Fall sec "), n, F.lit(" x"))).otherwise(F.concat(F.lit("other "), n))
+    return corpus.match_snapshots(s.select(course.alias("course")), s.where(k % 4 < 3).select(F.concat(F.lit("s"), k.cast("string")).alias("snapshot"), name.alias("name")))
+
+
+@query("""
+WITH f AS (SELECT o_custkey % 50 AS course, o_orderkey % 3 AS root, o_orderpriority AS kind, o_orderkey AS path, o_orderdate AS ts FROM orders),
+s AS (SELECT course, root, count(DISTINCT kind) AS k FROM f GROUP BY ALL), b AS (SELECT course, root FROM (SELECT *, row_number() OVER (PARTITION BY course ORDER BY k DESC, root) AS r FROM s) WHERE r = 1)
+SELECT course, kind, root, path FROM (SELECT f.*, row_number() OVER (PARTITION BY course, kind ORDER BY ts DESC, path) AS r FROM f JOIN b USING (course, root)) WHERE r = 1""")
+def course_artifacts(spark, sf):
+    o = table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("course"), (F.col("o_orderkey") % 3).alias("root"), F.col("o_orderpriority").alias("kind"), F.col("o_orderkey").alias("path"), F.col("o_orderdate").alias("ts"))
+    return corpus.best_artifacts(o).select("course", "kind", "root", "path")
+
+
+@query("""
+SELECT arg_max(v, event_id) AS value, max(event_id) AS last FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END || (user_id % 20) AS v FROM events) GROUP BY lower(v) ORDER BY last DESC LIMIT 25""")
+def recent_history(spark, sf):
+    """The 25 latest different values (the feature is a bounded history)."""
+    e = table(spark, sf, "events").select("event_id", F.concat(F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")), (F.col("user_id") % 20).cast("string")).alias("v"))
+    return corpus.recent_distinct(e, "event_id", "v")
+
+
+@query("""
+SELECT p_size % 10 AS package, count(*) FILTER (p_partkey % 3 = 0)::BIGINT AS topic_html_files, count(*) FILTER (p_partkey % 3 = 1)::BIGINT AS module_html_files, count(*)::BIGINT AS html_files FROM part WHERE p_partkey % 5 <> 0 GROUP BY 1""")
+def package_structure(spark, sf):
+    k = F.col("p_partkey")
+    folder = F.when(k % 3 == 0, "Topic 1").when(k % 3 == 1, "x/module2 a").otherwise("other")
+    path = F.concat(folder, F.lit("/p"), k.cast("string"), F.when(k % 5 == 0, ".png").otherwise(".HTM"))
+    return corpus.structure_summary(table(spark, sf, "part").select((F.col("p_size") % 10).alias("package"), path.alias("path")))
+
+
+@query("""
+WITH r AS (SELECT p_size % 4 AS package, p_partkey % 4 AS k FROM part)
+SELECT kind, sum(n)::BIGINT AS n, count(DISTINCT package)::BIGINT AS packages FROM (SELECT package, CASE k WHEN 0 THEN 'exact' WHEN 1 THEN 'legacy' WHEN 2 THEN 'external' ELSE 'unresolved' END AS kind, count(*) AS n FROM r GROUP BY ALL) GROUP BY kind""")
+def reference_classes(spark, sf):
+    p = table(spark, sf, "part").select((F.col("p_size") % 4).alias("package"), "p_partkey")
+    k = F.col("p_partkey")
+    page = F.concat(F.lit("d/p"), k.cast("string"), F.lit(".html"))
+    ref = F.when(k % 4 == 0, F.concat(F.lit("p"), k.cast("string"), F.lit(".html#top"))).when(k % 4 == 1, "/d2l/a").when(k % 4 == 2, "https://e.org").otherwise("nowhere.html")
+    pages = p.select("package", page.alias("path"), F.concat(F.lit('<a href="'), ref, F.lit('">x</a>')).alias("html"))
+    return corpus.corpus_totals(corpus.reference_classes(pages, pages.select("package", "path")))

@@ -162,3 +162,29 @@ def test_stream(spark, tmp_path):
     got = {r.reason: r.n for r in spark.table("found").collect()}
     q.stop()
     assert got == {"Image missing alt attribute": 2, "Non-descriptive link text": 1}
+
+
+def test_best_practice_and_payloads():
+    page = "<h2>Module Checklist</h2><ul><li>a<ul><li>b</li></ul></li></ul>"
+    out, n = chain.checklist_closer(page)
+    assert n == 1 and out == page[:-5] + f"\n  <li>{chain.CLOSER}</li></ul>" and chain.checklist_closer(out) == (out, 0)
+    assert chain.checklist_closer("<body>x</body>", "introduction and checklist.html")[0].endswith("</p>\n</body>")
+    text, rewritten, neutral = chain.payload_hrefs('href="/d2l/a" href="/d2l/common/dialogs/quicklink/quicklink.d2l?type=coursefile&amp;fileId=x.pdf" href="y"')
+    assert (rewritten, neutral) == (1, 1) and 'href="x.pdf"' in text and 'href="y"' in text
+    assert chain.relink('<img src=a.png><a href="b">', {"a.png": "/f/1"}) == ('<img src="/f/1"><a href="b">', 1)
+
+
+def test_convert(spark):
+    from packloom.plans import convert
+
+    text = '{"profiles": {"a": {"sanitize_brightspace_assets": false, "preflight_items": [" x ", ""]}}}'
+    p = convert.profile("a", text)
+    assert not p.sanitize_brightspace_assets and p.require_mc_closing_bullet and p.preflight_items == ("x",)
+    with pytest.raises(ValueError):
+        convert.profile("b", text)
+    pages = spark.createDataFrame([("a.html", '<h1>T</h1><a href="http://x">here</a>'), ("b.html", "plain"), ("c.html", None)], "path string, html string")
+    config = rules.Rules([rules.Replacement("r", "T", "U")], [], [rules.Trigger("t", "U")])
+    got = {r.path: r for r in convert.convert(pages, config, p, best_practice=True).collect()}
+    assert got["a.html"].changed and [c["count"] for c in got["a.html"].changes] == [1, 1, 1] and "<h2>U</h2>" in got["a.html"].html
+    assert [x.reason for x in got["a.html"].manual] == ["t"] and [x.reason for x in got["a.html"].accessibility] == ["Non-descriptive link text"]
+    assert not got["b.html"].changed
