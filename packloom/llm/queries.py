@@ -91,13 +91,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*))),
+l AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS m FROM r GROUP BY x), k AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT doc_id, coalesce(least(doc_id, c.m), doc_id) AS class_id, coalesce(k.n, 0)::BIGINT AS n_links
+FROM documents LEFT JOIN c ON c.x = doc_id LEFT JOIN k ON k.x = doc_id
+""",
     "op7_warc_round_trip": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 q AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS hex FROM p),
 f AS (SELECT hex, n, min(page_id) AS first_id FROM q GROUP BY ALL),
 b AS (SELECT *, unhex(hex)::BLOB::BIT::VARCHAR AS bits FROM q JOIN f USING (hex, n))
 SELECT page_id, n::BIGINT AS payload_bytes,
-  array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT
       + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT, 1)), '') AS payload_digest,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
