@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packloom.llm.sums import SCHEMA, blocks, sum_vectors
 from packloom.runtime import prepare
 
 PASSAGE, STRIDE = 64, 32
@@ -141,31 +142,6 @@ def _times(row: np.ndarray, term: np.ndarray, val: np.ndarray, m: np.ndarray) ->
     return out
 
 
-def _sum_vectors(df: DataFrame) -> np.ndarray:
-    """Rows (block int, values binary float64) summed by block, then joined. The
-    sums are made in a stream, in two levels, so no task holds more than a block."""
-
-    def run(batches):
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, v in zip(b.column("block").to_pylist(), b.column("values")):
-                x = np.frombuffer(v.as_py())
-                total[k] = total[k] + x if k in total else x
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["block", "values"])
-
-    schema = "block int, values binary"
-    first = df.withColumn("salt", F.spark_partition_id() % 32).repartition("block", "salt").select("block", "values").mapInArrow(run, schema)
-    rows = first.repartition("block").mapInArrow(run, schema).collect()
-    return np.concatenate([np.frombuffer(r["values"]) for r in sorted(rows, key=lambda r: r["block"])]) if rows else np.zeros(0)
-
-
-def _blocks(values: np.ndarray, size: int = 16_384):
-    flat = np.ascontiguousarray(values, np.float64).ravel()
-    at = range(0, len(flat), size)
-    return pa.RecordBatch.from_arrays([pa.array(range(len(at)), pa.int32()), pa.array([flat[i : i + size].tobytes() for i in at], pa.binary())], names=["block", "values"])
-
-
 def load_items(benchmark: list[tuple[int, str | None]]) -> Items:
     rows = [(i, t, words_of(t)) for i, t in benchmark]
     rows = [r for r in rows if r[2]]
@@ -192,9 +168,9 @@ def fit(texts: DataFrame, items: Items, common: float = COMMON, rank: int = RANK
                 docs += 1
                 ids = [i for w in ws if (i := get(w)) is not None]
                 total[ids] += 1
-        yield _blocks(np.append(total, docs))
+        yield blocks(np.append(total, docs))
 
-    sums = _sum_vectors(texts.mapInArrow(count, "block int, values binary"))
+    sums = sum_vectors(texts.mapInArrow(count, SCHEMA))
     df, docs = (sums[:-1], sums[-1]) if len(sums) else (np.zeros(n), 0.0)
     items.idf = np.log((docs + 1) / (df + 0.5)).clip(0.01)
     items.used = df <= max(5.0, common * docs)
@@ -221,9 +197,9 @@ def fit(texts: DataFrame, items: Items, common: float = COMMON, rank: int = RANK
                     a, b = first[i], ends[min(i + 512, len(first)) - 1]
                     o = order[a:b]
                     total[t[first[i : i + 512]]] += np.add.reduceat(val[o, None] * y[row[o]], first[i : i + 512] - a)
-        yield _blocks(total)
+        yield blocks(total)
 
-    g = _sum_vectors(texts.mapInArrow(gram, "block int, values binary"))
+    g = sum_vectors(texts.mapInArrow(gram, SCHEMA))
     g = g.reshape(n, rank) if len(g) else np.zeros((n, rank))
     c = sketch.T @ g
     shift = 1e-9 * max(np.trace(c), 1e-12)
