@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 The words of the benchmark items are the vocabulary; documents are read in
-passages of 64 words, one every 32. Three passes over the texts, none of which
+passages of 64 words, one every 32, and items longer than that in such pieces as
+well. Three passes over the texts, none of which
 shuffles them:
 
 1. document frequencies of the vocabulary over all documents give TF-IDF weights;
@@ -13,12 +14,14 @@ shuffles them:
    form), whose size depends on the vocabulary alone;
 3. every passage is compared with every item by the cosine of their latent
    vectors, to which the part outside the latent space counts with weight
-   ``residual``, so items too rare to shape the space are found as well.
-   Candidates are checked on words: the longest common subsequence with the
+   ``residual``, so items too rare to shape the space are found as well. A piece
+   is also a candidate where a passage holds ``HELD`` of the squared weight of its
+   own terms (all its words, if few are rare), whatever else the passage holds:
+   of a verbatim piece one of two adjacent passages holds half. Candidates are checked on words: the longest common subsequence with the
    item must cover ``lcs`` of it, and its answer, the last sentence, ``answer``.
 
-The benchmark is a stated query set; it is taken in blocks of ITEMS items, so
-what is broadcast has a fixed bound in items.
+The benchmark is a stated query set; it is taken in blocks of about ITEMS pieces,
+so what is broadcast has a fixed bound in pieces.
 
 Defined results: null and empty texts match nothing, items without words are
 never found; equal items are found alike, repeated rows give repeated results;
@@ -28,7 +31,7 @@ other columns are kept by ``scan``. Empty tables give empty results.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packloom.llm.sums import SCHEMA, blocks, sum_vectors
-from packloom.runtime import prepare
+from packloom.runtime import materialise, prepare
 
 PASSAGE, STRIDE = 64, 32
 RANK = 48
@@ -44,6 +47,7 @@ ITEMS = 2000
 COMMON = 0.02
 LEAST_TERMS = 8
 COSINE = 0.3
+HELD = 0.35
 RESIDUAL = 0.5
 LCS = 0.7
 ANSWER = 0.6
@@ -89,14 +93,20 @@ class Items:
     vocab: dict[str, int]
     idf: np.ndarray | None = None
     used: np.ndarray | None = None
+    #: Item and first word of each piece, and the terms by which it is held.
+    pieces: list[tuple[int, int]] = field(default_factory=list)
+    own: list[np.ndarray] = field(default_factory=list)
     basis: np.ndarray | None = None
 
+    def piece(self, j: int) -> np.ndarray:
+        """Vocabulary ids of the words of a piece."""
+        i, at = self.pieces[j]
+        return np.array([self.vocab[w] for w in self.words[i][at : at + PASSAGE]])
 
-def _passages(docs: list[list[int]], items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Unit TF-IDF rows of all passages with two terms or more: entries (row,
-    term, value) sorted by row and term, and of each row the document and the
-    number of the passage in it."""
-    n = len(items.idf)
+
+def _entries(docs: list[list[int]], n: int, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Terms of ``mask`` in all passages: passage, term and number, sorted by
+    passage and term, and the first passage of each document."""
     rows, terms = [], []
     base = 0
     starts = []
@@ -104,7 +114,7 @@ def _passages(docs: list[list[int]], items: Items) -> tuple[np.ndarray, np.ndarr
         starts.append(base)
         ids = np.asarray(ids, np.int64)
         pos = np.flatnonzero(ids >= 0)
-        pos = pos[items.used[ids[pos]]]
+        pos = pos[mask[ids[pos]]]
         t = ids[pos]
         p = pos // STRIDE
         rows += [base + p + 1, base + p]  # a word is in the passages p - 1 and p
@@ -112,22 +122,39 @@ def _passages(docs: list[list[int]], items: Items) -> tuple[np.ndarray, np.ndarr
         base += len(ids) // STRIDE + 2
     none = np.zeros(0, np.int64)
     key, tf = np.unique(np.concatenate([none, *rows]) * n + np.concatenate([none, *terms]), return_counts=True)
-    row, term = key // n, key % n
-    if not len(row):
-        return none, none, np.zeros(0, np.float32), none, none
-    first = np.concatenate([[0], np.flatnonzero(row[1:] != row[:-1]) + 1])
-    size = np.diff(np.append(first, len(row)))
-    keep = np.repeat(size > 1, size)
-    row, term, tf = row[keep], term[keep], tf[keep]
+    return key // n, key % n, tf, np.asarray(starts, np.int64)
+
+
+def _place(passage: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The document of each passage and its number there."""
+    doc = np.searchsorted(starts, passage, "right") - 1
+    return doc, passage - starts[doc] - 1
+
+
+def _unit(row: np.ndarray, term: np.ndarray, tf: np.ndarray, items: Items, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Unit TF-IDF rows of the passages with ``least`` terms: entries (row, term,
+    value) sorted by row and term, and of each row the passage."""
+    none = np.zeros(0, np.int64)
+    if len(row):
+        first = np.concatenate([[0], np.flatnonzero(row[1:] != row[:-1]) + 1])
+        size = np.diff(np.append(first, len(row)))
+        keep = np.repeat(size >= least, size)
+        row, term, tf = row[keep], term[keep], tf[keep]
     if not len(row):
-        return none, none, np.zeros(0, np.float32), none, none
+        return none, none, np.zeros(0, np.float32), none
     first = np.concatenate([[0], np.flatnonzero(row[1:] != row[:-1]) + 1])
     size = np.diff(np.append(first, len(row)))
     val = (1 + np.log(tf)) * items.idf[term]
     val = val / np.repeat(np.sqrt(np.add.reduceat(val * val, first)), size)
-    passage = row[first]
-    doc = np.searchsorted(starts, passage, "right") - 1
-    return np.repeat(np.arange(len(first)), size), term, val.astype(np.float32), doc, passage - np.asarray(starts)[doc] - 1
+    return np.repeat(np.arange(len(first)), size), term, val.astype(np.float32), row[first]
+
+
+def _passages(docs: list[list[int]], items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Unit rows of all passages with two terms or more, and of each row the
+    document and the number of the passage in it."""
+    *entries, starts = _entries(docs, len(items.idf), items.used)
+    row, term, val, passage = _unit(*entries, items, 2)
+    return row, term, val, *(_place(passage, starts) if len(passage) else (passage, passage))
 
 
 def _times(row: np.ndarray, term: np.ndarray, val: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -149,7 +176,8 @@ def load_items(benchmark: list[tuple[int, str | None]]) -> Items:
     for _, _, ws in rows:
         for w in ws:
             vocab.setdefault(w, len(vocab))
-    return Items([r[0] for r in rows], [r[2] for r in rows], [answer_of(r[1]) for r in rows], vocab)
+    pieces = [(i, at) for i, r in enumerate(rows) for at in range(0, max(len(r[2]) - STRIDE, 1), STRIDE)]
+    return Items([r[0] for r in rows], [r[2] for r in rows], [answer_of(r[1]) for r in rows], vocab, pieces=pieces)
 
 
 def fit(texts: DataFrame, items: Items, common: float = COMMON, rank: int = RANK) -> Items:
@@ -173,10 +201,14 @@ def fit(texts: DataFrame, items: Items, common: float = COMMON, rank: int = RANK
     sums = sum_vectors(texts.mapInArrow(count, SCHEMA))
     df, docs = (sums[:-1], sums[-1]) if len(sums) else (np.zeros(n), 0.0)
     items.idf = np.log((docs + 1) / (df + 0.5)).clip(0.01)
-    items.used = df <= max(5.0, common * docs)
-    for ws in items.words:
-        ids = np.unique([items.vocab[w] for w in ws])
-        if items.used[ids].sum() < LEAST_TERMS:
+    rare = df <= max(5.0, common * docs)
+    items.used = rare.copy()
+    items.own = []
+    for j in range(len(items.pieces)):
+        ids = np.unique(items.piece(j))
+        few = rare[ids].sum() < LEAST_TERMS
+        items.own.append(ids if few else ids[rare[ids]])
+        if few:
             items.used[ids[np.argsort(df[ids], kind="stable")[:LEAST_TERMS]]] = True
     rank = min(rank, n)
     sketch = np.random.default_rng(3).normal(size=(n, rank)).astype(np.float32)
@@ -227,61 +259,109 @@ class Matcher:
     def __init__(self, items: Items, cosine: float, residual: float, lcs: float, answer: float):
         self.items, self.cosine, self.residual, self.lcs, self.answer = items, cosine, residual, lcs, answer
         n = len(items.idf)
-        b = np.zeros((len(items.ids), n), np.float32)
-        for i, ws in enumerate(items.words):
-            ids, tf = np.unique([items.vocab[w] for w in ws], return_counts=True)
+        b = np.zeros((len(items.pieces), n), np.float32)
+        held = []
+        for j, own in enumerate(items.own):
+            ids, tf = np.unique(items.piece(j), return_counts=True)
+            w = (1 + np.log(tf)) * items.idf[ids]
             ok = items.used[ids]
-            b[i, ids[ok]] = (1 + np.log(tf[ok])) * items.idf[ids[ok]]
+            b[j, ids[ok]] = w[ok]
+            w = w[np.isin(ids, own)] ** 2
+            held.append(w / w.sum())
+        #: Pieces and their shares of weight by term.
+        term = np.concatenate(items.own)
+        order = np.argsort(term, kind="stable")
+        self.at = np.searchsorted(term[order], np.arange(n + 1))
+        self.by_term = np.repeat(np.arange(len(held)), [len(w) for w in held])[order]
+        self.share = np.concatenate(held)[order]
+        self.terms = items.used | (np.diff(self.at) > 0)
         b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-9)
         self.latent = b @ items.basis
         self.norm = np.sqrt((1 - residual) * (self.latent**2).sum(1) + residual)
-        #: Terms times (items, then latent dimensions).
+        #: Terms times (pieces, then latent dimensions).
         self.both = np.ascontiguousarray(np.concatenate([b.T, items.basis], 1))
 
     def scores(self, row, term, val) -> np.ndarray:
-        """Cosines of passages with items, passages x items."""
-        k = len(self.items.ids)
+        """Cosines of passages with pieces, passages x pieces."""
+        k = len(self.items.pieces)
         y = _times(row, term, val, self.both)
         plain, z = y[:, :k], y[:, k:]
         dot = (1 - self.residual) * (z @ self.latent.T) + self.residual * plain
         norm = np.sqrt((1 - self.residual) * (z**2).sum(1) + self.residual)
         return dot / (norm[:, None] * self.norm)
 
+    def held(self, row: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """Passages times pieces + piece, where the passage holds enough of it."""
+        k = len(self.items.pieces)
+        out = []
+        step = max(1, 1_000_000 // k)
+        cuts = np.searchsorted(row, np.arange(0, row[-1] + step + 1, step)) if len(row) else []
+        for c, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            t = term[a:b]
+            n = self.at[t + 1] - self.at[t]
+            ends = np.cumsum(n)
+            if not len(ends) or not ends[-1]:
+                continue
+            at = np.arange(ends[-1]) + np.repeat(self.at[t] - ends + n, n)
+            cell = (np.repeat(row[a:b], n) - c * step) * k + self.by_term[at]
+            share = np.bincount(cell, self.share[at])
+            out.append(np.flatnonzero(share >= HELD) + c * step * k)
+        return np.concatenate([np.zeros(0, np.int64), *out])
+
     def match(self, ids: list[list[int]], words: list[list[str]]) -> list[list[dict]]:
         """The leaks of each text, by item."""
         best: list[dict[int, tuple]] = [{} for _ in ids]
-        row, term, val, doc, passage = _passages(ids, self.items)
-        if len(doc):
-            s = self.scores(row, term, val)
-            for r, i in zip(*(x.tolist() for x in np.nonzero(s >= self.cosine))):
-                d, at = int(doc[r]), int(passage[r]) * STRIDE
-                item = self.items.words[i]
-                lo = max(0, at - len(item))
-                region = words[d][lo : at + PASSAGE + len(item)]
-                share = common_subsequence(item, region) / len(item)
-                if share < self.lcs:
+        k = len(self.items.pieces)
+        row, term, tf, starts = _entries(ids, len(self.items.idf), self.terms)
+        ok = self.items.used[term]
+        *entries, passage = _unit(row[ok], term[ok], tf[ok], self.items, 1)
+        s = self.scores(*entries) if len(passage) else np.zeros((0, k), np.float32)
+        r, j = np.nonzero(s >= self.cosine)
+        key = np.union1d(passage[r] * k + j, self.held(row, term))
+        r = np.searchsorted(passage, key // k)
+        known = r < len(passage)
+        known[known] = passage[r[known]] == (key // k)[known]
+        cosine = np.zeros(len(key))
+        cosine[known] = s[r[known], (key % k)[known]]
+        doc, number = _place(key // k, starts)
+        done: set[tuple[int, int, int]] = set()
+        # The best passage first, so that of a long item's pieces, which all tell
+        # of one place, one check is made.
+        for x in np.argsort(-cosine, kind="stable").tolist():
+            d, at = int(doc[x]), int(number[x]) * STRIDE
+            i, off = self.items.pieces[int(key[x] % k)]
+            item = self.items.words[i]
+            if len(item) > PASSAGE:
+                place = (d, i, (at - off) // STRIDE)
+                if place in done:
                     continue
-                ans = self.items.answers[i]
-                told = common_subsequence(ans, region) / len(ans)
-                if told >= self.answer:
-                    found = (share, told, float(s[r, i]), -max(0, at))
-                    if found > best[d].get(i, (0,)):
-                        best[d][i] = found
+                done.add(place)
+            lo = max(0, at - len(item))
+            region = words[d][lo : at + PASSAGE + len(item)]
+            share = common_subsequence(item, region) / len(item)
+            if share < self.lcs:
+                continue
+            ans = self.items.answers[i]
+            told = common_subsequence(ans, region) / len(ans)
+            if told >= self.answer:
+                found = (share, told, float(cosine[x]), -max(0, at))
+                if found > best[d].get(i, (0,)):
+                    best[d][i] = found
         return [[{"item_id": self.items.ids[i], "cosine": f[2], "lcs": f[0], "answer": f[1], "first_word": -f[3]} for i, f in sorted(b.items())] for b in best]
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", name: str = "leaks", cosine: float = COSINE, residual: float = RESIDUAL, lcs: float = LCS, answer: float = ANSWER) -> DataFrame:
     """``docs`` with a column ``name``: the items that each text leaks."""
     rows = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).orderBy("i", "t")
-    total = rows.count()
     keep = list(docs.columns)
     temp = [f"__c{i}" for i in range(len(keep))]
     out = docs.select(*(F.col(f"`{c}`").alias(t) for c, t in zip(keep, temp)), F.array().cast(HITS).alias("__leaks"))
     at = temp[keep.index(text)]
-    numbered = rows.withColumn("__n", F.row_number().over(_by_item())) if total > ITEMS else None
-    for start in range(0, total, ITEMS):
-        part = rows if numbered is None else numbered.where((F.col("__n") > start) & (F.col("__n") <= start + ITEMS))
-        items = load_items([(r.i, r.t) for r in part.select("i", "t").collect()])
+    # Blocks of about ITEMS pieces; an item is in the block where it starts.
+    pieces = F.greatest(F.ceil(F.regexp_count(F.coalesce("t", F.lit("")), F.lit(r"(?U)\w+")) / STRIDE), F.lit(1))
+    numbered = materialise(rows.withColumn("__p", pieces).select("i", "t", F.floor((F.sum("__p").over(_by_item()) - F.col("__p")) / ITEMS).alias("__n")), "lsa-items")
+    for n in [r["__n"] for r in numbered.select("__n").distinct().orderBy("__n").collect()]:
+        items = load_items([(r.i, r.t) for r in numbered.where(F.col("__n") == n).orderBy("i", "t").collect()])
         if items.ids:
             out = _match(out, at, fit(docs.select(text), items), cosine, residual, lcs, answer)
     return out.select(*(F.col(t).alias(c) for c, t in zip(keep, temp)), F.col("__leaks").alias(name))
@@ -290,7 +370,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
 def _by_item():
     from pyspark.sql import Window
 
-    return Window.orderBy("i", "t")
+    return Window.orderBy("i", "t").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _match(df: DataFrame, text: str, items: Items, *limits: float) -> DataFrame:

@@ -85,3 +85,22 @@ def test_sketch_finds_the_leading_space(spark):
     a[row, term] = val
     v = np.linalg.svd(a, full_matrices=False)[2][:4].T
     assert np.linalg.norm(it.basis[:, :4].T @ v, 2) > 0.999 and np.allclose(it.basis.T @ it.basis, np.eye(it.basis.shape[1]), atol=1e-4)
+
+
+def test_verbatim_leaks_reach_the_word_check(spark):
+    rng = random.Random(7)
+    hot = " ".join(rng.choice(COMMON) for _ in range(20)) + "."
+    long = " ".join(f"l{rng.randrange(900)}" for _ in range(700)) + "."
+    short = "s1 c3 s2 s3 c4."
+    single = "alone."
+    items = [(0, hot), (1, long), (2, short), (3, single)] + [(10 + i, " ".join(rng.choice(RARE) for _ in range(40)) + ".") for i in range(150)]
+    rows = []
+    for d in range(120):
+        words = prose(rng.choice([100, 300])).split()
+        at = rng.randint(0, len(words))
+        leaked = [[0], [0, 1], [2], [3], [], []][d % 6]
+        rows.append((d, " ".join(words[:at] + " ".join(items[i][1] for i in leaked).split() + words[at:]), leaked))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(d, i) for d, _, leaked in rows for i in leaked} <= got
+    assert not {g for g in got if g[1] in (1, 2, 3)} - {(d, i) for d, _, leaked in rows for i in leaked}
