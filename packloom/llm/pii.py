@@ -1,17 +1,18 @@
 """Personal data: detection and information-theoretic sanitisation.
 
-Only DataFrame functions are used. Four base kinds are found by pattern. Then
-terms near a found value are tested for what they reveal: for an entity e (a
-kind and its value) and a term t, with document frequencies from the whole
-corpus, the disclosure of e by t is
+Only DataFrame functions are used. Four base kinds are found by pattern. Then the
+terms of the texts that hold one are tested for what they reveal. Entities are the
+values found (a kind and its text) and what recurs of them: the kind itself, the
+domain of an email, the first three parts of an ip, the issuer digits of a card, the
+leading digits of a phone. For an entity e and a term t, with document frequencies
+from the whole corpus and over whole texts, the disclosure of e by t is
 
     PMI(t, e) / IC(e) = ln(N * df(t, e) / (df(t) * df(e))) / ln(N / df(e)),
 
 which is 1 where t occurs with e alone. Terms that occur with e in at least
-``min_support`` documents within ``window`` characters and whose disclosure
-reaches ``generalise`` become spans of kind ``term``; from ``remove`` on they are
-removed rather than generalised. Terms are only touched in texts that hold the
-entity, near it, so texts without personal data stay as they are.
+``min_support`` documents and whose disclosure reaches ``generalise`` become spans of
+kind ``term`` wherever they stand in a text that holds e; from ``remove`` on they are
+removed rather than generalised. Texts without personal data stay as they are.
 
 Defined results: a null text is the empty text; equal texts get equal spans, and
 repeated rows count as documents of their own; extra columns are kept by
@@ -21,12 +22,11 @@ An empty table gives an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packloom.runtime import materialise
 
-WINDOW = 64
 MIN_SUPPORT = 3
 GENERALISE = 0.8
 REMOVE = 0.95
@@ -45,6 +45,10 @@ PATTERNS = {
 }
 _IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
 _WORD = r"\p{L}{3,}"
+#: Between a run of letters and a run of others.
+_EDGE = r"(?<=\p{L})(?=\P{L})|(?<=\P{L})(?=\p{L})"
+#: Leading digits of a card and of a phone number that many values share.
+CARD_PREFIX, PHONE_PREFIX = 6, 4
 
 
 def _let(value: Column, body) -> Column:
@@ -102,41 +106,67 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(F.contains(text, F.lit("+")), ok).otherwise(none)
 
 
-def _near(text: Column, span: Column, window: int) -> Column:
-    """Whole words within ``window`` characters of a span, with positions."""
-    size = F.length(text)
-    lo, hi = F.greatest(span.s - window, F.lit(0)), F.least(span.e + window, size)
-    left = _spans(F.substring(text, lo + 1, span.s - lo), _WORD)
-    right = _spans(F.substring(text, span.e + 1, hi - span.e), _WORD)
-    moved = lambda xs, by: F.transform(xs, lambda w: F.struct((w.s + by).alias("s"), (w.e + by).alias("e"), F.lower(w.v).alias("v")))
-    whole = lambda xs: F.filter(xs, lambda w: ((w.s > lo) | (lo == 0)) & ((w.e < hi) | (hi == size)))
-    return whole(F.concat(moved(left, lo), moved(right, span.e)))
+def _entities(b: Column) -> Column:
+    """The entities of a base span: its kind, its value, and the part that recurs."""
+    part = (
+        F.when(b.k == "email", F.substring_index(b.v, "@", -1))
+        .when(b.k == "ip", F.substring_index(b.v, ".", 3))
+        .otherwise(F.left(_digits(b.v), F.when(b.k == "card", F.lit(CARD_PREFIX)).otherwise(F.lit(PHONE_PREFIX))))
+    )
+    return F.array(b.k, F.concat_ws(":", b.k, b.v), F.concat_ws("~", b.k, part))
 
 
-def _scan(df: DataFrame, text: str, window: int) -> DataFrame:
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with blanks for spans, which are sorted by start."""
+    state = "struct<at:int,parts:array<string>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")).cast(state)
+
+    def blank(a: Column, x: Column) -> Column:
+        lo, hi = F.greatest(a.at, x.s), F.greatest(a.at, x.e)
+        new = F.array(F.substring(text, a.at + 1, lo - a.at), F.repeat(F.lit(" "), hi - lo))
+        return F.struct(hi.alias("at"), F.concat(a.parts, new).alias("parts")).cast(state)
+
+    return F.aggregate(spans, start, blank, lambda a: F.concat(F.array_join(a.parts, ""), F.substring(text, a.at + 1, F.length(text))))
+
+
+def _scan(df: DataFrame, text: str) -> DataFrame:
     """One pass over the texts: base spans of each kind and, of texts that have
-    any, the words near them with their entities."""
+    any, their entities and the text without the spans."""
     t = F.col("__text")
     out = df.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
     for k in KINDS:
         out = out.withColumn(k, base_spans(t, k))
-    every = F.concat(*(F.transform(F.col(k), lambda x, k=k: F.struct(F.lit(k).alias("k"), x.s.alias("s"), x.e.alias("e"), F.lower(x.v).alias("v"))) for k in KINDS))
-    out = out.withColumn("__base", every)
-    clear = lambda w: ~F.exists(F.col("__base"), lambda b: (w.s < b.e) & (b.s < w.e))
-    words = F.flatten(F.transform(F.col("__base"), lambda b: F.transform(F.filter(_near(t, b, window), clear), lambda w: F.struct(F.concat_ws(":", b.k, b.v).alias("entity"), w.v.alias("term"), w.s.alias("s"), w.e.alias("e")))))
-    return out.withColumn("__near", F.when(F.size("__base") > 0, words)).withColumn("__id", F.when(F.size("__base") > 0, F.md5("__text")))
-
-
-def disclosing(docs: DataFrame, scanned: DataFrame, text: str, min_support: int, generalise: float, remove: float) -> DataFrame:
+    # A second parameter of the inner function would be the index.
+    named = lambda k: F.transform(F.col(k), lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), F.lit(k).alias("k"), F.lower(x.v).alias("v")))
+    every = F.concat(*map(named, KINDS))
+    out = out.withColumn("__base", F.sort_array(every))
+    some = F.size("__base") > 0
+    out = out.withColumn("__entities", F.when(some, F.array_distinct(F.flatten(F.transform("__base", _entities)))))
+    return out.withColumn("__mask", F.when(some, _masked(t, F.col("__base")))).withColumn("__id", F.when(some, F.md5("__text"))).drop("__base")
+
+
+def _holders(scanned: DataFrame, min_support: int) -> tuple[DataFrame, DataFrame]:
+    """Entities that recur, DataFrame[entity, df_e], and the different texts that
+    hold one, DataFrame[__id, n, entity, term], a row for each of their terms; n
+    documents have the text. Entities of fewer documents support no term."""
+    hold = scanned.where("__id is not null")
+    held = hold.select("__id", F.explode("__entities").alias("entity")).groupBy("__id", "entity").agg(F.count("*").alias("n"))
+    held = materialise(held, "pii-entities")
+    entity = held.groupBy("entity").agg(F.sum("n").alias("df_e")).where(F.col("df_e") >= min_support)
+    terms = hold.groupBy("__id").agg(F.first("__mask").alias("__mask"))
+    terms = terms.select("__id", F.array_distinct(F.transform(F.regexp_extract_all("__mask", F.lit(_WORD), F.lit(0)), F.lower)).alias("terms"))
+    rows = held.join(entity.select("entity"), "entity").join(terms, "__id")
+    return entity, rows.select("__id", "n", "entity", F.explode("terms").alias("term"))
+
+
+def disclosing(docs: DataFrame, scanned: DataFrame, entity: DataFrame, rows: DataFrame, text: str, min_support: int, generalise: float, remove: float) -> DataFrame:
     """DataFrame[entity, term, disclosure, remove] of terms that reveal entities.
 
     Counts of terms and entities are summed per task before they are shuffled.
     The candidates are written first, so the optimizer sees their true size when
     it chooses the join with the counts of all words.
     """
-    hold = scanned.where(F.size("__base") > 0)
-    entity = hold.select(F.explode(F.array_distinct(F.transform("__base", lambda b: F.concat_ws(":", b.k, b.v)))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_e"))
-    pairs = hold.select(F.explode(F.array_distinct(F.transform("__near", lambda w: F.struct(w.entity.alias("entity"), w.term.alias("term"))))).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("df_te"))
+    pairs = rows.groupBy("entity", "term").agg(F.sum("n").alias("df_te"))
     pairs = pairs.where(F.col("df_te") >= min_support).join(entity, "entity")
     pairs = materialise(pairs, "pii-pairs")
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(_WORD), F.lit(0)))).alias("term"))
@@ -148,17 +178,26 @@ def disclosing(docs: DataFrame, scanned: DataFrame, text: str, min_support: int,
     return out.where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure", (F.col("disclosure") >= remove).alias("remove"))
 
 
-def _found(docs: DataFrame, text: str, keep: list[str], window: int, min_support: int, generalise: float, remove: float) -> DataFrame:
+def _placed(scanned: DataFrame, terms: DataFrame) -> DataFrame:
+    """DataFrame[__id, s, e, remove]: where the terms (__id, term, remove) stand."""
+    texts = scanned.where("__id is not null").groupBy("__id").agg(F.first("__mask").alias("__mask"))
+    texts = texts.join(terms.select("__id").distinct(), "__id", "left_semi")
+    runs = texts.select("__id", F.posexplode(F.split("__mask", _EDGE, -1)).alias("pos", "run")).withColumn("e", F.sum(F.length("run")).over(Window.partitionBy("__id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    runs = runs.where(F.col("run").rlike(_WORD)).select("__id", F.lower("run").alias("term"), (F.col("e") - F.length("run")).alias("s"), "e")
+    return runs.join(terms, ["__id", "term"]).select("__id", "s", "e", "remove")
+
+
+def _found(docs: DataFrame, text: str, keep: list[str], min_support: int, generalise: float, remove: float) -> DataFrame:
     """``keep`` columns, spans by kind, and ``__terms`` array<struct<s, e, remove>>."""
     names = {c: f"__c{i}" for i, c in enumerate(keep)}
     plain = docs.select(*(F.col(f"`{c}`").alias(a) for c, a in names.items()), *([] if text in names else [F.col(f"`{text}`").alias("__t")]))
     text = names.get(text, "__t")
-    whole = _scan(plain, text, window).drop("__text", *([] if text in names.values() else [text]))
+    whole = _scan(plain, text).drop("__text", *([] if text in names.values() else [text]))
     scanned = materialise(whole, "pii-scan")
-    reveal = disclosing(plain, scanned, text, min_support, generalise, remove)
-    near = scanned.where(F.size("__near") > 0).select("__id", "__near").groupBy("__id").agg(F.first("__near").alias("__near"))
-    near = near.select("__id", F.explode("__near").alias("w")).select("__id", "w.*")
-    terms = near.join(reveal, ["entity", "term"]).groupBy("__id", "s", "e").agg(F.max("remove").alias("remove"))
+    entity, rows = _holders(scanned, min_support)
+    reveal = materialise(disclosing(plain, scanned, entity, rows, text, min_support, generalise, remove), "pii-terms")
+    terms = rows.join(reveal, ["entity", "term"]).groupBy("__id", "term").agg(F.max("remove").alias("remove"))
+    terms = _placed(scanned, materialise(terms, "pii-placed"))
     terms = terms.groupBy("__id").agg(F.sort_array(F.collect_list(F.struct("s", "e", "remove"))).alias("__terms"))
     # Rows without personal data have no id and stay out of the join.
     none = F.array().cast("array<struct<s:int,e:int,remove:boolean>>")
@@ -167,9 +206,9 @@ def _found(docs: DataFrame, text: str, keep: list[str], window: int, min_support
     return out.select(*(F.col(a).alias(c) for c, a in names.items()), *KINDS, "__terms")
 
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text", min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """DataFrame[key, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans]."""
-    found = _found(docs, text, [key], window, min_support, generalise, remove)
+    found = _found(docs, text, [key], min_support, generalise, remove)
     line = lambda k, xs: F.transform(xs, lambda x: F.concat_ws(":", F.lit(k), x.s, x.e))
     base = F.concat(*(line(k, F.col(k)) for k in KINDS))
     rows = found.withColumn("__b", base).withColumn("__all", F.concat("__b", line("term", F.col("__terms"))))
@@ -177,11 +216,11 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     return rows.select(key, *counts, F.size("__terms").cast("long").alias("n_term"), F.sha2(F.concat_ws(",", "__b"), 256).alias("base_sha256"), F.concat_ws(",", "__all").alias("spans"))
 
 
-def sanitise(docs: DataFrame, text: str = "text", window: int = WINDOW, min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def sanitise(docs: DataFrame, text: str = "text", min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """The rows with base spans replaced by ``[KIND]``, disclosing terms by
     ``[TERM]`` or by nothing. Overlapping spans are replaced as one, under the
     mark of the first. A null text stays null."""
-    found = _found(docs, text, list(docs.columns), window, min_support, generalise, remove)
+    found = _found(docs, text, list(docs.columns), min_support, generalise, remove)
     t = F.col(f"`{text}`")
     mark = lambda xs, m: F.transform(xs, lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), (F.lit(m) if isinstance(m, str) else m(x)).alias("m")))
     marks = [mark(F.col(k), f"[{k.upper()}]") for k in KINDS] + [mark(F.col("__terms"), lambda x: F.when(x.remove, F.lit("")).otherwise(F.lit("[TERM]")))]

@@ -89,3 +89,18 @@ def test_terms(spark):
         assert [tuple(map(int, s.split(":")[1:])) for s in got[i].spans.split(",") if s.startswith("term")] == want[i]
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert clean[0] == "write to [EMAIL] at  about rates today" and clean[6] == CORPUS[6] and len(clean) == len(CORPUS)
+
+
+def test_terms_of_whole_texts_and_shared_entities(spark):
+    far = "Kestrel opens. " + "a day of rates and words, " * 8 + "so write to {}@corp.example 😀 today; Kestrel"
+    texts = [far.format(n) for n in ("ann", "bob", "cyd")] + ["Kestrel: call {}".format(p) for p in ("nobody",)]
+    texts += ["Osprey desk, +1 (017) 555-77%d3" % i for i in range(3)] + ["a day of rates and words, so write today call %d desk" % i for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [texts[r.doc_id][int(a) : int(b)] for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "term"] for r in pii.find(df).collect()}
+    # No value recurs; the domain and the number prefix do, and Kestrel stands more
+    # than 64 characters from the address.
+    assert all("Kestrel" == got[i][0] == got[i][-1] and got[i].count("Kestrel") == 2 for i in range(3))
+    assert all("Osprey" in got[i] for i in range(4, 7)) and not any(got[i] for i in [3, *range(7, len(texts))])
+    assert not any("day" in x or "write" in x for x in got.values())
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert all("Osprey" not in clean[i] and "Kestrel" not in clean[i - 4] for i in range(4, 7)) and clean[3] == texts[3]
