@@ -188,3 +188,12 @@ def test_convert(spark):
     assert got["a.html"].changed and [c["count"] for c in got["a.html"].changes] == [1, 1, 1] and "<h2>U</h2>" in got["a.html"].html
     assert [x.reason for x in got["a.html"].manual] == ["t"] and [x.reason for x in got["a.html"].accessibility] == ["Non-descriptive link text"]
     assert not got["b.html"].changed
+
+
+def test_snapshots_hold_tokens_without_numbers(spark):
+    from packloom.operators import corpus
+
+    courses = spark.createDataFrame([("BIO-Lab",), ("ab",), ("MATH 2001",), ("Art History",), ("zzz",), ("--",)], "course string")
+    snaps = spark.createDataFrame([("s1", "Fall BIO Lab"), ("s2", "Grab Bag"), ("s3", "MATH2001x of spring"), ("s4", "art history"), ("s5", "Art History II")], "snapshot string, name string")
+    got = {r.course: (r.snapshot, r.how) for r in corpus.match_snapshots(courses, snaps).collect()}
+    assert got == {"BIO-Lab": ("s1", "contains"), "ab": ("s1", "contains"), "MATH 2001": ("s3", "contains"), "Art History": ("s4", "token"), "zzz": (None, None), "--": (None, None)}
