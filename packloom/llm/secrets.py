@@ -47,10 +47,11 @@ SENSITIVE = {
     "credentials": 2.5, "auth": 1.5, "key": 1.0, "pass": 1.5, "signature": 1.0, "salt": 1.0, "pin": 1.0,
 }
 _HINT = re.compile("passw|pwd|passphrase|secret|token|key|credential|auth|pass|signature|salt|pin", re.I)
+#: Repeats are possessive, so names and literals of any length are read once. Words
+#: such as ``export`` before a name need no pattern: a match starts at any word.
 _PAIR = re.compile(
-    r"""(?<![\w.$-])(?:(?:export|const|let|var|final|static|String|def|set)\x20+)*
-    (?P<q>["']?)(?P<name>[A-Za-z_$][\w.$-]{0,79})(?P=q)[\x20\t]*(?::=|=>|=(?!=)|:(?!:))[\x20\t]*
-    (?:(?P<quote>["'`])(?P<text>(?:\\.|(?!(?P=quote))[^\\\r\n]){1,4096})(?P=quote)|(?P<bare>[A-Za-z0-9+/_.$~-][A-Za-z0-9+/_.$=~-]{0,4095}))""",
+    r"""(?<![\w.$-])(?P<q>["']?)(?P<name>[A-Za-z_$][\w.$-]*+)(?P=q)[\x20\t]*+(?::=|=>|=(?!=)|:(?!:))[\x20\t]*+
+    (?:(?P<quote>["'`])(?P<text>(?:\\.|(?!(?P=quote))[^\\\r\n])++)(?P=quote)|(?P<bare>[A-Za-z0-9+/_.$~-][A-Za-z0-9+/_.$=~-]*+))""",
     re.X,
 )
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")

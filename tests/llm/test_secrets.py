@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from packloom.llm import secrets
 
@@ -41,3 +42,16 @@ def test_rows(spark):
         assert got[i].base_sha256 == hashlib.sha256(secrets.render(brute(t or "")).encode()).hexdigest()
     assert (got[2].n_assign, got[2].n_access, got[2].n_hex, got[2].n_literal) == (2, 1, 1, 2)
     assert secrets.scan(df.limit(0)).count() == 0
+
+
+def test_long_literals_and_names():
+    key, name = "aB3+dE5/fG7h" * 500, "a_" * 60 + "private_key"
+    for text, value in ((f'private_key = "{key}"\n', key), (f"credential: {key}==\n", key + "=="), (f"export {name}='Zx9!kQ2m#Lw7'\n", "Zx9!kQ2m#Lw7"), (f'SEED = "{key}"\ndb_pwd = SEED\n', key)):
+        assert [text[a:b] for k, a, b in secrets.find_spans(text)[1] if k == "literal"] == [value]
+
+
+def test_long_runs_are_read_in_linear_time():
+    start = time.process_time()
+    for part in ("a", "var ", 'x="', "k='\\'", "key:", "a.b-", '"k" : ', "\t ", 'k="\\\\'):
+        secrets.find_spans("key = x\n" + part * (400_000 // len(part)))
+    assert time.process_time() - start < 20
