@@ -21,6 +21,7 @@ are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,8 @@ from packloom.runtime import prepare
 
 SAMPLE = 300
 SAMPLE_CHARS = 1500
+#: Words of a window of a sampled text.
+SPAN = 16
 BUCKETS = 1 << 16
 WIDTH = 24
 UND = "und"
@@ -43,14 +46,18 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def word_features(words: list[str]) -> np.ndarray:
-    """Hashed feature indices of each word, int32[n, k]; BUCKETS is no feature.
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed feature indices, int32[m, k], BUCKETS is no feature, and the number
+    of the word that each row belongs to.
 
-    A word longer than WIDTH is read by its first and last letters, its whole
-    form still counts in the lexicon feature.
+    A word longer than WIDTH has several rows, which overlap by two letters: the
+    first has the affixes and the lexicon feature, all have n-grams, each once.
     """
-    n = len(words)
-    cut = [w if len(w) <= WIDTH else w[: WIDTH // 2] + w[-(WIDTH // 2) :] for w in words]
+    many = [[w] if len(w) <= WIDTH else [w[i : i + WIDTH] for i in range(0, len(w) - 2, WIDTH - 2)] for w in words]
+    owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, many), np.int64, len(words)))
+    cut = [c for cs in many for c in cs]
+    n = len(cut)
+    head = np.concatenate([[True], owner[1:] != owner[:-1]]) if n else np.zeros(0, bool)
     size = np.fromiter(map(len, cut), np.int64, n)
     at = np.concatenate([[0], np.cumsum(size)])
     chars = np.frombuffer("".join(cut).encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -67,22 +74,24 @@ def word_features(words: list[str]) -> np.ndarray:
             out.append(np.where(ok, h % np.uint64(BUCKETS), np.uint64(BUCKETS)))
 
         last = np.take_along_axis(x, np.stack([np.maximum(size - 1, 0), np.maximum(size - 2, 0), np.maximum(size - 3, 0)], 1), 1)
+        for r in np.flatnonzero(head[:-1] & ~head[1:]).tolist():
+            last[r] = [ord(c) for c in words[owner[r]][:-4:-1]]
         pre, suf = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         for k in range(3):
             pre, suf = pre * m3 + x[:, k], suf * m3 + last[:, k]
-            put(pre, 1 + k, size > k)
-            put(suf, 4 + k, size > k)
-        whole = np.fromiter((hash_word(w) for w in words), np.uint64, n)
-        put(whole, 7, np.ones(n, bool))
+            put(pre, 1 + k, head & (size > k))
+            put(suf, 4 + k, head & (size > k))
+        whole = np.fromiter((hash_word(w) for w in words), np.uint64, len(words))[owner]
+        put(whole, 7, head)
         bi = x[:, :-1] * m3 + x[:, 1:]
         for j in range(WIDTH - 1):
             ok = size > j + 1
             if not ok.any():
                 break
-            put(bi[:, j], 8, ok)
+            put(bi[:, j], 8, ok if j else ok & head)
             if j + 2 < WIDTH:
                 put(bi[:, j] * m3 + x[:, j + 2], 9, size > j + 2)
-    return np.stack(out, 1).astype(np.int32)
+    return np.stack(out, 1).astype(np.int32), owner
 
 
 def hash_word(w: str) -> int:
@@ -103,10 +112,13 @@ class Model:
         self.bias = np.zeros(n, np.float32)
         self.trans = np.zeros((n, n), np.float32)
 
-    def emissions(self, feats: np.ndarray) -> np.ndarray:
+    def emissions(self, feats: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Scores of words, the sums of their rows; ``owner`` rises and has no gap."""
         out = np.empty((len(feats), len(self.labels)), np.float32)
         for i in range(0, len(feats), 8192):
             out[i : i + 8192] = self.emit[feats[i : i + 8192]].sum(1)
+        if len(owner) and owner[-1] + 1 < len(owner):
+            out = np.add.reduceat(out, np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])))
         return out + self.bias
 
 
@@ -182,7 +194,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.2, seed:
     for words, _ in seqs:
         for w in words:
             vocab.setdefault(w, len(vocab))
-    feats = word_features(list(vocab)) if vocab else np.zeros((0, 1), np.int32)
+    feats, owner = word_features(list(vocab)) if vocab else (np.zeros((0, 1), np.int32), np.zeros(0, np.int64))
     n = len(labels)
     g_emit, g_bias, g_trans = np.full_like(model.emit, 1e-2), np.full(n, 1e-2), np.full((n, n), 1e-2)
     size = 64
@@ -198,7 +210,11 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.2, seed:
                 ids[i, : len(w)] = [vocab[x] for x in w]
                 tags[i, : len(y)] = y
             used, back = np.unique(ids, return_inverse=True)
-            e = model.emissions(feats[used])[back.reshape(ids.shape)]
+            seen = np.zeros(len(vocab), bool)
+            seen[used] = True
+            rows_of = np.flatnonzero(seen[owner])
+            own = np.searchsorted(used, owner[rows_of])
+            e = model.emissions(feats[rows_of], own)[back.reshape(ids.shape)]
             marg, pairs, _ = forward_backward(e.astype(np.float64), lengths, model.trans.astype(np.float64))
             grad = -marg
             i, j = np.nonzero(tags >= 0)
@@ -209,10 +225,10 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.2, seed:
             pi, pj = np.nonzero(tags[:, 1:] >= 0)
             np.add.at(count, (tags[pi, pj], tags[pi, pj + 1]), 1)
             scale = 1.0 / len(part)
-            f = feats[used]
+            f = feats[rows_of]
             touched, where = np.unique(f, return_inverse=True)
             ge = np.zeros((len(touched), n))
-            np.add.at(ge, where.reshape(f.shape).ravel(), np.repeat(by_word, f.shape[1], 0))
+            np.add.at(ge, where.reshape(f.shape).ravel(), np.repeat(by_word[own], f.shape[1], 0))
             ge *= scale
             ge[touched == BUCKETS] = 0
             g_emit[touched] += ge**2
@@ -252,7 +268,7 @@ class Tagger:
         if new:
             n = len(known)
             known.update(zip(new, range(n, n + len(new))))
-            self.rows = np.concatenate([self.rows, *(self.model.emissions(word_features(new[i : i + 20_000])) for i in range(0, len(new), 20_000))])
+            self.rows = np.concatenate([self.rows, *(self.model.emissions(*word_features(new[i : i + 20_000])) for i in range(0, len(new), 20_000))])
         look = known.__getitem__
         return [np.fromiter(map(look, d), np.int64, len(d)) for d in docs]
 
@@ -284,9 +300,26 @@ class Tagger:
         return out
 
 
+def sampled_words(text: str, row: int, most: int) -> str:
+    """The words of a text; of one with more than ``most`` characters, windows of
+    SPAN words from anywhere in it, by the hashes of row and place, in order."""
+    words = _words(text)
+    if len(text) <= most:
+        return " ".join(words)
+    parts = [" ".join(words[i : i + SPAN]) for i in range(0, len(words), SPAN)]
+    room, taken = most, []
+    for i in sorted(range(len(parts)), key=lambda i: zlib.crc32(b"%d:%d" % (row, i))):
+        if room <= 0:
+            break
+        taken.append(i)
+        room -= len(parts[i])
+    return " ".join(parts[i] for i in sorted(taken))
+
+
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", where: Column | None = None, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Learn from at most ``sample`` labelled rows of each language, those whose
-    keys have the smallest hashes, and at most ``sample_chars`` characters of each.
+    keys have the smallest hashes, and windows from the whole text of each, to about
+    ``sample_chars`` characters.
 
     The counts by language give a hash bound below which about twice the sample
     lies, so one further pass brings a bounded number of rows to the driver.
@@ -301,7 +334,14 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
     for lab, n in sorted(counts.items()):
         share = min(1.0, (2 * sample + 20) / n)
         bound = F.when(F.col("l") == lab, F.lit(min((1 << 63) - 1, low + int(share * span)))).otherwise(bound)
-    got = rows.where(F.col("h") <= bound).select("h", "l", F.substring("t", 1, sample_chars).alias("t")).orderBy("h", "l", "t").limit(4 * (sample + 10) * len(counts)).collect()
+
+    def windows(batches):
+        for b in batches:
+            t = [sampled_words(x, h, sample_chars) for h, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(t, pa.string())], names=["h", "l", "t"])
+
+    prepare(df.sparkSession)
+    got = rows.where(F.col("h") <= bound).mapInArrow(windows, "h long, l string, t string").orderBy("h", "l", "t").limit(4 * (sample + 10) * len(counts)).collect()
     taken: dict[str, int] = {}
     train_rows = []
     for r in got:

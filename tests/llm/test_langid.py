@@ -57,3 +57,27 @@ def test_words_change_language():
     model = langid.train([(" ".join(rng.choice(t.split(), 12)), lab) for t, lab in ROWS * 60])
     (_, _, tags), = langid.Tagger(model).tag(["the house with things die katze und diesen dingen"])
     assert [model.labels[t] for t in tags] == ["en"] * 4 + ["de"] * 5
+
+
+def test_learns_behind_a_common_opening(spark):
+    rng = np.random.default_rng(3)
+    opening = "copyright notice and licence terms of this work " * 60
+    data = [(i, opening + " ".join(rng.choice(ROWS[i % 2][0].split(), 600)), ROWS[i % 2][1]) for i in range(80)]
+    model = langid.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    got = langid.Tagger(model).tag([ROWS[0][0], ROWS[1][0]])
+    assert [g[0] for g in got] == ["en", "de"] and min(g[1] for g in got) > 0.8
+    assert langid.sampled_words("One two, three", 1, 100) == "one two three"
+
+
+def test_long_words_have_all_their_grams():
+    words = ["ab", "x" * 5 + "q" * 30 + "middle" + "z" * 40, "a" * 24, "b" * 25]
+    feats, owner = langid.word_features(words)
+    per = [feats[owner == i] for i in range(len(words))]
+    n = [(f < langid.BUCKETS).sum() for f in per]
+    assert n == [7 - 2 + 1] + [6 + 1 + len(w) - 1 + len(w) - 2 for w in words[1:]]
+    other, at = langid.word_features([words[1].replace("middle", "mittel")])
+    assert sorted(per[1].ravel()) != sorted(other[at == 0].ravel())
+    # Inner grams are hashed alike wherever they stand, the affixes of a long word from its ends.
+    short, _ = langid.word_features(["dle"])
+    assert set(short[0, 7:]) <= set(per[1].ravel())
+    assert feats[owner == 1][0, 1] == langid.word_features(["z"])[0][0, 1]
