@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from packloom.functions.arrow import unescape
 from packloom.functions.html import attribute, basename, compare_key, decode_basic, is_local, matches, plain_text, url_path
-from packloom.operators.resolve import best_targets, resolve_assets
+from packloom.operators.corpus import GRAM, _grams
+from packloom.operators.resolve import resolve_assets
 
 #: Addresses of the old system and of its shared template.
 LEGACY = r"(?i)^/?(?:d2l/|content/enforced/)"
@@ -31,20 +32,49 @@ def neutralised_links(pages: DataFrame, key: str, text: str = "html") -> DataFra
     return rows.select(key, "pos", unescape(F.trim(original)).alias("original"), plain_text(F.regexp_extract("x", r"(?is)^<a\b[^>]*>(.*)</a>$", 1)).alias("link_text"))
 
 
+def assignment_targets(links: DataFrame, targets: DataFrame) -> DataFrame:
+    """DataFrame[link_id, url]: the best target (key, url) of each link text: an
+    equal key, the text and " survey", the text and " quiz", a key that starts with
+    the text and " survey", that starts with the text, that holds it; ties go to
+    the larger url. Links are compared with the keys that hold the rarest gram of
+    their text, which a key that holds the text must have.
+    """
+    grams = F.array_distinct(F.flatten(F.array(*(_grams(F.col("key"), n) for n in range(1, GRAM + 1)))))
+    keys = targets.select("key", "url", F.explode(grams).alias("gram"))
+    held = keys.groupBy("gram").agg(F.count("*").alias("k"))
+    texts = links.select("text").where("text <> ''").distinct()
+    own = texts.select("text", F.explode(_grams(F.col("text"), F.least(F.length("text"), F.lit(GRAM)))).alias("gram"))
+    rarest = own.join(held, "gram", "left").groupBy("text").agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "gram")).alias("r")).select("text", F.col("r.gram").alias("gram"))
+    t, k = F.col("text"), F.col("key")
+    survey, quiz = F.concat(t, F.lit(" survey")), F.concat(t, F.lit(" quiz"))
+    score = F.when(k == t, 100).when(k == survey, 95).when(k == quiz, 94).when(F.startswith(k, survey), 93).when(F.startswith(k, t), 90).when(F.contains(k, t), 80)
+    best = rarest.join(keys, "gram").withColumn("score", score).where("score is not null").groupBy("text").agg(F.max(F.struct("score", "url")).alias("b"))
+    return links.join(best, "text").select("link_id", F.col("b.url").alias("url"))
+
+
+def page_targets(links: DataFrame, targets: DataFrame) -> DataFrame:
+    """DataFrame[link_id, url]: the best syllabus page (key, url) of the links whose
+    text is "syllabus"; those for online courses first, none for f2f."""
+    k = F.col("key")
+    f2f = F.contains(k, F.lit("f2f"))
+    longer = k.startswith("syllabus ") & ~f2f
+    score = F.when(longer & F.contains(k, F.lit("online")), 100).when(longer, 95).when(k == "syllabus", 90).when(k.startswith("syllabus") & ~f2f, 85)
+    best = targets.withColumn("score", score).where("score is not null").agg(F.max(F.struct("score", "url")).alias("b")).where("b is not null")
+    return links.where("text = 'syllabus'").crossJoin(best).select("link_id", F.col("b.url").alias("url"))
+
+
 def suggest_targets(links: DataFrame, pages: DataFrame, assignments: DataFrame, key: str) -> DataFrame:
     """``links`` (from :func:`neutralised_links`) with ``suggested``: quick links and
-    surveys go to the best assignment, content links about the syllabus to the best
+    surveys go to the best assignment, content links named "syllabus" to the best
     page. ``pages`` and ``assignments`` have (title, url)."""
     low = F.lower("original")
     to = F.when(low.rlike(r"[?&]type=survey(?:&|#|$)") | F.contains(url_path(low), F.lit("quicklink.d2l")), "assignment").when(F.contains(url_path(low), F.lit("/d2l/le/content/")), "page")
     rows = links.withColumn("link_id", F.struct(key, "pos")).withColumn("text", compare_key(F.col("link_text"))).withColumn("to", to)
     done = None
-    for kind, targets in (("assignment", assignments), ("page", pages)):
+    for kind, targets, match in (("assignment", assignments, assignment_targets), ("page", pages, page_targets)):
         part = rows.where(F.col("to") == kind)
         t = targets.select(compare_key(F.col("title")).alias("key"), "url").where("key <> '' and url <> ''")
-        t = t if kind == "assignment" else t.where("key like '%syllabus%'")
-        part = part if kind == "assignment" else part.where("text like '%syllabus%'")
-        got = best_targets(part.where("text <> ''").select("link_id", "text"), t).select("link_id", "url")
+        got = match(part.select("link_id", "text"), t)
         done = got if done is None else done.unionByName(got)
     return rows.join(done, "link_id", "left").select(*links.columns, F.coalesce("url", F.lit("")).alias("suggested"))
 

@@ -197,3 +197,16 @@ def test_snapshots_hold_tokens_without_numbers(spark):
     snaps = spark.createDataFrame([("s1", "Fall BIO Lab"), ("s2", "Grab Bag"), ("s3", "MATH2001x of spring"), ("s4", "art history"), ("s5", "Art History II")], "snapshot string, name string")
     got = {r.course: (r.snapshot, r.how) for r in corpus.match_snapshots(courses, snaps).collect()}
     assert got == {"BIO-Lab": ("s1", "contains"), "ab": ("s1", "contains"), "MATH 2001": ("s3", "contains"), "Art History": ("s4", "token"), "zzz": (None, None), "--": (None, None)}
+
+
+def test_suggested_targets_follow_both_ladders(spark):
+    from packloom.operators import links
+
+    quick, content = "/d2l/common/quickLink.d2l?ou=1&type=survey", "/d2l/le/content/1/viewContent/2"
+    rows = [(1, quick, "Week 1"), (2, quick, "course eval"), (3, quick, "Fin"), (4, quick, "Unit 3 quiz extra"), (5, content, "Syllabus"), (6, content, "Course syllabus"), (7, quick, "dterm"), (8, "https://x.y/z", "Week 1"), (9, quick, "!")]
+    df = spark.createDataFrame([(p, 0, o, t) for p, o, t in rows], "page long, pos int, original string, link_text string")
+    tests = [("Week 1 Quiz", "w/quiz"), ("Week 1 Survey", "w/survey"), ("Week 1 Survey of all", "w/z"), ("Course Eval Quiz", "c/quiz"), ("Course Eval forms", "c/z"), ("Finals", "f/1"), ("Midterm", "m/1"), ("Unit 3 quiz", "u/1")]
+    pages = [("Syllabus", "p/z"), ("Syllabus F2F", "p/zz"), ("Syllabus Online", "p/online"), ("Syllabus for Spring", "p/spring"), ("Online f2f", "p/zzz")]
+    targets = [spark.createDataFrame(x, "title string, url string") for x in (pages, tests)]
+    got = {r.page: r.suggested for r in links.suggest_targets(df, *targets, "page").collect()}
+    assert got == {1: "w/survey", 2: "c/quiz", 3: "f/1", 4: "", 5: "p/online", 6: "", 7: "m/1", 8: "", 9: ""}
