@@ -8,29 +8,31 @@ gives the label distribution of each word; a document's language is the one with
 the largest sum of word probabilities, weighted by word length, and its score is
 that sum's share.
 
-Training reads a bounded sample of labelled rows: the ``sample`` rows of each
-language with the smallest hash of their key. Sequences for training are spliced
+Training reads a bounded sample of labelled rows: the ``sample`` different rows of
+each language with the smallest hash of key and text. Sequences for training are spliced
 from pieces of rows of several languages, so that transitions are seen.
 
 Defined results: a text that is null or has no letter gets ``und`` and score 0;
 equal texts get equal predictions; rows without a label are never learned from;
-if there is no labelled row every text gets ``und`` and score 0; extra columns
-are ignored.
+rows with the same key, text and label are learned once, and keys may be null or
+all alike; if there is no labelled row every text gets ``und`` and score 0; extra
+columns of any name are kept or ignored as asked.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packloom.runtime import prepare
+from packloom.runtime import prepare, renamed
 
 SAMPLE = 300
-SAMPLE_CHARS = 1500
+SAMPLE_CHARS = 20_000
 #: Words of a window of a sampled text.
 SPAN = 16
 BUCKETS = 1 << 16
@@ -96,8 +98,6 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def hash_word(w: str) -> int:
     """The same in every process, unlike hash()."""
-    import zlib
-
     b = w.encode("utf-8")
     return zlib.crc32(b) | zlib.adler32(b) << 32
 
@@ -317,22 +317,23 @@ def sampled_words(text: str, row: int, most: int) -> str:
 
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", where: Column | None = None, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Learn from at most ``sample`` labelled rows of each language, those whose
-    keys have the smallest hashes, and windows from the whole text of each, to about
-    ``sample_chars`` characters.
+    """Learn from at most ``sample`` labelled rows of each language, those with the
+    smallest hashes of key and text, whole or, of a text of more than
+    ``sample_chars`` characters, windows from all of it to about that length.
 
-    The counts by language give a hash bound below which about twice the sample
-    lies, so one further pass brings a bounded number of rows to the driver.
+    The numbers of different rows by language give a hash bound below which about
+    twice the sample lies, so one further pass brings a bounded number of rows to
+    the driver, repeated ones once.
     """
     rows = df if where is None else df.where(where)
-    rows = rows.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(lang).alias("l"), F.col(text).alias("t"))
-    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    rows = rows.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.xxhash64(key, text).alias("h"), F.col(lang).cast("string").alias("l"), F.col(text).alias("t"))
+    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
         return Model([])
     low, span = -(1 << 63), 1 << 64
     bound = F.lit(None).cast("long")
     for lab, n in sorted(counts.items()):
-        share = min(1.0, (2 * sample + 20) / n)
+        share = min(1.0, (2 * sample + 50) / max(1, n))
         bound = F.when(F.col("l") == lab, F.lit(min((1 << 63) - 1, low + int(share * span)))).otherwise(bound)
 
     def windows(batches):
@@ -341,21 +342,21 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(t, pa.string())], names=["h", "l", "t"])
 
     prepare(df.sparkSession)
-    got = rows.where(F.col("h") <= bound).mapInArrow(windows, "h long, l string, t string").orderBy("h", "l", "t").limit(4 * (sample + 10) * len(counts)).collect()
-    taken: dict[str, int] = {}
-    train_rows = []
-    for r in got:
-        taken[r.l] = taken.get(r.l, 0) + 1
-        if taken[r.l] <= sample:
-            train_rows.append((r.t, r.l))
-    return train(train_rows)
-
-
-def predict(df: DataFrame, model: Model, keep: list[str], text: str = "text", kinds: dict[str, str] | None = None) -> DataFrame:
-    """``keep`` columns with ``lang_pred`` and ``score``."""
+    # Repeated rows are one before they are sent, however many there are.
+    got = rows.where(F.col("h") <= bound).mapInArrow(windows, "h long, l string, t string").groupBy("h", "l").agg(F.min("t").alias("t")).collect()
+    by: dict[str, list] = {}
+    for r in sorted(got, key=lambda r: (r.h, r.l)):
+        by.setdefault(r.l, []).append((r.t, r.l))
+    return train([x for lab in sorted(by) for x in by[lab][:sample]])
+
+
+def predict(df: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns with ``lang_pred`` and ``score`` after them."""
     sent = df.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep)
-    keep = [f.name for f in df.schema.fields if f.name in keep]
+    work, names, (t,) = renamed(df, text)
+    kept = [f"__c{names.index(c)}" for c in keep]
+    work = work.select(*kept, F.col(t).alias("__text"))
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in work.schema.fields[:-1])
     cache: dict[str, Tagger] = {}
 
     def run(batches):
@@ -366,10 +367,10 @@ def predict(df: DataFrame, model: Model, keep: list[str], text: str = "text", ki
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
                 got = tagger.tag(part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*kept, "lang_pred", "score"])
 
     prepare(df.sparkSession)
-    return df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return work.mapInArrow(run, f"{schema}lang_pred string, score double").toDF(*keep, "lang_pred", "score")
 
 
 def spread(key: str, mod: int) -> Column:

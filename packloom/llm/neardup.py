@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packloom.llm.graph import components
-from packloom.runtime import materialise, prepare
+from packloom.runtime import materialise, prepare, renamed
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -204,7 +204,7 @@ def set_id(sh: np.ndarray) -> int:
 
 
 def _members(docs: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """DataFrame[key, node, root, copies, pair, side]: each node once for every
+    """DataFrame[of, node, root, copies, pair, side]: each node once for every
     pair of blocks of its component that it takes part in.
 
     A component of more than BLOCK nodes is cut into classes of set size, a
@@ -230,7 +230,7 @@ def _members(docs: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     same = F.transform(seq("own"), lambda j: F.when(j == i, pair(k, i, k, i, both)).when(j > i, pair(k, i, k, j, F.lit(0))).otherwise(pair(k, j, k, i, F.lit(1))))
     above = F.transform(seq("up"), lambda j: pair(k, i, k + 1, j, F.lit(0)))
     below = F.transform(seq("down"), lambda j: pair(k - 1, j, k, i, F.lit(1)))
-    return m.select("key", "node", "root", "copies", F.explode(F.concat(same, above, below)).alias("p")).select("key", "node", "root", "copies", "p.*")
+    return m.select("of", "node", "root", "copies", F.explode(F.concat(same, above, below)).alias("p")).select("of", "node", "root", "copies", "p.*")
 
 
 def _compare(rows: DataFrame, width: int, threshold: float, tolerance: float) -> DataFrame:
@@ -293,7 +293,7 @@ def _compare(rows: DataFrame, width: int, threshold: float, tolerance: float) ->
                             yield done(out)
                             out = []
                     sh = shingles(text, hashes, width)
-                    if len(sh) and set_id(sh) == node:  # else another row with the same key
+                    if len(sh) and set_id(sh) == node:  # else a text with the same hash
                         members.append((node, copies, side, sh))
         out += group(members)
         yield done(out)
@@ -312,13 +312,15 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     """
     plain = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("tkey"), F.col(text).alias("text"))
     sets = materialise(_sets(plain, width), "near-sets")
-    nodes = materialise(sets.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.first("n").alias("n")), "near-nodes")
+    nodes = materialise(sets.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.min(F.struct("key", "tkey")).alias("of"), F.count("*").alias("copies"), F.first("n").alias("n")), "near-nodes")
     bands = sets.where("node is not null").select("node", F.explode("bands").alias("band"))
     ends = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("band", "low")
     edges = bands.join(ends, "band").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     roots = components(edges)
+    # A node reads its text from one row: by key and text hash, so neither keys that
+    # are null nor keys that repeat bring other rows.
     members = _members(plain, nodes, roots)
-    rows = members.join(plain.select("key", "text"), members["key"].eqNullSafe(plain["key"])).select(members["*"], "text")
+    rows = members.join(plain, members["of.key"].eqNullSafe(plain["key"]) & (members["of.tkey"] == plain["tkey"])).select(members["*"], "text").drop("of")
     found = materialise(_compare(rows, width, threshold, tolerance), "near-links")
     degree = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("degree"))
     root = components(found.where("kind = 1").select("a", "b"))
@@ -332,12 +334,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with one document of each class left: that with the
-    smallest key, of equal keys that with the smallest text hash. Documents
-    without words are classes of their own and stay."""
-    found = classes(docs, key, text)
-    first = found.where("not empty").groupBy("root").agg(F.min(F.struct(F.col(key).alias("k"), "tkey")).alias("r")).select("r.k", "r.tkey")
-    tkey = F.xxhash64(text)
-    words = docs.where(F.col(text).rlike(r"[^\x20\x09-\x0D]")).withColumn("__t", tkey)
-    kept = words.join(first, words[key].cast("long").eqNullSafe(first["k"]) & (words["__t"] == first["tkey"]), "left_semi")
-    kept = kept.dropDuplicates([key, "__t"]).drop("__t")
-    return kept.unionByName(docs.where(F.col(text).isNull() | ~F.col(text).rlike(r"[^\x20\x09-\x0D]")))
+    smallest key, of equal keys that with the smallest text hash, of equal texts
+    any one. Documents without words are classes of their own and stay."""
+    work, names, (k, t) = renamed(docs, key, text)
+    found = classes(work, k, t)
+    first = found.where("not empty").groupBy("root").agg(F.min(F.struct(F.col(k).alias("k"), "tkey")).alias("r")).select("r.k", "r.tkey")
+    some = F.coalesce(F.col(t).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    words = work.where(some).withColumn("__t", F.xxhash64(t))
+    kept = words.join(first, words[k].cast("long").eqNullSafe(first["k"]) & (words["__t"] == first["tkey"]), "left_semi")
+    kept = kept.dropDuplicates([k, "__t"]).drop("__t")
+    return kept.unionAll(work.where(~some)).toDF(*names)

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packloom.runtime import materialise
+from packloom.runtime import materialise, renamed
 
 MIN_SUPPORT = 3
 GENERALISE = 0.8
@@ -187,12 +187,11 @@ def _placed(scanned: DataFrame, terms: DataFrame) -> DataFrame:
     return runs.join(terms, ["__id", "term"]).select("__id", "s", "e", "remove")
 
 
-def _found(docs: DataFrame, text: str, keep: list[str], min_support: int, generalise: float, remove: float) -> DataFrame:
-    """``keep`` columns, spans by kind, and ``__terms`` array<struct<s, e, remove>>."""
-    names = {c: f"__c{i}" for i, c in enumerate(keep)}
-    plain = docs.select(*(F.col(f"`{c}`").alias(a) for c, a in names.items()), *([] if text in names else [F.col(f"`{text}`").alias("__t")]))
-    text = names.get(text, "__t")
-    whole = _scan(plain, text).drop("__text", *([] if text in names.values() else [text]))
+def _found(plain: DataFrame, text: str, keep: list[str], min_support: int, generalise: float, remove: float) -> DataFrame:
+    """``keep`` columns, spans by kind, and ``__terms`` array<struct<s, e, remove>>.
+    The names of columns are those that ``renamed`` gives."""
+    plain = plain.select(*dict.fromkeys([*keep, text]))
+    whole = _scan(plain, text).drop("__text", *([] if text in keep else [text]))
     scanned = materialise(whole, "pii-scan")
     entity, rows = _holders(scanned, min_support)
     reveal = materialise(disclosing(plain, scanned, entity, rows, text, min_support, generalise, remove), "pii-terms")
@@ -203,25 +202,27 @@ def _found(docs: DataFrame, text: str, keep: list[str], min_support: int, genera
     none = F.array().cast("array<struct<s:int,e:int,remove:boolean>>")
     out = scanned.where("__id is not null").join(terms, "__id", "left").withColumn("__terms", F.coalesce("__terms", none))
     out = out.unionByName(scanned.where("__id is null").withColumn("__terms", none))
-    return out.select(*(F.col(a).alias(c) for c, a in names.items()), *KINDS, "__terms")
+    return out.select(*keep, *KINDS, "__terms")
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """DataFrame[key, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans]."""
-    found = _found(docs, text, [key], min_support, generalise, remove)
+    work, _, (k, t) = renamed(docs, key, text)
+    found = _found(work, t, [k], min_support, generalise, remove)
     line = lambda k, xs: F.transform(xs, lambda x: F.concat_ws(":", F.lit(k), x.s, x.e))
     base = F.concat(*(line(k, F.col(k)) for k in KINDS))
     rows = found.withColumn("__b", base).withColumn("__all", F.concat("__b", line("term", F.col("__terms"))))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
-    return rows.select(key, *counts, F.size("__terms").cast("long").alias("n_term"), F.sha2(F.concat_ws(",", "__b"), 256).alias("base_sha256"), F.concat_ws(",", "__all").alias("spans"))
+    return rows.select(F.col(k).alias(key), *counts, F.size("__terms").cast("long").alias("n_term"), F.sha2(F.concat_ws(",", "__b"), 256).alias("base_sha256"), F.concat_ws(",", "__all").alias("spans"))
 
 
 def sanitise(docs: DataFrame, text: str = "text", min_support: int = MIN_SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """The rows with base spans replaced by ``[KIND]``, disclosing terms by
     ``[TERM]`` or by nothing. Overlapping spans are replaced as one, under the
     mark of the first. A null text stays null."""
-    found = _found(docs, text, list(docs.columns), min_support, generalise, remove)
-    t = F.col(f"`{text}`")
+    work, names, (at,) = renamed(docs, text)
+    found = _found(work, at, work.columns, min_support, generalise, remove)
+    t = F.col(at)
     mark = lambda xs, m: F.transform(xs, lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), (F.lit(m) if isinstance(m, str) else m(x)).alias("m")))
     marks = [mark(F.col(k), f"[{k.upper()}]") for k in KINDS] + [mark(F.col("__terms"), lambda x: F.when(x.remove, F.lit("")).otherwise(F.lit("[TERM]")))]
     state = "struct<at:int,parts:array<string>>"
@@ -234,4 +235,4 @@ def sanitise(docs: DataFrame, text: str = "text", min_support: int = MIN_SUPPORT
     end = lambda a: F.concat(F.array_join(a.parts, ""), F.substring(t, a.at + 1, F.length(t)))
     marked = found.withColumn("__m", F.sort_array(F.concat(*marks)))
     clean = F.when(F.size("__m") > 0, F.aggregate(F.col("__m"), start, cut, end)).otherwise(t)
-    return marked.withColumn(text, clean).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return marked.withColumn(at, clean).select(work.columns).toDF(*names)

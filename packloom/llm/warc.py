@@ -142,14 +142,19 @@ def mark_revisits(df: DataFrame, key: str, payload: str, min_bytes: int = 0) ->
     """Adds ``refers_to``: the smallest key with an equal payload of at least
     ``min_bytes`` bytes, null for the record that has that key itself.
 
-    Payloads are equal if SHA-1 and length are. The digest side is aggregated
-    before the shuffle, so a payload that a third of all rows share arrives as
-    one row per task; the join of the rows is one that adaptive execution splits.
+    Payloads are equal if SHA-1 and length are. Digests are aggregated before the
+    shuffle, so a payload that a third of all rows share arrives as one row per
+    task. Keys and digests alone are joined by digest; the payloads, which are long,
+    are dealt by key and digest and meet only what their own row refers to.
     """
-    own = df.withColumn("__d", F.concat_ws(":", F.sha1(F.col(payload)), F.octet_length(F.col(payload))))
-    first = own.where(F.octet_length(payload) >= min_bytes).groupBy("__d").agg(F.min(key).alias("__first"))
-    out = own.join(first, "__d", "left")
-    return out.withColumn("refers_to", F.when(F.col("__first") != F.col(key), F.col("__first"))).withColumn("refers_to", F.when(F.col(key).isNull(), F.col("__first")).otherwise(F.col("refers_to"))).drop("__d", "__first")
+    digest = F.concat_ws(":", F.sha1(F.col(payload)), F.octet_length(F.col(payload)))
+    own = df.withColumn("__d", digest)
+    ids = own.where(F.octet_length(payload) >= min_bytes).select(F.col(key).alias("__k"), F.col("__d").alias("__e"))
+    first = ids.groupBy("__e").agg(F.min("__k").alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    # Rows with the same key and payload are one here, and refer to the same.
+    revisits = ids.join(first, "__e").where(~F.col("__k").eqNullSafe(F.col("__first"))).groupBy("__k", "__e").agg(F.first("__first").alias("refers_to"))
+    out = own.join(revisits, own[key].eqNullSafe(revisits["__k"]) & (own["__d"] == revisits["__e"]), "left")
+    return out.drop("__d", "__k", "__e")
 
 
 def write_archives(df: DataFrame, prefix: str = "page", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
