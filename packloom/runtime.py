@@ -7,11 +7,15 @@ import os
 import shutil
 import tempfile
 import uuid
+import weakref
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _local_base: str | None = None
+#: Tables written so far, by the frame that reads them, and their paths.
+_written: list[tuple[weakref.ref, str]] = []
 
 
 def prepare(spark: SparkSession) -> None:
@@ -25,13 +29,17 @@ def prepare(spark: SparkSession) -> None:
 def scratch_base(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, one machine) a folder in the local temp directory is used.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and
+    the master is one machine (tests) a folder in the local temp directory is
+    used; elsewhere executors would not see each other's files, so that is an error.
     """
     global _local_base
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _local_base is None:
         path = tempfile.mkdtemp(prefix="packloom-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
@@ -53,16 +61,61 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _written.append((weakref.ref(out), path))
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialise`` returned and nothing reads
+    any more."""
+    for entry in [e for e in _written if e[0]() is df]:
+        _written.remove(entry)
+        _delete(df.sparkSession, entry[1])
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Gives a function that writes a result; when the block ends, every other
+    table that was written inside is deleted.
+
+    For a caller that writes an operator's result anyway and needs nothing of what
+    the operator wrote on the way.
+    """
+    before = len(_written)
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        kept.append(materialise(df, name))
+        return kept[-1]
+
+    try:
+        yield keep
+    finally:
+        for entry in _written[before:]:
+            if not any(entry[0]() is k for k in kept):
+                _written.remove(entry)
+                _delete(spark, entry[1])
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every intermediate table of this application."""
-    app = spark.sparkContext.applicationId
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_base(spark)}/packloom/{app}")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(path, True)
+    _written.clear()
+    _delete(spark, f"{scratch_base(spark)}/packloom/{spark.sparkContext.applicationId}")
+
+
+def renamed(df: DataFrame, *columns: str) -> tuple[DataFrame, list[str], list[str]]:
+    """``df`` with columns ``__c0``, ``__c1``, ..., their former names, and what the
+    given ones are called now. Operators work on these, so no name of an extra
+    column, whatever it is, meets a name of theirs."""
+    names = df.columns
+    temp = [f"__c{i}" for i in range(len(names))]
+    return df.toDF(*temp), names, [temp[names.index(c)] for c in columns]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
