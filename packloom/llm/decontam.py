@@ -2,8 +2,8 @@
 
 The words of the benchmark items are the vocabulary; documents are read in
 passages of 64 words, one every 32, and items longer than that in such pieces as
-well. Three passes over the texts, none of which
-shuffles them:
+well. One pass replaces every text by the vocabulary numbers of its words, a table
+that the three other passes read; none of them shuffles documents:
 
 1. document frequencies of the vocabulary over all documents give TF-IDF weights;
    words of more than ``common`` of the documents only count for items that have
@@ -17,15 +17,18 @@ shuffles them:
    ``residual``, so items too rare to shape the space are found as well. A piece
    is also a candidate where a passage holds ``HELD`` of the squared weight of its
    own terms (all its words, if few are rare), whatever else the passage holds:
-   of a verbatim piece one of two adjacent passages holds half. Candidates are checked on words: the longest common subsequence with the
-   item must cover ``lcs`` of it, and its answer, the last sentence, ``answer``.
+   of a verbatim piece one of two adjacent passages holds half. Candidates are
+   checked on words: the longest common subsequence with the item must cover
+   ``lcs`` of it, and its answer, the last sentence, ``answer``.
 
-The benchmark is a stated query set; it is taken in blocks of about ITEMS pieces,
-so what is broadcast has a fixed bound in pieces.
+The benchmark is a stated query set. One fit and one scan take all its items; only
+a benchmark of more than ``MAX_WORDS`` words, the bound of what is broadcast, is
+dealt to parts by a hash of the item, each with its own fit and scan.
 
 Defined results: null and empty texts match nothing, items without words are
-never found; equal items are found alike, repeated rows give repeated results;
-other columns are kept by ``scan``. Empty tables give empty results.
+never found, items of a single word are found wherever it stands; equal items are
+found alike, repeated rows give repeated results; ``scan`` keeps other columns,
+whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -39,11 +42,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packloom.llm.sums import SCHEMA, blocks, sum_vectors
-from packloom.runtime import materialise, prepare
+from packloom.runtime import materialise, prepare, renamed
 
 PASSAGE, STRIDE = 64, 32
 RANK = 48
-ITEMS = 2000
+MAX_WORDS = 2_000_000
 COMMON = 0.02
 LEAST_TERMS = 8
 COSINE = 0.3
@@ -68,7 +71,7 @@ def answer_of(text: str) -> list[str]:
     return max(last, third, key=len)
 
 
-def common_subsequence(a: list[str], b: list[str]) -> int:
+def common_subsequence(a: list, b: list) -> int:
     """Length of the longest common subsequence, a row of bits per word of b."""
     at: dict[str, int] = {}
     for i, w in enumerate(a):
@@ -88,8 +91,9 @@ class Items:
     """Items, their vocabulary, and (later) weights and latent vectors."""
 
     ids: list[int]
-    words: list[list[str]]
-    answers: list[list[str]]
+    #: Vocabulary numbers of the words of items and of their answers.
+    words: list[list[int]]
+    answers: list[list[int]]
     vocab: dict[str, int]
     idf: np.ndarray | None = None
     used: np.ndarray | None = None
@@ -101,28 +105,36 @@ class Items:
     def piece(self, j: int) -> np.ndarray:
         """Vocabulary ids of the words of a piece."""
         i, at = self.pieces[j]
-        return np.array([self.vocab[w] for w in self.words[i][at : at + PASSAGE]])
+        return np.array(self.words[i][at : at + PASSAGE])
 
 
-def _entries(docs: list[list[int]], n: int, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+@dataclass
+class Texts:
+    """Texts as vocabulary numbers, -1 for other words, one after the other."""
+
+    flat: np.ndarray
+    ends: np.ndarray  # where each text begins, and the end of the last
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def known(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, place and number of each word of the vocabulary."""
+        pos = np.flatnonzero(self.flat >= 0)
+        doc = np.searchsorted(self.ends, pos, "right") - 1
+        return doc, pos - self.ends[doc], self.flat[pos].astype(np.int64)
+
+
+def _entries(texts: Texts, n: int, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Terms of ``mask`` in all passages: passage, term and number, sorted by
-    passage and term, and the first passage of each document."""
-    rows, terms = [], []
-    base = 0
-    starts = []
-    for ids in docs:
-        starts.append(base)
-        ids = np.asarray(ids, np.int64)
-        pos = np.flatnonzero(ids >= 0)
-        pos = pos[mask[ids[pos]]]
-        t = ids[pos]
-        p = pos // STRIDE
-        rows += [base + p + 1, base + p]  # a word is in the passages p - 1 and p
-        terms += [t, t]
-        base += len(ids) // STRIDE + 2
-    none = np.zeros(0, np.int64)
-    key, tf = np.unique(np.concatenate([none, *rows]) * n + np.concatenate([none, *terms]), return_counts=True)
-    return key // n, key % n, tf, np.asarray(starts, np.int64)
+    passage and term, and the first passage of each text."""
+    doc, at, term = texts.known()
+    ok = mask[term]
+    doc, at, term = doc[ok], at[ok], term[ok]
+    starts = np.concatenate([[0], np.cumsum(np.diff(texts.ends) // STRIDE + 2)])[:-1]
+    first = starts[doc] + at // STRIDE  # a word is in this passage and the next
+    key, tf = np.unique(np.concatenate([first * n + term, (first + 1) * n + term]), return_counts=True)
+    return key // n, key % n, tf, starts
 
 
 def _place(passage: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,15 +143,10 @@ def _place(passage: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return doc, passage - starts[doc] - 1
 
 
-def _unit(row: np.ndarray, term: np.ndarray, tf: np.ndarray, items: Items, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Unit TF-IDF rows of the passages with ``least`` terms: entries (row, term,
-    value) sorted by row and term, and of each row the passage."""
+def _unit(row: np.ndarray, term: np.ndarray, tf: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Unit TF-IDF rows of the passages: entries (row, term, value) sorted by row
+    and term, and of each row the passage."""
     none = np.zeros(0, np.int64)
-    if len(row):
-        first = np.concatenate([[0], np.flatnonzero(row[1:] != row[:-1]) + 1])
-        size = np.diff(np.append(first, len(row)))
-        keep = np.repeat(size >= least, size)
-        row, term, tf = row[keep], term[keep], tf[keep]
     if not len(row):
         return none, none, np.zeros(0, np.float32), none
     first = np.concatenate([[0], np.flatnonzero(row[1:] != row[:-1]) + 1])
@@ -149,14 +156,6 @@ def _unit(row: np.ndarray, term: np.ndarray, tf: np.ndarray, items: Items, least
     return np.repeat(np.arange(len(first)), size), term, val.astype(np.float32), row[first]
 
 
-def _passages(docs: list[list[int]], items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Unit rows of all passages with two terms or more, and of each row the
-    document and the number of the passage in it."""
-    *entries, starts = _entries(docs, len(items.idf), items.used)
-    row, term, val, passage = _unit(*entries, items, 2)
-    return row, term, val, *(_place(passage, starts) if len(passage) else (passage, passage))
-
-
 def _times(row: np.ndarray, term: np.ndarray, val: np.ndarray, m: np.ndarray) -> np.ndarray:
     """The sparse rows times a matrix."""
     first = np.concatenate([[0], np.flatnonzero(row[1:] != row[:-1]) + 1])
@@ -176,26 +175,55 @@ def load_items(benchmark: list[tuple[int, str | None]]) -> Items:
     for _, _, ws in rows:
         for w in ws:
             vocab.setdefault(w, len(vocab))
+    numbers = lambda ws: [vocab[w] for w in ws]
     pieces = [(i, at) for i, r in enumerate(rows) for at in range(0, max(len(r[2]) - STRIDE, 1), STRIDE)]
-    return Items([r[0] for r in rows], [r[2] for r in rows], [answer_of(r[1]) for r in rows], vocab, pieces=pieces)
+    return Items([r[0] for r in rows], [numbers(r[2]) for r in rows], [numbers(answer_of(r[1])) for r in rows], vocab, pieces=pieces)
+
+
+def numbered(df: DataFrame, text: str, items: Items, carry: list[str]) -> DataFrame:
+    """``carry`` columns and ``__ids``: the vocabulary numbers of each text's words."""
+    sent = df.sparkSession.sparkContext.broadcast(items.vocab)
+    rows = df.select(*carry, F.col(text).alias("__text"))
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+
+    def run(batches):
+        get = sent.value.get
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                flat, ends = [], [0]
+                for t in part.column(part.num_columns - 1).to_pylist():
+                    flat += [get(w, -1) for w in words_of(t)]
+                    ends.append(len(flat))
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=[*carry, "__ids"])
+
+    prepare(df.sparkSession)
+    return rows.mapInArrow(run, f"{schema}__ids array<int>")
+
+
+def _texts(batches, column: int):
+    """Up to 256 rows at a time, with their texts."""
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            ids = part.column(column)
+            ends = ids.offsets.to_numpy().astype(np.int64)
+            yield part, Texts(ids.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], ends - ends[0])
 
 
 def fit(texts: DataFrame, items: Items, common: float = COMMON, rank: int = RANK) -> Items:
-    """Passes 1 and 2 over ``texts``, a DataFrame of one text column."""
+    """Passes 1 and 2 over ``texts``, a DataFrame of one column of numbers."""
     n = len(items.vocab)
     prepare(texts.sparkSession)
     sc = texts.sparkSession.sparkContext
-    sent = sc.broadcast(items)
 
     def count(batches):
-        get = sent.value.vocab.get
         total, docs = np.zeros(n), 0
-        for b in batches:
-            for t in b.column(0):
-                ws = set(words_of(t.as_py()))
-                docs += 1
-                ids = [i for w in ws if (i := get(w)) is not None]
-                total[ids] += 1
+        for _, t in _texts(batches, 0):
+            doc, _, term = t.known()
+            total += np.bincount(np.unique(doc * n + term) % n, minlength=n)
+            docs += len(t)
         yield blocks(np.append(total, docs))
 
     sums = sum_vectors(texts.mapInArrow(count, SCHEMA))
@@ -217,18 +245,19 @@ def fit(texts: DataFrame, items: Items, common: float = COMMON, rank: int = RANK
     def gram(batches):
         it, w = sent2.value
         total = np.zeros((n, rank))
-        for ids in _id_batches(batches, 0, it):
-            row, term, val, doc, _ = _passages(ids, it)
-            if len(doc):
+        for _, t in _texts(batches, 0):
+            *entries, _ = _entries(t, n, it.used)
+            row, term, val, passage = _unit(*entries, it)
+            if len(passage):
                 y = _times(row, term, val, w)
                 order = np.argsort(term, kind="stable")
-                t = term[order]
-                first = np.concatenate([[0], np.flatnonzero(t[1:] != t[:-1]) + 1])
-                ends = np.append(first[1:], len(t))
+                by = term[order]
+                first = np.concatenate([[0], np.flatnonzero(by[1:] != by[:-1]) + 1])
+                ends = np.append(first[1:], len(by))
                 for i in range(0, len(first), 512):
                     a, b = first[i], ends[min(i + 512, len(first)) - 1]
                     o = order[a:b]
-                    total[t[first[i : i + 512]]] += np.add.reduceat(val[o, None] * y[row[o]], first[i : i + 512] - a)
+                    total[by[first[i : i + 512]]] += np.add.reduceat(val[o, None] * y[row[o]], first[i : i + 512] - a)
         yield blocks(total)
 
     g = sum_vectors(texts.mapInArrow(gram, SCHEMA))
@@ -243,86 +272,90 @@ def fit(texts: DataFrame, items: Items, common: float = COMMON, rank: int = RANK
     return items
 
 
-def _id_batches(batches, column: int, items: Items, with_words: list | None = None):
-    """Vocabulary ids of the words of up to 256 texts at a time, -1 for others."""
-    get = items.vocab.get
-    for b in batches:
-        for at in range(0, b.num_rows, 256):
-            part = b.slice(at, 256)
-            words = [words_of(t) for t in part.column(column).to_pylist()]
-            if with_words is not None:
-                with_words[:] = [part, words]
-            yield [[get(w, -1) for w in ws] for ws in words]
+class Postings:
+    """Of each term the pieces that have it, with a weight."""
+
+    def __init__(self, terms: list[np.ndarray], weights: list[np.ndarray], n: int):
+        term = np.concatenate([np.zeros(0, np.int64), *terms])
+        order = np.argsort(term, kind="stable")
+        self.at = np.searchsorted(term[order], np.arange(n + 1))
+        self.piece = np.repeat(np.arange(len(terms)), [len(t) for t in terms])[order]
+        self.weight = np.concatenate([np.zeros(0), *weights])[order]
+
+    def expand(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For a list of terms: which of them each posting answers, and its index."""
+        n = self.at[term + 1] - self.at[term]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        return np.repeat(np.arange(len(term)), n), np.arange(total) + np.repeat(self.at[term] - ends + n, n)
 
 
 class Matcher:
     def __init__(self, items: Items, cosine: float, residual: float, lcs: float, answer: float):
         self.items, self.cosine, self.residual, self.lcs, self.answer = items, cosine, residual, lcs, answer
         n = len(items.idf)
-        b = np.zeros((len(items.pieces), n), np.float32)
-        held = []
+        unit, unit_terms, share = [], [], []
         for j, own in enumerate(items.own):
             ids, tf = np.unique(items.piece(j), return_counts=True)
             w = (1 + np.log(tf)) * items.idf[ids]
-            ok = items.used[ids]
-            b[j, ids[ok]] = w[ok]
+            used = w[items.used[ids]]
+            unit_terms.append(ids[items.used[ids]])
+            unit.append(used / max(np.sqrt((used**2).sum()), 1e-9))
             w = w[np.isin(ids, own)] ** 2
-            held.append(w / w.sum())
-        #: Pieces and their shares of weight by term.
-        term = np.concatenate(items.own)
-        order = np.argsort(term, kind="stable")
-        self.at = np.searchsorted(term[order], np.arange(n + 1))
-        self.by_term = np.repeat(np.arange(len(held)), [len(w) for w in held])[order]
-        self.share = np.concatenate(held)[order]
-        self.terms = items.used | (np.diff(self.at) > 0)
-        b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-9)
-        self.latent = b @ items.basis
+            share.append(w / w.sum())
+        self.unit, self.share = Postings(unit_terms, unit, n), Postings(items.own, share, n)
+        self.terms = items.used | (np.diff(self.share.at) > 0)
+        self.latent = np.stack([w.astype(np.float32) @ items.basis[t] if len(t) else np.zeros(items.basis.shape[1], np.float32) for t, w in zip(unit_terms, unit)])
         self.norm = np.sqrt((1 - residual) * (self.latent**2).sum(1) + residual)
-        #: Terms times (pieces, then latent dimensions).
-        self.both = np.ascontiguousarray(np.concatenate([b.T, items.basis], 1))
 
-    def scores(self, row, term, val) -> np.ndarray:
-        """Cosines of passages with pieces, passages x pieces."""
+    def _chunks(self, row: np.ndarray):
+        """Entries of so many rows at a time that rows times pieces are a million."""
+        step = max(1, 1_000_000 // len(self.items.pieces))
+        cuts = np.searchsorted(row, np.arange(0, row[-1] + step + 1, step)) if len(row) else []
+        for c, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if b > a:
+                yield c * step, int(a), int(b)
+
+    def near(self, row, term, val) -> tuple[np.ndarray, np.ndarray]:
+        """Rows times pieces + piece where the cosine is high enough, and the cosine."""
         k = len(self.items.pieces)
-        y = _times(row, term, val, self.both)
-        plain, z = y[:, :k], y[:, k:]
-        dot = (1 - self.residual) * (z @ self.latent.T) + self.residual * plain
-        norm = np.sqrt((1 - self.residual) * (z**2).sum(1) + self.residual)
-        return dot / (norm[:, None] * self.norm)
+        keys, cosines = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for base, a, b in self._chunks(row):
+            r, t, v = row[a:b] - base, term[a:b], val[a:b]
+            rows = int(r[-1]) + 1
+            z = _times(r, t, v, self.items.basis)
+            which, at = self.unit.expand(t)
+            plain = np.bincount(r[which] * k + self.unit.piece[at], v[which] * self.unit.weight[at], rows * k).reshape(rows, k)
+            norm = np.sqrt((1 - self.residual) * (z**2).sum(1) + self.residual)
+            s = ((1 - self.residual) * (z @ self.latent.T) + self.residual * plain) / (norm[:, None] * self.norm)
+            x, j = np.nonzero(s >= self.cosine)
+            keys.append((x + base) * k + j)
+            cosines.append(s[x, j])
+        return np.concatenate(keys), np.concatenate(cosines)
 
     def held(self, row: np.ndarray, term: np.ndarray) -> np.ndarray:
         """Passages times pieces + piece, where the passage holds enough of it."""
         k = len(self.items.pieces)
-        out = []
-        step = max(1, 1_000_000 // k)
-        cuts = np.searchsorted(row, np.arange(0, row[-1] + step + 1, step)) if len(row) else []
-        for c, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            t = term[a:b]
-            n = self.at[t + 1] - self.at[t]
-            ends = np.cumsum(n)
-            if not len(ends) or not ends[-1]:
-                continue
-            at = np.arange(ends[-1]) + np.repeat(self.at[t] - ends + n, n)
-            cell = (np.repeat(row[a:b], n) - c * step) * k + self.by_term[at]
-            share = np.bincount(cell, self.share[at])
-            out.append(np.flatnonzero(share >= HELD) + c * step * k)
-        return np.concatenate([np.zeros(0, np.int64), *out])
-
-    def match(self, ids: list[list[int]], words: list[list[str]]) -> list[list[dict]]:
+        out = [np.zeros(0, np.int64)]
+        for base, a, b in self._chunks(row):
+            which, at = self.share.expand(term[a:b])
+            if len(at):
+                share = np.bincount((row[a:b][which] - base) * k + self.share.piece[at], self.share.weight[at])
+                out.append(np.flatnonzero(share >= HELD) + base * k)
+        return np.concatenate(out)
+
+    def match(self, texts: Texts) -> list[list[dict]]:
         """The leaks of each text, by item."""
-        best: list[dict[int, tuple]] = [{} for _ in ids]
+        best: list[dict[int, tuple]] = [{} for _ in range(len(texts))]
         k = len(self.items.pieces)
-        row, term, tf, starts = _entries(ids, len(self.items.idf), self.terms)
+        row, term, tf, starts = _entries(texts, len(self.items.idf), self.terms)
         ok = self.items.used[term]
-        *entries, passage = _unit(row[ok], term[ok], tf[ok], self.items, 1)
-        s = self.scores(*entries) if len(passage) else np.zeros((0, k), np.float32)
-        r, j = np.nonzero(s >= self.cosine)
-        key = np.union1d(passage[r] * k + j, self.held(row, term))
-        r = np.searchsorted(passage, key // k)
-        known = r < len(passage)
-        known[known] = passage[r[known]] == (key // k)[known]
+        *entries, passage = _unit(row[ok], term[ok], tf[ok], self.items)
+        near, cosines = self.near(*entries)
+        near = passage[near // k] * k + near % k if len(near) else near
+        key = np.union1d(near, self.held(row, term)).astype(np.int64)
         cosine = np.zeros(len(key))
-        cosine[known] = s[r[known], (key % k)[known]]
+        cosine[np.searchsorted(key, near)] = cosines
         doc, number = _place(key // k, starts)
         done: set[tuple[int, int, int]] = set()
         # The best passage first, so that of a long item's pieces, which all tell
@@ -337,7 +370,8 @@ class Matcher:
                     continue
                 done.add(place)
             lo = max(0, at - len(item))
-            region = words[d][lo : at + PASSAGE + len(item)]
+            text = texts.flat[texts.ends[d] : texts.ends[d + 1]]
+            region = text[lo : max(0, at + PASSAGE + len(item))].tolist()
             share = common_subsequence(item, region) / len(item)
             if share < self.lcs:
                 continue
@@ -350,54 +384,54 @@ class Matcher:
         return [[{"item_id": self.items.ids[i], "cosine": f[2], "lcs": f[0], "answer": f[1], "first_word": -f[3]} for i, f in sorted(b.items())] for b in best]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", name: str = "leaks", cosine: float = COSINE, residual: float = RESIDUAL, lcs: float = LCS, answer: float = ANSWER) -> DataFrame:
-    """``docs`` with a column ``name``: the items that each text leaks."""
-    rows = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).orderBy("i", "t")
-    keep = list(docs.columns)
-    temp = [f"__c{i}" for i in range(len(keep))]
-    out = docs.select(*(F.col(f"`{c}`").alias(t) for c, t in zip(keep, temp)), F.array().cast(HITS).alias("__leaks"))
-    at = temp[keep.index(text)]
-    # Blocks of about ITEMS pieces; an item is in the block where it starts.
-    pieces = F.greatest(F.ceil(F.regexp_count(F.coalesce("t", F.lit("")), F.lit(r"(?U)\w+")) / STRIDE), F.lit(1))
-    numbered = materialise(rows.withColumn("__p", pieces).select("i", "t", F.floor((F.sum("__p").over(_by_item()) - F.col("__p")) / ITEMS).alias("__n")), "lsa-items")
-    for n in [r["__n"] for r in numbered.select("__n").distinct().orderBy("__n").collect()]:
-        items = load_items([(r.i, r.t) for r in numbered.where(F.col("__n") == n).orderBy("i", "t").collect()])
+def _scan(docs: DataFrame, benchmark: DataFrame, text: str, carry: list[str], item_id: str = "item_id", item_text: str = "text", cosine: float = COSINE, residual: float = RESIDUAL, lcs: float = LCS, answer: float = ANSWER, max_words: int = MAX_WORDS) -> DataFrame:
+    """``carry`` columns and ``__leaks``; ``docs`` has the names of ``renamed``."""
+    rows = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
+    words = rows.agg(F.sum(F.regexp_count(F.coalesce("t", F.lit("")), F.lit(r"(?U)\w+")))).first()[0] or 0
+    parts = 1 if words <= max_words else -(-3 * words // (2 * max_words))
+    out = docs.select(*dict.fromkeys([*carry, text]), F.array().cast(HITS).alias("__leaks"))
+    for p in range(parts):
+        mine = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p)
+        items = load_items(sorted(((r.i, r.t) for r in mine.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
         if items.ids:
-            out = _match(out, at, fit(docs.select(text), items), cosine, residual, lcs, answer)
-    return out.select(*(F.col(t).alias(c) for c, t in zip(keep, temp)), F.col("__leaks").alias(name))
-
+            kept = [*dict.fromkeys([*carry, *([text] if p + 1 < parts else [])]), "__leaks"]
+            whole = materialise(numbered(out, text, items, kept), "lsa-numbers")
+            out = _match(whole, fit(whole.select("__ids"), items), cosine, residual, lcs, answer)
+    return out.select(*carry, "__leaks")
 
-def _by_item():
-    from pyspark.sql import Window
 
-    return Window.orderBy("i", "t").rowsBetween(Window.unboundedPreceding, 0)
-
-
-def _match(df: DataFrame, text: str, items: Items, *limits: float) -> DataFrame:
+def _match(df: DataFrame, items: Items, *limits: float) -> DataFrame:
+    """``df`` with the new leaks after the old ones, and without its numbers."""
     sent = df.sparkSession.sparkContext.broadcast((items, limits))
-    names, at = df.columns, df.columns.index(text)
+    names = df.columns[:-1]
+    last = len(names) - 1
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.float64()), ("first_word", pa.int64())]))
 
     def run(batches):
         it, lim = sent.value
         matcher = Matcher(it, *lim)
-        now: list = []
-        for ids in _id_batches(batches, at, it, now):
-            part, words = now
-            old = part.column(part.num_columns - 1).to_pylist()
-            new = [a + b for a, b in zip(old, matcher.match(ids, words))]
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(new, kind)], names=names)
+        for part, texts in _texts(batches, last + 1):
+            new = [a + b for a, b in zip(part.column(last).to_pylist(), matcher.match(texts))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:last], pa.array(new, kind)], names=names)
+
+    return df.mapInArrow(run, df.drop("__ids").schema)
 
-    return df.mapInArrow(run, df.schema)
+
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", name: str = "leaks", **limits) -> DataFrame:
+    """``docs`` with a column ``name``: the items that each text leaks."""
+    work, names, (t,) = renamed(docs, text)
+    return _scan(work, benchmark, t, work.columns, **limits).toDF(*names, name)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """DataFrame[key, item_id, cosine, lcs, answer, first_word]: a row for each
     item that a document leaks."""
-    found = scan(docs.select(key, text), benchmark, text, **limits)
-    return found.select(key, F.explode("leaks").alias("l")).select(key, "l.*")
+    work, _, (k, t) = renamed(docs, key, text)
+    found = _scan(work, benchmark, t, [k], **limits)
+    return found.select(k, F.explode("__leaks").alias("l")).select(F.col(k).alias(key), "l.*")
 
 
 def remove_leaking(docs: DataFrame, benchmark: DataFrame, text: str = "text", **limits) -> DataFrame:
     """The rows of ``docs`` that leak no item."""
-    return scan(docs, benchmark, text, name="__leaks_found", **limits).where(F.size("__leaks_found") == 0).drop("__leaks_found")
+    work, names, (t,) = renamed(docs, text)
+    return _scan(work, benchmark, t, work.columns, **limits).where(F.size("__leaks") == 0).drop("__leaks").toDF(*names)

@@ -68,10 +68,9 @@ def test_leaks(spark):
     assert decontam.leaks(df.limit(0), bench).count() == 0 and decontam.leaks(df, bench.limit(0)).count() == 0
 
 
-def test_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "ITEMS", 15)
+def test_parts_of_a_large_benchmark(spark):
     df = spark.createDataFrame([(1, leak(leak(prose(200), 2, 0), 30, 0)), (2, prose(300))], "doc_id long, text string")
-    got = decontam.leaks(df, spark.createDataFrame(ITEMS, "item_id long, text string")).collect()
+    got = decontam.leaks(df, spark.createDataFrame(ITEMS, "item_id long, text string"), max_words=700).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 2), (1, 30)]
 
 
@@ -79,9 +78,12 @@ def test_sketch_finds_the_leading_space(spark):
     words = [f"t{i}" for i in range(12)]
     items = decontam.load_items([(1, " ".join(words))])
     texts = [" ".join(RNG.sample(words[:6], 4)) for _ in range(60)] + [" ".join(RNG.sample(words[6:], 4)) for _ in range(30)]
-    it = decontam.fit(spark.createDataFrame([(t,) for t in texts], "text string"), items, common=1.0, rank=12)
-    row, term, val, doc, _ = decontam._passages([[it.vocab[w] for w in t.split()] for t in texts], it)
-    a = np.zeros((len(doc), 12))
+    df = decontam.numbered(spark.createDataFrame([(t,) for t in texts], "text string"), "text", items, [])
+    it = decontam.fit(df, items, common=1.0, rank=12)
+    ids = [[it.vocab[w] for w in t.split()] for t in texts]
+    *entries, _ = decontam._entries(decontam.Texts(np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])])), 12, it.used)
+    row, term, val, passage = decontam._unit(*entries, it)
+    a = np.zeros((len(passage), 12))
     a[row, term] = val
     v = np.linalg.svd(a, full_matrices=False)[2][:4].T
     assert np.linalg.norm(it.basis[:, :4].T @ v, 2) > 0.999 and np.allclose(it.basis.T @ it.basis, np.eye(it.basis.shape[1]), atol=1e-4)
@@ -104,3 +106,14 @@ def test_verbatim_leaks_reach_the_word_check(spark):
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert {(d, i) for d, _, leaked in rows for i in leaked} <= got
     assert not {g for g in got if g[1] in (1, 2, 3)} - {(d, i) for d, _, leaked in rows for i in leaked}
+
+
+def test_clashing_columns_and_ties(spark):
+    item = "delta omega sigma kappa lambda theta."
+    rows = [(None, item, 1, "p"), (None, item, 1, "p"), (2, "nothing here", 2, "q"), (3, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __leaks_found int, `__c1.x` string")
+    bench = spark.createDataFrame([(7, item, "z"), (7, item, "z")], "item_id long, text string, i string")
+    assert sorted(r.item_id for r in decontam.leaks(df, bench).collect()) == [7, 7, 7, 7]
+    kept = decontam.remove_leaking(df, bench)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
+    assert decontam.scan(df.toDF("doc_id", "text", "__leaks", "__ids"), bench).columns[-1] == "leaks"
