@@ -26,7 +26,8 @@ def test_spans():
     base, spans = secrets.find_spans(TEXT)
     assert base == brute(TEXT) and [k for k, _, _ in base] == ["assign", "hex", "access", "assign"]
     extra = [TEXT[a:b] for k, a, b in spans if k == "literal"]
-    assert extra == ["Zx9!kQ2m#Lw7", "aB3dE5fG7hJ9kL1m"]  # the first is only used under a sensitive name
+    # The second is only used under a sensitive name.
+    assert extra == ["04dbebab91ab85687d33eeaaf9ac699e1188f962", "Zx9!kQ2m#Lw7", "aB3dE5fG7hJ9kL1m"]
     assert secrets.find_spans("The key point: monkeys. Author: Smith, pages = 1234567.")[1] == []
 
 
@@ -40,7 +41,7 @@ def test_rows(spark):
     got = {r.doc_id: r for r in secrets.scan(df).collect()}
     for i, t in enumerate(texts):
         assert got[i].base_sha256 == hashlib.sha256(secrets.render(brute(t or "")).encode()).hexdigest()
-    assert (got[2].n_assign, got[2].n_access, got[2].n_hex, got[2].n_literal) == (2, 1, 1, 2)
+    assert (got[2].n_assign, got[2].n_access, got[2].n_hex, got[2].n_literal) == (2, 1, 1, 3)
     assert secrets.scan(df.limit(0)).count() == 0
 
 
@@ -55,3 +56,43 @@ def test_long_runs_are_read_in_linear_time():
     for part in ("a", "var ", 'x="', "k='\\'", "key:", "a.b-", '"k" : ', "\t ", 'k="\\\\'):
         secrets.find_spans("key = x\n" + part * (400_000 // len(part)))
     assert time.process_time() - start < 20
+
+
+def literals(text):
+    return [text[a:b] for k, a, b in secrets.find_spans(text)[1] if k == "literal"]
+
+
+def test_syntaxes():
+    v = "Zx9!kQ2m#Lw7"
+    for text in (
+        f'<add key="dbPwd" value="{v}" />',
+        f"<password>{v}</password>",
+        f'{{"a": 1, "client_secret": "{v}"}}',
+        f'conf["dbPwd"] = "{v}"',
+        f'let dbPwd: string = "{v}";',
+        f"private_key = ('{v}')",
+        f'define: auth_key => "{v}",',
+        f'dbPwd = LATER\nLATER = "{v}"',
+        f'A = "{v}"\nB = A\nC = B\nself.dbPwd = C',
+        f"it's credential: '{v}'\n",
+        f'credential = """{v}"""',
+        f"pwd = b'{v}'",
+    ):
+        assert literals(text) == [v], text
+    assert literals('pwd = "Zx9!kQ2m" + "#Lw7aa"') == ["Zx9!kQ2m", "#Lw7aa"]
+    assert literals('half = "Zx9!kQ2m"\npwd = half + "#Lw7aa"') == ["Zx9!kQ2m", "#Lw7aa"]
+    assert literals("private_key = '''abcDEF123+/x9\nzzYY88'''") == ["abcDEF123+/x9\nzzYY88"]
+    for text in ("pwd = pwd", "a = pwd\npwd = a", 'pwd == "Zx9!kQ2m#Lw7"', 'pwd = input("Enter it 99")', 'pwd = ""', "pwd: your-value-here", "don't key=1, it's"):
+        assert literals(text) == [], text
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(None, "pwd = 'Zx9!kQ2m#Lw7'", 1, 2), (None, None, 1, 2)], "doc_id long, text string, __c0 int, `n_hex.x` int")
+    assert sorted(r.n_literal for r in secrets.scan(df).collect()) == [0, 1]
+
+
+def test_other_runs_are_read_in_linear_time():
+    start = time.process_time()
+    for part in ("<a k='", "a=b+", "`a", '"""', "l'a ", "<a>", "a=a\n", "<k>x</k>"):
+        secrets.find_spans("key = x\n" + part * (100_000 // len(part)))
+    assert time.process_time() - start < 20
