@@ -147,6 +147,9 @@ def _value(text: str, tokens: list, i: int) -> list:
         i += 1
     while i < len(tokens):
         kind, value, start, end = tokens[i]
+        if kind == "name" and len(value) < 3 and i + 1 < len(tokens) and tokens[i + 1][0] == "text" and text[end] in "'\"":
+            i += 1  # a prefix of the literal
+            continue
         if kind == "text":
             parts.append((value, start, end, False))
         elif kind == "name" and (i + 1 == len(tokens) or tokens[i + 1][1] not in ("(", "[")):
