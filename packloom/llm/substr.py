@@ -13,13 +13,18 @@ bytes that also starts anywhere else in the corpus, found by suffix arrays.
    common prefixes give the groups of windows that agree in ``length`` bytes; a
    window is repeated if its group occurs more than once.
 4. An anchor hash whose contexts outgrow a shard is cut into blocks, and every
-   pair of its blocks becomes a shard: no size of group is left out.
-5. Repeated windows go back to the texts, where they are merged and cut out.
+   pair of its blocks becomes a shard, as long as it has at most ``HOT_BLOCKS``
+   blocks, so a context is sent a bounded number of times.
+5. Windows of an anchor hash that has more are told apart by 128-bit hashes. Equal
+   windows have their anchor in the same place, so CORE windows with neighbouring
+   places share a core of ``length - CORE + 1`` bytes; windows whose core occurs once
+   are done, and the others are counted one by one. This is linear in the contexts.
+6. Repeated windows go back to the rows, where they are merged and cut out.
 
 Defined results: a null text is the empty text; equal texts repeat each other
 and lose all windows; texts shorter than ``length`` bytes lose nothing; repeated
-and null keys are rows like others; extra columns are ignored. Texts are told
-apart by a 64-bit hash, contexts within an anchor hash as well.
+and null keys are rows like others; extra columns are ignored. A row is told by the
+64-bit hashes of its key and of its text, a context by those of its anchor and itself.
 """
 
 from __future__ import annotations
@@ -32,10 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packloom.llm.suffix import permuted_lcp, suffix_array
-from packloom.runtime import materialise, prepare
+from packloom.runtime import materialise, prepare, renamed
 
 LENGTH = 400
 SHARD_BYTES = 1 << 20
+HOT_BLOCKS = 16
+CORE = 16
 _P = 0x9E3779B97F4A7C15
 _CHUNK = 1 << 22
 
@@ -77,9 +84,10 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], fwd[w - 1 : n])
 
 
-def runs(data: bytes, length: int) -> list[tuple[int, int, int, int]]:
-    """(anchor hash, context hash, first window, number of windows) of each
-    anchor; the windows of all runs are all windows, each once."""
+def runs(data: bytes, length: int) -> list[tuple[int, int, int, int, int]]:
+    """(anchor hash, context hash, first window, number of windows, place of the
+    anchor after the first window's start) of each anchor; the windows of all runs
+    are all windows, each once."""
     import xxhash
 
     k = _gram(length)
@@ -94,10 +102,11 @@ def runs(data: bytes, length: int) -> list[tuple[int, int, int, int]]:
         owner = (best & low).astype(np.int64)
         cut = np.concatenate([[0], np.flatnonzero(owner[1:] != owner[:-1]) + 1, [len(owner)]])
         anchors = h[owner[cut[:-1]]].view(np.int64).tolist()
+        places = (owner[cut[:-1]] - cut[:-1]).tolist()
         cut = (cut + at).tolist()
-        for a, s, e in zip(anchors, cut, cut[1:]):
+        for a, off, s, e in zip(anchors, places, cut, cut[1:]):
             c = xxhash.xxh3_64_intdigest(data[s : e + length - 1])
-            out.append((a, c - (1 << 64) if c >> 63 else c, s, e - s))
+            out.append((a, c - (1 << 64) if c >> 63 else c, s, e - s, off))
     return out
 
 
@@ -137,23 +146,23 @@ def _find_runs(plain: DataFrame, length: int) -> DataFrame:
                 rows = []
                 for key, tkey, text in zip(*(part.column(i).to_pylist() for i in range(3))):
                     rows += [(key, tkey, *r) for r in runs((text or "").encode("utf-8"), length)]
-                c = list(zip(*rows)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], names=["key", "tkey", "anchor", "ctx", "s", "n"])
+                c = list(zip(*rows)) or [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], names=["key", "tkey", "anchor", "ctx", "s", "n", "off"])
 
     prepare(plain.sparkSession)
-    return plain.mapInArrow(run, "key long, tkey long, anchor long, ctx long, s long, n long")
+    return plain.mapInArrow(run, "key long, tkey long, anchor long, ctx long, s long, n long, off long")
 
 
 def _read_contexts(rows: DataFrame, length: int) -> DataFrame:
-    """Rows with a text and ``need`` array<struct<anchor, ctx, s, n, times, blocks>>
-    to one row per context with its bytes."""
-    schema = "anchor long, ctx long, n long, times long, blocks long, bytes binary"
-    names = ["anchor", "ctx", "n", "times", "blocks", "bytes"]
-    types = [pa.int64()] * 5 + [pa.binary()]
+    """Rows with a text and ``need`` array<struct<anchor, ctx, s, n, off, times,
+    blocks>> to one row per context with its bytes."""
+    schema = "anchor long, ctx long, n long, off long, times long, blocks long, bytes binary"
+    names = ["anchor", "ctx", "n", "off", "times", "blocks", "bytes"]
+    types = [pa.int64()] * 6 + [pa.binary()]
 
     def run(batches):
         def done(out):
-            c = list(zip(*out)) or [()] * 6
+            c = list(zip(*out)) or [()] * 7
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types)], names=names)
 
         out, size = [], 0
@@ -163,7 +172,7 @@ def _read_contexts(rows: DataFrame, length: int) -> DataFrame:
                 for text, need in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     data = (text or "").encode("utf-8")
                     for r in need:
-                        out.append((r["anchor"], r["ctx"], r["n"], r["times"], r["blocks"], data[r["s"] : r["s"] + r["n"] + length - 1]))
+                        out.append((r["anchor"], r["ctx"], r["n"], r["off"], r["times"], r["blocks"], data[r["s"] : r["s"] + r["n"] + length - 1]))
                         size += r["n"] + length
                         if size > 4 << 20:
                             yield done(out)
@@ -207,6 +216,63 @@ def _search(contexts: DataFrame, length: int, shards: int) -> DataFrame:
     return dealt.mapInArrow(run, "anchor long, ctx long, a long, b long")
 
 
+def _hashes(contexts: DataFrame, length: int, size: int, groups: str | None) -> DataFrame:
+    """DataFrame[anchor, ctx, times, g, h1, h2]: hashes of the cores of ``size``
+    windows whose anchors stand ``g * size`` and more bytes after their start, of all
+    groups or of those listed in a column."""
+    import xxhash
+
+    names = ["anchor", "ctx", "times", "g", "h1", "h2"]
+    cols = ["anchor", "ctx", "times", "n", "off", "bytes", *([groups] if groups else [])]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                out = []
+                for anchor, ctx, times, n, off, data, *listed in zip(*(batch.slice(at, 256).column(c).to_pylist() for c in cols)):
+                    low, high = off - n + 1, off  # the places of the anchor in these windows
+                    for g in (sorted(listed[0]) if listed else range(low // size, high // size + 1)):
+                        if listed and not low <= g * size <= high:
+                            continue
+                        h = xxhash.xxh3_128_digest(data[max(0, off - g * size) : off - g * size - size + 1 + length])
+                        out.append((anchor, ctx, times, g, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)))
+                c = list(zip(*out)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], names=names)
+
+    return contexts.select(cols).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _shared(hashes: DataFrame, name: str) -> DataFrame:
+    """The rows of ``hashes`` whose hash occurs more than once. Sums and rows are read
+    from tables, so a hash that many contexts share is a join that can be split."""
+    by = ["anchor", "g", "h1", "h2"]
+    hashes = materialise(hashes, name)
+    often = materialise(hashes.groupBy(*by).agg(F.sum("times").alias("all")).where("all > 1").drop("all"), name)
+    return hashes.join(often, by).select("anchor", "ctx", "g")
+
+
+def _count_windows(contexts: DataFrame, length: int, core: int = CORE) -> DataFrame:
+    """DataFrame[anchor, ctx, a, b]: ranges of repeated windows, by counts of hashes."""
+    cores = _shared(_hashes(contexts, length, core, None), "window-cores")
+    spread = F.transform(F.sequence(F.lit(0), F.lit(core - 1)), lambda i: F.col("g") * core + i)
+    listed = cores.groupBy("anchor", "ctx").agg(F.flatten(F.collect_list(spread)).alias("places"))
+    windows = _shared(_hashes(contexts.join(listed, ["anchor", "ctx"]), length, 1, "places"), "windows")
+    found = windows.groupBy("anchor", "ctx").agg(F.sort_array(F.collect_list("g")).alias("places"))
+    found = found.join(contexts.select("anchor", "ctx", "off"), ["anchor", "ctx"])
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for anchor, ctx, places, off in zip(*(batch.column(c).to_pylist() for c in ("anchor", "ctx", "places", "off"))):
+                at = off - np.array(places[::-1])
+                cut = np.flatnonzero(np.diff(at) > 1) + 1
+                out += [(anchor, ctx, int(x[0]), int(x[-1]) + 1) for x in np.split(at, cut)]
+            c = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], names=["anchor", "ctx", "a", "b"])
+
+    return found.mapInArrow(run, "anchor long, ctx long, a long, b long")
+
+
 def _cut(rows: DataFrame, key: str, kind: str, length: int, with_text: bool) -> DataFrame:
     names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
 
@@ -233,23 +299,31 @@ def _cut(rows: DataFrame, key: str, kind: str, length: int, with_text: bool) ->
     return rows.mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES, hot_blocks: int = HOT_BLOCKS, with_text: bool = False) -> DataFrame:
     """DataFrame[key, n_bytes, n_removed, n_spans, kept_sha256], with the bytes
     that remain if ``with_text`` is set."""
-    plain = docs.select(F.xxhash64(key).alias("key"), F.xxhash64(text).alias("tkey"), F.col(text).alias("text"))
+    docs, _, (k, t) = renamed(docs, key, text)
+    plain = docs.select(F.xxhash64(k).alias("key"), F.xxhash64(t).alias("tkey"), F.col(t).alias("text"))
     every = materialise(_find_runs(plain, length), "runs")
     # The fields of one occurrence are taken together: they are all first values.
-    sums = every.groupBy("anchor", "ctx").agg(F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("key", "tkey", "s", "n")))
+    sums = every.groupBy("anchor", "ctx").agg(F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("key", "tkey", "s", "n", "off")))
     sums = materialise(sums, "run-sums")
     size = (F.col("n") + length - 1).cast("long")
     anchors = sums.groupBy("anchor").agg(F.sum("times").alias("all"), F.sum(size).alias("bytes")).where("all > 1")
     anchors = anchors.select("anchor", F.when(F.col("bytes") > shard_bytes, F.ceil(2 * F.col("bytes") / shard_bytes)).otherwise(1).cast("long").alias("blocks"))
     need = materialise(sums.join(anchors, "anchor"), "contexts-needed")
-    total = need.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    by_text = need.groupBy("key", "tkey").agg(F.collect_list(F.struct("anchor", "ctx", "s", "n", "times", "blocks")).alias("need"))
+    total, most = need.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max("blocks"), F.lit(0))).first()
+    by_text = need.groupBy("key", "tkey").agg(F.collect_list(F.struct("anchor", "ctx", "s", "n", "off", "times", "blocks")).alias("need"))
     contexts = _read_contexts(plain.join(by_text, ["key", "tkey"]).select("text", "need"), length)
-    found = materialise(_search(contexts, length, int(total // shard_bytes) + 1), "repeats")
-    spans = every.join(found, ["anchor", "ctx"]).select("tkey", F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b") + length - 1).alias("b")).alias("r"))
-    spans = spans.groupBy("tkey").agg(F.collect_set("r").alias("ranges"))
-    rows = docs.select(F.col(key).alias("__k"), F.xxhash64(text).alias("tkey"), F.col(text).alias("text")).join(spans, "tkey", "left").select("__k", "text", "ranges")
-    return _cut(rows, key, dict(docs.dtypes)[key], length, with_text)
+    if most > hot_blocks:
+        contexts = materialise(contexts, "contexts")
+    found = _search(contexts.where(F.col("blocks") <= hot_blocks), length, int(total // shard_bytes) + 1)
+    if most > hot_blocks:
+        found = found.unionAll(_count_windows(contexts.where(F.col("blocks") > hot_blocks), length))
+    found = materialise(found, "repeats")
+    # Rows are told by key and text: a text that many rows have is many groups.
+    row = ["key", "tkey"]
+    spans = every.join(found, ["anchor", "ctx"]).select(*row, F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b") + length - 1).alias("b")).alias("r"))
+    spans = spans.groupBy(*row).agg(F.collect_set("r").alias("ranges"))
+    rows = docs.select(F.col(k).alias("__k"), F.xxhash64(k).alias("key"), F.xxhash64(t).alias("tkey"), F.col(t).alias("text")).join(spans, row, "left").select("__k", "text", "ranges")
+    return _cut(rows, key, dict(docs.dtypes)[k], length, with_text)

@@ -52,11 +52,11 @@ def corpus(seed, letters, n):
     return out + [out[-1], out[-1], "a" * 300, "ab" * 100 + "é"]
 
 
-@pytest.mark.parametrize("letters,shard", [("abcdefghijklmnop é", 1 << 20), ("ab", 4000), ("abcdefghijklmnop é", 500)])
-def test_against_brute_force(spark, letters, shard):
+@pytest.mark.parametrize("letters,shard,hot", [("abcdefghijklmnop é", 1 << 20, 16), ("ab", 4000, 16), ("abcdefghijklmnop é", 500, 16), ("abcdefghijklmnop é", 300, 1), ("ab", 900, 1)])
+def test_against_brute_force(spark, letters, shard, hot):
     texts = corpus(len(letters) + shard, letters, 60)
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_spans int")
-    got = {r.doc_id: tuple(r)[1:] for r in substr.remove_repeats(df, length=20, shard_bytes=shard).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in substr.remove_repeats(df, length=20, shard_bytes=shard, hot_blocks=hot).collect()}
     for i, want in enumerate(brute(texts, 20)):
         assert got[i] == want, (i, texts[i])
 
@@ -70,7 +70,14 @@ def test_edges(spark):
 
 def test_windows_are_dealt_once():
     data = bytes(random.Random(1).choices(range(256), k=5000))
-    seen = [w for _, _, s, n in substr.runs(data, 400) for w in range(s, s + n)]
+    seen = [w for _, _, s, n, _ in substr.runs(data, 400) for w in range(s, s + n)]
     assert seen == list(range(5000 - 399))
-    moved = {(a, c) for a, c, _, _ in substr.runs(b"q" * 77 + data, 400)}
-    assert len(moved & {(a, c) for a, c, _, _ in substr.runs(data, 400)}) > 10
+    moved = {r[:2] for r in substr.runs(b"q" * 77 + data, 400)}
+    assert len(moved & {r[:2] for r in substr.runs(data, 400)}) > 10
+
+
+def test_null_keys_and_clashing_columns(spark):
+    texts = corpus(5, "abcdefgh", 12)
+    df = spark.createDataFrame([(None, t, "x", 1) for t in texts], "doc_id long, text string, tkey string, `__c1` int")
+    got = sorted(tuple(r)[1:] for r in substr.remove_repeats(df, length=20).collect())
+    assert got == sorted(brute(texts, 20))
