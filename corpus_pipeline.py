@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packloom.llm import bpe, decontam, langid, neardup, pii
-from packloom.runtime import materialise, table
+from packloom.runtime import drop_table, scratch, table
 
 #: A document stays if this share of its words has its language.
 LEAST_LANGUAGE = 0.3
@@ -24,9 +24,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Stage 1: drops texts that are null or have no letter, and those whose best
     language has too small a share; ``lang`` becomes the language found."""
     model = langid.fit(docs, where=langid.spread("doc_id", 3) != 1)
-    seen = langid.predict(docs, model, docs.columns)
+    # Columns go by place, so that one of documents may have any name.
+    names = docs.columns
+    place = [f"c{i}" for i in range(len(names))]
+    seen = langid.predict(docs, model, names).toDF(*place, "lang_pred", "score")
     kept = seen.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_LANGUAGE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    return kept.select(*("lang_pred" if n == "lang" else c for n, c in zip(names, place))).toDF(*names)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +45,10 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def sanitise_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 4: replaces personal data and the terms that disclose it; ``n_chars``
     follows the text."""
-    return pii.sanitise(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(docs.columns)
+    names = docs.columns
+    place = [f"c{i}" for i in range(len(names))]
+    n_chars = F.coalesce(F.length(place[names.index("text")]), F.lit(0)).cast("long")
+    return pii.sanitise(docs).toDF(*place).select(*(n_chars if n == "n_chars" else F.col(c) for n, c in zip(names, place))).toDF(*names)
 
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,10 +71,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again."""
+    """All stages over ``documents``; each result but the last is written and read
+    again, and what its stage wrote on the way, and its input, are deleted."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialise(docs, f"stage-{name}")
-    return docs
+    before = None
+    for name, stage in STAGES[:-1]:
+        with scratch(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop_table(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
