@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Entities that the native decoder knows, the ampersand last.
@@ -65,6 +65,29 @@ def compare_key(text: Column, gap: str = " ") -> Column:
     return collapse(F.regexp_replace(low, "[^a-z0-9 ]+", gap))
 
 
+#: Length of the grams by which texts that hold another are found.
+GRAM = 4
+
+
+def grams(c: Column, n: int | Column) -> Column:
+    """Substrings of ``n`` characters; none of a shorter text."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n))).otherwise(F.array().cast("array<string>"))
+
+
+def holders_by_gram(texts: DataFrame, text: str, keys: DataFrame, key: str) -> DataFrame:
+    """Pairs of a text and a key that holds it. A key that holds a text has the text's
+    rarest gram of GRAM characters (the text itself where that is shorter), so texts
+    meet only the keys of that gram. ``texts`` are distinct and not empty."""
+    every = F.array_distinct(F.flatten(F.array(*(grams(F.col(key), n) for n in range(1, GRAM + 1)))))
+    by = keys.withColumn("__gram", F.explode(every))
+    held = by.groupBy("__gram").agg(F.count("*").alias("k"))
+    own = texts.withColumn("__gram", F.explode(grams(F.col(text), F.least(F.length(text), F.lit(GRAM)))))
+    rarest = own.join(held, "__gram", "left").groupBy(*texts.columns).agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "__gram")).alias("r"))
+    pairs = rarest.select(*texts.columns, F.col("r.__gram").alias("__gram")).join(by, "__gram").drop("__gram")
+    return pairs.where(F.contains(key, F.col(text)))
+
+
 def fold(text: Column) -> Column:
     """Lower case with collapsed white space."""
     return F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")

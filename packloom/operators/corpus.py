@@ -5,31 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packloom.functions.html import is_local, references
+from packloom.functions.html import holders_by_gram, is_local, references
 from packloom.operators.resolve import resolve_paths
 
 TOPIC_PART, MODULE_PART = r"(?i)^topic\s*\d+", r"(?i)^module\s*\d+"
-GRAM = 4
 
 
 def course_token(code: Column) -> Column:
     return F.regexp_replace(F.lower(code), "[^a-z0-9]+", "")
 
 
-def _grams(c: Column, n: int | Column) -> Column:
-    """Substrings of ``n`` characters; none of a shorter text."""
-    n = F.lit(n) if isinstance(n, int) else n
-    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n))).otherwise(F.array().cast("array<string>"))
-
-
 def match_snapshots(courses: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Courses (course) to snapshots (snapshot, name): an equal token, else a name
     whose token holds the course's, else the one snapshot that shares a number of
     4 or 5 digits. Adds ``snapshot`` and ``how``.
 
     The containment arm compares a course that has no equal token with the names
-    that hold the rarest of its token's grams of ``GRAM`` characters (the token
-    itself where that is shorter), which a name that holds the token must have.
+    that hold the rarest gram of its token.
     """
     numbers = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?<!\d)\d{4,5}(?!\d)"), F.lit(0)))
     c = courses.select("course", course_token(F.col("course")).alias("token"), numbers(F.col("course")).alias("nums")).where("token <> ''")
@@ -38,12 +30,8 @@ def match_snapshots(courses: DataFrame, snapshots: DataFrame) -> DataFrame:
     cn = c.select("course", "token", F.explode("nums").alias("num"))
     sn = s.select("snapshot", "key", F.explode("snums").alias("num"))
     shared = cn.join(sn, "num")
-    keys = s.select("snapshot", "key", F.explode(F.array_distinct(F.flatten(F.array(*(_grams(F.col("key"), n) for n in range(1, GRAM + 1)))))).alias("gram"))
-    held = keys.groupBy("gram").agg(F.count("*").alias("k"))
     open_ = c.join(exact, "course", "left_anti").select("course", "token").distinct()
-    grams = open_.select("course", "token", F.explode(_grams(F.col("token"), F.least(F.length("token"), F.lit(GRAM)))).alias("gram"))
-    rarest = grams.join(held, "gram", "left").groupBy("course", "token").agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "gram")).alias("r")).select("course", "token", F.col("r.gram").alias("gram"))
-    inside = rarest.join(keys, "gram").where(F.contains("key", F.col("token"))).groupBy("course").agg(F.min("snapshot").alias("inside"))
+    inside = holders_by_gram(open_, "token", s.select("snapshot", "key"), "key").groupBy("course").agg(F.min("snapshot").alias("inside"))
     only = shared.groupBy("course").agg(F.countDistinct("snapshot").alias("k"), F.min("snapshot").alias("only")).where("k = 1").drop("k")
     j = courses.join(exact, "course", "left").join(inside, "course", "left").join(only, "course", "left")
     how = F.when(F.col("exact").isNotNull(), "token").when(F.col("inside").isNotNull(), "contains").when(F.col("only").isNotNull(), "number")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CHECKLIST = "priority string, source string, category string, owner string, description string, action string, reference string"
+CHECKLIST = "priority string, source string, category string, owner string, description string, action string, count long, reference string"
 
 #: Fixed values. Import issues: what the description holds (or, with ^, starts
 #: with), priority, category, owner and action; the first that holds decides.
@@ -100,30 +100,75 @@ def grouped_review(issues: DataFrame) -> DataFrame:
     return rows.select("type", "reason", "n", "files", F.array_join("sample", ", ").alias("sample"))
 
 
-def review_checklist(issues: DataFrame) -> DataFrame:
+def review_checklist(issues: DataFrame, source: str = "manual-review.csv") -> DataFrame:
+    """An item for each finding, with the number of its rows and three of its files."""
     g = grouped_review(issues).withColumn("x", review_rung(F.col("type"), F.col("reason")))
-    text = F.concat("reason", F.lit(" ("), F.col("n").cast("string"), F.lit(" occurrence(s))"))
-    return g.select("x.priority", F.lit("manual_review").alias("source"), "x.category", "x.owner", text.alias("description"), "x.action", F.col("sample").alias("reference"))
+    reference = F.when(F.col("sample") == "", source).otherwise(F.concat(F.lit(f"{source} | sample files: "), F.col("sample")))
+    return g.select("x.priority", F.lit("manual_review").alias("source"), "x.category", "x.owner", F.col("reason").alias("description"), "x.action", F.col("n").alias("count"), reference.alias("reference"))
 
 
 def import_checklist(issues: DataFrame) -> DataFrame:
-    d = F.trim("description")
+    """An item for each issue (description, reference) of an import."""
+    d = F.trim(F.coalesce("description", F.lit("")))
     rows = issues.withColumn("x", import_rung(d))
-    return rows.select("x.priority", F.lit("canvas_import").alias("source"), "x.category", "x.owner", F.when(d == "", "Canvas import warning").otherwise(d).alias("description"), "x.action", F.col("reference"))
+    return rows.select("x.priority", F.lit("canvas_import").alias("source"), "x.category", "x.owner", F.when(d == "", "Canvas import warning").otherwise(d).alias("description"), "x.action", F.lit(1).cast("long").alias("count"), F.trim(F.coalesce("reference", F.lit(""))).alias("reference"))
+
+
+#: Fixed values. Practices that the audit of reference documents may miss: id,
+#: priority, owner and action.
+PRACTICE_LADDER = [
+    ("item_bank_sharing", "P1", "ID/Faculty", "After rebuilding or copying quiz banks, open Item Banks, share each required bank with the course, and verify the course coordinator can edit the questions."),
+    ("question_library_rebuild", "P1", "ID/Faculty", "For quizzes that used D2L question libraries, rebuild question pools from Canvas item banks and verify scoring, settings, and random draw behavior."),
+    ("rubric_use_for_grading", "P1", "Faculty/ID", "Open each migrated rubric, fix formatting/points/outcomes as needed, reconnect it to the assessment, and enable Use this rubric for grading where required."),
+    ("studio_video_workflow", "P1", "ID", "If a course used D2L media-library videos, move them into course-owned Canvas Studio or another approved course-owned location, replace embeds, and verify student playback."),
+    ("mobile_view_review", "P2", "Faculty/ID", "Use browser device emulation or Canvas mobile tooling to verify the final course pages and assessments in a mobile-sized view before release."),
+]
+PRACTICE_DEFAULT = ("P2", "ID Lead", "Add explicit rule, trigger, or preflight check to cover this best-practice topic.")
+PHRASE_ACTION = "Decide whether to encode this guidance into migration rules, checklist, or process docs."
+CLOSER_ITEM = ("P1", "reference_template_mc_closer", "ID Lead", "Template missing required Module Checklist closing reminder.", "Update template and migration validation to enforce required checklist closer.")
+PLACEHOLDER_ITEM = ("P2", "reference_template_placeholders", "ID Lead", "Template documents contain placeholder patterns.", "Confirm placeholders are intentional template tokens and enforce final cleanup rules.")
+
+
+def practice_rung(id: Column) -> Column:
+    """struct<priority, owner, action> of a practice that is not covered."""
+    rung = lambda p, o, a: F.struct(F.lit(p).alias("priority"), F.lit(o).alias("owner"), F.lit(a).alias("action"))
+    key = F.lower(F.trim(F.coalesce(id, F.lit(""))))
+    return F.coalesce(*(F.when(key == i, rung(*rest)) for i, *rest in PRACTICE_LADDER), rung(*PRACTICE_DEFAULT))
+
+
+def reference_checklist(gaps: DataFrame, practices: DataFrame, template: DataFrame, source: str = "reference-audit.json") -> DataFrame:
+    """Items from the audit of reference documents: critical phrases that are missing,
+    ``gaps`` (id, phrase, rationale); practices without rule or finding, ``practices``
+    (id, label, action_needed); and ``template``, one row (closer_present, placeholders)."""
+
+    def rows(df: DataFrame, priority, category, owner, description, action, reference) -> DataFrame:
+        text = lambda c: F.lit(c) if isinstance(c, str) else c
+        return df.select(text(priority).alias("priority"), F.lit("reference_audit").alias("source"), text(category).alias("category"), text(owner).alias("owner"), text(description).alias("description"), text(action).alias("action"), F.lit(1).cast("long").alias("count"), text(reference).alias("reference"))
+
+    tag = lambda kind, default: F.concat(F.lit(f"reference_{kind}:"), F.coalesce(F.col("id"), F.lit(default)))
+    phrase, label = F.trim("phrase"), F.trim("label")
+    out = rows(gaps.where(phrase != ""), "P2", tag("instruction_gap", "gap"), "ID Lead", phrase, PHRASE_ACTION, F.trim(F.coalesce("rationale", F.lit(""))))
+    needed = practices.where(F.col("action_needed") & (label != "")).withColumn("x", practice_rung(F.col("id")))
+    out = out.unionByName(rows(needed, F.col("x.priority"), tag("best_practice_gap", "coverage"), F.col("x.owner"), label, F.col("x.action"), source))
+    out = out.unionByName(rows(template.where(~F.coalesce("closer_present", F.lit(True))), *CLOSER_ITEM, source))
+    found = F.array_join(F.slice("placeholders", 1, 5), ", ")
+    return out.unionByName(rows(template.where(F.size("placeholders") > 0), *PLACEHOLDER_ITEM, found))
+
+
+#: Fixed values. Checks that every package needs: category, owner, description, action.
+STANDARD_TASKS = [
+    ("gradebook_structure", "ID", "Verify Canvas Gradebook assignment groups, weights, and drop rules", "Open Gradebook → Assignment Groups.  Recreate D2L category weights, confirm assignment group totals match D2L, and configure drop-lowest/drop-highest rules for any activity with student-drop policies."),
+    ("bonus_extra_credit", "ID/Faculty", "Verify bonus / extra-credit assignments are configured correctly", "In Canvas, extra-credit assignments must be worth 0 points and have an attached rubric (or a manual points entry).  Find any D2L 'bonus' items and set them up in Canvas accordingly.  Confirm they do not count against the total points denominator."),
+    ("syllabus_quiz_gate", "ID/Faculty", "Verify Syllabus Quiz / prerequisite-gating is re-implemented in Canvas", "If the D2L course gated module access with a Syllabus Quiz (quiz set to 'Not in Gradebook'), recreate the prerequisite using Canvas Module Requirements (complete the quiz before proceeding) and verify the quiz is excluded from grade calculations."),
+    ("faculty_only_content", "ID", "Verify instructor-only / faculty-only pages are unpublished in Canvas", "Identify D2L pages restricted to Staff/Instructor roles (release conditions).  In Canvas, set those pages to Unpublished and add '(Instructor Only)' to the page title per naming convention so they are excluded from student view."),
+    ("rubric_configuration", "ID/Faculty", "Verify rubric point ranges, criteria, and grading connections in Canvas", "Open each migrated rubric in Canvas.  Check that criterion point ranges are correct (D2L and Canvas range differently), attach the rubric to its assignment, and enable 'Use this rubric for grading' on graded assessments."),
+    ("item_bank_sharing", "ID", "Share item banks with course coordinator after quiz migration", "After rebuilding quiz question banks, open Canvas Item Banks, share each required bank at the course level, and confirm the course coordinator can view and edit questions.  This is required before the course goes live for multi-section courses."),
+]
 
 
 def standard_tasks(spark: SparkSession) -> DataFrame:
     """Checks that every package needs."""
-    #: Category, owner and description.
-    rows = [
-        ("gradebook_structure", "ID", "Verify Canvas Gradebook assignment groups, weights, and drop rules"),
-        ("bonus_extra_credit", "ID/Faculty", "Verify bonus / extra-credit assignments are configured correctly"),
-        ("syllabus_quiz_gate", "ID/Faculty", "Verify Syllabus Quiz / prerequisite-gating is re-implemented in Canvas"),
-        ("faculty_only_content", "ID", "Verify instructor-only / faculty-only pages are unpublished in Canvas"),
-        ("rubric_configuration", "ID/Faculty", "Verify rubric point ranges, criteria, and grading connections in Canvas"),
-        ("item_bank_sharing", "ID", "Share item banks with course coordinator after quiz migration"),
-    ]
-    return spark.createDataFrame([("P2", "standard_migration", c, o, d, "", "") for c, o, d in rows], CHECKLIST)
+    return spark.createDataFrame([("P2", "standard_migration", c, o, d, a, 1, "") for c, o, d, a in STANDARD_TASKS], CHECKLIST)
 
 
 def priority_rank(priority: Column) -> Column:
@@ -139,6 +184,11 @@ def checklist(*parts: DataFrame) -> DataFrame:
     return out.orderBy(priority_rank(F.col("priority")), "source", "category", "description")
 
 
+def checklist_rows(items: DataFrame) -> DataFrame:
+    """The checklist as a sheet for people to fill in."""
+    return items.select("priority", "source", "category", "owner", "description", "action", "count", "reference", F.lit("todo").alias("status"), F.lit("").alias("notes"))
+
+
 def checklist_counts(items: DataFrame) -> DataFrame:
     """Items by priority, by source and by category, in one pass."""
     g = items.groupingSets([["priority"], ["source"], ["category"]], "priority", "source", "category").agg(F.count("*").alias("n"))

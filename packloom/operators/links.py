@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from packloom.functions.arrow import unescape
 from packloom.functions.html import attribute, basename, compare_key, decode_basic, is_local, matches, plain_text, url_path
-from packloom.operators.corpus import GRAM, _grams
-from packloom.operators.resolve import resolve_assets
+from packloom.operators.resolve import best_targets, resolve_assets
 
 #: Addresses of the old system and of its shared template.
 LEGACY = r"(?i)^/?(?:d2l/|content/enforced/)"
@@ -33,23 +32,8 @@ def neutralised_links(pages: DataFrame, key: str, text: str = "html") -> DataFra
 
 
 def assignment_targets(links: DataFrame, targets: DataFrame) -> DataFrame:
-    """DataFrame[link_id, url]: the best target (key, url) of each link text: an
-    equal key, the text and " survey", the text and " quiz", a key that starts with
-    the text and " survey", that starts with the text, that holds it; ties go to
-    the larger url. Links are compared with the keys that hold the rarest gram of
-    their text, which a key that holds the text must have.
-    """
-    grams = F.array_distinct(F.flatten(F.array(*(_grams(F.col("key"), n) for n in range(1, GRAM + 1)))))
-    keys = targets.select("key", "url", F.explode(grams).alias("gram"))
-    held = keys.groupBy("gram").agg(F.count("*").alias("k"))
-    texts = links.select("text").where("text <> ''").distinct()
-    own = texts.select("text", F.explode(_grams(F.col("text"), F.least(F.length("text"), F.lit(GRAM)))).alias("gram"))
-    rarest = own.join(held, "gram", "left").groupBy("text").agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "gram")).alias("r")).select("text", F.col("r.gram").alias("gram"))
-    t, k = F.col("text"), F.col("key")
-    survey, quiz = F.concat(t, F.lit(" survey")), F.concat(t, F.lit(" quiz"))
-    score = F.when(k == t, 100).when(k == survey, 95).when(k == quiz, 94).when(F.startswith(k, survey), 93).when(F.startswith(k, t), 90).when(F.contains(k, t), 80)
-    best = rarest.join(keys, "gram").withColumn("score", score).where("score is not null").groupBy("text").agg(F.max(F.struct("score", "url")).alias("b"))
-    return links.join(best, "text").select("link_id", F.col("b.url").alias("url"))
+    """DataFrame[link_id, url]: the best target (key, url) of each link text."""
+    return best_targets(links, targets).where("url is not null").select("link_id", "url")
 
 
 def page_targets(links: DataFrame, targets: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packloom.functions.html import basename
+from packloom.functions.html import basename, holders_by_gram
 
 
 def _index(paths: DataFrame, key: Column, name: str) -> DataFrame:
@@ -83,23 +83,18 @@ def resolve_assets(refs: DataFrame, assets: DataFrame, aliases: DataFrame, stop_
 
 
 def best_targets(links: DataFrame, targets: DataFrame) -> DataFrame:
-    """Link texts to the best of the targets (key, url): equal text 100, target
-    starts with the text 95, text starts with the target 94, target ends 93,
-    text ends 90, contains 80; ties go to the larger url.
-
-    Equal keys are joined by key; the containment arms compare each link with
-    the targets that share its longest word, so nothing is compared with all.
-    """
-    longest = lambda c: F.element_at(F.sort_array(F.transform(F.split(c, " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1).w
-    words = targets.withColumn("w", F.explode(F.array_distinct(F.split("key", " "))))
-    lw = links.withColumn("w", longest(F.col("text")))
-    down = lw.join(words, "w").select("link_id", "text", "key", "url")
-    rev = links.withColumn("w", F.explode(F.array_distinct(F.split("text", " ")))).join(targets.withColumn("w", longest(F.col("key"))), "w").select("link_id", "text", "key", "url")
+    """DataFrame[link_id, url, score]: of each link text (link_id, text) the best of the
+    targets (key, url): an equal key 100, the text and " survey" 95, the text and
+    " quiz" 94, a key that starts with the text and " survey" 93, that starts with the
+    text 90, that holds it 80; ties go to the larger url. Links without a target,
+    null and empty texts have null."""
+    texts = links.select("text").where("text <> ''").distinct()
     t, k = F.col("text"), F.col("key")
-    score = F.when(t == k, 100).when(F.startswith(k, t), 95).when(F.startswith(t, k), 94).when(F.endswith(k, t), 93).when(F.endswith(t, k), 90).when(F.contains(k, t) | F.contains(t, k), 80)
-    scored = down.unionByName(rev).withColumn("score", score).where("score is not null")
-    best = scored.groupBy("link_id").agg(F.max(F.struct("score", "url")).alias("b"))
-    return links.join(best, "link_id", "left").select(*(links[c] for c in links.columns), F.col("b.url").alias("url"), F.col("b.score").alias("score"))
+    survey, quiz = F.concat(t, F.lit(" survey")), F.concat(t, F.lit(" quiz"))
+    score = F.when(k == t, 100).when(k == survey, 95).when(k == quiz, 94).when(F.startswith(k, survey), 93).when(F.startswith(k, t), 90).otherwise(80)
+    pairs = holders_by_gram(texts, "text", targets.select("key", "url"), "key").withColumn("score", score)
+    best = pairs.groupBy("text").agg(F.max(F.struct("score", "url")).alias("b"))
+    return links.join(best, "text", "left").select("link_id", F.col("b.url").alias("url"), F.col("b.score").alias("score"))
 
 
 def availability(refs: DataFrame, assets: DataFrame) -> DataFrame:

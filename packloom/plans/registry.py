@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packloom.functions import html as H
@@ -272,19 +272,26 @@ for _name, _stops in (("asset_overlay", (True, True)), ("asset_relink", (False,
     ORACLE[_name] = _asset_sql(*_stops)
 
 
-@query(r"""
-WITH l AS (SELECT l_orderkey AS k FROM lineitem), links AS (SELECT p_partkey AS link_id, lower(p_name) AS text FROM part),
-t AS (SELECT lower(p_name) AS key, 'u/' || p_partkey AS url FROM part WHERE p_partkey % 3 = 0 UNION SELECT lower(split_part(p_name, ' ', 1)), 'w/' || p_partkey FROM part WHERE p_partkey % 50 = 1),
-s AS (SELECT link_id, url, CASE WHEN text = key THEN 100 WHEN starts_with(key, text) THEN 95 WHEN starts_with(text, key) THEN 94 WHEN ends_with(key, text) THEN 93 WHEN ends_with(text, key) THEN 90 WHEN contains(key, text) OR contains(text, key) THEN 80 END AS score
-  FROM links, t), w AS (SELECT link_id, max(score) AS score FROM s GROUP BY link_id)
-SELECT links.link_id, (SELECT max(url) FROM s WHERE s.link_id = links.link_id AND s.score = w.score) AS url, w.score::INT AS score FROM links LEFT JOIN w USING (link_id)""")
+#: What follows a part's name in the title of a target, by part.
+SUFFIXES = ["", " survey", " quiz", " survey two", "s and more", " quizzes", " x"]
+
+
+@query(f"""
+WITH n AS (SELECT p_partkey, p_size, lower(p_name) || ' ' || p_brand AS name, lower(p_name) || ' ' || p_brand || list_extract({SUFFIXES}, 1 + p_partkey % 7) AS long FROM part),
+links AS (SELECT p_partkey AS link_id, CASE WHEN p_size % 3 = 0 THEN substr(lower(name), 2) ELSE lower(name) END AS text FROM n),
+t AS (SELECT lower(CASE WHEN p_size % 2 = 0 THEN 'the ' || long ELSE long END) AS key, 'u/' || p_partkey AS url FROM n),
+s AS (SELECT link_id, url, CASE WHEN key = text THEN 100 WHEN key = text || ' survey' THEN 95 WHEN key = text || ' quiz' THEN 94 WHEN starts_with(key, text || ' survey') THEN 93 WHEN starts_with(key, text) THEN 90 ELSE 80 END AS score FROM links JOIN t ON contains(key, text)),
+b AS (SELECT link_id, max(score) AS score FROM s GROUP BY link_id)
+SELECT link_id, (SELECT max(url) FROM s WHERE s.link_id = links.link_id AND s.score = b.score) AS url, b.score::INT AS score FROM links LEFT JOIN b USING (link_id)""")
 def best_link_targets(spark, sf):
+    """The names of all parts against titles of all parts, on every rung."""
     p = table(spark, sf, "part")
     k = F.col("p_partkey")
-    links = p.select(k.alias("link_id"), F.lower("p_name").alias("text"))
-    t = p.where(k % 3 == 0).select(F.lower("p_name").alias("key"), F.concat(F.lit("u/"), k.cast("string")).alias("url"))
-    t = t.unionByName(p.where(k % 50 == 1).select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("key"), F.concat(F.lit("w/"), k.cast("string")).alias("url"))).distinct()
-    return resolve.best_targets(links, t).select("link_id", "url", "score")
+    name = F.lower(F.concat(F.lower("p_name"), F.lit(" "), F.col("p_brand")))
+    links = p.select(k.alias("link_id"), F.when(F.col("p_size") % 3 == 0, F.substring(name, 2, 1000)).otherwise(name).alias("text"))
+    long = F.concat(name, F.element_at(F.array(*map(F.lit, SUFFIXES)), (k % 7 + 1).cast("int")))
+    key = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("the "), long)).otherwise(long)
+    return resolve.best_targets(links, p.select(key.alias("key"), F.concat(F.lit("u/"), k.cast("string")).alias("url"))).select("link_id", "url", "score")
 
 
 @query(r"""
@@ -368,35 +375,64 @@ def keyword_coverage(spark, sf):
     return sets.coverage(table(spark, sf, "documents"), "text", SIGNALS)
 
 
+#: Import issues: description, priority, category, owner.
+IMPORT_CASES = [
+    ("We couldn't determine the correct answers #", "P1", "quiz_answer_key", "Faculty/ID"), ("Missing links found in imported content - Wiki Page Body", "P1", "missing_page_link", "ID"),
+    ("Missing links found in imported content - Announcement Message", "P2", "missing_announcement_link", "ID"), ("x missing links found in imported content - assignment description", "P1", "missing_assignment_link", "ID"),
+    ("Missing links found in imported content - Assessment Question question_text", "P1", "missing_assessment_question_link", "Faculty/ID"), ("Import Error: Module Item - #", "P1", "module_item_import_error", "ID"),
+    ("Import Error: Quiz - #", "P1", "quiz_import_error", "Faculty/ID"), ("An import error: quiz - #", "P2", "canvas_import_warning", "ID"), ("", "P2", "canvas_import_warning", "ID"),
+]
+PRACTICE_CASES = ["item_bank_sharing", "question_library_rebuild", "rubric_use_for_grading", "studio_video_workflow", " Mobile_View_Review", "other"]
+
+
+def _reference_items(spark, sf) -> DataFrame:
+    k = F.col("s_suppkey")
+    s = table(spark, sf, "supplier")
+    gaps = s.select(F.concat(F.lit("g"), k.cast("string")).alias("id"), F.when(k % 3 == 0, " ").otherwise(F.concat(F.lit(" phrase "), k.cast("string"))).alias("phrase"), F.col("s_name").alias("rationale"))
+    practices = s.select(_pick(k, PRACTICE_CASES).alias("id"), F.col("s_name").alias("label"), (k % 4 < 2).alias("action_needed"))
+    template = spark.range(1).select(F.lit(False).alias("closer_present"), F.array(*(F.lit(f"p{i}") for i in range(7))).alias("placeholders"))
+    return findings.reference_checklist(gaps, practices, template)
+
+
 def _checklist(spark, sf) -> DataFrame:
-    issues = _page_issues(spark, sf)
-    manual = findings.review_checklist(issues.withColumnRenamed("page_id", "path"))
-    o = table(spark, sf, "orders")
-    k = F.col("o_orderkey") % 8
-    kinds = [m.lstrip("^") + "item" for m, *_ in findings.IMPORT_LADDER] + [""]
-    d = F.element_at(F.array(*(F.lit(x) for x in kinds)), (k + 1).cast("int"))
-    imports = o.where("o_orderstatus = 'F'").select(d.alias("description"), F.col("o_orderkey").cast("string").alias("reference"))
-    return findings.checklist(manual, findings.import_checklist(imports), findings.standard_tasks(spark))
+    manual = findings.review_checklist(_page_issues(spark, sf).withColumn("path", F.format_string("%08d", "path")))
+    k = F.col("o_orderkey")
+    imports = table(spark, sf, "orders").select(_pick(k, [c[0] for c in IMPORT_CASES]).alias("description"), k.cast("string").alias("reference"))
+    return findings.checklist(manual, findings.import_checklist(imports), _reference_items(spark, sf), findings.standard_tasks(spark))
 
 
-_IMPORT_SQL = "CASE o_orderkey % 8 WHEN 2 THEN 'P2' WHEN 7 THEN 'P2' ELSE 'P1' END"
+def _values(rows: list[tuple]) -> str:
+    text = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return "(VALUES " + ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows) + ")"
 
 
-@query(rf"""
-WITH {_TRIGGER_SQL.strip()},
-every AS (SELECT DISTINCT reason FROM found UNION SELECT 'Title repeated in first heading'),
-m AS (SELECT CASE WHEN reason LIKE 'Legacy script%' OR reason LIKE 'Embedded iframe%' THEN 'P1' ELSE 'P2' END AS priority, 'manual_review' AS source FROM every),
-i AS (SELECT {_IMPORT_SQL} AS priority, 'canvas_import' AS source FROM orders WHERE o_orderstatus = 'F'),
-a AS (SELECT * FROM m UNION ALL SELECT * FROM i UNION ALL SELECT 'P2', 'standard_migration' FROM range(6))
-SELECT priority AS value, 'priority' AS kind, count(*)::BIGINT AS n FROM a GROUP BY 1 UNION ALL SELECT source, 'source', count(*)::BIGINT FROM a GROUP BY 1""")
+_IMPORT_ACTIONS = {c: a for _, _, c, _, a in findings.IMPORT_LADDER} | {"canvas_import_warning": findings.IMPORT_DEFAULT[3]}
+_PRACTICES = {i: (p, o, a) for i, p, o, a in findings.PRACTICE_LADDER}
+_CHECKLIST_SQL = rf"""{_TRIGGER_SQL.strip()}, heads AS (SELECT page_id, regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1) AS a, regexp_extract(html, '(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]>', 1) AS b FROM pages),
+every AS (SELECT page_id, reason FROM found UNION ALL SELECT page_id, 'Title repeated in first heading' FROM heads WHERE a = b AND regexp_replace(a, '[^A-Za-z0-9]', '', 'g') <> ''),
+g AS (SELECT reason, count(*) AS n, list_sort(list(format('{{:08d}}', page_id)))[1:3] AS f FROM every GROUP BY reason),
+rv(mark, priority, category, owner, action) AS {_values([(r[0].lower(), *r[1:]) for r in findings.REVIEW_LADDER[:2]])},
+m AS (SELECT coalesce(rv.priority, 'P2') AS priority, 'manual_review' AS source, coalesce(rv.category, 'manual_review_item') AS category, coalesce(rv.owner, 'ID') AS owner, reason AS description, coalesce(rv.action, 'Review and resolve this migration finding.') AS action, n::BIGINT AS count, 'manual-review.csv | sample files: ' || array_to_string(f, ', ') AS reference FROM g LEFT JOIN rv ON contains(lower(reason), mark)),
+ic(i, description, priority, category, owner, action) AS {_values([(i, d, p, c, o, _IMPORT_ACTIONS[c]) for i, (d, p, c, o) in enumerate(IMPORT_CASES)])},
+i AS (SELECT priority, 'canvas_import' AS source, category, owner, CASE WHEN description = '' THEN 'Canvas import warning' ELSE replace(description, '#', o_orderkey::VARCHAR) END AS description, action, 1::BIGINT AS count, o_orderkey::VARCHAR AS reference FROM orders JOIN ic ON o_orderkey % {len(IMPORT_CASES)} = i),
+pc(i, id, priority, owner, action) AS {_values([(i, c, *_PRACTICES.get(c.strip().lower(), findings.PRACTICE_DEFAULT)) for i, c in enumerate(PRACTICE_CASES)])},
+r AS (SELECT 'P2', 'reference_audit', 'reference_instruction_gap:g' || s_suppkey, 'ID Lead', 'phrase ' || s_suppkey, '{findings.PHRASE_ACTION}', 1::BIGINT, s_name FROM supplier WHERE s_suppkey % 3 <> 0
+  UNION ALL SELECT priority, 'reference_audit', 'reference_best_practice_gap:' || id, owner, s_name, action, 1::BIGINT, 'reference-audit.json' FROM supplier JOIN pc ON s_suppkey % {len(PRACTICE_CASES)} = i WHERE s_suppkey % 4 < 2
+  UNION ALL SELECT * FROM {_values([(p, 'reference_audit', c, o, d, a, 1, r) for (p, c, o, d, a), r in ((findings.CLOSER_ITEM, 'reference-audit.json'), (findings.PLACEHOLDER_ITEM, 'p0, p1, p2, p3, p4'))])}),
+a AS (SELECT * FROM m UNION ALL SELECT * FROM i UNION ALL SELECT * FROM r UNION ALL SELECT * FROM {_values([('P2', 'standard_migration', c, o, d, x, 1, '') for c, o, d, x in findings.STANDARD_TASKS])})"""
+
+
+@query(f"""WITH {_CHECKLIST_SQL}
+SELECT priority AS value, 'priority' AS kind, count(*)::BIGINT AS n FROM a GROUP BY 1 UNION ALL SELECT source, 'source', count(*)::BIGINT FROM a GROUP BY 1 UNION ALL SELECT category, 'category', count(*)::BIGINT FROM a GROUP BY 1""")
 def checklist_counts(spark, sf):
-    """The checklist of all sources, counted by priority and by source."""
-    return findings.checklist_counts(_checklist(spark, sf)).where("kind <> 'category'").select("value", "kind", "n")
+    """The checklist of all sources, counted by priority, source and category."""
+    return findings.checklist_counts(_checklist(spark, sf)).select("value", "kind", "n")
 
 
-@query()
+@query(f"WITH {_CHECKLIST_SQL} SELECT *, 'todo' AS status, '' AS notes FROM a")
 def fix_checklist(spark, sf):
-    return _checklist(spark, sf)
+    """The checklist of all four sources, as a sheet."""
+    return findings.checklist_rows(_checklist(spark, sf))
 
 
 @query("""
@@ -483,20 +519,69 @@ def approval_gates(spark, sf):
     return cohort.approval_score(cohort.structure_gate(p, cohort.consensus(p)))
 
 
-@query(f"""SELECT package, title, count(*)::BIGINT AS n FROM (SELECT package, CASE WHEN title LIKE 'Topic 0% | Start' THEN 'Module ' || substr(title, 8, 1) || ': Start' ELSE title END AS title FROM ({_TITLES})) GROUP BY ALL""")
+def _case(key: str, values: list, quote: bool = True) -> str:
+    """SQL that picks a value by key; # in it is the key."""
+    text = lambda v: "NULL" if v is None else "'" + v.replace("'", "''").replace("#", f"' || {key} || '") + "'" if quote else str(v)
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN {text(v)}" for i, v in enumerate(values)) + " END"
+
+
+def _pick(key: Column, values: list) -> Column:
+    """The same as a column."""
+    text = lambda v: F.replace(F.lit(v), F.lit("#"), key.cast("string")) if isinstance(v, str) else F.lit(v)
+    out = F.when(key % len(values) == 0, text(values[0]))
+    for i, v in enumerate(values[1:], 1):
+        out = out.when(key % len(values) == i, text(v))
+    return out
+
+
+#: Titles of items and what they become.
+TITLE_CASES = [
+    ("Topic 0# | Start", "Module #: Start"), ("Topic# - A - b", "Module #: A - b"), ("topic 7 : x", "Module 7: x"), ("Topic # Start", "Topic # Start"), ("A Topic # | b", "A Topic # | b"),
+    ("Quiz # | One", "Quiz #: One"), ("Quiz: # | One | Two", "Quiz #: One Two"), ("  Syllabus  |  Part #", "Syllabus: Part #"), ("Module # | Name", "Module # | Name"), ("Unit # | x", "Unit # | x"),
+    ("Survey | #", "Survey: #"), ("Grading   Information -| #", "Grading Information: #"), ("Quiz # |", "Quiz # |"), ("| Quiz | #", "Quiz: #"), ("Re-view | #", "Review: #".replace("Review", "Re-view")), ("Plain #", "Plain #"),
+    ("Preparing Your Course | #", "Preparing Your Course: #"), ("Start Here | : # -", "Start Here: #"), ("Lab | #", "Lab | #"), ("Exams & more | #", "Exams & more: #"),
+]
+
+
+@query(f"SELECT p_partkey, {_case('p_partkey', [b for _, b in TITLE_CASES])} AS title FROM part")
 def title_delimiters(spark, sf):
-    t = manifest.normal_delimiters(manifest.topic_to_module(F.col("title")))
-    return _titles(spark, sf).select("package", t.alias("title")).groupBy("package", "title").agg(F.count("*").alias("n"))
+    """Titles with topic numbers and bars in the template's wording."""
+    k = F.col("p_partkey")
+    t = manifest.normal_delimiters(manifest.topic_to_module(_pick(k, [a for a, _ in TITLE_CASES])))
+    return table(spark, sf, "part").select("p_partkey", t.alias("title"))
+
+
+#: Children of modules: title, title without bars, group and title in a numbered
+#: module (no group: the child goes).
+CHILD_CASES = [
+    ("Overview", "Overview", None, None), ("Introduction and Objectives", "Introduction and Objectives", 0, "Module #: Introduction and Checklist"), ("Lesson | Cells", "Lesson: Cells", 0, "Module #: Lesson Cells"),
+    ("Quiz - One", "Quiz - One", 1, "Quiz: One"), ("Unit Review", "Unit Review", 2, "Module #: Review"), ("Learning Activities for all", "Learning Activities for all", 0, "Module #: Learning Activities"),
+    ("Assignment | Essay | Part 2", "Assignment: Essay Part 2", 1, "Module #: Assignment Essay Part 2"), ("Reading list", "Reading list", 1, "Reading list"), ("Discussion", "Discussion", 1, "Module #: Discussion [Title Here]"),
+    ("Student resources", "Student resources", 1, "Student resources"), ("Activities", "Activities", None, None), ("Introduction to all", "Introduction to all", 0, "Module #: Introduction and Checklist"), ("Survey: 2 | Feedback", "Survey 2: Feedback", 1, "Quiz: 2: Feedback"),
+]
+MODULE_CASES = ["Module 0#: Name", "Faculty Resources for all", "Course Overview #", "Week #", "Module #: Name"]
+_CHILD_COLUMNS = [list(c) for c in zip(*CHILD_CASES)]
 
 
-@query(f"""WITH t AS ({_TITLES}), k AS (SELECT package, title, CASE WHEN lower(title) LIKE '%introduction%' OR lower(title) LIKE '%overview%' OR lower(title) LIKE '%objectives%' OR lower(title) LIKE '%checklist%' THEN 0 WHEN lower(title) LIKE '%review%' OR lower(title) LIKE '%summary%' OR lower(title) LIKE '%wrap%' THEN 2 ELSE 1 END AS r FROM t WHERE kind = 'page'),
-d AS (SELECT DISTINCT package, title, r FROM k), b AS (SELECT package, title, r, 1 AS h FROM d UNION ALL SELECT DISTINCT package, CASE r WHEN 0 THEN 'Overview' WHEN 1 THEN 'Activity' ELSE 'Review' END, r, 0 FROM d)
-SELECT package, row_number() OVER (PARTITION BY package ORDER BY r, h, CASE WHEN h = 1 THEN title END)::INT AS position, h = 0 AS is_header, title FROM b""")
+@query(f"""
+WITH c AS (SELECT p_partkey // 7 AS m, p_partkey AS o, 'i' || p_partkey AS item_id, {_case('p_partkey', _CHILD_COLUMNS[0])} AS raw, {_case('p_partkey', _CHILD_COLUMNS[1])} AS plain,
+  {_case('p_partkey', ['NULL' if g is None else g for g in _CHILD_COLUMNS[2]], False)} AS g, replace({_case('p_partkey', [None if t is None else t.replace('#', '~') for t in _CHILD_COLUMNS[3]])}, '~', (p_partkey // 7)::VARCHAR) AS renamed FROM part),
+t AS (SELECT *, m % 5 IN (0, 4) AS numbered, {_case('m', ['Module 0#: Name', 'Instructor Module (Do Not Publish)', 'Start Here', 'Week #', 'Module #: Name'])} AS module FROM c),
+h AS (SELECT m, min(o) AS first, min(o) FILTER (raw = 'Student resources') AS help FROM t GROUP BY m),
+r AS (SELECT m, module, item_id, CASE WHEN numbered THEN renamed ELSE plain END AS title, CASE WHEN numbered THEN g ELSE 0 END AS g, o * 2 AS o, 1 AS h FROM t WHERE NOT numbered OR g IS NOT NULL
+  UNION ALL SELECT DISTINCT m, module, NULL, CASE g WHEN 0 THEN 'Overview' WHEN 1 THEN 'Activities' ELSE 'Review' END, g, -1, 0 FROM t WHERE numbered AND g IS NOT NULL
+  UNION ALL SELECT m, 'Instructor Module (Do Not Publish)', NULL, 'About This Template', 0, -1, 0 FROM h WHERE m % 5 = 1
+  UNION ALL SELECT m, 'Start Here', NULL, 'Canvas Support Resources', 0, help * 2 - 1, 0 FROM h WHERE m % 5 = 2 AND help > first)
+SELECT 'm' || m AS parent_id, module, row_number() OVER (PARTITION BY m ORDER BY g, o)::INT AS position, h = 0 AS is_header, item_id, title FROM r""")
 def module_structure(spark, sf):
-    t = _titles(spark, sf).where("kind = 'page'").select("package", "title").distinct()
-    w = Window.partitionBy("package").orderBy("title")
-    items = t.select("package", F.lit("m").alias("parent_id"), F.lit(1).alias("depth"), F.row_number().over(w).alias("ordinal"), "title")
-    return manifest.restructure(items).select("package", "position", "is_header", "title")
+    """Seven children a module, in modules of every kind."""
+    k = F.col("p_partkey")
+    m = F.floor(k / 7)
+    p = table(spark, sf, "part")
+    none = F.lit(None).cast("string")
+    kids = p.select(F.lit("p").alias("package"), F.concat(F.lit("i"), k.cast("string")).alias("item_id"), F.concat(F.lit("m"), m.cast("string")).alias("parent_id"), F.lit(1).alias("depth"), k.alias("ordinal"), _pick(k, _CHILD_COLUMNS[0]).alias("title"))
+    tops = p.select(m.alias("m")).distinct().select(F.lit("p").alias("package"), F.concat(F.lit("m"), F.col("m").cast("string")).alias("item_id"), none.alias("parent_id"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("ordinal"), _pick(F.col("m"), MODULE_CASES).alias("title"))
+    return manifest.restructure(kids.unionByName(tops.select(kids.columns))).drop("package")
 
 
 _FRAGMENTS = "'<html><head><title>' || p_name || '</title></head><body><h1 id=\"t\">Part</h1><table style=\"width:' || (450 + p_size * 2) || 'px\"><tr><td>x</td></tr></table><div class=\"row\"><span> </span></div><p>' || p_brand || '</p></body></html>'"

@@ -82,11 +82,11 @@ def test_sets_and_cohorts(spark):
 
 
 def test_manifest(spark):
-    x = "<manifest xmlns='u'><organizations><organization><item identifier='a'><title>Module 1</title><item identifier='b' identifierref='r'><title>Quiz</title></item><item><title>Introduction</title></item></item></organization></organizations></manifest>"
+    x = "<manifest xmlns='u'><organizations><organization><item identifier='a'><title>Module 1: Cells</title><item identifier='b' identifierref='r'><title>Quiz</title></item><item><title>Introduction</title></item></item></organization></organizations></manifest>"
     items = manifest.parse_manifests(spark.createDataFrame([("p", x), ("q", "<broken"), ("r", None)], "package string, content string")).cache()
-    assert [(r.title, r.depth, r.parent_id) for r in items.orderBy("ordinal").collect()] == [("Module 1", 0, None), ("Quiz", 1, "a"), ("Introduction", 1, "a")]
+    assert [(r.title, r.depth, r.parent_id) for r in items.orderBy("ordinal").collect()] == [("Module 1: Cells", 0, None), ("Quiz", 1, "a"), ("Introduction", 1, "a")]
     got = [(r.title, r.is_header) for r in manifest.restructure(items).orderBy("position").collect()]
-    assert got == [("Overview", True), ("Introduction", False), ("Activity", True), ("Quiz", False)]
+    assert got == [("Overview", True), ("Module 1: Introduction and Checklist", False), ("Activities", True), ("Quiz: [Title Here]", False)]
     assert column(spark, manifest.topic_to_module, "Topic 07 | x") == ["Module 7: x"] and column(spark, manifest.normal_delimiters, "Quiz 1 | y", "Other | z") == ["Quiz 1: y", "Other | z"]
 
 
