@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packloom.functions.arrow import round_half_even
+
 #: Weights of the distance between two packages.
 WEIGHTS = {
     "module_count": 14.0, "page_count": 14.0, "assignment_count": 8.0, "discussion_count": 4.0, "module_style_ratio": 8.0,
@@ -36,7 +38,7 @@ def snapshot_features(names: DataFrame, package: str = "package") -> DataFrame:
         n(page & has("introduction and checklist")).alias("intro_checklist_pages"),
         n(page & has("learning activities")).alias("learning_activities_pages"),
     )
-    ratio = lambda c: F.round(F.col(c) / F.greatest("module_count", F.lit(1)), 3)
+    ratio = lambda c: round_half_even(F.col(c) / F.greatest("module_count", F.lit(1)), F.lit(3))
     return g.withColumn("module_style_ratio", ratio("module_style_count")).withColumn("topic_style_ratio", ratio("topic_style_count"))
 
 
@@ -63,7 +65,7 @@ def similarity_score(l: str, r: str) -> Column:
     for k in FLAGS:
         s = s - F.when((x[k] > 0) != (y[k] > 0), 3.0).otherwise(0.0)
     s = s - F.lit(8.0) * distance(x["issue_total"].cast("double"), y["issue_total"].cast("double"))
-    return F.round(F.greatest(s, F.lit(0.0)), 1)
+    return round_half_even(F.greatest(s, F.lit(0.0)), F.lit(1))
 
 
 def nearest(queries: DataFrame, profiles: DataFrame, package: str = "package", k: int = 3) -> DataFrame:
@@ -78,8 +80,8 @@ def nearest(queries: DataFrame, profiles: DataFrame, package: str = "package", k
 
 def consensus(profiles: DataFrame) -> DataFrame:
     """One row per cohort: styles by majority, medians and presence rates."""
-    rate = lambda c: F.round(F.avg(F.when(F.col(c) > 0, 1.0).otherwise(0.0)), 3)
-    mid = lambda c: F.round(F.median(c), 1)
+    rate = lambda c: F.avg(F.when(F.col(c) > 0, 1.0).otherwise(0.0))
+    mid = F.median
     g = profiles.groupBy("cohort").agg(
         F.count("*").alias("reference_courses"),
         F.sum("topic_style_count").alias("topics"),
@@ -94,22 +96,58 @@ def consensus(profiles: DataFrame) -> DataFrame:
         rate("instructor_modules").alias("instructor_module_presence_rate"),
         rate("learning_activities_pages").alias("learning_activities_presence_rate"),
     )
+    for c in g.columns:
+        if c.startswith("median_") or c.endswith("_rate"):
+            g = g.withColumn(c, round_half_even(c, F.lit(1 if c.startswith("median_") else 3)))
     style = F.when(F.col("topics") > F.col("modules"), "topic").when((F.col("modules") == 0) & (F.col("topics") == 0), "neutral").otherwise("module")
     intro = F.when(F.col("objectives") > F.col("checklists"), "objectives").otherwise("checklist")
     return g.withColumn("preferred_module_style", style).withColumn("preferred_intro_style", intro).drop("topics", "modules", "objectives", "checklists")
 
 
-def structure_gate(profiles: DataFrame, agreed: DataFrame) -> DataFrame:
-    """Whether each package follows its cohort's styles: approved or review."""
-    j = profiles.join(agreed.select("cohort", "preferred_module_style", "preferred_intro_style"), "cohort")
-    m, t, i, o = (F.col(c) for c in ("module_style_count", "topic_style_count", "intro_checklist_pages", "intro_objectives_pages"))
+#: Counts of a package (0 where there is none) that the gates read beside its features,
+#: and whether a part of the evidence is there at all.
+VISUAL = ["duplicate_titles", "shared_template_refs", "title_tags", "nonstandard_dividers", "icon_size_anomalies"]
+COUNTS = [*VISUAL, "template_unresolved", "pre_import_issues", "post_import_issues", "missing_page_links", "quiz_key_warnings", "live_findings", "manual_issues", "accessibility_issues"]
+EVIDENCE = ["has_snapshot", "has_source", "has_visual", "has_live"]
+LIVE_LIMIT = 4
+
+
+def _status(approved: Column, review: Column) -> Column:
+    return F.when(approved, "approved").when(review, "review").otherwise("attention")
+
+
+def gates(current: DataFrame, agreed: DataFrame, package: str = "package") -> DataFrame:
+    """DataFrame[package, gate, status], four gates a package: structure, visual and
+    template fidelity, quality after the import, and manual work left.
+
+    ``current`` has the snapshot features, cohort, COUNTS and EVIDENCE of packages; null
+    counts are 0 and null evidence is none. A cohort without consensus counts as neutral
+    with checklists.
+    """
+    j = current.join(agreed.select("cohort", "preferred_module_style", "preferred_intro_style"), "cohort", "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    has = lambda c: F.coalesce(F.col(c), F.lit(False))
+    m, t, i, o = (n(c) for c in ("module_style_count", "topic_style_count", "intro_checklist_pages", "intro_objectives_pages"))
     style = F.when(F.col("preferred_module_style") == "module", m >= t).when(F.col("preferred_module_style") == "topic", t >= m).otherwise(True)
-    intro = F.when(F.col("preferred_intro_style") == "checklist", i >= o).otherwise(o >= i)
-    return j.select("package", "cohort", F.when(style & intro, "approved").otherwise("review").alias("status"))
+    intro = F.when(F.coalesce("preferred_intro_style", F.lit("checklist")) == "checklist", i >= o).otherwise(o >= i)
+    clean = sum((n(c) for c in VISUAL[1:]), n(VISUAL[0])) + n("template_unresolved") == 0
+    post, quiz = n("post_import_issues"), n("quiz_key_warnings")
+    seen = (post > 0) | (n("pre_import_issues") > 0) | (quiz > 0) | has("has_live")
+    good = seen & (n("missing_page_links") == 0) & ((post == 0) | (post == quiz)) & (n("live_findings") <= LIVE_LIMIT)
+    left = n("manual_issues") + n("accessibility_issues") > 0
+    found = {
+        "structure-conventions": _status(has("has_snapshot") & style & intro, has("has_snapshot") | has("has_source")),
+        "visual-template-fidelity": _status(clean, has("has_visual")),
+        "post-import-quality": _status(good, seen),
+        "manual-cleanup-load": _status(~left, left),
+    }
+    rows = j.select(package, F.explode(F.array(*(F.struct(F.lit(k).alias("gate"), v.alias("status")) for k, v in found.items()))).alias("x"))
+    return rows.select(package, "x.gate", "x.status")
 
 
 def approval_score(gates: DataFrame, package: str = "package") -> DataFrame:
-    """Points of the gates (2, 1, 0) as a percentage, and the worst status."""
+    """Points of the gates (2, 1, 0) as a percentage, halves to even, and the worst
+    status."""
     points = F.when(F.col("status") == "approved", 2).when(F.col("status") == "review", 1).otherwise(0)
-    g = gates.groupBy(package).agg(F.round(100.0 * F.sum(points) / (2 * F.count("*"))).cast("long").alias("score"), F.min(points).alias("worst"))
+    g = gates.groupBy(package).agg(F.bround(100.0 * F.sum(points) / (2 * F.count("*"))).cast("long").alias("score"), F.min(points).alias("worst"))
     return g.select(package, "score", F.element_at(F.array(F.lit("attention"), F.lit("review"), F.lit("approved")), F.col("worst") + 1).alias("overall"))

@@ -91,10 +91,16 @@ def relink_totals(audited: DataFrame, key: str) -> DataFrame:
     return audited.groupBy(key).agg(n("", "_alias_match").alias("rewritten"), n("_alias_match").alias("via_alias"), n("_collision", "_unresolved").alias("unresolved"))
 
 
+def audit_counts(findings: DataFrame) -> DataFrame:
+    """DataFrame[kind, value, n]: findings (issue_type, content_type) by each."""
+    g = findings.groupingSets([["issue_type"], ["content_type"]], "issue_type", "content_type").agg(F.count("*").alias("n"), F.grouping("issue_type").alias("g"))
+    return g.select(F.when(F.col("g") == 0, "issue_type").otherwise("content_type").alias("kind"), F.when(F.col("g") == 0, F.col("issue_type")).otherwise(F.col("content_type")).alias("value"), "n")
+
+
 def issue_pages(issues: DataFrame, url: str) -> DataFrame:
     """Distinct page slugs that import issues point to."""
     slug = F.regexp_extract(url_path(F.col(url)), r"/(?:pages|wiki)/([^/]+)", 1)
     return issues.select(slug.alias("slug")).where("slug <> ''").distinct()
 
 
-__all__ = ["audit_references", "decode_basic", "issue_pages", "neutralised_links", "page_references", "relink_totals", "suggest_targets", "target_url"]
+__all__ = ["audit_counts", "audit_references", "decode_basic", "issue_pages", "neutralised_links", "page_references", "relink_totals", "suggest_targets", "target_url"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packloom.functions.html import compare_key, count_of, headings, matches, plain_text, title_text
+from packloom.functions.html import attribute, compare_key, count_of, decode_basic, headings, matches, plain_text, title_text
 
 #: What is counted, by name.
 TAG_PATTERNS = {
@@ -115,16 +115,75 @@ def visual_reasons(row: DataFrame | None = None) -> Column:
     )
 
 
+_MATH = r"(?is)<math\b[^>]*>.*?</math>"
+_EQUATION = r"""(?is)<img\b[^>]*\bclass\s*=\s*(["'])[^"']*\bequation_image\b[^"']*\1[^>]*>"""
+#: Elements that show something in a formula.
+_MATH_CONTENT = r"(?i)<(?:mi|mn|mo|mtext|ms|mglyph|mfrac|msqrt|mroot|msub|msup|msubsup|mover|munder|munderover|mfenced|menclose|mmultiscripts|mtable|mtr|mtd)\b"
+#: What a page's formulas may need checked, and the count that tells.
+MATH_FLAGS = [
+    ("raw_tex_delimiters", "raw_tex_delimiter"), ("equation_images_missing_alt", "equation_images_missing_alt"), ("equation_images_missing_source", "equation_images_missing_source"),
+    ("absolute_equation_image_urls", "absolute_equation_image_url"), ("empty_mathml_stubs", "empty_mathml_stub"),
+]
+MIXED_MATH = "mixed_math_modes"
+
+
 def math_counts(text: Column) -> dict[str, Column]:
-    images = matches(text, r"(?i)<img\b[^>]*(?:equation_images|equation_image|data-equation-content)[^>]*>")
+    """What a page holds of formulas, by name."""
+    images = matches(text, _EQUATION)
+    n = lambda keep: F.size(F.filter(images, keep)).cast("long")
+    value = lambda tag, name: F.coalesce(decode_basic(attribute(tag, name)), F.lit(""))
+    absolute = lambda t: F.lower(value(t, "src")).rlike("^https?://") & F.contains(F.lower(value(t, "src")), F.lit("/equation_images/"))
+    block = r"(?is)<(p|div)\b([^>]*)>\s*((?:<span\b[^>]*>\s*)?<img\b[^>]*>(?:\s*</span>)?)\s*</\1>"
+    alone = F.filter(matches(text, block), lambda x: ~F.contains(F.lower(F.regexp_extract(x, block, 2)), F.lit("migration-display-equation")) & F.regexp_extract(x, block, 3).rlike(_EQUATION))
+
+    def empty(formula: Column) -> Column:
+        bare = F.regexp_replace(formula, r"(?is)<annotation(?:-xml)?\b[^>]*>.*?</annotation(?:-xml)?>", "")
+        return ~bare.rlike(_MATH_CONTENT) & (plain_text(bare) == "")
+
     return {
-        "mathml": count_of(text, r"(?is)<math\b[^>]*>.*?</math>"),
-        "wiris": count_of(text, r"""(?is)<annotation\b[^>]*\bencoding\s*=\s*(["'])wiris\1[^>]*>.*?</annotation>"""),
-        "equation_images": F.size(images).cast("long"),
-        "raw_tex": count_of(text, r"(?s)\\\(.+?\\\)") + count_of(text, r"(?s)\\\[.+?\\\]") + count_of(text, r"(?s)\$\$.+?\$\$"),
+        "mathml": count_of(text, _MATH),
+        "wiris_annotation": count_of(text, r"""(?is)<annotation\b[^>]*\bencoding\s*=\s*(["'])wiris\1[^>]*>.*?</annotation>"""),
+        "equation_image": F.size(images).cast("long"),
+        "raw_tex_delimiter": count_of(text, r"(?s)(?<!\\)\$\$.+?(?<!\\)\$\$") + count_of(text, r"(?s)\\\(.+?\\\)") + count_of(text, r"(?s)\\\[.+?\\\]"),
+        "display_math_block": count_of(text, r"""(?is)<math\b[^>]*(?:\bdisplay\s*=\s*(["'])block\1|\bmode\s*=\s*(["'])display\2)[^>]*>.*?</math>""") + F.size(alone).cast("long"),
+        "empty_mathml_stub": F.size(F.filter(matches(text, _MATH), empty)).cast("long"),
+        "absolute_equation_image_url": n(absolute),
+        "equation_images_missing_alt": n(lambda t: F.trim(value(t, "alt")) == ""),
+        "equation_images_missing_source": n(lambda t: (value(t, "data-equation-content") == "") & (F.trim(value(t, "title")) == "")),
     }
 
 
+def math_modes(counts: dict[str, Column]) -> Column:
+    """The ways in which a page writes formulas."""
+    return F.array_compact(F.array(*(F.when(counts[c] > 0, F.lit(m)) for m, c in (("mathml", "mathml"), ("equation_image", "equation_image"), ("raw_tex", "raw_tex_delimiter")))))
+
+
+def math_audit(pairs: DataFrame) -> DataFrame:
+    """Formulas of both versions of a page (path, original, converted), and what to
+    check in the converted one."""
+    o, c = math_counts(F.col("original")), math_counts(F.col("converted"))
+    rows = pairs.select("path", o["mathml"].alias("original_mathml_count"), *(x.alias(f"converted_{k}_count") for k, x in c.items()), math_modes(o).alias("original_math_modes"), math_modes(c).alias("converted_math_modes"))
+    flags = [F.when(F.col(f"converted_{k}_count") > 0, F.lit(f)) for f, k in MATH_FLAGS]
+    return rows.withColumn("review_flags", F.array_compact(F.array(*flags, F.when(F.size("converted_math_modes") > 1, F.lit(MIXED_MATH)))))
+
+
+def math_summary(rows: DataFrame) -> DataFrame:
+    """Totals of :func:`math_audit` in one row."""
+    c = lambda k: F.col(f"converted_{k}_count")
+    n = lambda cond: F.count(F.when(cond, 1))
+    total = lambda col, name: F.coalesce(F.sum(col), F.lit(0)).alias(name)
+    #: Names of totals by count.
+    names = {"mathml": "converted_mathml", "wiris_annotation": "converted_wiris_annotations", "equation_image": "converted_equation_images", "raw_tex_delimiter": "converted_raw_tex_delimiters", "display_math_block": "converted_display_math_blocks", "empty_mathml_stub": "converted_empty_mathml_stubs", "absolute_equation_image_url": "absolute_equation_image_urls", "equation_images_missing_alt": "equation_images_missing_alt", "equation_images_missing_source": "equation_images_missing_source"}
+    return rows.agg(
+        F.count("*").alias("files_scanned"),
+        n((c("mathml") > 0) | (c("equation_image") > 0) | (c("raw_tex_delimiter") > 0)).alias("files_with_math"),
+        n(F.size("review_flags") > 0).alias("files_with_math_review_flags"),
+        n(F.array_contains("review_flags", MIXED_MATH)).alias("files_with_mixed_math_modes"),
+        total(F.col("original_mathml_count"), "total_original_mathml"),
+        *(total(c(k), f"total_{v}") for k, v in names.items()),
+    )
+
+
 def review_score(manual: Column, a11y: Column, visual: Column, structural: Column, similarity: Column) -> Column:
     close = F.when((similarity > 0) & (similarity < 0.55), 2).when((similarity > 0) & (similarity < 0.72), 1).otherwise(0)
     return manual * 4 + a11y * 3 + visual * 2 + structural + close

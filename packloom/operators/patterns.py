@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packloom.functions.html import basename, compare_key, count_of, headings, matches, plain_text, title_text
@@ -119,3 +119,75 @@ def page_role(path: Column, title: Column) -> Column:
 def outline(text: Column, limit: int = 8) -> Column:
     """The first headings with text."""
     return F.slice(F.filter(headings(text), lambda h: (h != "") & (F.lower(h) != "printer-friendly version")), 1, limit)
+
+
+#: Shell modules that a template protects.
+PROTECTED_SHELLS = ["Start Here", "Instructor Module (Do Not Publish)"]
+
+
+def protected_shells(children: DataFrame, template: DataFrame, packages: int, least: int = 2, limit: int = 12) -> tuple[DataFrame, DataFrame]:
+    """Shell modules of packages against those of the template.
+
+    ``children`` (package, shell, title) of ``packages`` packages, ``template`` (shell,
+    title). Returns DataFrame[title, training_course_presence, template_child_count,
+    recommended_protected_shell], and DataFrame[shell, kind, title, course_count] of
+    children that recur: those of the template, and the ``limit`` most common others.
+    A child counts once for each time that a package has it.
+    """
+    shells = children.sparkSession.createDataFrame([(t,) for t in PROTECTED_SHELLS], "title string")
+    own = template.withColumn("key", compare_key(F.col("title"))).where("key <> ''").groupBy("shell", "key").agg(F.max("title").alias("name"))
+    seen = children.groupBy("shell").agg(F.countDistinct("package").alias("presence"))
+    n = template.groupBy("shell").agg(F.count("*").alias("n"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    rows = shells.join(seen, shells["title"] == seen["shell"], "left").drop("shell").join(n, shells["title"] == n["shell"], "left")
+    rows = rows.select("title", zero("presence").alias("training_course_presence"), zero("n").alias("template_child_count"), (zero("presence") >= max(2, packages // 2)).alias("recommended_protected_shell"))
+    kids = children.where(F.col("shell").isin(PROTECTED_SHELLS)).withColumn("key", compare_key(F.col("title"))).where("key <> ''").join(own, ["shell", "key"], "left")
+    kind = F.when(F.col("name").isNull(), "custom").otherwise("intact")
+    g = kids.groupBy("shell", kind.alias("kind"), F.coalesce("name", "title").alias("title")).agg(F.count("*").alias("course_count"))
+    w = Window.partitionBy("shell", "kind").orderBy(F.desc("course_count"), "title")
+    g = g.withColumn("r", F.row_number().over(w)).where((F.col("kind") == "intact") | (F.col("r") <= limit))
+    return rows, g.where(F.col("course_count") >= least).drop("r")
+
+
+def current_alignment(current: DataFrame, kept: DataFrame, limit: int = 10) -> DataFrame:
+    """DataFrame[kind, name, rank]: template elements kept by other packages, ``kept``
+    (kind, name, packages), that the current one, ``current`` (kind, name), has too; the
+    first ``limit`` of each kind."""
+    by = lambda df, n: df.withColumn(n, F.when(F.col("kind") == "asset", F.lower("name")).otherwise(compare_key(F.col("name"))))
+    have = by(current, "key").select("kind", "key").where("key <> ''").distinct()
+    w = Window.partitionBy("kind").orderBy(F.desc("packages"), "name")
+    return by(kept, "key").join(have, ["kind", "key"], "left_semi").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("kind", "name", "rank")
+
+
+def file_date(name: Column) -> Column:
+    """The first date 20yymmdd of a file's name without its extension, or 0."""
+    stem = F.regexp_replace(basename(name), r"(?<=.)\.[^.]*$", "")
+    return F.coalesce(F.regexp_extract(stem, r"(20\d{6})", 1).try_cast("int"), F.lit(0))
+
+
+def latest_template(files: DataFrame, group: list[str], path: str = "path") -> DataFrame:
+    """Of each group the template export with the latest date in its name; the larger
+    name, letter case aside, wins ties."""
+    name = basename(F.col(path))
+    found = files.where(name.rlike(r"(?s)^elearn-standard-template-export.*\.imscc$"))
+    return found.groupBy(*group).agg(F.max_by(path, F.struct(file_date(F.col(path)), F.lower(name))).alias("template"))
+
+
+def manifest_hrefs(xml: Column) -> Column:
+    """Values of double-quoted href attributes, without parsing."""
+    return matches(xml, r'(?i)href\s*=\s*"([^"]+)"', 1)
+
+
+def files_outside_manifest(members: DataFrame, manifests: DataFrame, package: str = "package") -> DataFrame:
+    """Members (package, path) that their package's manifest (package, xml) names
+    nowhere."""
+    hrefs = manifests.select(package, F.explode(manifest_hrefs(F.col("xml"))).alias("path")).distinct()
+    return members.where("path <> 'imsmanifest.xml'").join(hrefs, [package, "path"], "left_anti")
+
+
+def course_code(explicit: Column, paths: list[Column], snapshot_code: Column) -> Column:
+    """A course's code: the given one, else the folder of the first file that is not in
+    output or resources, else that of the snapshot, else a constant."""
+    folders = [F.trim(F.regexp_extract(p, r"([^/]+)/[^/]*$", 1)) for p in paths]
+    some = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    return F.coalesce(F.when(explicit != "", F.trim(explicit)), *(F.when((f != "") & ~F.lower(f).isin("output", "resources"), f) for f in folders), some(snapshot_code), F.lit("current-course"))

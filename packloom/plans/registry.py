@@ -512,11 +512,30 @@ def nearest_packages(spark, sf):
     return cohort.nearest(p, p).select("query", "rank", "reference")
 
 
-@query(f"""WITH {_FEATURES}, c AS (SELECT cohort, CASE WHEN sum(ts) > sum(ms) THEN 'topic' WHEN sum(ms) = 0 AND sum(ts) = 0 THEN 'neutral' ELSE 'module' END AS m, CASE WHEN sum(io) > sum(ic) THEN 'o' ELSE 'c' END AS i FROM p GROUP BY cohort)
-SELECT package, CASE WHEN ok THEN 100 ELSE 50 END::BIGINT AS score, CASE WHEN ok THEN 'approved' ELSE 'review' END AS overall FROM (SELECT package, CASE c.m WHEN 'module' THEN ms >= ts WHEN 'topic' THEN ts >= ms ELSE true END AND CASE c.i WHEN 'c' THEN ic >= io ELSE io >= ic END AS ok FROM p JOIN c USING (cohort))""")
+_GATE_COUNTS = {c: (i + 2, i % 3) for i, c in enumerate(cohort.COUNTS)}
+
+
+def _current(spark, sf) -> DataFrame:
+    p = _profiles(spark, sf)
+    k = F.col("package")
+    counts = {c: F.when(k % m == 0, k % 4).otherwise(0) if r else F.when(k % m == 1, 1).otherwise(0) for c, (m, r) in _GATE_COUNTS.items()}
+    return p.withColumns(counts | {c: k % (i + 2) > 0 for i, c in enumerate(cohort.EVIDENCE)})
+
+
+@query(f"""WITH {_FEATURES}, c AS (SELECT cohort, CASE WHEN sum(ts) > sum(ms) THEN 'topic' WHEN sum(ms) = 0 AND sum(ts) = 0 THEN 'neutral' ELSE 'module' END AS m, CASE WHEN sum(io) > sum(ic) THEN 'o' ELSE 'c' END AS i FROM p GROUP BY cohort),
+x AS (SELECT *, {', '.join(f"CASE WHEN package % {m} = {0 if r else 1} THEN {'package % 4' if r else '1'} ELSE 0 END AS {c}" for c, (m, r) in _GATE_COUNTS.items())}, {', '.join(f'package % {i + 2} > 0 AS {c}' for i, c in enumerate(cohort.EVIDENCE))} FROM p JOIN c USING (cohort)),
+y AS (SELECT *, CASE m WHEN 'module' THEN ms >= ts WHEN 'topic' THEN ts >= ms ELSE true END AND CASE i WHEN 'c' THEN ic >= io ELSE io >= ic END AS ok, post_import_issues + pre_import_issues + quiz_key_warnings > 0 OR has_live AS seen FROM x),
+g AS (SELECT package, 'structure-conventions' AS gate, CASE WHEN has_snapshot AND ok THEN 'approved' WHEN has_snapshot OR has_source THEN 'review' ELSE 'attention' END AS status FROM y
+ UNION ALL SELECT package, 'visual-template-fidelity', CASE WHEN {' + '.join(cohort.VISUAL)} + template_unresolved = 0 THEN 'approved' WHEN has_visual THEN 'review' ELSE 'attention' END FROM y
+ UNION ALL SELECT package, 'post-import-quality', CASE WHEN seen AND missing_page_links = 0 AND post_import_issues IN (0, quiz_key_warnings) AND live_findings <= 4 THEN 'approved' WHEN seen THEN 'review' ELSE 'attention' END FROM y
+ UNION ALL SELECT package, 'manual-cleanup-load', CASE WHEN manual_issues = 0 AND accessibility_issues = 0 THEN 'approved' ELSE 'review' END FROM y),
+v AS (SELECT package, sum(CASE status WHEN 'approved' THEN 2 WHEN 'review' THEN 1 ELSE 0 END) AS n, count(*) FILTER (status = 'attention') AS a, count(*) FILTER (status = 'review') AS r FROM g GROUP BY package)
+SELECT package, gate, status, [0, 12, 25, 38, 50, 62, 75, 88, 100][n::INT + 1]::BIGINT AS score, CASE WHEN a > 0 THEN 'attention' WHEN r > 0 THEN 'review' ELSE 'approved' END AS overall FROM g JOIN v USING (package)""")
 def approval_gates(spark, sf):
+    """Four gates of every package, its score and its status."""
     p = _profiles(spark, sf)
-    return cohort.approval_score(cohort.structure_gate(p, cohort.consensus(p)))
+    g = cohort.gates(_current(spark, sf), cohort.consensus(p))
+    return g.join(cohort.approval_score(g), "package").select("package", "gate", "status", "score", "overall")
 
 
 def _case(key: str, values: list, quote: bool = True) -> str:
@@ -616,13 +635,44 @@ def rewrite_chain(spark, sf):
     return rows.groupBy("c.description").agg(F.sum("c.count").alias("n"), F.count("*").alias("n_files"))
 
 
-@query(r"""
-SELECT CASE WHEN s_suppkey % 5 IN (0, 3) THEN 1 ELSE 0 END::BIGINT AS mathml, CASE WHEN s_suppkey % 5 IN (1, 3) THEN 1 ELSE 0 END::BIGINT AS equation_images, CASE s_suppkey % 5 WHEN 2 THEN 2 ELSE 0 END::BIGINT AS raw_tex, CASE WHEN s_suppkey % 5 = 3 THEN 1 ELSE 0 END::BIGINT AS wiris, s_suppkey FROM supplier""")
-def math_content(spark, sf):
-    k = F.col("s_suppkey") % 5
-    page = F.when(k == 0, "<p><math><mi>x</mi></math></p>").when(k == 1, '<img class="equation_image" src="/equation_images/a">').when(k == 2, r"<p>\(a\) and $$b$$</p>").when(k == 3, "<math><annotation encoding='wiris'>q</annotation></math><IMG data-equation-content=\"x\">").otherwise("<p>none</p>")
-    m = metrics.math_counts(page)
-    return table(spark, sf, "supplier").select("s_suppkey", *(m[c].alias(c) for c in ("mathml", "equation_images", "raw_tex", "wiris")))
+#: Pages with formulas, and what is counted in them: MathML, WIRIS annotations, equation
+#: images, raw TeX, display blocks, empty stubs, absolute URLs, no alt, no source.
+MATH_CASES = [
+    ("<p><math><mi>x</mi></math></p>", [1, 0, 0, 0, 0, 0, 0, 0, 0]),
+    ('<img class="a equation_image b" src="https://e.org/equation_images/a" alt=" ">', [0, 0, 1, 0, 0, 0, 1, 1, 1]),
+    ("<p>\\(a\\) and $$b$$ \\[c\\] $5 \\$$</p>", [0, 0, 0, 3, 0, 0, 0, 0, 0]),
+    ("<math><annotation encoding='wiris'>q</annotation></math><IMG data-equation-content=\"x\">", [1, 1, 0, 0, 0, 1, 0, 0, 0]),
+    ("<p>none</p>", [0, 0, 0, 0, 0, 0, 0, 0, 0]),
+    ('<p> <span class="s"><img title="t" alt="x" class="equation_image"></span></p><math display="block"><mn>1</mn></math>', [1, 0, 1, 0, 2, 0, 0, 0, 0]),
+    ('<div class="migration-display-equation"><img data-equation-content="t" class="equation_image"></div><math mode=\'display\'> &nbsp; </math>', [1, 0, 1, 0, 1, 1, 0, 1, 0]),
+    ("<math><mi>x</mi></math> \\(a\\) <img class='equation_image' src='/equation_images/a'>", [1, 0, 1, 1, 0, 0, 0, 1, 1]),
+]
+_MATH_NAMES = ["mathml", "wiris_annotation", "equation_image", "raw_tex_delimiter", "display_math_block", "empty_mathml_stub", "absolute_equation_image_url", "equation_images_missing_alt", "equation_images_missing_source"]
+_MATH_SQL = f"""m(i, {', '.join(_MATH_NAMES)}) AS (SELECT * FROM (VALUES {', '.join(f"({i}, {', '.join(map(str, n))})" for i, (_, n) in enumerate(MATH_CASES))})),
+f AS (SELECT s_suppkey AS path, b.*, a.mathml AS before, list_filter([CASE WHEN a.mathml > 0 THEN 'mathml' END, CASE WHEN a.equation_image > 0 THEN 'equation_image' END, CASE WHEN a.raw_tex_delimiter > 0 THEN 'raw_tex' END], lambda x: x IS NOT NULL) AS m1,
+  list_filter([CASE WHEN b.mathml > 0 THEN 'mathml' END, CASE WHEN b.equation_image > 0 THEN 'equation_image' END, CASE WHEN b.raw_tex_delimiter > 0 THEN 'raw_tex' END], lambda x: x IS NOT NULL) AS m2
+  FROM supplier JOIN m a ON a.i = s_suppkey // 3 % {len(MATH_CASES)} JOIN m b ON b.i = s_suppkey % {len(MATH_CASES)}),
+g AS (SELECT *, list_filter([{', '.join(f"CASE WHEN {c} > 0 THEN '{n}' END" for n, c in metrics.MATH_FLAGS)}, CASE WHEN len(m2) > 1 THEN 'mixed_math_modes' END], lambda x: x IS NOT NULL) AS flags FROM f)"""
+
+
+def _math(spark, sf) -> DataFrame:
+    k = F.col("s_suppkey")
+    pages = [c for c, _ in MATH_CASES]
+    return metrics.math_audit(table(spark, sf, "supplier").select(k.alias("path"), _pick(F.floor(k / 3), pages).alias("original"), _pick(k, pages).alias("converted")))
+
+
+@query(f"WITH {_MATH_SQL} SELECT path, before::BIGINT AS original_mathml_count, {', '.join(f'{c}::BIGINT AS converted_{c}_count' for c in _MATH_NAMES)}, array_to_string(m1, ',') AS original_math_modes, array_to_string(m2, ',') AS converted_math_modes, array_to_string(flags, ',') AS review_flags FROM g")
+def math_audit(spark, sf):
+    """Formulas of two versions of a page, all counts and flags."""
+    lists = ("original_math_modes", "converted_math_modes", "review_flags")
+    return _math(spark, sf).withColumns({c: F.array_join(c, ",") for c in lists})
+
+
+@query(f"""WITH {_MATH_SQL} SELECT count(*)::BIGINT AS files_scanned, count(*) FILTER (mathml + equation_image + raw_tex_delimiter > 0)::BIGINT AS files_with_math, count(*) FILTER (len(flags) > 0)::BIGINT AS files_with_math_review_flags, count(*) FILTER (len(m2) > 1)::BIGINT AS files_with_mixed_math_modes, sum(before)::BIGINT AS total_original_mathml,
+ sum(mathml)::BIGINT AS total_converted_mathml, sum(wiris_annotation)::BIGINT AS total_converted_wiris_annotations, sum(equation_image)::BIGINT AS total_converted_equation_images, sum(raw_tex_delimiter)::BIGINT AS total_converted_raw_tex_delimiters, sum(display_math_block)::BIGINT AS total_converted_display_math_blocks,
+ sum(empty_mathml_stub)::BIGINT AS total_converted_empty_mathml_stubs, sum(absolute_equation_image_url)::BIGINT AS total_absolute_equation_image_urls, sum(equation_images_missing_alt)::BIGINT AS total_equation_images_missing_alt, sum(equation_images_missing_source)::BIGINT AS total_equation_images_missing_source FROM g""")
+def math_summary(spark, sf):
+    return metrics.math_summary(_math(spark, sf))
 
 
 @query(r"""
@@ -797,3 +847,115 @@ def reference_classes(spark, sf):
     ref = F.when(k % 4 == 0, F.concat(F.lit("p"), k.cast("string"), F.lit(".html#top"))).when(k % 4 == 1, "/d2l/a").when(k % 4 == 2, "https://e.org").otherwise("nowhere.html")
     pages = p.select("package", page.alias("path"), F.concat(F.lit('<a href="'), ref, F.lit('">x</a>')).alias("html"))
     return corpus.corpus_totals(corpus.reference_classes(pages, pages.select("package", "path")))
+
+
+_SIDES = "a AS (SELECT doc_id, text FROM documents WHERE lang IN ('en', 'de')), b AS (SELECT doc_id, text FROM documents WHERE source IN ('src0', 'src1', 'src2', 'src3'))"
+_FOLD = r"""regexp_replace(translate(lower(trim({}, ' ')), '“”’', '""' || chr(39)), '[\s\x0B\x{{85}}\p{{Z}}]+', ' ', 'g')"""
+
+
+def _sides(spark, sf) -> tuple[DataFrame, DataFrame]:
+    d = table(spark, sf, "documents")
+    return d.where("lang in ('en', 'de')"), d.where("source in ('src0', 'src1', 'src2', 'src3')")
+
+
+@query(rf"""WITH {_SIDES},
+la AS (SELECT {_FOLD.format('line')} AS key, arg_min(line, (doc_id, pos)) AS line FROM (SELECT doc_id, generate_subscripts(l, 1) AS pos, trim(unnest(l), ' ') AS line FROM (SELECT doc_id, string_split_regex(text, '\r\n|\r|\n') AS l FROM a)) WHERE line <> '' GROUP BY 1),
+lb AS (SELECT {_FOLD.format('line')} AS key, arg_min(line, (doc_id, pos)) AS line FROM (SELECT doc_id, generate_subscripts(l, 1) AS pos, trim(unnest(l), ' ') AS line FROM (SELECT doc_id, string_split_regex(text, '\r\n|\r|\n') AS l FROM b)) WHERE line <> '' GROUP BY 1),
+u AS (SELECT 'missing' AS side, key, line FROM la WHERE key NOT IN (SELECT key FROM lb) UNION ALL SELECT 'extra', key, line FROM lb WHERE key NOT IN (SELECT key FROM la))
+SELECT side, rank::INT AS rank, line FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY key) AS rank FROM u WHERE length(line) >= 25) WHERE rank <= 40""")
+def instruction_gap_lines(spark, sf):
+    """The first forty lines that one of two sets of texts has and the other lacks."""
+    return sets.instruction_gap(*_sides(spark, sf), "text", "doc_id")
+
+
+PHRASES = [(w, w, f"why {w}") for w in ("license", "@mail1.example.com", "|", "$$$", "zzz not there", "token = ", "The  And")]
+
+
+@query(rf"""WITH {_SIDES}, s(phrase, folded) AS (SELECT * FROM {_values([(p, ' '.join(p.lower().split())) for p, _, _ in PHRASES])})
+SELECT phrase AS id, phrase, 'why ' || phrase AS rationale FROM s WHERE EXISTS (SELECT 1 FROM a WHERE contains({_FOLD.format('text')}, folded)) AND NOT EXISTS (SELECT 1 FROM b WHERE contains({_FOLD.format('text')}, folded))""")
+def critical_phrases(spark, sf):
+    """Phrases of one set of texts that another lacks."""
+    a, b = _sides(spark, sf)
+    return sets.critical_gaps(a, b, "text", PHRASES)
+
+
+@query(f"{_LIVE_SQL}, c AS (SELECT issue_type, CASE s_suppkey % 3 WHEN 0 THEN 'page' WHEN 1 THEN 'assignment' ELSE 'discussion' END AS content_type FROM a) SELECT 'issue_type' AS kind, issue_type AS value, count(*)::BIGINT AS n FROM c GROUP BY 2 UNION ALL SELECT 'content_type', content_type, count(*)::BIGINT FROM c GROUP BY 2")
+def live_audit_counts(spark, sf):
+    """Findings of the live audit by kind and by content."""
+    k = F.col("s_suppkey") % 3
+    return links.audit_counts(_live(spark, sf).withColumn("content_type", F.when(k == 0, "page").when(k == 1, "assignment").otherwise("discussion")))
+
+
+#: Children of shell modules in packages, and those of the template.
+SHELL_CHILDREN = ["Welcome!", "welcome", "Course Tour", "My own page #", "Extra", "Help & more", " - "]
+SHELL_TEMPLATE = [("Start Here", "Welcome"), ("Start Here", "Course  Tour"), ("Instructor Module (Do Not Publish)", "Help and More"), ("Instructor Module (Do Not Publish)", "Unused")]
+_SHELL_SQL = f"""k AS (SELECT p_partkey % 40 AS package, CASE p_partkey % 3 WHEN 0 THEN 'Start Here' WHEN 1 THEN 'Instructor Module (Do Not Publish)' ELSE 'Week 1' END AS shell, {_case('p_size', SHELL_CHILDREN)} AS title FROM part)"""
+
+
+def _shells(spark, sf):
+    k = F.col("p_partkey")
+    shell = F.when(k % 3 == 0, "Start Here").when(k % 3 == 1, "Instructor Module (Do Not Publish)").otherwise("Week 1")
+    kids = table(spark, sf, "part").select((k % 40).alias("package"), shell.alias("shell"), _pick(F.col("p_size"), SHELL_CHILDREN).alias("title"))
+    return patterns.protected_shells(kids, spark.createDataFrame(SHELL_TEMPLATE, "shell string, title string"), 40)
+
+
+@query(f"WITH {_SHELL_SQL} SELECT shell AS title, count(DISTINCT package)::BIGINT AS training_course_presence, 2::BIGINT AS template_child_count, count(DISTINCT package) >= 20 AS recommended_protected_shell FROM k WHERE shell <> 'Week 1' GROUP BY 1")
+def protected_shells(spark, sf):
+    """Shell modules that packages share with the template."""
+    return _shells(spark, sf)[0]
+
+
+@query(f"""WITH {_SHELL_SQL}, n AS (SELECT shell, CASE WHEN shell = 'Start Here' AND lower(title) IN ('welcome!', 'welcome') THEN 'Welcome' WHEN shell = 'Start Here' AND title = 'Course Tour' THEN 'Course  Tour' WHEN shell <> 'Start Here' AND title = 'Help & more' THEN 'Help and More' END AS own, title FROM k WHERE shell <> 'Week 1' AND title <> ' - '),
+g AS (SELECT shell, CASE WHEN own IS NULL THEN 'custom' ELSE 'intact' END AS kind, coalesce(own, title) AS title, count(*)::BIGINT AS course_count FROM n GROUP BY ALL)
+SELECT shell, kind, title, course_count FROM (SELECT *, row_number() OVER (PARTITION BY shell, kind ORDER BY course_count DESC, title) AS r FROM g) WHERE course_count >= 2 AND (kind = 'intact' OR r <= 12)""")
+def shell_children(spark, sf):
+    """Children of shell modules that recur."""
+    return _shells(spark, sf)[1]
+
+
+@query(f"""WITH c AS (SELECT DISTINCT p_name AS t FROM part WHERE p_size < 25), k AS (SELECT kind, name, packages FROM (SELECT 'title' AS kind, upper(p_name) || '!' AS name, count(*)::BIGINT AS packages, p_name FROM part GROUP BY p_name) JOIN c ON t = p_name
+ UNION ALL SELECT 'asset', p_brand || '.png', count(*)::BIGINT FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size < 5) GROUP BY p_brand)
+SELECT kind, name, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY packages DESC, name) AS rank FROM k) WHERE rank <= 10""")
+def current_alignment(spark, sf):
+    """Kept template elements that the current package has."""
+    p = table(spark, sf, "part")
+    title, asset = F.lit("title").alias("kind"), F.lit("asset").alias("kind")
+    png = F.concat("p_brand", F.lit(".png"))
+    current = p.where("p_size < 25").select(title, F.col("p_name").alias("name")).unionByName(p.where("p_size < 5").select(asset, F.lower(png).alias("name")))
+    kept = p.groupBy("p_name").agg(F.count("*").alias("packages")).select(title, F.concat(F.upper("p_name"), F.lit("!")).alias("name"), "packages").unionByName(p.groupBy("p_brand").agg(F.count("*").alias("packages")).select(asset, png.alias("name"), "packages"))
+    return patterns.current_alignment(current, kept)
+
+
+@query("""WITH f AS (SELECT s_nationkey, s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'other-2024' ELSE 'elearn-standard-template-export' END || CASE s_suppkey % 5 WHEN 0 THEN '' ELSE '-20' || (240000 + s_suppkey % 900) END || CASE s_suppkey % 2 WHEN 0 THEN 'B' ELSE 'a' END || CASE s_suppkey % 7 WHEN 0 THEN '.zip' ELSE '.imscc' END AS name FROM supplier)
+SELECT s_nationkey, 't/' || arg_max(name, (CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE 20240000 + s_suppkey % 900 END, lower(name))) AS template FROM f WHERE name LIKE 'elearn%.imscc' GROUP BY 1""")
+def latest_templates(spark, sf):
+    """The latest template export of each folder, by the date in its name."""
+    k = F.col("s_suppkey")
+    parts = [F.when(k % 4 == 0, "t/other-2024").otherwise("t/elearn-standard-template-export"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("-20"), (k % 900 + 240000).cast("string"))), F.when(k % 2 == 0, "B").otherwise("a"), F.when(k % 7 == 0, ".zip").otherwise(".imscc")]
+    return patterns.latest_template(table(spark, sf, "supplier").select("s_nationkey", F.concat(*parts).alias("path")), ["s_nationkey"])
+
+
+@query("""SELECT p_size AS package, 'p' || p_partkey || '.html' AS path FROM part WHERE p_partkey % 3 <> 0""")
+def files_outside_manifest(spark, sf):
+    """Members that no manifest names."""
+    k = F.col("p_partkey")
+    p = table(spark, sf, "part")
+    path = F.concat(F.lit("p"), k.cast("string"), F.lit(".html"))
+    members = p.select(F.col("p_size").alias("package"), path.alias("path")).unionByName(p.select(F.col("p_size").alias("package"), F.lit("imsmanifest.xml").alias("path")).distinct())
+    line = F.concat(F.when(k % 3 == 0, F.lit('<file HREF = "')).otherwise(F.lit("<file href='")), path, F.when(k % 3 == 0, F.lit('"/>')).otherwise(F.lit("'/>")))
+    return patterns.files_outside_manifest(members, p.select(F.col("p_size").alias("package"), line.alias("xml")))
+
+
+#: Explicit code, snapshot's path, source's path, snapshot's code, and what follows.
+CODE_CASES = [
+    (" BIO # ", "a/b.json", "c/d.zip", "x", "BIO #"), ("", "courses/CHEM #/s.json", "c/d.zip", "x", "CHEM #"), (None, "w/Output/s.json", "w/ART #/s.zip", "x", "ART #"),
+    (None, "w/output/s.json", "resources/s.zip", " S# ", "S#"), ("", None, "s.zip", "", "current-course"), (None, None, None, None, "current-course"),
+]
+
+
+@query(f"SELECT s_suppkey, {_case('s_suppkey', [c[4] for c in CODE_CASES])} AS code FROM supplier")
+def course_codes(spark, sf):
+    """The code of a course, from whatever tells it first."""
+    k = F.col("s_suppkey")
+    at = lambda i: _pick(k, [c[i] for c in CODE_CASES])
+    return table(spark, sf, "supplier").select("s_suppkey", patterns.course_code(at(0), [at(1), at(2)], at(3)).alias("code"))
