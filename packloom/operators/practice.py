@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from packloom.functions.arrow import similarity
 from packloom.functions.html import fold, header_key
+from packloom.runtime import materialise
 
 #: Header names, without punctuation, of each column.
 HEADERS = {
@@ -26,7 +27,13 @@ def practice_rows(raw: DataFrame, order: str) -> DataFrame:
     plain = {c: re.sub("[^a-z0-9]", "", c.strip().lower()) for c in raw.columns}
     pick = {k: next((c for c in raw.columns if plain[c] in names and c != order), None) for k, names in HEADERS.items()}
     cols = [(F.coalesce(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")) if c else F.lit("")).alias(k) for k, c in pick.items()]
-    rows = raw.select((F.row_number().over(Window.orderBy(order)) + 1).alias("row_number"), *cols)
+    # Rows are numbered by the place in their part of the order; the parts before it
+    # are counted, so no task gets all rows.
+    part, place = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    parts = materialise(raw.select(F.col(order).alias("__o"), *cols).orderBy("__o").select("*", part.alias("__part"), place.alias("__at")), "practice-rows")
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("n"))
+    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))  # a row for each part
+    rows = parts.join(before, "__part").select((F.col("__before") + F.col("__at") + 2).alias("row_number"), *HEADERS)
     return rows.where(F.concat_ws("", *HEADERS) != "")
 
 

@@ -346,7 +346,7 @@ def practice_conflicts(spark, sf):
 def fuzzy_practice_pairs(spark, sf):
     """Near-equal benchmark rows; each item stands beside an edited copy of itself."""
     b = table(spark, sf, "benchmark")
-    rows = b.select((F.col("item_id") * 2).alias("row"), "text").unionByName(b.select((F.col("item_id") * 2 + 1).alias("row"), F.concat(F.lit("x"), F.substring("text", 2, 100_000), F.lit(" end")).alias("text")))
+    rows = b.select((F.col("item_id") * 2).alias("row"), "text").unionByName(b.select((F.col("item_id") * 2 + 1).alias("row"), F.concat(F.lit("x"), F.expr("substring(text, 2)"), F.lit(" end")).alias("text")))
     return practice.fuzzy_pairs(rows, "row", F.col("text"), practice.fingerprint("text"))
 
 
@@ -614,15 +614,38 @@ def _fragments(spark, sf) -> DataFrame:
 
 
 @query(r"""
-SELECT p_partkey, md5('<html><head></head><body><h2 id="t">Part</h2><table style="width: ' || CASE WHEN 450 + p_size * 2 > 500 THEN '100%; max-width: ' || (450 + p_size * 2) || 'px;' ELSE 'X' END || '"><tr><td>x</td></tr></table><p>' || p_brand || '</p></body></html>') AS digest,
- 5::BIGINT AS n_changes FROM part WHERE 450 + p_size * 2 > 500""")
+SELECT p_partkey, md5('<html><head></head><body><h2 id="t">Part</h2><table style="width:' || CASE WHEN 450 + p_size * 2 > 500 THEN ' 100%; max-width: ' || (450 + p_size * 2) || 'px;' ELSE (450 + p_size * 2) || 'px' END || '"><tr><td>x</td></tr></table><p>' || p_brand || '</p></body></html>') AS digest,
+ CASE WHEN 450 + p_size * 2 > 500 THEN 5 ELSE 4 END::BIGINT AS n_changes FROM part""")
 def rewrite_chain_fragments(spark, sf):
     """The whole chain over fragments whose result can be written down."""
     from packloom.rewrite import chain
 
     out = chain.sanitise(_fragments(spark, sf))
-    wide = out.join(table(spark, sf, "part").where(F.col("p_size") * 2 + 450 > 500).select("p_partkey"), "p_partkey", "left_semi")
-    return wide.select("p_partkey", F.md5("html").alias("digest"), F.size("changes").cast("long").alias("n_changes"))
+    return out.select("p_partkey", F.md5("html").alias("digest"), F.size("changes").cast("long").alias("n_changes"))
+
+
+#: Cards of accordions: page, and the page after the chain.
+_CARD = '<div class="card"><div class="card-header">{}</div><div class="collapse show"><div class="card-body"><p>b</p></div></div></div>'
+#: @ stands for the mark of a colour, as # is the key.
+_DETAILS = '<details class="migration-accordion" style="margin: 16px 0; border: 1px solid @c8d1db; border-radius: 6px; background-color: @ffffff; overflow: hidden;">\n  <summary style="cursor: pointer; display: block; padding: 12px 16px; font-weight: 700; line-height: 1.4; text-align: left; background-color: @f4f6f8;">{}</summary>\n  <div class="migration-accordion__panel" style="padding: 12px 16px; text-align: left;"><p>b</p></div>\n</details>'
+CARD_CASES = [
+    ("w/lesson.html", _CARD.format("Part # &amp; more"), _DETAILS.format("Part # &amp; more")),
+    ("w/syllabus.html", _CARD.format("<h3 class='card-title'>Part #</h3>"), "<h3>Part #</h3>\n<div><p>b</p></div>"),
+    ("w/policy.html", _CARD.format("Section"), "<div><p>b</p></div>"),
+    ("w/other.html", _CARD.format("<img src='x' alt='Picture #'>"), _DETAILS.format("Picture #")),
+    ("w/other.html", _CARD.format(" "), _DETAILS.format("Section")),
+    ("w/other.html", "<title>Course policy</title>" + _CARD.format("Part #"), _DETAILS.format("Part #")),
+]
+
+
+@query(f"SELECT s_suppkey, md5(replace({_case('s_suppkey', [c[2] for c in CARD_CASES])}, '@', chr(35))) AS digest FROM supplier".replace("\n", "' || chr(10) || '"))
+def accordion_cards(spark, sf):
+    """Cards of accordions in pages of every kind."""
+    from packloom.rewrite import chain
+
+    k = F.col("s_suppkey")
+    pages = table(spark, sf, "supplier").select("s_suppkey", _pick(k, [c[0] for c in CARD_CASES]).alias("path"), _pick(k, [c[1] for c in CARD_CASES]).alias("html"))
+    return chain.sanitise(pages).select("s_suppkey", F.md5("html").alias("digest"))
 
 
 @query()

@@ -143,20 +143,33 @@ def xlsx_rows(data: bytes, sheet: str | None = None) -> list[dict[str, str]]:
     if not table:
         return []
     heads = {i: h.strip() for i, h in table[0].items() if h.strip()}
-    return [{h: cells.get(i, "") for i, h in heads.items()} for cells in table[1:]]
+    return [{h: cells.get(i, "").strip() for i, h in heads.items()} for cells in table[1:]]
 
 
 def read_table(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """A CSV (with or without a byte order mark) or XLSX table of strings."""
+    """CSV (with or without a byte order mark) or XLSX tables as strings without white
+    space around them. A path may name several files; sheets are read in the tasks,
+    and columns that a file lacks are empty in its rows."""
     if path.lower().endswith(".csv"):
         df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-        return df.toDF(*(c.lstrip("﻿") for c in df.columns)).fillna("")
-    if path.lower().endswith(".xlsx"):
-        raw = spark.read.format("binaryFile").load(path).first()["content"]
-        rows = xlsx_rows(bytes(raw), sheet)
-        heads = list(rows[0]) if rows else ["empty"]
-        return spark.createDataFrame([tuple(r[h] for h in heads) for r in rows], ", ".join(f"`{h}` string" for h in heads))
-    raise ValueError(f"neither CSV nor XLSX: {path}")
+        names = [c.lstrip("\ufeff") for c in df.columns]
+        return df.toDF(*(f"c{i}" for i in range(len(names)))).select(*(F.trim(F.coalesce(f"c{i}", F.lit(""))).alias(c) for i, c in enumerate(names)))
+    if not path.lower().endswith(".xlsx"):
+        raise ValueError(f"neither CSV nor XLSX: {path}")
+
+    def run(batches):
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1)):
+                rows = xlsx_rows(data.as_py(), sheet)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array([list(r.items()) for r in rows], pa.map_(pa.string(), pa.string()))], names=["path", "pos", "cells"])
+
+    prepare(spark)
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, pos long, cells map<string,string>")
+    first = rows.where("pos = 0").select("path", F.posexplode(F.map_keys("cells")).alias("at", "head"))
+    heads = [r.head for r in first.groupBy("head").agg(F.min(F.struct("path", "at")).alias("o")).orderBy("o").collect()]
+    if not heads:
+        return spark.createDataFrame([], "empty string")
+    return rows.select(*(F.coalesce(F.col("cells")[h], F.lit("")).alias(h) for h in heads))
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
