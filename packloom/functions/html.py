@@ -8,6 +8,7 @@ has the full table.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,11 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used there."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def decode_basic(text: Column) -> Column:
     for entity, char in BASIC_ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))

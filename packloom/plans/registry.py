@@ -982,3 +982,6 @@ def course_codes(spark, sf):
     k = F.col("s_suppkey")
     at = lambda i: _pick(k, [c[i] for c in CODE_CASES])
     return table(spark, sf, "supplier").select("s_suppkey", patterns.course_code(at(0), [at(1), at(2)], at(3)).alias("code"))
+
+
+import packloom.plans.template_queries  # noqa: E402, F401  adds its queries to this table
