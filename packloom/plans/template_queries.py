@@ -121,3 +121,34 @@ def template_placeholders(spark, sf):
     s = table(spark, sf, "supplier")
     text = F.when(F.col("s_suppkey") % 2 == 0, "x Fill in\n TEXT here").otherwise("[Title  Here] Contact your instructor with any questions or post in the course Q&A.")
     return sets.template_placeholders(s.select(text.alias("text")), "text").select("closer_present", F.array_join("placeholders", ",").alias("placeholders"))
+
+
+_ICON = '<img src="TemplateAssets/{}" role="presentation" alt="" style="width: 45px; height: auto; vertical-align: middle; margin-right: 8px;">'
+#: Pages, and what they are in the template; @ stands for the mark of a colour.
+OVERLAY_CASES = [
+    ("a.html", '<a href="/shared/Brightspace_HTML_Template/docs/Guide.pdf?x=1@p">#</a>', '<a href="TemplateAssets/guide.pdf?x=1@p">#</a>', 1, 0, 0, 0),
+    ("a.html", "<a href='/shared/brightspace_html_template/old.pdf'>#</a>", "<a href='TemplateAssets/guide.pdf'>#</a>", 0, 1, 0, 0),
+    ("a.html", '<a href="/shared/brightspace_html_template/none-#.pdf">x</a>', '<a href="/shared/brightspace_html_template/none-#.pdf">x</a>', 0, 0, 1, 0),
+    ("a.html", '<a href="/shared/brightspace_html_template/Custom.css">#</a><a href="/shared/brightspace_html_template/twice.pdf">x</a>', '<a href="/shared/brightspace_html_template/Custom.css">#</a><a href="/shared/brightspace_html_template/twice.pdf">x</a>', 0, 0, 1, 1),
+    ("a.html", '<p>#<img src="x/standardImages/tick.png" width="20"></p>', '<p>#<img src="TemplateAssets/checklist.png" style="width: 45px; height: auto; vertical-align: middle; margin-right: 8px;" alt="" role="presentation"></p>', 0, 1, 0, 0),
+    ("a.html", '<p><img src="../TemplateAssets/checklist.png" alt="x"></p>#', f'<h3 style="color: @ac1a2f;">{_ICON.format("checklist.png")} <strong>Checklist</strong></h3>#', 0, 0, 0, 0),
+    ("w/Learning Activities.html", '<h4 class="c"> <img src="TemplateAssets/video.png" alt=""> </h4>#', f'<h2 class="c" style="color: @ac1a2f;">{_ICON.format("video.png")} <strong>View</strong></h2>#', 0, 0, 0, 0),
+    ("a.html", '<p>#<img src="p.jpg" alt="a" width="900" style="border: 1px"></p>', '<p>#<img src="p.jpg" alt="a" style="border: 1px; max-width: 100%; height: auto; display: block; margin: 20px auto; clear: both;"></p>', 0, 0, 0, 0),
+    ("a.html", '<p>#<img src="p.jpg" style="float: Right; width: 90px"></p>', '<p>#<img src="p.jpg" style="width: 240px; max-width: 100%; height: auto; display: block; clear: both; margin: 20px 0 20px auto;"></p>', 0, 0, 0, 0),
+    ("a.html", '<p>#<img src="p.jpg" width="90"></p>', '<p>#<img src="p.jpg" width="90"></p>', 0, 0, 0, 0),
+]
+
+
+@query(f"""SELECT s_suppkey, replace({_case('s_suppkey', [c[2] for c in OVERLAY_CASES])}, '@', chr(35)) AS html, {', '.join(f"{_case('s_suppkey', [c[3 + i] for c in OVERLAY_CASES], False)}::BIGINT AS {n}" for i, n in enumerate(("mapped_direct", "mapped_alias", "unresolved", "ignored")))},
+ CASE s_suppkey % 10 WHEN 2 THEN '/shared/brightspace_html_template/none-' || s_suppkey || '.pdf' WHEN 3 THEN '/shared/brightspace_html_template/twice.pdf' END AS unmapped FROM supplier""")
+def template_overlay(spark, sf):
+    """Pages moved to a template."""
+    from packloom.rewrite import overlay as page
+
+    k = F.col("s_suppkey")
+    names = [("guide.pdf",), ("Checklist.png",), ("twice.pdf",), ("TWICE.pdf",), ("video.png",)]
+    aliases = [("old.pdf", 0, "missing.pdf"), ("old.pdf", 1, "guide.pdf"), ("tick.png", 0, "checklist.png")]
+    t = page.load_template(spark.createDataFrame(names, "name string"), spark.createDataFrame(aliases, "source string, pos int, target string"))
+    html = F.replace(_pick(k, [c[1] for c in OVERLAY_CASES]), F.lit("@"), F.lit("#"))
+    pages = table(spark, sf, "supplier").select("s_suppkey", _pick(k, [c[0] for c in OVERLAY_CASES]).alias("path"), html.alias("html"))
+    return page.overlay(pages, t).select("s_suppkey", "html", "mapped_direct", "mapped_alias", "unresolved", "ignored", "unmapped")
