@@ -44,3 +44,9 @@ def normal_path(s: pd.Series) -> pd.Series:
 def round_half_even(x: pd.Series, digits: pd.Series) -> pd.Series:
     """Rounding of the exact binary value, which no built-in reproduces."""
     return pd.Series([None if v != v else round(v, int(d)) for v, d in zip(x, digits)])
+
+
+@F.pandas_udf(StringType())
+def title_case(s: pd.Series) -> pd.Series:
+    """Letters after any other character in upper case, all others in lower case."""
+    return s.map(lambda v: v.title(), na_action="ignore")

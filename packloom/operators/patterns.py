@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packloom.functions.arrow import title_case
 from packloom.functions.html import basename, compare_key, count_of, headings, matches, plain_text, title_text
 
 #: Pattern of each count of a package's pages.
@@ -108,14 +109,27 @@ def module_wording(text: Column) -> Column:
     return text
 
 
+#: Folders of modules, and titles of pages by the instructor.
+MODULE_FOLDER = r"(?s)^(\d{2})-(.+?)/"
+WELCOME_TITLES = ["welcome from instructor", "welcome from the instructor", "text from"]
+
+
 def page_role(path: Column, title: Column) -> Column:
     """module_intro, welcome_instructor or standalone."""
     p, t = F.lower(path), F.lower(F.trim(title))
-    intro = path.rlike(r"^\d+\s*-[^/]+/") & p.rlike("introduction|objectives")
-    welcome = t.rlike(r"welcome|meet your instructor|about your instructor") | (F.contains(p, F.lit("welcome")) & F.contains(p, F.lit("instructor")))
+    intro = path.rlike(MODULE_FOLDER) & p.rlike("introduction|objectives")
+    welcome = t.rlike("|".join(WELCOME_TITLES)) | (F.contains(p, F.lit("welcome")) & F.contains(p, F.lit("instructor")))
     return F.when(intro, "module_intro").when(welcome, "welcome_instructor").otherwise("standalone")
 
 
+def page_roles(pages: DataFrame, path: str, title: Column) -> DataFrame:
+    """Pages with ``role`` and, of introductions, module_number and chapter_title."""
+    own = lambda x: F.when(F.col("role") == "module_intro", x)
+    chapter = F.translate(F.regexp_extract(path, MODULE_FOLDER, 2), "_-", "  ")
+    rows = pages.withColumn("role", page_role(F.col(path), title))
+    return rows.withColumn("module_number", own(F.regexp_extract(path, MODULE_FOLDER, 1).try_cast("int"))).withColumn("chapter_title", F.coalesce(own(F.trim(title_case(chapter))), F.lit("")))
+
+
 def outline(text: Column, limit: int = 8) -> Column:
     """The first headings with text."""
     return F.slice(F.filter(headings(text), lambda h: (h != "") & (F.lower(h) != "printer-friendly version")), 1, limit)

@@ -767,13 +767,19 @@ def module_wording(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", patterns.module_wording(t).alias("text"))
 
 
-@query("""
-SELECT CASE WHEN p_partkey % 4 = 0 THEN 'module_intro' WHEN p_partkey % 4 = 1 THEN 'welcome_instructor' ELSE 'standalone' END AS role, count(*)::BIGINT AS n FROM part GROUP BY 1""")
+#: Path, title, role, number and chapter of pages.
+ROLE_CASES = [
+    ("01-cells_and-LIFE/Introduction and Objectives.html", "Cells", "module_intro", 1, "Cells And Life"), ("16-o'neil 2nd/x-objectives.html", "Text from", "module_intro", 16, "O'Neil 2Nd"), ("1-a/introduction.html", "x", "standalone", None, ""), ("introduction.html", "x", "standalone", None, ""),
+    ("a/b.html", " Welcome from the Instructor", "welcome_instructor", None, ""), ("a/Welcome-Instructor.html", "x", "welcome_instructor", None, ""), ("a/b.html", "Welcome to the course", "standalone", None, ""), ("03-x/b.html", "Text from me", "welcome_instructor", None, ""),
+]
+
+
+@query(f"SELECT p_partkey, {_case('p_partkey', [c[2] for c in ROLE_CASES])} AS role, {_case('p_partkey', ['NULL' if c[3] is None else c[3] for c in ROLE_CASES], False)}::INT AS module_number, {_case('p_partkey', [c[4] for c in ROLE_CASES])} AS chapter_title FROM part")
 def page_roles(spark, sf):
-    k = F.col("p_partkey") % 4
-    path = F.when(k == 0, "01-Cells_and-Life/Introduction and Objectives.html").when(k == 2, "introduction.html").otherwise("a/b.html")
-    title = F.when(k == 1, " Welcome to the course").otherwise(F.lit("Cells"))
-    return table(spark, sf, "part").select(patterns.page_role(path, title).alias("role")).groupBy("role").agg(F.count("*").alias("n"))
+    """What each page is, by path and title."""
+    k = F.col("p_partkey")
+    pages = table(spark, sf, "part").select("p_partkey", _pick(k, [c[0] for c in ROLE_CASES]).alias("path"), _pick(k, [c[1] for c in ROLE_CASES]).alias("title"))
+    return patterns.page_roles(pages, "path", F.col("title")).select("p_partkey", "role", "module_number", "chapter_title")
 
 
 @query(r"""

@@ -152,3 +152,42 @@ def template_overlay(spark, sf):
     html = F.replace(_pick(k, [c[1] for c in OVERLAY_CASES]), F.lit("@"), F.lit("#"))
     pages = table(spark, sf, "supplier").select("s_suppkey", _pick(k, [c[0] for c in OVERLAY_CASES]).alias("path"), html.alias("html"))
     return page.overlay(pages, t).select("s_suppkey", "html", "mapped_direct", "mapped_alias", "unresolved", "ignored", "unmapped")
+
+
+_OUTLINE = '<caption><h3>Course Outline (16-Week)</h3></caption><tr><th scope="col" style="background-color: @000000; color: @ffffff;">16-Week #</th></tr>'
+#: Tables of syllabuses, and what they are in the template.
+TABLE_CASES = [
+    ("syllabus.html", '<table summary="x" style="height: 5px; color: red"><tr style="height: 4px"><th scope="column">16-Week #</th></tr></table>', f'<table style="color: red; border-collapse: collapse; width: 100%;" class="ic-Table ic-Table--hover-row ic-Table--striped" border="1">{_OUTLINE}</table>'),
+    ("other.html", "<table><tr><td>Office hours #</td></tr></table>", "<table><tr><td>Office hours #</td></tr></table>"),
+    ("syllabus.html", "<table><tr><td>Office hours #</td></tr></table>", '<table style="border-collapse: collapse;"><caption>Office Hours</caption><tr><td>Office hours #</td></tr></table>'),
+    ("syllabus.html", '<div><table summary="Grading Policy"><caption>My # &amp; own</caption><tr><td>x</td></tr></table></div>', '<div><table style="border-collapse: collapse;"><caption>My # &amp; own</caption><tr><td>x</td></tr></table></div>'),
+    ("syllabus.html", "<table><tr><th>Course Title:</th><td>C #</td></tr><tr><th>Credit Hours:</th><td><p>3</p></td></tr><tr><th>More</th><td></td></tr></table>", "<h3>Course Materials and Outcomes</h3>\n<ul>\n<li><strong>Course Title</strong>: C #</li>\n<li><strong>Credit Hours</strong><div><p>3</p></div></li>\n<li><strong>More</strong></li>\n</ul>"),
+    ("syllabus quiz.html", "<table><tr><td>Office hours #</td></tr></table>", "<table><tr><td>Office hours #</td></tr></table>"),
+    ("syllabus.html", "<table><tr><td>a<table><tr><td>Grading scale #</td></tr></table></td></tr></table>", '<table style="border-collapse: collapse;"><tr><td>a<table style="border-collapse: collapse;"><caption>Grading Scale</caption><tr><td>Grading scale #</td></tr></table></td></tr></table>'),
+]
+
+
+@query(f"SELECT s_suppkey, md5(replace({_case('s_suppkey', [c[2] for c in TABLE_CASES])}, '@', chr(35))) AS digest FROM supplier".replace("\n", "' || chr(10) || '"))
+def syllabus_tables(spark, sf):
+    """Tables of syllabuses in the template's form."""
+    from packloom.rewrite import chain
+
+    k = F.col("s_suppkey")
+    pages = table(spark, sf, "supplier").select("s_suppkey", _pick(k, [c[0] for c in TABLE_CASES]).alias("path"), _pick(k, [c[1] for c in TABLE_CASES]).alias("html"))
+    return chain.sanitise(pages).select("s_suppkey", F.md5("html").alias("digest"))
+
+
+#: Description, title, and the description without the title.
+DESCRIPTION_CASES = [
+    ("<h2>The Cells #</h2><p>b</p>", "Cells #", "<p>b</p>"), ("<p>Printer-friendly version</p><p>Cells &amp; more #!</p>b", "cells and  more #", "<p>Printer-friendly version</p>b"), ("<p>a</p><p>b</p><p>c</p><p>Cells</p>", "Cells", "<p>a</p><p>b</p><p>c</p><p>Cells</p>"),
+    ("<p>a</p><p> </p><h3>Introduction to cells of life</h3>z", "Introduction to cell of life", "<p>a</p><p> </p>z"), ("<p>Cells</p>", "", "<p>Cells</p>"), (None, "Cells", None), ("<div>Cells</div>", "Cells", "<div>Cells</div>"),
+]
+
+
+@query(f"SELECT s_suppkey, {_case('s_suppkey', [c[2] for c in DESCRIPTION_CASES])} AS description FROM supplier")
+def item_descriptions(spark, sf):
+    """Descriptions of items without the title that they repeat."""
+    from packloom.rewrite import chain
+
+    k = F.col("s_suppkey")
+    return table(spark, sf, "supplier").select("s_suppkey", chain.without_leading_title(_pick(k, [c[0] for c in DESCRIPTION_CASES]), _pick(k, [c[1] for c in DESCRIPTION_CASES])).alias("description"))
