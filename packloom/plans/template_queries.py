@@ -191,3 +191,53 @@ def item_descriptions(spark, sf):
 
     k = F.col("s_suppkey")
     return table(spark, sf, "supplier").select("s_suppkey", chain.without_leading_title(_pick(k, [c[0] for c in DESCRIPTION_CASES]), _pick(k, [c[1] for c in DESCRIPTION_CASES])).alias("description"))
+
+
+_NEUTRAL = '<a href="@" data-migration-link-status="needs-review"{} data-migration-original-href="{}">'
+_SPACER = "<p>&nbsp;</p>"
+_EQUATION = 'style="max-width: 100%; height: auto; vertical-align: middle;"'
+#: Pages, what the chain makes of them, and the sum of the counts of its changes.
+CHAIN_CASES = [
+    ("<title>Alpha #</title><p>b</p>", "<p>b</p>", 1),
+    ("<p>a<math><mrow></mrow><annotation-xml>q</annotation-xml></math>#</p>", "<p>a#</p>", 1),
+    ("<p>x #<img class='equation_image' src='/e/a'></p>", f"<p>x #<img class='equation_image' src='/e/a' {_EQUATION}></p>", 1),
+    ("<p style='text-align: center'> <math display='block'><mi>#</mi></math> </p>", '<div class="migration-display-equation" style="margin: 16px 0; overflow-x: auto; overflow-y: hidden;"><div class="migration-display-equation__inner" style="text-align: center;"><math display=\'block\'><mi>#</mi></math></div></div>', 1),
+    ('<p class="text-center keep p-5">#</p>', '<p class="keep" style="text-align: center; padding: 3rem;">#</p>', 3),
+    ('<p class="row col-md-6 x courseTable">#</p>', '<p class="x">#</p>', 3),
+    ('<link rel="stylesheet" href="/shared/Brightspace_HTML_Template/a.css">#', "#", 1),
+    ('<script src="https://s.brightspace.com/a.js"></script>#', "#", 1),
+    ('<p><img src="/shared/brightspace_html_template/a.png" alt="Cells #"></p>', '<p><span class="migration-template-image-text">Cells #</span></p>', 2),
+    ('<p>#<img src="/shared/brightspace_html_template/a.png" alt="Banner"></p>', "<p>#</p>", 1),
+    ('<p>#<img src="TemplateAssets/footer.png"></p>', "<p>#</p>", 1),
+    ('<a href="/shared/brightspace_html_template/x">#</a>', _NEUTRAL.format(' data-migration-link-reason="brightspace-template-link"', "/shared/brightspace_html_template/x") + "#</a>", 1),
+    ('<p style="position: absolute; top: 1px; color: red">#</p>', '<p style="color: red;">#</p>', 1),
+    ("<h1 class='a'>#</h1>", "<h2 class='a'>#</h2>", 1),
+    ('<p>#<a href="javascript:window.print()">Print</a></p>', "<p>#</p>", 1),
+    ('<a href="javascript:go(1)">#</a>', _NEUTRAL.format(' data-migration-link-reason="javascript-href"', "javascript:go(1)") + "#</a>", 1),
+    (f"{_SPACER}<p> <br></p>{_SPACER}{_SPACER}<p>#</p>", f"{_SPACER}~<p>#</p>", 3),
+    (f"{_SPACER}{_SPACER}<p>#</p>", f"{_SPACER}{_SPACER}<p>#</p>", 0),
+    ("<h2>&nbsp; &nbsp;<img src='a' style='max-width: 9px'><br><br><br>T #</h2>", "<h2><img src='a' style='max-width: 9px'> T #</h2>", 1),
+    ('<p data-start="1" class="a" data-ccp-props=\'{}\'>#</p>', '<p class="a">#</p>', 2),
+    ('<p style="--d2l-x: 1; color: red">#</p>', '<p style="color: red;">#</p>', 1),
+    ('<p>#<img src="a" align="left" hspace="5"></p>', '<p>#<img src="a" style="float: left; margin: 0 12px 8px 0; margin-left: 5px; margin-right: 5px; max-width: 100%; height: auto;"></p>', 4),
+    ('<p>#<img src="a"></p>', '<p>#<img src="a" style="max-width: 100%; height: auto;"></p>', 1),
+    ('<table style="width: 640px; color: red"><tr><td>#</td></tr></table>', '<table style="color: red; width: 100%; max-width: 640px;"><tr><td>#</td></tr></table>', 1),
+    ("<div><span> </span></div><footer></footer>#", "#", 3),
+    ("<hr>#", '<hr style="border: 0; height: 2px; background-color: @ac1a2f; width: 100%; margin: 16px 0;">#', 1),
+    ('<hr style="color: blue; width: 5px" />#', '<hr style="border: 0; height: 2px; background-color: blue; width: 100%; margin: 16px 0;" />#', 1),
+    ("<title>The Cells</title><p> </p><h3>Cells</h3><p>#</p>", "<p> </p><p>#</p>", 2),
+    ('<a href="/d2l/common/dialogs/quickLink/quickLink.d2l?ou=1&amp;type=coursefile&amp;fileId=docs%2Fa.pdf">#</a>', '<a href="docs/a.pdf">#</a>', 1),
+    ('<a href="/content/enforced/a">#</a>', _NEUTRAL.format("", "/content/enforced/a") + "#</a>", 1),
+    ('<a href="http://e.org/d2l/a">#</a>', '<a href="http://e.org/d2l/a">#</a>', 0),
+]
+
+
+@query(f"SELECT s_suppkey * 31 + i AS id, replace(replace({_case('k', [c[1] for c in CHAIN_CASES])}, '@', chr(35)), '~', chr(10)) AS html, {_case('k', [c[2] for c in CHAIN_CASES], False)}::BIGINT AS n FROM (SELECT s_suppkey, i, s_suppkey * 31 + i AS k FROM supplier, range({len(CHAIN_CASES)}) r(i))")
+def chain_passes(spark, sf):
+    """Every pass of the chain on a page of its own."""
+    from packloom.rewrite import chain
+
+    k = F.col("id")
+    ids = table(spark, sf, "supplier").select(F.explode(F.sequence(F.col("s_suppkey") * 31, F.col("s_suppkey") * 31 + len(CHAIN_CASES) - 1)).alias("id"))
+    pages = chain.sanitise(ids.select("id", F.lit("a.html").alias("path"), _pick(k, [c[0] for c in CHAIN_CASES]).alias("html")))
+    return pages.select("id", "html", F.aggregate("changes", F.lit(0).cast("long"), lambda a, c: a + c["count"]).alias("n"))
