@@ -241,3 +241,33 @@ def chain_passes(spark, sf):
     ids = table(spark, sf, "supplier").select(F.explode(F.sequence(F.col("s_suppkey") * 31, F.col("s_suppkey") * 31 + len(CHAIN_CASES) - 1)).alias("id"))
     pages = chain.sanitise(ids.select("id", F.lit("a.html").alias("path"), _pick(k, [c[0] for c in CHAIN_CASES]).alias("html")))
     return pages.select("id", "html", F.aggregate("changes", F.lit(0).cast("long"), lambda a, c: a + c["count"]).alias("n"))
+
+
+_REMINDER = '<p class="migration-checklist-closer"><strong>Module Checklist Reminder:</strong> Contact your instructor with any course questions{}.</p>'
+_FEED = " or use the Activity Feed on the Home Page"
+#: Path, page, the page with best practices, and what changed, by first words.
+PRACTICE_PAGES = [
+    ("a.html", "<h2>a</h2><h4>b</h4><h4>c #</h4><h6>d</h6>", "<h2>a</h2><h3>b</h3><h4>c #</h4><h5>d</h5>", "Promoted 2"),
+    ("a.html", '<a href="http://e.org/#">x</a><a href="b.html">y</a>', '<a href="http://e.org/#" target="_blank" rel="noopener noreferrer">x</a><a href="b.html">y</a>', "Updated 1"),
+    ("a.html", '<a href="https://e.org/#" target="_self">x</a><a href="https://e" target="_BLANK" rel="NoOpener x">y</a>', '<a href="https://e.org/#" target="_self">x</a><a href="https://e" target="_BLANK" rel="NoOpener x noreferrer">y</a>', "Updated 1"),
+    ("a.html", "<h3>Module Checklist</h3><p>#</p><ul><li>a</li></ul>", "<h3>Module Checklist</h3><p>#</p><ul><li>a</li>~  <li>Contact your instructor with any questions or post in the Course Q&amp;A.</li></ul>", "Added 1"),
+    ("w/Introduction and Objectives.html", "<body><p>#</p></body>", f"<body><p>#</p>{_REMINDER.format('')}~</body>", "Added 1"),
+    ("w/introduction and checklist.html", "<p>Activity Feed on the Home Page #</p>", f"<p>Activity Feed on the Home Page #</p>~{_REMINDER.format(_FEED)}", "Added 1"),
+    ("w/introduction and checklist.html", f"<p>#</p>{_REMINDER.format('')}", f"<p>#</p>~{_REMINDER.format('')}", "Added 1"),
+    ("w/introduction and checklist.html", "<p>Contact your instructor with any course questions. Activity Feed on the Home Page</p><ul><li>#</li> <li>Contact your instructor with any questions or post in the Course Q&amp;A.</li></ul>", "<p>Contact your instructor with any course questions. Activity Feed on the Home Page</p><ul><li>#</li>~</ul>", "Removed 1"),
+    ("w/introduction and checklist.html", "<p>contact your instructor with any course questions. #</p>", "<p>contact your instructor with any course questions. #</p>", ""),
+]
+
+
+@query(f"SELECT s_suppkey, replace({_case('s_suppkey', [c[2] for c in PRACTICE_PAGES])}, '~', chr(10)) AS html, {_case('s_suppkey', [c[3] for c in PRACTICE_PAGES])} AS told FROM supplier")
+def best_practice_pages(spark, sf):
+    """Best practices applied to pages."""
+    from packloom.rewrite import chain
+
+    k = F.col("s_suppkey")
+    none = F.array().cast("array<struct<category:string,description:string,count:bigint>>")
+    pages = table(spark, sf, "supplier").select("s_suppkey", _pick(k, [c[0] for c in PRACTICE_PAGES]).alias("path"), _pick(k, [c[1] for c in PRACTICE_PAGES]).alias("html"), none.alias("changes"))
+    told = F.array_join(F.transform("changes", lambda c: F.concat_ws(" ", F.split_part(c.description, F.lit(" "), F.lit(1)), c["count"])), ",")
+    return chain.enforce(pages).select("s_suppkey", "html", told.alias("told"))
+
+
