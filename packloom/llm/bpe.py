@@ -30,6 +30,8 @@ from packloom.runtime import prepare
 
 CACHED_RUNS = 1_000_000
 CACHED_CHARS = 64
+#: The published pattern of pre-tokens. Runs are cut for it alone.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space by the Unicode property, as in the pattern's own \s.
 _WS = "\t-\r \x85\xa0  -     　"
 _RUNS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+?(?= ?[^{_WS}])")
@@ -228,8 +230,11 @@ def encode_decode(df: DataFrame, rank_file: str, pattern: str, key: str = "doc_i
     """DataFrame[key, n_tokens long, ids_sha256 string, decoded_sha256 string],
     and the ids and the decoded text's bytes if ``with_ids`` is set.
 
-    ``rank_file`` is the path of the tokenizer's ranks on every worker.
+    ``rank_file`` is the path of the tokenizer's ranks on every worker; ``pattern``
+    must be the published one.
     """
+    if pattern != PATTERN:
+        raise ValueError("texts are cut into runs for the published pattern only")
     kind = dict(df.dtypes)[key]
 
     def run(batches):

@@ -55,3 +55,9 @@ def test_rows(spark, pair):
         assert got[i].n_tokens == len(want) and got[i].ids_sha256 == hashlib.sha256(raw).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest() and bytes(got[i].decoded) == (t or "").encode()
     assert bpe.encode_decode(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_another_pattern_is_refused(spark):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        bpe.encode_decode(df, PATH, "[a-z]+")
