@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from packloom.functions import html as H
-from packloom.operators import overlay, patterns, sets
-from packloom.plans.registry import _case, _pick, query
+from packloom.operators import metrics, overlay, patterns, render, resolve, sets
+from packloom.plans import registry
+from packloom.plans.registry import _CHECKLIST_SQL, _MATH_SQL, _case, _pick, query
 from packloom.runtime import table
 
 #: Label, icon, and the label in the template's wording.
@@ -271,3 +272,68 @@ def best_practice_pages(spark, sf):
     return chain.enforce(pages).select("s_suppkey", "html", told.alias("told"))
 
 
+
+
+def _lines(report):
+    return report.select("section", "key", "pos", "line")
+
+
+_RANK = "CASE priority WHEN 'P0' THEN '0' WHEN 'P1' THEN '1' WHEN 'P2' THEN '2' WHEN 'P3' THEN '3' ELSE '9' END"
+_FALL = "lpad((1000000000000 - n)::VARCHAR, 13, '0')"
+
+
+@query(f"""WITH {_CHECKLIST_SQL}, x AS (SELECT *, {_RANK} || '|' || source || '|' || category || '|' || description AS o FROM a), n AS (SELECT count(*) AS n FROM a),
+c AS (SELECT category, count(*) AS n, min(o) AS o FROM x GROUP BY 1), s AS (SELECT source, count(*) AS n, min(o) AS o FROM x GROUP BY 1), p AS (SELECT priority, count(*) AS n FROM x GROUP BY 1),
+h(section, lines) AS (SELECT 0, ['# Migration Fix Checklist', '', '- Canvas issues input: `i.json`', '- Manual review input: none', '- Total checklist items: ' || n, '', '## Summary', ''] FROM n UNION ALL SELECT 2, [''] UNION ALL SELECT 4, ['', '## Category Counts', ''] UNION ALL SELECT 6, ['', '## Action Items', '']),
+z(section, key, lines) AS (SELECT section, '', lines FROM h UNION ALL SELECT 1, {_RANK}, ['- ' || priority || ': ' || n] FROM p UNION ALL SELECT 3, o, ['- ' || source || ': ' || n] FROM s UNION ALL SELECT 5, {_FALL} || '|' || o, ['- ' || category || ': ' || n] FROM c
+ UNION ALL SELECT 7, o, CASE WHEN reference = '' THEN [e, '  - Action: ' || action] ELSE [e, '  - Action: ' || action, '  - Reference: ' || reference] END FROM (SELECT *, '- [ ] (' || priority || ') [' || source || '] ' || category || ' | ' || description || ' | owner: ' || owner || ' | count: ' || count AS e FROM x))
+SELECT section, key, (unnest(range(len(lines))))::INT AS pos, unnest(lines) AS line FROM z""")
+def checklist_report(spark, sf):
+    """The checklist as Markdown."""
+    return _lines(render.checklist_report(registry._checklist(spark, sf), {"Canvas issues input": "i.json", "Manual review input": None}))
+
+
+@query(f"""WITH {_MATH_SQL}, l(i, t, n) AS (SELECT 1, 'Files scanned', count(*) FROM g UNION ALL SELECT 2, 'Files with math', count(*) FILTER (mathml + equation_image + raw_tex_delimiter > 0) FROM g UNION ALL SELECT 3, 'Files with math review flags', count(*) FILTER (len(flags) > 0) FROM g UNION ALL SELECT 4, 'Files with mixed math modes', count(*) FILTER (len(m2) > 1) FROM g
+ UNION ALL SELECT 5, 'MathML expressions in original', sum(before) FROM g UNION ALL SELECT 6, 'MathML expressions in converted', sum(mathml) FROM g UNION ALL SELECT 7, 'WIRIS annotations in converted', sum(wiris_annotation) FROM g UNION ALL SELECT 8, 'Canvas equation images in converted', sum(equation_image) FROM g UNION ALL SELECT 9, 'Raw TeX delimiters in converted', sum(raw_tex_delimiter) FROM g
+ UNION ALL SELECT 10, 'Display math blocks in converted', sum(display_math_block) FROM g UNION ALL SELECT 11, 'Empty MathML stubs in converted', sum(empty_mathml_stub) FROM g UNION ALL SELECT 12, 'Absolute equation-image URLs', sum(absolute_equation_image_url) FROM g UNION ALL SELECT 13, 'Equation images missing alt', sum(equation_images_missing_alt) FROM g UNION ALL SELECT 14, 'Equation images missing source metadata', sum(equation_images_missing_source) FROM g)
+SELECT 0 AS section, '' AS key, 3 + i AS pos, '- ' || t || ': ' || n AS line FROM l UNION ALL SELECT * FROM (VALUES (0, '', 0, '# Math Audit'), (0, '', 1, ''), (0, '', 2, '## Summary'), (0, '', 3, ''), (0, '', 18, ''), (0, '', 19, '## Files With Math Review Flags'), (0, '', 20, ''), (2, '', 0, ''))
+ UNION ALL SELECT 1, path::VARCHAR, 0, '- `' || path || '`: ' || array_to_string(flags, ', ') FROM g WHERE len(flags) > 0""")
+def math_report(spark, sf):
+    """The audit of formulas as Markdown."""
+    rows = registry._math(spark, sf)
+    return _lines(render.math_report(rows, metrics.math_summary(rows)))
+
+
+@query(f"""WITH u AS (SELECT lower('brand#' || (l_partkey % 60)) AS name, count(*) AS n FROM lineitem GROUP BY 1), a AS (SELECT DISTINCT 'brand#' || p_size AS name FROM part), j AS (SELECT u.*, a.name IS NOT NULL AS ok FROM u LEFT JOIN a USING (name)),
+s AS (SELECT sum(n) AS t, count(*) AS k, sum(n) FILTER (ok) AS m, count(*) FILTER (ok) AS mk, sum(n) FILTER (NOT ok) AS u, count(*) FILTER (NOT ok) AS uk FROM j),
+h(section, lines) AS (SELECT 0, ['## Brightspace Reference Compatibility', '', '- Total Brightspace template reference hits in examples: ' || t, '- Unique Brightspace basenames: ' || k, '- Matched by basename in template package: ' || m || ' hits across ' || mk || ' names', '- Unmatched by basename: ' || u || ' hits across ' || uk || ' names', '', '## Top Unmatched Brightspace Basenames', ''] FROM s UNION ALL SELECT 2, ['', '## Top Matched Brightspace Basenames', ''])
+SELECT section, '' AS key, (unnest(range(len(lines))))::INT AS pos, unnest(lines) AS line FROM h UNION ALL SELECT CASE WHEN ok THEN 3 ELSE 1 END, {_FALL} || '|' || name, 0, '- ' || name || ' (' || n || ')' FROM (SELECT *, row_number() OVER (PARTITION BY ok ORDER BY n DESC, name) AS r FROM j) WHERE r <= 20""")
+def compatibility_report(spark, sf):
+    """Names of two templates as Markdown."""
+    refs = table(spark, sf, "lineitem").select(F.concat(F.lit("Brand#"), (F.col("l_partkey") % 60).cast("string")).alias("name"))
+    assets = table(spark, sf, "part").select(F.concat(F.lit("brand#"), F.col("p_size").cast("string")).alias("name"))
+    return _lines(render.compatibility_report(resolve.availability(refs, assets)))
+
+
+@query("""SELECT count(*)::BIGINT AS draft_pages, count(*) FILTER (s_suppkey % 3 = 0)::BIGINT AS pages_updated, count(*) FILTER (s_suppkey % 4 = 0)::BIGINT AS pages_missing, sum(s_suppkey % 5)::BIGINT AS manual_review_issues, sum(s_suppkey % 6)::BIGINT AS accessibility_issues, sum(s_nationkey)::BIGINT AS sanitizer_changes, sum(s_suppkey % 7)::BIGINT AS best_practice_changes FROM supplier""")
+def write_back_totals(spark, sf):
+    """Totals of a draft written back."""
+    k = F.col("s_suppkey")
+    return render.write_back_totals(table(spark, sf, "supplier").select((k % 3 == 0).alias("changed"), (k % 4 != 0).alias("found"), (k % 5).alias("manual_review_issues"), (k % 6).alias("accessibility_issues"), F.col("s_nationkey").alias("sanitizer_changes"), (k % 7).alias("best_practice_changes")))
+
+
+#: Audits in JSON, and counts, ids and the answer on the closer.
+AUDIT_CASES = [
+    ('{"instruction_comparison": {"critical_gaps": [{"id": " a# "}, {"id": "b"}]}, "best_practices_coverage": {"coverage_rows": [{"id": "x", "action_needed": true}, {"id": "y", "action_needed": false}]}, "template_analysis": {"placeholder_patterns_detected": ["p"], "module_checklist_required_closer_present": false}}', 2, "a#,b", 1, "x", "p", "false"),
+    ("{}", 0, "", 0, "", "", "true"),
+    ('{"template_analysis": {"placeholder_patterns_detected": ["q#", "r"]}}', 0, "", 0, "", "q#,r", "true"),
+]
+
+
+@query(f"SELECT s_suppkey, {_case('s_suppkey', [c[1] for c in AUDIT_CASES], False)}::BIGINT AS gaps, {_case('s_suppkey', [c[2] for c in AUDIT_CASES])} AS gap_ids, {_case('s_suppkey', [c[3] for c in AUDIT_CASES], False)}::BIGINT AS needed, {_case('s_suppkey', [c[4] for c in AUDIT_CASES])} AS needed_ids, {_case('s_suppkey', [c[5] for c in AUDIT_CASES])} AS placeholders, {_case('s_suppkey', [c[6] for c in AUDIT_CASES])} AS closer FROM supplier")
+def reference_alignment(spark, sf):
+    """What reference audits in JSON say."""
+    k = F.col("s_suppkey")
+    x = render.reference_alignment(table(spark, sf, "supplier").select("s_suppkey", _pick(k, [c[0] for c in AUDIT_CASES]).alias("json")))
+    join = lambda c: F.array_join(c, ",")
+    return x.select("s_suppkey", F.col("critical_gap_count").alias("gaps"), join("critical_gap_ids").alias("gap_ids"), F.col("best_practice_action_needed_count").alias("needed"), join("best_practice_action_needed_ids").alias("needed_ids"), join("template_placeholder_patterns_detected").alias("placeholders"), F.col("module_checklist_required_closer_present").cast("string").alias("closer"))
