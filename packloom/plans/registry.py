@@ -990,4 +990,5 @@ def course_codes(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", patterns.course_code(at(0), [at(1), at(2)], at(3)).alias("code"))
 
 
-import packloom.plans.template_queries  # noqa: E402, F401  adds its queries to this table
+import packloom.plans.measure_queries  # noqa: E402, F401  these add their queries to this table
+import packloom.plans.template_queries  # noqa: E402, F401
