@@ -174,6 +174,23 @@ def restructure(items: DataFrame, key: str = "package", beside_template: bool =
     return both.withColumn("position", F.row_number().over(w.orderBy(*order))).select(key, "parent_id", "module", "position", (F.col("h") == 0).alias("is_header"), "item_id", "title")
 
 
+def children(items: DataFrame, key: str = "package") -> DataFrame:
+    """DataFrame[key, parent_id, titles]: the titles of each module's children, in
+    order; a module's children are as many as its manifest has."""
+    kids = items.where("depth = 1").groupBy(key, "parent_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "title"))).alias("x"))
+    return kids.select(key, "parent_id", F.transform("x", lambda c: c["title"]).alias("titles"))
+
+
+def outline(items: DataFrame, key: str = "package") -> DataFrame:
+    """DataFrame[key, level, title, ordinal]: titles of the first level (top), of the
+    second (section) and of all items (all). A single first item without a title is
+    unwrapped: its children are the first level."""
+    root = items.where("depth = 0").groupBy(key).agg((F.count("*") == 1).alias("one"), F.max(F.col("title") == "").alias("bare"))
+    j = items.join(root, key).withColumn("d", F.col("depth") - F.when(F.col("one") & F.col("bare"), 1).otherwise(0)).where("d >= 0 and title <> ''")
+    level = F.when(F.col("d") == 0, F.array(F.lit("top"), F.lit("all"))).when(F.col("d") == 1, F.array(F.lit("section"), F.lit("all"))).otherwise(F.array(F.lit("all")))
+    return j.select(key, F.explode(level).alias("level"), "title", "ordinal")
+
+
 def items_with_files(items: DataFrame, resources: DataFrame, documents: DataFrame, key: str = "package") -> DataFrame:
     """Items joined to their resource's file, by two equality joins."""
     r = resources.select(key, F.col("identifier").alias("identifierref"), F.col("href").alias("path"))

@@ -84,7 +84,7 @@ def write_packages(rows: DataFrame, order: str = "path") -> DataFrame:
             yield close()
 
     prepare(rows.sparkSession)
-    dealt = rows.select("package", order, "content").repartition("package").sortWithinPartitions("package", order)
+    dealt = rows.select(F.col("package").cast("string").alias("package"), order, "content").repartition("package").sortWithinPartitions("package", order)
     return dealt.mapInArrow(run, "package string, content binary")
 
 
@@ -96,8 +96,8 @@ def docx_text(data: bytes) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def read_documents(spark: SparkSession, path: str, pattern: str = "*.docx") -> DataFrame:
-    """DataFrame[path, text]."""
+def document_texts(files: DataFrame) -> DataFrame:
+    """DataFrame[path, text] of files (path, content): DOCX, or plain text."""
 
     def run(batches):
         for b in batches:
@@ -106,7 +106,13 @@ def read_documents(spark: SparkSession, path: str, pattern: str = "*.docx") -> D
                 text = docx_text(raw) if raw[:2] == b"PK" else raw.decode("utf-8", "ignore")
                 yield pa.RecordBatch.from_pydict({"path": [name], "text": [text]})
 
-    return _files(spark, path, pattern).select("path", "content").mapInArrow(run, "path string, text string")
+    prepare(files.sparkSession)
+    return files.select("path", "content").mapInArrow(run, "path string, text string")
+
+
+def read_documents(spark: SparkSession, path: str, pattern: str = "*.docx") -> DataFrame:
+    """DataFrame[path, text]."""
+    return document_texts(_files(spark, path, pattern))
 
 
 def xlsx_rows(data: bytes, sheet: str | None = None) -> list[dict[str, str]]:
@@ -146,6 +152,19 @@ def xlsx_rows(data: bytes, sheet: str | None = None) -> list[dict[str, str]]:
     return [{h: cells.get(i, "").strip() for i, h in heads.items()} for cells in table[1:]]
 
 
+def sheet_rows(files: DataFrame, sheet: str | None = None) -> DataFrame:
+    """DataFrame[path, pos, cells map] of XLSX files (path, content)."""
+
+    def run(batches):
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1)):
+                rows = xlsx_rows(data.as_py(), sheet)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array([list(r.items()) for r in rows], pa.map_(pa.string(), pa.string()))], names=["path", "pos", "cells"])
+
+    prepare(files.sparkSession)
+    return files.select("path", "content").mapInArrow(run, "path string, pos long, cells map<string,string>")
+
+
 def read_table(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     """CSV (with or without a byte order mark) or XLSX tables as strings without white
     space around them. A path may name several files; sheets are read in the tasks,
@@ -156,15 +175,7 @@ def read_table(spark: SparkSession, path: str, sheet: str | None = None) -> Data
         return df.toDF(*(f"c{i}" for i in range(len(names)))).select(*(F.trim(F.coalesce(f"c{i}", F.lit(""))).alias(c) for i, c in enumerate(names)))
     if not path.lower().endswith(".xlsx"):
         raise ValueError(f"neither CSV nor XLSX: {path}")
-
-    def run(batches):
-        for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1)):
-                rows = xlsx_rows(data.as_py(), sheet)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array([list(r.items()) for r in rows], pa.map_(pa.string(), pa.string()))], names=["path", "pos", "cells"])
-
-    prepare(spark)
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, pos long, cells map<string,string>")
+    rows = sheet_rows(spark.read.format("binaryFile").load(path), sheet)
     first = rows.where("pos = 0").select("path", F.posexplode(F.map_keys("cells")).alias("at", "head"))
     heads = [r.head for r in first.groupBy("head").agg(F.min(F.struct("path", "at")).alias("o")).orderBy("o").collect()]
     if not heads:
