@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -26,6 +28,18 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
 
 
+def trim() -> None:
+    """Give back to the system, where the C library can, what this worker freed.
+
+    Workers live on from stage to stage, and memory that one of them keeps for later
+    is not there for the other tasks of the executor.
+    """
+    gc.collect()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
+
+
 def scratch_base(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
