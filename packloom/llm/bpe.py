@@ -26,9 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from packloom.runtime import prepare
+from packloom.runtime import prepare, trim
 
-CACHED_RUNS = 1_000_000
+#: Runs of a generation of the table; when one is full the one before it goes.
+CACHED_RUNS = 300_000
 CACHED_CHARS = 64
 #: The published pattern of pre-tokens. Runs are cut for it alone.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -166,6 +167,7 @@ class Codec:
             self.vocab[rank] = token
         self.merges = Merges(ranks)
         self.runs: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, runs: list[str]) -> dict[str, bytes]:
         """The ids of runs that aren't in the table."""
@@ -193,17 +195,18 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [_RUNS.findall(t) for t in texts]
-        known = self.runs
-        new = self._learn(list({r for rs in split for r in rs if r not in known}))
+        known, older = self.runs, self.older
+        missing = {r for rs in split for r in rs if r not in known}
+        known |= {r: older[r] for r in missing if r in older}
+        new = self._learn([r for r in missing if r not in known])
         known |= new
         look = known.__getitem__
         out = [b"".join(map(look, rs)) for rs in split]
+        for k in new:
+            if len(k) > CACHED_CHARS:
+                del known[k]
         if len(known) > CACHED_RUNS:
-            self.runs = {}
-        else:
-            for k in new:
-                if len(k) > CACHED_CHARS:
-                    del known[k]
+            self.runs, self.older = {}, known
         return out
 
     def decode(self, ids: bytes) -> bytes:
@@ -249,6 +252,7 @@ def encode_decode(df: DataFrame, rank_file: str, pattern: str, key: str = "doc_i
                 types = [pa.int64(), pa.string(), pa.string()] + [pa.binary()] * 2 * with_ids
                 names = [key, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(c), t) for c, t in zip(zip(*rows), types))], names=names)
+        trim()
 
     prepare(df.sparkSession)
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded binary" * with_ids)

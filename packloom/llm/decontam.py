@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packloom.llm.sums import SCHEMA, blocks, sum_vectors
-from packloom.runtime import materialise, prepare, renamed
+from packloom.runtime import materialise, prepare, renamed, trim
 
 PASSAGE, STRIDE = 64, 32
 RANK = 48
@@ -197,6 +197,7 @@ def numbered(df: DataFrame, text: str, items: Items, carry: list[str]) -> DataFr
                     ends.append(len(flat))
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=[*carry, "__ids"])
+        trim()
 
     prepare(df.sparkSession)
     return rows.mapInArrow(run, f"{schema}__ids array<int>")
@@ -413,6 +414,7 @@ def _match(df: DataFrame, items: Items, *limits: float) -> DataFrame:
         for part, texts in _texts(batches, last + 1):
             new = [a + b for a, b in zip(part.column(last).to_pylist(), matcher.match(texts))]
             yield pa.RecordBatch.from_arrays([*part.columns[:last], pa.array(new, kind)], names=names)
+        trim()
 
     return df.mapInArrow(run, df.drop("__ids").schema)
 

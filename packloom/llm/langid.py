@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packloom.runtime import prepare, renamed
+from packloom.runtime import prepare, renamed, trim
 
 SAMPLE = 300
 SAMPLE_CHARS = 20_000
@@ -39,7 +39,7 @@ BUCKETS = 1 << 16
 WIDTH = 24
 UND = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -368,6 +368,9 @@ def predict(df: DataFrame, model: Model, keep: list[str], text: str = "text") ->
                 part = b.slice(at, 2048)
                 got = tagger.tag(part.column(part.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*kept, "lang_pred", "score"])
+        cache.clear()
+        del tagger
+        trim()
 
     prepare(df.sparkSession)
     return work.mapInArrow(run, f"{schema}lang_pred string, score double").toDF(*keep, "lang_pred", "score")

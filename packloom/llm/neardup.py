@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packloom.llm.graph import components
-from packloom.runtime import materialise, prepare, renamed
+from packloom.runtime import materialise, prepare, renamed, trim
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -46,7 +46,7 @@ class _WordHashes(dict):
         import xxhash
 
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = h
         return h
@@ -191,6 +191,8 @@ def _sets(df: DataFrame, width: int) -> DataFrame:
                             h = _mix(h * _M + m[:, r])
                     bands.append(h.view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array(ns, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["key", "tkey", "node", "n", "bands"])
+        hashes.clear()
+        trim()
 
     prepare(df.sparkSession)
     return df.mapInArrow(run, "key long, tkey long, node long, n int, bands array<long>")
@@ -297,6 +299,8 @@ def _compare(rows: DataFrame, width: int, threshold: float, tolerance: float) ->
                         members.append((node, copies, side, sh))
         out += group(members)
         yield done(out)
+        hashes.clear()
+        trim()
 
     cols = ["root", "k1", "i1", "k2", "i2"]
     dealt = rows.repartition(*cols).sortWithinPartitions(*cols)
