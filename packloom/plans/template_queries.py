@@ -212,6 +212,14 @@ CHAIN_CASES = [
     ('<p>#<img src="TemplateAssets/footer.png"></p>', "<p>#</p>", 1),
     ('<a href="/shared/brightspace_html_template/x">#</a>', _NEUTRAL.format(' data-migration-link-reason="brightspace-template-link"', "/shared/brightspace_html_template/x") + "#</a>", 1),
     ('<p style="position: absolute; top: 1px; color: red">#</p>', '<p style="color: red;">#</p>', 1),
+    ('<div style="position: fixed; z-index: 3; top: 0">#</div>', "<div>#</div>", 1),
+    ('<div style="gap: 1px; display: Grid; color: red; place-items: center">#</div>', '<div style="display: block; color: red;">#</div>', 1),
+    ('<p style="columns: 2; column-rule-width: 1px; color: red">#</p>', '<p style="color: red;">#</p>', 1),
+    ('<p style="column-gap: 2px">#</p>', '<p style="column-gap: 2px">#</p>', 0),
+    ('<p class="migration-x" style="display: flex">#</p>', '<p class="migration-x" style="display: flex">#</p>', 0),
+    ('<aside style="float: left">#<div style="float: right">x</div></aside>y', '<div class="migration-clearfix" style="overflow: hidden;"><aside style="float: left">#<div style="float: right">x</div></aside></div>y', 1),
+    ('<section class="migration-y"><div style="float: right">#</div></section>', '<section class="migration-y"><div style="float: right">#</div></section>', 0),
+    ('<div style="float: none">#</div>', '<div style="float: none">#</div>', 0),
     ("<h1 class='a'>#</h1>", "<h2 class='a'>#</h2>", 1),
     ('<p>#<a href="javascript:window.print()">Print</a></p>', "<p>#</p>", 1),
     ('<a href="javascript:go(1)">#</a>', _NEUTRAL.format(' data-migration-link-reason="javascript-href"', "javascript:go(1)") + "#</a>", 1),
@@ -233,13 +241,13 @@ CHAIN_CASES = [
 ]
 
 
-@query(f"SELECT s_suppkey * 31 + i AS id, replace(replace({_case('k', [c[1] for c in CHAIN_CASES])}, '@', chr(35)), '~', chr(10)) AS html, {_case('k', [c[2] for c in CHAIN_CASES], False)}::BIGINT AS n FROM (SELECT s_suppkey, i, s_suppkey * 31 + i AS k FROM supplier, range({len(CHAIN_CASES)}) r(i))")
+@query(f"SELECT s_suppkey * {len(CHAIN_CASES)} + i AS id, replace(replace({_case('k', [c[1] for c in CHAIN_CASES])}, '@', chr(35)), '~', chr(10)) AS html, {_case('k', [c[2] for c in CHAIN_CASES], False)}::BIGINT AS n FROM (SELECT s_suppkey, i, s_suppkey * {len(CHAIN_CASES)} + i AS k FROM supplier, range({len(CHAIN_CASES)}) r(i))")
 def chain_passes(spark, sf):
     """Every pass of the chain on a page of its own."""
     from packloom.rewrite import chain
 
     k = F.col("id")
-    ids = table(spark, sf, "supplier").select(F.explode(F.sequence(F.col("s_suppkey") * 31, F.col("s_suppkey") * 31 + len(CHAIN_CASES) - 1)).alias("id"))
+    ids = table(spark, sf, "supplier").select(F.explode(F.sequence(F.col("s_suppkey") * len(CHAIN_CASES), F.col("s_suppkey") * len(CHAIN_CASES) + len(CHAIN_CASES) - 1)).alias("id"))
     pages = chain.sanitise(ids.select("id", F.lit("a.html").alias("path"), _pick(k, [c[0] for c in CHAIN_CASES]).alias("html")))
     return pages.select("id", "html", F.aggregate("changes", F.lit(0).cast("long"), lambda a, c: a + c["count"]).alias("n"))
 
