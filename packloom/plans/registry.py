@@ -993,3 +993,4 @@ def course_codes(spark, sf):
 import packloom.plans.measure_queries  # noqa: E402, F401  these add their queries to this table
 import packloom.plans.source_queries  # noqa: E402, F401
 import packloom.plans.template_queries  # noqa: E402, F401
+import packloom.plans.training_queries  # noqa: E402, F401
