@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from packloom.operators import training
 from packloom.plans.registry import _case, _pick, query
+from packloom.rewrite import merge
 from packloom.runtime import table
 
 #: Paths below a course's folder, by part: kind and rank of each.
@@ -90,3 +93,26 @@ def pages_by_key(spark, sf):
     k = F.col("s_suppkey")
     path = F.concat(F.lit("w/x-"), k.cast("string"), F.when(k % 3 == 0, "/Home-Page.png").otherwise("/Home-Page.HTML"))
     return training.pages_by_name(table(spark, sf, "supplier").select(F.col("s_nationkey").alias("package"), path.alias("path"), F.concat(F.lit("h"), k.cast("string")).alias("html")), "home-page")
+
+
+_SHELL = merge.INTRO_BODY.replace("#", "@").replace("\n", "~")
+#: Pages of packages by kind: path, page, the page after the merge, and what was done.
+MERGE_CASES = [
+    ("0#1-cells_of-life/Introduction.html", "<title>x</title><body class='a'><p>Printer-friendly version</p><h2>The Introduction</h2><p>in #</p><p>&nbsp;</p><h2>Objectives</h2><ol><li>o #</li></ol></body>", "<title>Module #1: Cells Of Life: Introduction and Objectives</title><body>~" + _SHELL.replace("{intro}", "<p>in #</p>").replace("{objectives}", "<ul>~  <li>o #</li>~</ul>") + "~</body>", "template_wrapped"),
+    ("a#.html", "<p>#</p>", "<p>#</p>", "passthrough"),
+    ("welcome/instructor.html", "<body><div><h1>Me</h1><p>bio #</p></div></body>", merge.REDIRECT.replace("\n", "~"), "merged_into_about_instructor"),
+    ("CourseOverview/Home Page.html", "<p>own #</p>", "<p>own #</p>", "passthrough"),
+]
+TEMPLATE_PAGES = [("about-the-instructor.html", '<meta name="identifier" content="old"/><body><h3>[Type Name Here] x</h3><p>y</p><hr>z</body>'), ("home-page.html", "<p>home</p>"), ("next-steps.html", '<img src="$IMS-CC-FILEBASE$/template-images/a/Icon.png">'), ("other.html", "x")]
+_ABOUT_ID = hashlib.md5(merge.ABOUT_SEED.encode()).hexdigest()
+
+
+@query(f"""WITH p AS (SELECT s_suppkey AS package, i, CASE i {' '.join(f"WHEN {i} THEN '{c[0]}'" for i, c in enumerate(MERGE_CASES))} END AS path, CASE i {' '.join("WHEN %d THEN '%s'" % (i, c[2].replace("'", "''")) for i, c in enumerate(MERGE_CASES))} END AS html, CASE i {' '.join(f"WHEN {i} THEN '{c[3]}'" for i, c in enumerate(MERGE_CASES))} END AS action FROM supplier, range(4) t(i)),
+a AS (SELECT package, path, html, action FROM p UNION ALL SELECT DISTINCT package, 'CourseOverview/About the Instructor.html', '<meta name="identifier" content="g{_ABOUT_ID}"/><body><p>bio #</p>~<hr>z</body>', 'added_from_template' FROM p UNION ALL SELECT DISTINCT package, 'CourseOverview/Next Steps.html', '<img src="../TemplateAssets/Icon.png">', 'added_from_template' FROM p)
+SELECT package, replace(path, '#', '') AS path, md5(replace(replace(replace(replace(html, 'Module #1', 'Module 1'), '#', package::VARCHAR), '@', chr(35)), '~', chr(10))) AS digest, action FROM a""")
+def template_merge(spark, sf):
+    """Packages merged with a template."""
+    cases = F.array(*(F.struct(F.lit(c[0].replace("#", "")).alias("path"), F.lit(c[1]).alias("html")) for c in MERGE_CASES))
+    pages = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("package"), F.explode(cases).alias("x")).select("package", "x.path", F.replace("x.html", F.lit("#"), F.col("package").cast("string")).alias("html"))
+    got = merge.merge(pages, spark.createDataFrame(TEMPLATE_PAGES, "name string, html string"))
+    return got.select("package", "path", F.md5("html").alias("digest"), "action")
