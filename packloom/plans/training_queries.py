@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from packloom.operators import training
+from packloom.operators import standards, training
 from packloom.plans.registry import _case, _pick, query
 from packloom.rewrite import merge
 from packloom.runtime import table
@@ -116,3 +116,37 @@ def template_merge(spark, sf):
     pages = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("package"), F.explode(cases).alias("x")).select("package", "x.path", F.replace("x.html", F.lit("#"), F.col("package").cast("string")).alias("html"))
     got = merge.merge(pages, spark.createDataFrame(TEMPLATE_PAGES, "name string, html string"))
     return got.select("package", "path", F.md5("html").alias("digest"), "action")
+
+
+#: Pages and modules of two templates, and what they prescribe.
+STANDARD_PAGES = [
+    [
+        ("w/template-image-customizations.html", "<p style='border-bottom: 10px  solid #AC1A2F'>45px decorative AC1A2F, two separate elements</p><hr>"),
+        ("w/z-template-image-customizations.html", "<p>later</p>"), ("w/module-introduction-and-checklist.html", "<h2>Start</h2><h3> </h3><h3>Check &amp; go</h3>"), ("w/module-learning-activities-template.html", "<p>Video title, transcript, timestamp and citation</p>"),
+        ("w/module-lesson-title-template.html", "<p>Paste text <b>without</b> formatting; accordion</p>"), ("wiki_content/home-page.html", "<div style='background: #EEEEEE'>Syllabus Course Q&amp;A. This course is open to AI usage</div>"), ("wiki_content/home-page-stem.html", "<p>AI Excellence Institute</p>"),
+        ("wiki_content/syllabus-2.html", "<p>Return to Table of Contents</p>"), ("wiki_content/about-the-instructor.html", "<p>a sense of belonging</p>"), ("wiki_content/policies-and-support.html", "x"), ("w/template-introduction-and-instructions.html", "<p>Course Credentials. It replaces the Course Overview Survey</p>"), ("w/a.png", "accordion"),
+    ],
+    [("w/a.html", "<p>plain</p>"), ("wiki_content/syllabus-f2f.html", "<p>f</p>"), ("w/c.html", "<p>course credentials</p>")],
+]
+STANDARD_MODULES = [[("Start Here", ["Welcome", "Tour"], 0), ("Module 1: Cells", ["a"], 1), ("Module 1: Late", ["b"], 2)], [("The Course Conclusion", ["Course Credentials", "End"], 0), ("Instructor Module (Do Not Publish)", ["About"], 1)]]
+STANDARD_ROWS = [
+    ("Start|Check & go", 45, "true", "ac1a2f", "border-bottom: 10px solid #ac1a2f", "unstyled <hr>", "#eeeeee", "Welcome|Tour", "", "a", "", "false", "true", "true", "true", "true", "true", "true", "false", "true", "Syllabus|Course Q&A", "Online", "true", "Health Sciences=Syllabus+Course Q&A|STEM=AI Excellence Institute", "1"),
+    ("", -1, "false", "", "", "", "", "", "About", "", "Course Credentials|End", "true", "true", "false", "false", "false", "false", "false", "false", "false", "", "Face-to-Face", "false", "", "0"),
+]
+STANDARD_COLUMNS = ["ic_sections", "width", "decorative", "red", "primary_rule", "separator", "background", "start_here", "instructor", "lesson", "conclusion", "in_shell", "mentioned", "citation", "accordion", "survey", "paste", "ai_notice", "contents", "belonging", "links", "variants", "policies", "homes", "warned"]
+
+
+@query("SELECT s_suppkey AS package, " + ", ".join(("CASE s_suppkey % 2 WHEN 0 THEN {} ELSE {} END AS {}" if c == "width" else "CASE s_suppkey % 2 WHEN 0 THEN '{}' ELSE '{}' END AS {}").format(a, b, c) for a, b, c in zip(*STANDARD_ROWS, STANDARD_COLUMNS)) + " FROM supplier")
+def template_standards(spark, sf):
+    """What templates prescribe."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf, "supplier").select(k.alias("package"))
+    case = lambda make, rows: F.when(F.col("package") % 2 == 0, F.array(*map(make, rows[0]))).otherwise(F.array(*map(make, rows[1])))
+    pages = s.select("package", F.explode(case(lambda r: F.struct(F.lit(r[0]).alias("path"), F.lit(r[1]).alias("html")), STANDARD_PAGES)).alias("x")).select("package", "x.*")
+    modules = s.select("package", F.explode(case(lambda r: F.struct(F.lit(r[0]).alias("module"), F.array(*map(F.lit, r[1])).alias("titles"), F.lit(r[2]).alias("ordinal")), STANDARD_MODULES)).alias("x")).select("package", "x.*")
+    t = standards.template_standards(pages, modules)
+    join = lambda c: F.array_join(c, "|")
+    text = lambda c: F.col(c).cast("string")
+    homes = F.array_join(F.transform("home_page_variants", lambda v: F.concat(v.division, F.lit("="), F.array_join(v.links, "+"))), "|")
+    values = [join("ic_sections"), F.coalesce("heading_icon_width_px", F.lit(-1)), text("decorative_icon_alt_expected"), F.col("sinclair_red_hex"), F.col("primary_page_heading_rule"), F.col("internal_separator_rule"), F.col("home_page_header_background"), join("start_here_items"), join("instructor_module_items"), join("lesson_module_items"), join("course_conclusion_items"), text("course_credentials_in_shell"), text("instructions_reference_course_credentials"), text("view_requires_video_title_transcript_timestamp_citation"), text("accordion_guidance_present"), text("start_here_replaces_course_overview_survey"), text("paste_without_formatting_guidance_present"), text("home_page_ai_notice_present"), text("syllabus_has_table_of_contents"), text("about_instructor_belonging_language_present"), join("home_page_links"), join("syllabus_variants_present"), text("policies_support_page_present"), homes, F.size("warnings").cast("string")]
+    return t.select("package", *(v.alias(c) for v, c in zip(values, STANDARD_COLUMNS)))
