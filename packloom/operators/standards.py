@@ -88,7 +88,7 @@ def template_standards(pages: DataFrame, children: DataFrame, package: str = "pa
         *(sections(n).alias(c) for c, n in (("ic_sections", "ic_template"), ("learning_activities_sections", "learning_activities_template"), ("review_sections", "review_template"), ("lesson_sections", "lesson_template"))),
         F.when(image.rlike(r"(?i)\b45px\b"), 45).alias("heading_icon_width_px"),
         F.contains(F.lower(image), F.lit("decorative")).alias("decorative_icon_alt_expected"),
-        F.lower(F.regexp_extract(image, r"(?i)\bac1a2f\b", 0)).alias("sinclair_red_hex"),
+        F.lower(F.regexp_extract(image, r"(?i)\bac1a2f\b", 0)).alias("red_hex"),
         F.contains(F.lower(image), F.lit("two separate elements")).alias("icon_text_can_be_copied_separately"),
         rule(F.col("primary_rule"), "border-bottom: 10px solid #ac1a2f").alias("primary_page_heading_rule"),
         rule(F.col("thick_rule"), "border-top: 8px solid #ac1a2f").alias("thick_red_divider_rule"),

@@ -148,5 +148,5 @@ def template_standards(spark, sf):
     join = lambda c: F.array_join(c, "|")
     text = lambda c: F.col(c).cast("string")
     homes = F.array_join(F.transform("home_page_variants", lambda v: F.concat(v.division, F.lit("="), F.array_join(v.links, "+"))), "|")
-    values = [join("ic_sections"), F.coalesce("heading_icon_width_px", F.lit(-1)), text("decorative_icon_alt_expected"), F.col("sinclair_red_hex"), F.col("primary_page_heading_rule"), F.col("internal_separator_rule"), F.col("home_page_header_background"), join("start_here_items"), join("instructor_module_items"), join("lesson_module_items"), join("course_conclusion_items"), text("course_credentials_in_shell"), text("instructions_reference_course_credentials"), text("view_requires_video_title_transcript_timestamp_citation"), text("accordion_guidance_present"), text("start_here_replaces_course_overview_survey"), text("paste_without_formatting_guidance_present"), text("home_page_ai_notice_present"), text("syllabus_has_table_of_contents"), text("about_instructor_belonging_language_present"), join("home_page_links"), join("syllabus_variants_present"), text("policies_support_page_present"), homes, F.size("warnings").cast("string")]
+    values = [join("ic_sections"), F.coalesce("heading_icon_width_px", F.lit(-1)), text("decorative_icon_alt_expected"), F.col("red_hex"), F.col("primary_page_heading_rule"), F.col("internal_separator_rule"), F.col("home_page_header_background"), join("start_here_items"), join("instructor_module_items"), join("lesson_module_items"), join("course_conclusion_items"), text("course_credentials_in_shell"), text("instructions_reference_course_credentials"), text("view_requires_video_title_transcript_timestamp_citation"), text("accordion_guidance_present"), text("start_here_replaces_course_overview_survey"), text("paste_without_formatting_guidance_present"), text("home_page_ai_notice_present"), text("syllabus_has_table_of_contents"), text("about_instructor_belonging_language_present"), join("home_page_links"), join("syllabus_variants_present"), text("policies_support_page_present"), homes, F.size("warnings").cast("string")]
     return t.select("package", *(v.alias(c) for v, c in zip(values, STANDARD_COLUMNS)))
