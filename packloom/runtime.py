@@ -20,8 +20,17 @@ _local_base: str | None = None
 _written: list[tuple[weakref.ref, str]] = []
 
 
+#: Rows that go to a Python worker at once, at most: buffers of both sides grow with it.
+BATCH_ROWS = 2000
+_ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package where the repository path exists on them."""
+    """Let Python workers import this package where the repository path exists on them,
+    and send them whole texts a bounded number at a time."""
+    rows = int(spark.conf.get(_ROWS_CONF, "10000"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(_ROWS_CONF, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths and os.path.isdir(_ROOT):
