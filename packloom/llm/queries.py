@@ -77,6 +77,14 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from packloom.llm import vafile
+
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return vafile.mine(moved, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": op1_ogg_media,
     "op2_jaccard_join": op2_jaccard_join,
@@ -88,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_lsa_decontamination": op9_lsa_decontamination,
     "op10_language_crf": op10_language_crf,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 ORACLE: dict[str, str] = {
@@ -114,5 +123,20 @@ SELECT page_id, n::BIGINT AS payload_bytes,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM b
+""",
+    "op11_hard_negatives": """
+WITH k AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda e: floor(256 * e::DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+s AS (SELECT a.r AS ar, a.vec_id AS a, b.r AS br, b.vec_id AS b, a.label = b.label AS same,
+    list_inner_product(a.x, b.x)::BIGINT AS s
+  FROM k a JOIN k b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+p AS (SELECT ar, a, br, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY s DESC, b NULLS LAST) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id,
+  (row_number() OVER (PARTITION BY p.ar, p.br ORDER BY n.s DESC, n.b NULLS LAST))::INT AS rank,
+  n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM p JOIN s n ON n.ar = p.ar AND NOT n.same AND 80 * p.s <= 100 * n.s AND 100 * n.s <= 100 * p.s
+QUALIFY rank <= 5
 """,
 }
