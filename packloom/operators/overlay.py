@@ -74,6 +74,33 @@ def icon_label(raw: Column) -> Column:
     return F.regexp_replace(t, r"^[ :;,.-]+|[ :;,.-]+$", "")
 
 
+#: Labels of icons that no page of the template explains.
+DEFAULT_LABELS = {"checklist.png": "Checklist", "exclamation.png": "Important", "info.png": "Information"}
+GLOSSARY_PAGE = "template-image-customizations"
+_ICON_IN_HEADING = r"""(?i)<img\b[^>]*/icons/([^/"'>\s]+\.(?:png|jpg|jpeg|svg|gif|webp))[^>]*>"""
+
+
+def glossary(pages: DataFrame, aliases: DataFrame, order: str = "path", path: str = "path", text: str = "html") -> DataFrame:
+    """DataFrame[name, label] of a template's icons.
+
+    A heading with an icon on a page that explains images gives the icon the rest of the
+    heading as its label; the first page by ``order`` and the first heading in it win.
+    Icons that are not explained have default labels. A name that only an alias
+    (source, pos, target) knows has the label of the first of its targets that has one.
+    Headings and labels are read natively; what is shuffled is one row an icon and page.
+    """
+    explaining = pages.where(F.lower(path).like("%.html") & F.contains(F.lower(path), F.lit(GLOSSARY_PAGE)))
+    heads = explaining.select(F.col(order).alias("o"), F.posexplode(F.regexp_extract_all(text, F.lit(r"(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]>"), F.lit(1))).alias("at", "body"))
+    label = icon_label(plain_text(F.regexp_replace("body", r"(?i)<img\b[^>]*>", "")))
+    told = heads.select("o", "at", icon_name(F.regexp_extract("body", _ICON_IN_HEADING, 1)).alias("name"), label.alias("label")).where("name <> '' AND label <> ''")
+    own = told.groupBy("name").agg(F.min_by("label", F.struct("o", "at")).alias("label"))
+    default = pages.sparkSession.createDataFrame(list(DEFAULT_LABELS.items()), "name string, label string")
+    known = own.unionAll(default.join(own, "name", "left_anti"))
+    by = aliases.select(F.lower("source").alias("source"), "pos", F.lower("target").alias("name")).join(known, "name")
+    more = by.groupBy("source").agg(F.min_by("label", "pos").alias("label")).select(F.col("source").alias("name"), "label")
+    return known.unionAll(more.join(known, "name", "left_anti"))
+
+
 def heading_key(text: Column) -> Column:
     return compare_key(plain_text(text), "")
 

@@ -155,6 +155,67 @@ def template_overlay(spark, sf):
     return page.overlay(pages, t).select("s_suppkey", "html", "mapped_direct", "mapped_alias", "unresolved", "ignored", "unmapped")
 
 
+_HEAD = ' style="color: @ac1a2f;"'
+_RED = "color: @ac1a2f; border-bottom: 10px solid @AC1A2F; padding: 10px;"
+_SRC = '<img src="w/TemplateAssets/{}" alt="" role="presentation" style="width: 45px; vertical-align: middle; margin-right: 8px; height: auto;">'
+#: Pages with icon blocks, headings and rules, and what they are in the template: path,
+#: page, result, merged blocks, promoted headings, page headings, rules that went.
+BLOCK_CASES = [
+    # An icon and the text behind it; the words call for another icon, whose label is known.
+    ("a.html", f'<p><span>{_SRC.format("x.png")}</span>&nbsp;</p>\n <div>Sample <b>Forms</b> #<img src="k.png"></div>z', f'<h3{_HEAD}>{_ICON.format("folder.png")} <strong>Additional Resources</strong></h3>\n<h4>Sample Forms #</h4>\n<p><img src="k.png"></p>z', 1, 0, 0, 0),
+    # The same words as the label: no second heading.
+    ("w/Learning Activities.html", f'{_SRC.format("q.png")}<p>&nbsp;{_SRC.format("x.png")}</p><p>About # it</p>', f'{_SRC.format("q.png")}<h2{_HEAD}>{_ICON.format("x.png")} <strong>About # it</strong></h2>', 1, 0, 0, 0),
+    # Lists, links and long texts are no labels.
+    ("a.html", f'<p>&nbsp;{_SRC.format("x.png")}</p><div>a <a href="b">#</a></div><p>&nbsp;{_SRC.format("x.png")}</p><p>1 2 3 4 5 6 7 8 9 10 11 12 #</p>', f'<p>&nbsp;{_SRC.format("x.png")}</p><div>a <a href="b">#</a></div><p>&nbsp;{_SRC.format("x.png")}</p><p>1 2 3 4 5 6 7 8 9 10 11 12 #</p>', 0, 0, 0, 0),
+    # Three blocks: the first takes the second's place in its pass, so the third finds none.
+    ("a.html", f'<p>{_SRC.format("x.png")}</p><p>&nbsp;{_SRC.format("y.png")}</p><h3>Reading #</h3>', f'<p>{_SRC.format("x.png")}</p><h3{_HEAD}>{_ICON.format("book.png")} <strong>Read</strong></h3>\n<h4>Reading #</h4>', 1, 0, 0, 0),
+    # Empty blocks between icon and heading; boxes that end there go.
+    ("a.html", f'<div><p>{_SRC.format("q.png")}</p></div> <p><em>&nbsp;</em></p><h2 class="c">Quiz #</h2>', f'<div><h2 class="c"{_HEAD}>{_ICON.format("rocket.png")} <strong>Quiz #</strong></h2>', 1, 0, 0, 0),
+    ("a.html", f'<p>{_SRC.format("q.png")}</p><p></p><h5> </h5><p>\n</p><div><br><h4>Office hours</h4> </div>#', f'<h3{_HEAD}>{_ICON.format("educator.png")} <strong>Instructor Information</strong></h3>\n<h5>Office hours</h5>#', 1, 1, 0, 0),
+    # Headings of level 4 with an icon.
+    ("a.html", f'<h4 style="color: blue">{_SRC.format("x.png")} #</h4><h4>#</h4><h5>{_SRC.format("x.png")} #</h5>', f'<h3 style="color: blue">{_SRC.format("x.png")} #</h3><h4>#</h4><h5>{_SRC.format("x.png")} #</h5>', 0, 1, 0, 0),
+    # Introductions: each heading once, the rule at the top goes.
+    ("w/Introduction and Objectives.html", '<body><div><p>&nbsp;</p><hr></div><div><h3 style="padding: 1px; margin: 0">Introduction</h3></div><h1>Learning Objectives:<img src="#.png"></h1><h2>Checklist</h2><h2>CHECKLIST</h2></body>', f'<body><div><p>&nbsp;</p><div><h2 style="margin: 0; {_RED}">{_ICON.format("star.png")} <strong>Introduction</strong></h2></div><h2{_HEAD}>{_ICON.format("bullseye.png")} <strong>Module Objectives</strong></h2>\n<p><img src="#.png"></p><h2{_HEAD}>{_ICON.format("checkmark.png")} <strong>Module Checklist</strong></h2><h2>CHECKLIST</h2></body>', 0, 0, 3, 1),
+    ("w/Introduction and Objectives.html", "<body>x<hr><h2>Introduction</h2>#</body>", f'<body>x<hr><h2 style="{_RED}">{_ICON.format("star.png")} <strong>Introduction</strong></h2>#</body>', 0, 0, 1, 0),
+    # Learning activities: the first heading only.
+    ("w\\Learning Activities - Week 2.html", "<body>\n<hr/><h1>Do &amp; see #</h1><h2>b</h2></body>", f'<body>\n<h2 style="{_RED}"><strong>{_ICON.format("bookmark.png")} Do &amp; see #</strong></h2><h2>b</h2></body>', 0, 0, 1, 1),
+    ("Learning Activities.html", f'<h2> </h2><h2>#</h2>', f'<h2> </h2><h2>#</h2>', 0, 0, 0, 0),
+]
+
+
+@query(f"""SELECT p_partkey, replace({_case('p_partkey', [c[2] for c in BLOCK_CASES])}, '@', chr(35)) AS html, {', '.join(f"{_case('p_partkey', [c[3 + i] for c in BLOCK_CASES], False)}::BIGINT AS {n}" for i, n in enumerate(("merged", "promoted", "headings", "dividers")))} FROM part""")
+def template_blocks(spark, sf):
+    """Icon blocks, headings and rules of pages moved to a template."""
+    from packloom.rewrite import overlay as page
+
+    k = F.col("p_partkey")
+    labels = {"folder.png": "Additional Resources", "book.png": "Read", "educator.png": "Instructor Information"}
+    t = page.load_template(spark.createDataFrame([("x.png",), ("y.png",), ("q.png",)], "name string"), spark.createDataFrame([], "source string, pos int, target string"), labels)
+    pages = table(spark, sf, "part").select("p_partkey", _pick(k, [c[0] for c in BLOCK_CASES]).alias("path"), F.replace(_pick(k, [c[1] for c in BLOCK_CASES]), F.lit("@"), F.lit("#")).alias("html"))
+    n = lambda what: F.coalesce(F.get(F.filter("changes", lambda c: c["description"] == what), F.lit(0))["count"], F.lit(0)).alias
+    return page.overlay(pages, t).select("p_partkey", "html", n(page.MERGED)("merged"), n(page.PROMOTED)("promoted"), n(page.HEADINGS)("headings"), n(page.DIVIDERS)("dividers"))
+
+
+@query("""WITH h AS (SELECT p_partkey, lower('I' || p_size || '.PNG') AS name, p_name AS label FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 5 <> 0),
+o AS (SELECT name, arg_min(label, lpad(p_partkey::VARCHAR, 9, '0')) AS label FROM h GROUP BY name),
+k AS (SELECT * FROM o UNION ALL VALUES ('checklist.png', 'Checklist'), ('exclamation.png', 'Important'), ('info.png', 'Information')),
+a AS (SELECT DISTINCT 'old' || p_size || '.png' AS source, p_size AS s FROM part),
+t AS (SELECT source, 0 AS pos, 'none.png' AS target FROM a UNION ALL SELECT source, 1, 'i' || s || '.png' FROM a UNION ALL SELECT source, 2, 'info.png' FROM a)
+SELECT * FROM k UNION ALL SELECT source, arg_min(label, pos) FROM t JOIN k ON k.name = t.target GROUP BY source""")
+def icon_glossary(spark, sf):
+    """Labels of icons that a template's pages explain."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    p = table(spark, sf, "part")
+    icon = F.concat(F.lit('<h3 class="x"><img alt="a" src="../images/Icons/I'), size, F.lit('.PNG"> <span>'), "p_name", F.lit("</span>&nbsp;or something else</h3><h2>no icon</h2>"))
+    later = F.concat(F.lit('<h4><img src="x/icons/i'), size, F.lit('.png"> later</h4>'))
+    html = F.concat(F.lit("<h1>a</h1>"), F.when(k % 5 == 0, F.lit("<h2><img src='/icons/none.gif'></h2>")).otherwise(F.concat(icon, later)))
+    path = F.concat(F.lit("w/"), F.lpad(k.cast("string"), 9, "0"), F.when(k % 3 == 0, "-other.html").otherwise("-Template-Image-Customizations.html"))
+    size = p.select("p_size").distinct()
+    n = F.col("p_size").cast("string")
+    aliases = size.select(F.concat(F.lit("Old"), n, F.lit(".png")).alias("source"), F.posexplode(F.array(F.lit("none.png"), F.concat(F.lit("I"), n, F.lit(".png")), F.lit("info.png"))).alias("pos", "target"))
+    return overlay.glossary(p.select(path.alias("path"), html.alias("html")), aliases)
+
+
 _OUTLINE = '<caption><h3>Course Outline (16-Week)</h3></caption><tr><th scope="col" style="background-color: @000000; color: @ffffff;">16-Week #</th></tr>'
 #: Tables of syllabuses, and what they are in the template.
 TABLE_CASES = [

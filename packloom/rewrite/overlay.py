@@ -1,10 +1,13 @@
 """Pages moved to a template: references to its assets, images, icon headings.
 
-``overlay`` runs four steps over each page in one Arrow stage: references to the old
+``overlay`` runs its steps over each page in one Arrow stage: references to the old
 system's shared template become those of the new template's assets, images get sizes
-that fit, and headings and blocks that are nothing but an icon get its label. What a
-template holds is configuration, as many assets as its package has files; more than
-MAX_ASSETS are refused.
+that fit, headings and blocks that are nothing but an icon get its label, icon blocks
+are merged with the text or heading that follows them, headings of level 4 with an icon
+become a section's, and pages with introductions and learning activities get the
+template's headings and lose the rule above them. What a template holds is
+configuration, as many assets as its package has files; more than MAX_ASSETS assets or
+aliases are refused.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from packloom.operators import overlay as rules
+from packloom.rewrite import blocks
 from packloom.rewrite.tags import Tag, each_tag, plain
 from packloom.runtime import prepare
 
@@ -30,9 +34,18 @@ IGNORED = {
     "bootstrap.min.js", "scripts.min.js", "print.css", "print.js", "logo.png", "rule_brown_gradient.png",
 }
 NOT_ICONS = {"course-card.png", "footer.png", "instructor-photo.png", "instructor-resource-course.png", "student-resource-course.png", "video-placeholder.png"}
-DEFAULT_LABELS = {"checklist.png": "Checklist", "exclamation.png": "Important", "info.png": "Information"}
 HEADING_ICON_STYLE = "width: 45px; height: auto; vertical-align: middle; margin-right: 8px;"
 HEADING_COLOUR = ("color", "#ac1a2f")
+PAGE_TITLE_STYLE = (HEADING_COLOUR, ("border-bottom", "10px solid #AC1A2F"), ("padding", "10px"))
+SECTION_STYLE = (HEADING_COLOUR,)
+INTRO_HEADINGS = {
+    "introduction": ("star.png", "Introduction", PAGE_TITLE_STYLE),
+    "learning objectives": ("bullseye.png", "Module Objectives", SECTION_STYLE),
+    "module objectives": ("bullseye.png", "Module Objectives", SECTION_STYLE),
+    "checklist": ("checkmark.png", "Module Checklist", SECTION_STYLE),
+    "module checklist": ("checkmark.png", "Module Checklist", SECTION_STYLE),
+}
+INTRO_ICON, LEARNING_ICON = "star.png", "bookmark.png"
 ICON_STYLE = {"width": "45px", "height": "auto", "vertical-align": "middle", "margin-right": "8px"}
 FLOATING_ICON_STYLE = {"width": "45px", "max-width": "100%", "height": "auto"}
 BANNER_STYLE = {"width": "100%", "height": "auto", "display": "block"}
@@ -51,10 +64,14 @@ BANNERS = "Normalized mapped template banner image sizing and decorative semanti
 ALTS = "Filled missing alt text for mapped template icon images"
 TITLES = "Standardized mapped template icon title text using template glossary labels"
 LABELS = "Added visible text labels next to icon-only headings using template glossary labels"
+MERGED = "Merged standalone icon blocks into following headings for template-style icon+label layout"
+PROMOTED = "Promoted template icon section headings to maintain Canvas-safe heading order"
+HEADINGS = "Normalized page and section headings to match template heading styles"
+DIVIDERS = "Removed redundant leading dividers ahead of template-styled page headings"
 IMAGES = "Normalized content image spacing and responsive sizing for Canvas-safe layouts"
 IMAGES_WRAPPED = "Preserved wrapped image layouts within Canvas-safe width limits"
 UNMAPPED = "Template asset reference not mapped to Canvas template package"
-ORDER = [DIRECT, ALIAS, ICONS, BANNERS, ALTS, TITLES, LABELS, IMAGES, IMAGES_WRAPPED]
+ORDER = [DIRECT, ALIAS, ICONS, BANNERS, ALTS, TITLES, LABELS, MERGED, PROMOTED, HEADINGS, DIVIDERS, IMAGES, IMAGES_WRAPPED]
 # --- End of fixed values. ---
 
 
@@ -69,6 +86,7 @@ class Template:
     visual: bool = True
     colour: bool = True
     wrap_images: bool = False
+    dividers: bool = True
 
     def names(self) -> set[str]:
         return set(self.assets) | set(self.aliases) | {t for ts in self.aliases.values() for t in ts} | set(self.labels)
@@ -85,8 +103,15 @@ class Template:
         return None, "unmapped"
 
 
-def load_template(assets: DataFrame, aliases: DataFrame, labels: dict[str, str] | None = None, **flags: bool) -> Template:
-    """From tables of assets (name) and ordered aliases (source, pos, target)."""
+def load_template(assets: DataFrame, aliases: DataFrame, labels: dict[str, str] | DataFrame | None = None, **flags: bool) -> Template:
+    """From tables of assets (name) and ordered aliases (source, pos, target). Labels are
+    a table as :func:`packloom.operators.overlay.glossary` gives it, or names and labels
+    beside the default ones."""
+    if isinstance(labels, DataFrame):
+        told = labels.limit(MAX_ASSETS + 1).collect()
+        if len(told) > MAX_ASSETS:
+            raise ValueError(f"a template of more than {MAX_ASSETS} labels")
+        labels = {r["name"]: r["label"] for r in told}
     rows = assets.groupBy("name").count().limit(MAX_ASSETS + 1).collect()
     if len(rows) > MAX_ASSETS:
         raise ValueError(f"a template of more than {MAX_ASSETS} assets")
@@ -94,9 +119,12 @@ def load_template(assets: DataFrame, aliases: DataFrame, labels: dict[str, str]
     for r in rows:
         n[r["name"].lower()] += r["count"]
     tries: dict[str, list[str]] = {}
-    for r in sorted(aliases.collect(), key=lambda r: r["pos"]):
+    others = aliases.limit(MAX_ASSETS + 1).collect()
+    if len(others) > MAX_ASSETS:
+        raise ValueError(f"a template of more than {MAX_ASSETS} aliases")
+    for r in sorted(others, key=lambda r: r["pos"]):
         tries.setdefault(r["source"].lower(), []).append(r["target"].lower())
-    return Template(dict(n), tries, DEFAULT_LABELS | (labels or {}), **flags)
+    return Template(dict(n), tries, rules.DEFAULT_LABELS | (labels or {}), **flags)
 
 
 def _path(url: str) -> str:
@@ -229,25 +257,54 @@ def images(text: str, t: Template, notes: Counter) -> str:
     return each_tag(text, "img", edit)[0]
 
 
+def is_learning_page(path: str) -> bool:
+    return bool(re.search(r"(?:^|/)learning activities(?:\s*-\s*[^/]+)?\.html$", path.replace("\\", "/").lower()))
+
+
+def semantic_icon(current: str, label: str, title: str) -> str:
+    """:func:`packloom.operators.overlay.semantic_icon` of one icon."""
+    told = compare(" ".join(x for x in (label, title) if x))
+    if not (label or title).strip():
+        return current
+    for phrases, icon in rules.ICONS:
+        if any(p in told for p in phrases):
+            return icon
+    if current in rules.VIEW_ICONS or compare(label) in rules.VIEW_KEYS:
+        return rules.VIEW_ICON
+    return dict(rules.REPLACED_ICONS).get(current, current)
+
+
+def icon_tag(name: str) -> str:
+    return f'<img src="{FOLDER}/{name}" role="presentation" alt="" style="{HEADING_ICON_STYLE}">'
+
+
+def icon_of(tag: str) -> str:
+    return base_name(unquote(urlsplit(Tag(tag).get("src") or "").path))
+
+
+def coloured(attrs: str, t: Template) -> str:
+    """A heading's attributes with the template's colour, unless it has one."""
+    tag = Tag(f"<h{attrs}>")
+    if t.colour and HEADING_COLOUR[0] not in tag.style:
+        tag.put_style(tag.style | dict([HEADING_COLOUR]))
+    return tag.text[2:-1]
+
+
 def icon_headings(text: str, path: str, t: Template, notes: Counter) -> str:
     """Headings and blocks that hold an icon alone get its label."""
-    fixed = 2 if re.search(r"(?:^|/)learning activities(?:\s*-\s*[^/]+)?\.html$", path.replace("\\", "/").lower()) else 0
+    fixed = 2 if is_learning_page(path) else 0
 
     def labelled(m: re.Match, level: int, attrs: str) -> str:
-        name = base_name(unquote(urlsplit(Tag(m["img"]).get("src") or "").path))
+        name = icon_of(m["img"])
         label = heading_label(t.labels.get(name, ""), name) if name else ""
         if not label:
             return m[0]
-        icon = f'<img src="{FOLDER}/{name}" role="presentation" alt="" style="{HEADING_ICON_STYLE}">'
-        new = f"<h{level}{attrs}>{icon} <strong>{html.escape(label)}</strong></h{level}>"
+        new = f"<h{level}{attrs}>{icon_tag(name)} <strong>{html.escape(label)}</strong></h{level}>"
         notes[LABELS] += new != m[0]
         return new
 
     def heading(m: re.Match) -> str:
-        tag = Tag(f"<h{m['attrs']}>")
-        if t.colour and HEADING_COLOUR[0] not in tag.style:
-            tag.put_style(tag.style | dict([HEADING_COLOUR]))
-        return labelled(m, fixed or int(m["level"]), tag.text[2:-1])
+        return labelled(m, fixed or int(m["level"]), coloured(m["attrs"], t))
 
     def block(m: re.Match) -> str:
         return labelled(m, fixed or 3, f' style="{HEADING_COLOUR[0]}: {HEADING_COLOUR[1]};"' if t.colour else "")
@@ -256,6 +313,66 @@ def icon_headings(text: str, path: str, t: Template, notes: Counter) -> str:
     return re.sub(r"(?is)<(?P<wrapper>p|div)\b[^>]*>\s*(?P<img><img\b[^>]*templateassets/[^>]+>)\s*</(?P=wrapper)>", block, text)
 
 
+def _styles(attrs: str, wanted: tuple[tuple[str, str], ...], t: Template) -> str:
+    """Attributes with a heading's styles, as far as the template's flags want them."""
+    off = {k for k, on in (("color", t.colour), ("border-bottom", t.dividers)) if not on}
+    return blocks.restyled(attrs, tuple(w for w in wanted if w[0] not in off), {"color", "border-bottom", "padding"} - off)
+
+
+def merge_blocks(text: str, path: str, t: Template, notes: Counter) -> str:
+    """Icon blocks merged with what follows, and promoted headings."""
+    learning = is_learning_page(path)
+    p = blocks.Passes(label=heading_label, icon=semantic_icon, image=icon_tag, coloured=lambda a: coloured(a, t), known=t.labels, section=lambda n: 2 if learning else n, name=icon_of)
+    for step in (p.with_label, p.with_boxed_heading, p.with_heading):
+        text = blocks.edited(text, lambda s, i, step=step: step(s, i, compare))
+    text = blocks.edited(text, p.promote)
+    notes[MERGED] += p.count["merged"]
+    notes[PROMOTED] += p.count["promoted"]
+    return text
+
+
+def page_headings(text: str, path: str, t: Template, notes: Counter) -> str:
+    """The template's headings on pages with introductions and learning activities."""
+    name = path.replace("\\", "/").lower()
+    seen: set[str] = set()
+
+    def intro(s: blocks.Stream, i: int):
+        last = s.heading(i)
+        if last is None:
+            return None
+        body = s.body(i, last)
+        key = compare(body)
+        if key not in INTRO_HEADINGS or key in seen:
+            return last, None
+        seen.add(key)
+        icon, label, style = INTRO_HEADINGS[key]
+        new = f"<h2{_styles(s.attrs(i), style, t)}>{icon_tag(icon)} <strong>{label}</strong></h2>"
+        new += "".join(f"\n<p>{m}</p>" for m in blocks.title_and_media(body)[1])
+        notes[HEADINGS] += new != s.text[s.start[i] : s.end[last]]
+        return last, new
+
+    def learning(s: blocks.Stream, i: int):
+        last = None if seen else s.heading(i)
+        if last is None:
+            return None
+        seen.add("")
+        body = s.body(i, last)
+        title = plain(body)
+        if "templateassets/" in body.lower() or not title:
+            return last, None
+        new = f"<h2{_styles(s.attrs(i), PAGE_TITLE_STYLE, t)}><strong>{icon_tag(LEARNING_ICON)} {html.escape(title)}</strong></h2>"
+        notes[HEADINGS] += new != s.text[s.start[i] : s.end[last]]
+        return last, new
+
+    for step, here, icon in ((intro, name.endswith("introduction and objectives.html"), INTRO_ICON), (learning, is_learning_page(path), LEARNING_ICON)):
+        if here:
+            text = blocks.edited(text, step)
+            if t.dividers:
+                text, gone = blocks.without_divider(text, icon)
+                notes[DIVIDERS] += gone
+    return text
+
+
 def run(text: str, path: str, t: Template) -> tuple[str, list[tuple[str, int]], str | None, list[int]]:
     """The page, its changes, the first reference that has no asset, and how many
     were mapped directly, by alias, not at all, and are ignored."""
@@ -266,6 +383,8 @@ def run(text: str, path: str, t: Template) -> tuple[str, list[tuple[str, int]],
     if t.visual:
         text = images(text, t, notes)
         text = icon_headings(text, path, t, notes)
+        text = merge_blocks(text, path, t, notes)
+        text = page_headings(text, path, t, notes)
     changes = [(d, notes[d]) for d in ORDER if notes[d]]
     return text, changes, lost[0][:120] if lost else None, [notes[DIRECT], notes[ALIAS], len(lost), len(skipped)]
 
