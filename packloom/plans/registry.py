@@ -495,10 +495,45 @@ def package_features(spark, sf):
     return _profiles(spark, sf).select("package", "module_count", "page_count", "module_style_count", "topic_style_count", "intro_objectives_pages", "start_here_modules", "cohort")
 
 
-@query(f"""WITH {_FEATURES} SELECT cohort, count(*)::BIGINT AS reference_courses, round(median(pc), 1) AS median_pages, round(avg(CASE WHEN sh > 0 THEN 1.0 ELSE 0.0 END), 3) AS start_here_presence_rate,
- CASE WHEN sum(ts) > sum(ms) THEN 'topic' WHEN sum(ms) = 0 AND sum(ts) = 0 THEN 'neutral' ELSE 'module' END AS preferred_module_style FROM p GROUP BY cohort""")
+_AGREED = """count(*)::BIGINT AS reference_courses, CASE WHEN sum(ts) > sum(ms) THEN 'topic' WHEN sum(ms) = 0 AND sum(ts) = 0 THEN 'neutral' ELSE 'module' END AS preferred_module_style,
+ CASE WHEN sum(io) > sum(ic) THEN 'objectives' ELSE 'checklist' END AS preferred_intro_style, median(pc)::DOUBLE AS median_pages, median(mc)::DOUBLE AS median_modules, median(ac)::DOUBLE AS median_assignments, median(iss)::DOUBLE AS median_post_import_issues,
+ round(avg(CASE WHEN sh > 0 THEN 1.0 ELSE 0.0 END), 3) AS start_here_presence_rate, round(avg(CASE WHEN im > 0 THEN 1.0 ELSE 0.0 END), 3) AS instructor_module_presence_rate, round(avg(CASE WHEN la > 0 THEN 1.0 ELSE 0.0 END), 3) AS learning_activities_presence_rate"""
+
+
+@query(f"WITH {_FEATURES} SELECT cohort, {_AGREED} FROM p GROUP BY cohort")
 def cohort_consensus(spark, sf):
-    return cohort.consensus(_profiles(spark, sf)).select("cohort", "reference_courses", "median_pages", "start_here_presence_rate", "preferred_module_style")
+    """What the packages of a cohort agree on."""
+    return cohort.consensus(_profiles(spark, sf))
+
+
+#: Packages by customer and status of order: many, in cohorts of one, two and more; the
+#: profiles lack some of them, and whole cohorts.
+_MANY = """t AS (SELECT 'c' || lpad((o_custkey % 400)::VARCHAR, 4, '0') AS package, CASE o_orderkey % 4 WHEN 0 THEN 'module' WHEN 1 THEN 'page' WHEN 2 THEN 'assignment' ELSE 'discussion' END AS kind, title FROM orders JOIN (SELECT o_orderkey, x.title FROM (SELECT o_orderkey, CASE (o_orderkey // 4) % 6 WHEN 0 THEN 'Module 1' WHEN 1 THEN 'Topic 1 | a' WHEN 2 THEN 'Start Here' WHEN 3 THEN 'Introduction and Objectives' WHEN 4 THEN 'Introduction and Checklist' ELSE 'Learning Activities' END AS title FROM orders) x) USING (o_orderkey)),
+f AS (SELECT package, count(*) FILTER (kind = 'module') AS mc, count(*) FILTER (kind = 'page') AS pc, count(*) FILTER (kind = 'assignment') AS ac, count(*) FILTER (kind = 'discussion') AS dc, count(*) FILTER (kind = 'module' AND title = 'Module 1') AS ms, count(*) FILTER (kind = 'module' AND title LIKE 'Topic%') AS ts,
+ count(*) FILTER (kind = 'module' AND title = 'Start Here') AS sh, 0 AS im, 0 AS hd, 0 AS ov, count(*) FILTER (kind = 'page' AND title = 'Introduction and Objectives') AS io, count(*) FILTER (kind = 'page' AND title = 'Introduction and Checklist') AS ic, count(*) FILTER (kind = 'page' AND title = 'Learning Activities') AS la, substr(package, 2)::INT AS i FROM t GROUP BY package),
+p AS (SELECT *, round(ms / greatest(mc, 1), 3) AS mr, round(ts / greatest(mc, 1), 3) AS tr, mc % 7 AS iss, CASE WHEN i % 40 = 0 THEN 'one-' || i WHEN i % 40 < 3 THEN 'two-' || i // 40 WHEN i % 40 < 6 THEN 'three-' || i // 40 ELSE 'k' || i % 5 END AS cohort FROM f)"""
+
+
+def _many(spark, sf) -> DataFrame:
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    kind = F.when(k % 4 == 0, "module").when(k % 4 == 1, "page").when(k % 4 == 2, "assignment").otherwise("discussion")
+    names = ["Module 1", "Topic 1 | a", "Start Here", "Introduction and Objectives", "Introduction and Checklist", "Learning Activities"]
+    title = F.element_at(F.array(*map(F.lit, names)), (F.floor(k / 4) % 6 + 1).cast("int"))
+    titles = o.select(F.concat(F.lit("c"), F.lpad((F.col("o_custkey") % 400).cast("string"), 4, "0")).alias("package"), kind.alias("kind"), title.alias("title"))
+    i = F.substring("package", 2, 9).cast("int")
+    group = lambda name: F.concat(F.lit(name), F.floor(i / 40).cast("string"))
+    named = F.when(i % 40 == 0, F.concat(F.lit("one-"), i.cast("string"))).when(i % 40 < 3, group("two-")).when(i % 40 < 6, group("three-")).otherwise(F.concat(F.lit("k"), (i % 5).cast("string")))
+    return cohort.snapshot_features(titles).withColumn("cohort", named).withColumn("issue_total", F.col("module_count") % 7)
+
+
+@query(f"""WITH {_MANY}, r AS (SELECT * FROM p WHERE cohort <> 'k3' AND i % 11 <> 0),
+o AS (SELECT x.package, count(*) AS n FROM p x JOIN r ON r.package <> x.package AND r.cohort = x.cohort GROUP BY x.package),
+j AS (SELECT x.package AS current, r.* FROM p x LEFT JOIN o ON o.package = x.package JOIN r ON r.package <> x.package AND (o.n IS NULL OR r.cohort = x.cohort))
+SELECT current AS package, arg_min(cohort, package) AS cohort, {_AGREED} FROM j GROUP BY current""")
+def consensus_of_others(spark, sf):
+    """What the profiles of other packages agree on, for each package."""
+    p = _many(spark, sf)
+    return cohort.consensus_of_others(p, p.where((F.col("cohort") != "k3") & (F.substring("package", 2, 9).cast("int") % 11 != 0)))
 
 
 _D = lambda a: f"abs(x.{a} - y.{a}) / greatest(abs(x.{a}), abs(y.{a}), 1.0)"
@@ -506,10 +541,19 @@ _D = lambda a: f"abs(x.{a} - y.{a}) / greatest(abs(x.{a}), abs(y.{a}), 1.0)"  #
 
 @query(f"""WITH {_FEATURES}, s AS (SELECT x.package AS query, y.package AS reference, round(greatest(100.0 - CASE WHEN x.cohort <> y.cohort THEN 25.0 ELSE 0.0 END - 14.0 * {_D('mc')} - 14.0 * {_D('pc')} - 8.0 * {_D('ac')} - 4.0 * {_D('dc')} - 8.0 * {_D('mr')} - 8.0 * {_D('tr')} - 6.0 * {_D('ic')} - 6.0 * {_D('io')} - 6.0 * {_D('la')}
  - 3.0 * ((x.sh > 0) <> (y.sh > 0))::INT - 3.0 * ((x.im > 0) <> (y.im > 0))::INT - 3.0 * ((x.hd > 0) <> (y.hd > 0))::INT - 3.0 * ((x.ov > 0) <> (y.ov > 0))::INT - 8.0 * {_D('iss')}, 0.0), 1) AS score FROM p x JOIN p y ON x.package <> y.package)
-SELECT query, rank, reference FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, reference)::INT AS rank FROM s) WHERE rank <= 3""")
+SELECT query, rank, reference, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, reference)::INT AS rank FROM s) WHERE rank <= 3""")
 def nearest_packages(spark, sf):
     p = _profiles(spark, sf)
-    return cohort.nearest(p, p).select("query", "rank", "reference")
+    return cohort.nearest(p, p)
+
+
+@query(f"""WITH {_MANY}, s AS (SELECT x.package AS query, y.package AS reference, format('{{:.1f}}', greatest(100.0 - CASE WHEN x.cohort <> y.cohort THEN 25.0 ELSE 0.0 END - 14.0 * {_D('mc')} - 14.0 * {_D('pc')} - 8.0 * {_D('ac')} - 4.0 * {_D('dc')} - 8.0 * {_D('mr')} - 8.0 * {_D('tr')} - 6.0 * {_D('ic')} - 6.0 * {_D('io')} - 6.0 * {_D('la')}
+ - 3.0 * ((x.sh > 0) <> (y.sh > 0))::INT - 8.0 * {_D('iss')}, 0.0))::DOUBLE AS score FROM p x JOIN p y ON x.package <> y.package)
+SELECT query, rank, reference, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, reference)::INT AS rank FROM s) WHERE rank <= 5""")
+def nearest_of_many(spark, sf):
+    """The five most similar packages of each of some hundreds."""
+    p = _many(spark, sf)
+    return cohort.nearest(p, p, k=5)
 
 
 _GATE_COUNTS = {c: (i + 2, i % 3) for i, c in enumerate(cohort.COUNTS)}
@@ -522,8 +566,10 @@ def _current(spark, sf) -> DataFrame:
     return p.withColumns(counts | {c: k % (i + 2) > 0 for i, c in enumerate(cohort.EVIDENCE)})
 
 
-@query(f"""WITH {_FEATURES}, c AS (SELECT cohort, CASE WHEN sum(ts) > sum(ms) THEN 'topic' WHEN sum(ms) = 0 AND sum(ts) = 0 THEN 'neutral' ELSE 'module' END AS m, CASE WHEN sum(io) > sum(ic) THEN 'o' ELSE 'c' END AS i FROM p GROUP BY cohort),
-x AS (SELECT *, {', '.join(f"CASE WHEN package % {m} = {0 if r else 1} THEN {'package % 4' if r else '1'} ELSE 0 END AS {c}" for c, (m, r) in _GATE_COUNTS.items())}, {', '.join(f'package % {i + 2} > 0 AS {c}' for i, c in enumerate(cohort.EVIDENCE))} FROM p JOIN c USING (cohort)),
+@query(f"""WITH {_FEATURES}, o AS (SELECT x.package, count(*) AS n FROM p x JOIN p r ON r.package <> x.package AND r.cohort = x.cohort GROUP BY x.package),
+c AS (SELECT x.package, CASE WHEN sum(r.ts) > sum(r.ms) THEN 'topic' WHEN sum(r.ms) = 0 AND sum(r.ts) = 0 THEN 'neutral' ELSE 'module' END AS m, CASE WHEN sum(r.io) > sum(r.ic) THEN 'o' ELSE 'c' END AS i
+ FROM p x LEFT JOIN o ON o.package = x.package JOIN p r ON r.package <> x.package AND (o.n IS NULL OR r.cohort = x.cohort) GROUP BY x.package),
+x AS (SELECT *, {', '.join(f"CASE WHEN package % {m} = {0 if r else 1} THEN {'package % 4' if r else '1'} ELSE 0 END AS {c}" for c, (m, r) in _GATE_COUNTS.items())}, {', '.join(f'package % {i + 2} > 0 AS {c}' for i, c in enumerate(cohort.EVIDENCE))} FROM p JOIN c USING (package)),
 y AS (SELECT *, CASE m WHEN 'module' THEN ms >= ts WHEN 'topic' THEN ts >= ms ELSE true END AND CASE i WHEN 'c' THEN ic >= io ELSE io >= ic END AS ok, post_import_issues + pre_import_issues + quiz_key_warnings > 0 OR has_live AS seen FROM x),
 g AS (SELECT package, 'structure-conventions' AS gate, CASE WHEN has_snapshot AND ok THEN 'approved' WHEN has_snapshot OR has_source THEN 'review' ELSE 'attention' END AS status FROM y
  UNION ALL SELECT package, 'visual-template-fidelity', CASE WHEN {' + '.join(cohort.VISUAL)} + template_unresolved = 0 THEN 'approved' WHEN has_visual THEN 'review' ELSE 'attention' END FROM y
@@ -534,7 +580,7 @@ SELECT package, gate, status, [0, 12, 25, 38, 50, 62, 75, 88, 100][n::INT + 1]::
 def approval_gates(spark, sf):
     """Four gates of every package, its score and its status."""
     p = _profiles(spark, sf)
-    g = cohort.gates(_current(spark, sf), cohort.consensus(p))
+    g = cohort.gates(_current(spark, sf), cohort.consensus_of_others(p, p))
     return g.join(cohort.approval_score(g), "package").select("package", "gate", "status", "score", "overall")
 
 
