@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import uuid
+
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from packloom.operators import manifest
-from packloom.plans.registry import query
-from packloom.runtime import table
-from packloom.sources import package
+from packloom.operators import manifest, manifest_tree
+from packloom.plans.registry import _case, _pick, query
+from packloom.rewrite import chain
+from packloom.runtime import materialise, scratch_base, table
+from packloom.sources import archive, package
 
 
 def _archives(rows):
@@ -38,6 +41,46 @@ def decoded_texts(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", package.decode_text(bytes_).alias("text"))
 
 
+def _stored(spark, rows, name: str) -> str:
+    """The folder that rows (package, path, content) were written to as archives."""
+    at = f"{scratch_base(spark)}/packloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    archive.write_archives(rows, at)
+    return at
+
+
+@query("""SELECT (page_id % 10)::VARCHAR AS package, 'w/p' || page_id || CASE page_id % 3 WHEN 0 THEN '.txt' ELSE '.html' END AS path, octet_length(encode(html)) AS size, md5(html) AS digest FROM pages WHERE page_id % 3 <> 0""")
+def archived_pages(spark, sf):
+    """Pages written by the archive sink, read by the archive source by ranges; of the
+    members only the pages are inflated."""
+    k = F.col("page_id")
+    rows = table(spark, sf, "pages").select((k % 10).cast("string").alias("package"), _text("w/p", k, F.when(k % 3 == 0, ".txt").otherwise(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    got = archive.read_archives(spark, _stored(spark, rows, "pages"), "*.html", partition_bytes=64 << 10)
+    return got.select("package", "path", "size", F.md5("content").alias("digest"))
+
+
+#: Payloads: addresses in raw and escaped markup, what they become, and how many were
+#: rewritten and neutralised.
+PAYLOAD_CASES = [
+    ("<a href='/d2l/common/dialogs/quickLink/quickLink.d2l?ou=1&amp;type=coursefile&amp;fileId=Week%201%2fa%26b.pdf'>#</a>", "<a href='Week 1/a&amp;b.pdf'>#</a>", 1, 0),
+    ('&lt;a href="/d2l/le/content/#/view"&gt;x&lt;/a&gt;', '&lt;a href="@" data-migration-link-status="needs-review" data-migration-original-href="/d2l/le/content/#/view"&gt;x&lt;/a&gt;', 0, 1),
+    ('<a href="https://example.org/#">x</a><a href="b.html">y</a>', '<a href="https://example.org/#">x</a><a href="b.html">y</a>', 0, 0),
+    ('<a HREF = "/d2l/common/dialogs/quickLink/quickLink.d2l?type=quiz&amp;rcode=#">q</a>', '<a HREF = "@" data-migration-link-status="needs-review" data-migration-original-href="/d2l/common/dialogs/quickLink/quickLink.d2l?type=quiz&amp;amp;rcode=#">q</a>', 0, 1),
+    ("<topic>#</topic>", "<topic>#</topic>", 0, 0),
+]
+
+
+@query(f"""SELECT (s_suppkey % 7)::VARCHAR AS package, 'd/news_' || s_suppkey || '_d2l.xml' AS path, replace({_case('s_suppkey', [c[1] for c in PAYLOAD_CASES])}, '@', chr(35)) AS xml, s_suppkey % 5 IN (0, 1, 3) AS changed,
+ {_case('s_suppkey', [c[2] for c in PAYLOAD_CASES], False)}::BIGINT AS rewritten, {_case('s_suppkey', [c[3] for c in PAYLOAD_CASES], False)}::BIGINT AS neutralised FROM supplier""")
+def d2l_payloads(spark, sf):
+    """Payloads of archives, which alone are inflated, and the addresses in them."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf, "supplier").withColumn("package", (k % 7).cast("string"))
+    xml = s.select("package", _text("d/news_", k, "_d2l.xml").alias("path"), F.encode(_pick(k, [c[0] for c in PAYLOAD_CASES]), "UTF-8").alias("content"))
+    other = s.select("package", _text("d/news_", k, ".xml").alias("path"), F.encode("s_name", "UTF-8").alias("content"))
+    got = archive.read_archives(spark, _stored(spark, xml.unionByName(other), "payloads"), "*_d2l.xml")
+    return chain.rewrite_payloads(got.select("package", "path", package.decode_text(F.col("content")).alias("xml")))
+
+
 def _manifests(spark, sf):
     """A manifest for each nation: a module for each supplier, with two items."""
     k = F.col("s_suppkey")
@@ -101,3 +144,26 @@ def sheet_cells(spark, sf):
     rows = table(spark, sf, "supplier").select(k.alias("package"), F.explode(F.array(*(F.struct(F.lit(p).alias("path"), F.encode(x, "UTF-8").alias("content")) for p, x in parts.items()))).alias("x"))
     cells = package.sheet_rows(_archives(rows.select("package", "x.path", "x.content")))
     return cells.select("path", F.col("pos").cast("int").alias("pos"), F.explode("cells").alias("head", "cell"))
+
+
+@query("""WITH s AS (SELECT s_nationkey AS package, s_suppkey AS k, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier),
+t AS (SELECT package, k, r, unnest([('Overview', NULL, 1), ('Module ' || k || ': Introduction and Checklist', 'i' || k, 2), ('Activities', NULL, 3), ('Quiz: ' || k, 'q' || k, 4), ('Review', NULL, 5), ('Module ' || k || ': Review', 'v' || k, 6)]) AS x FROM s WHERE k % 2 = 1)
+SELECT package, k AS module, x[3] AS position, x[2] AS item_id, x[1] AS title FROM t
+UNION ALL SELECT package, k, 1, 'o' || k, 'Overview' FROM s WHERE k % 2 = 0 UNION ALL SELECT package, k, 2, 'p' || k, 'page' FROM s WHERE k % 2 = 0""")
+def written_manifests(spark, sf):
+    """Manifests parsed, restructured, written and parsed again: the children of each
+    module. Headers have names of their own; those of odd modules are made here."""
+    k = F.col("s_suppkey")
+    item = lambda i, title: _text("<item identifier='", i, k, "' identifierref='r", i, k, "'><title>", title, "</title></item>")
+    odd = _text("<item identifier='old", k, "'><title>Review</title></item>", item("v", _text("Chapter ", k, " review")), item("q", _text("Quiz | ", k)), item("i", "Introduction and Objectives"))
+    even = _text("<item identifier='o", k, "'><title>Overview</title></item>", item("p", "page"))
+    # A header without a reference stays where nothing else changes.
+    module = _text("<item identifier='m", k, "'><title>", F.when(k % 2 == 1, "Module ").otherwise("Unit "), k, ": x</title>", F.when(k % 2 == 1, odd).otherwise(even), "</item>")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(k, module.alias("x")))), lambda m: m.x), "")
+    xml = _text("<manifest xmlns='u:x'><organizations><organization>", body, "</organization></organizations></manifest>")
+    manifests = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("package")).agg(xml.alias("content"))
+    written = manifest_tree.write_manifests(manifest_tree.restructured(manifest_tree.parse_nodes(manifests), manifest.parse_manifests(manifests)))
+    again = materialise(manifest.parse_manifests(written), "again")
+    kids = again.where("depth = 1").withColumn("position", F.row_number().over(Window.partitionBy("package", "parent_id").orderBy("ordinal")))
+    own = F.when(~F.startswith(F.col("item_id"), F.lit("auto_")), F.col("item_id"))
+    return kids.select("package", F.substring("parent_id", 2, 9).cast("long").alias("module"), "position", own.alias("item_id"), "title")
