@@ -11,7 +11,7 @@ from packloom.operators import manifest, manifest_tree
 from packloom.plans.registry import _case, _pick, query
 from packloom.rewrite import chain
 from packloom.runtime import materialise, scratch_base, table
-from packloom.sources import archive, package
+from packloom.sources import archive, package, recorded
 
 
 def _archives(rows):
@@ -167,3 +167,42 @@ def written_manifests(spark, sf):
     kids = again.where("depth = 1").withColumn("position", F.row_number().over(Window.partitionBy("package", "parent_id").orderBy("ordinal")))
     own = F.when(~F.startswith(F.col("item_id"), F.lit("auto_")), F.col("item_id"))
     return kids.select("package", F.substring("parent_id", 2, 9).cast("long").alias("module"), "position", own.alias("item_id"), "title")
+
+
+_BASE = "https://x.example"
+_FILES = f"{_BASE}/api/v1/courses/' || course || '/files?per_page=100"
+
+
+def _answers(spark, sf):
+    """Lists of files of courses, ten to a page, as a course system answers: of every third
+    course the last page names one that was not recorded, and of the next an answer is 404."""
+    o = table(spark, sf, "orders").select((F.col("o_custkey") % 30).alias("course"), F.col("o_orderkey").alias("k"))
+    o = o.withColumn("r", F.row_number().over(Window.partitionBy("course").orderBy("k")) - 1).withColumn("page", F.floor(F.col("r") / 10))
+    pages = o.groupBy("course", "page").agg(F.to_json(F.transform(F.sort_array(F.collect_list("k")), lambda k: F.struct(_text("f", k).alias("display_name"), k.alias("id")))).alias("body"))
+    pages = pages.withColumn("end", F.max("page").over(Window.partitionBy("course")) == F.col("page"))
+    first = _text(_BASE, "/api/v1/courses/", F.col("course"), "/files?per_page=100")
+    at = lambda n: F.concat(first, F.when(n > 0, _text("&page=", n)).otherwise(""))
+    more = ~F.col("end") | (F.col("course") % 3 == 1)
+    link = F.when(more, _text("<", first, '>; rel="first",<', at(F.col("page") + 1), '>; rel="next"'))
+    gone = (F.col("course") % 3 == 2) & F.col("end")
+    return pages.select(at(F.col("page")).alias("url"), F.lit(1).cast("long").alias("at"), F.when(gone, 404).otherwise(200).alias("status"), link.alias("link"), F.when(gone, '{"message": "gone"}').otherwise(F.col("body")).alias("body"))
+
+
+_LISTED = """r AS (SELECT o_custkey % 30 AS course, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey % 30 ORDER BY o_orderkey) - 1 AS r FROM orders),
+e AS (SELECT *, r // 10 AS page, max(r // 10) OVER (PARTITION BY course) AS last FROM r)"""
+
+
+@query(f"WITH {_LISTED} SELECT course::VARCHAR AS course, 'files' AS kind, page, (r % 10)::INT AS pos, 'f' || k AS name FROM e WHERE course % 3 <> 2 OR page < last")
+def recorded_items(spark, sf):
+    """Items of recorded lists, page after page."""
+    wanted = recorded.requests(spark, _BASE, [str(i) for i in range(30)], ("files",))
+    got = recorded.items(_answers(spark, sf), wanted, strict=False)
+    return got.select("course", "kind", "page", "pos", F.get_json_object("item", "$.display_name").alias("name"))
+
+
+@query(f"""WITH {_LISTED}, l AS (SELECT course, any_value(last) AS last FROM e GROUP BY course)
+SELECT course::VARCHAR AS course, last + 1 AS page, 'not recorded: {_FILES}&page=' || (last + 1) AS error FROM l WHERE course % 3 = 1 UNION ALL SELECT course::VARCHAR, last, 'HTTP 404: gone' FROM l WHERE course % 3 = 2""")
+def recorded_failures(spark, sf):
+    """What went wrong in recorded lists."""
+    wanted = recorded.requests(spark, _BASE, [str(i) for i in range(30)], ("files",))
+    return recorded.failures(_answers(spark, sf), wanted).select("course", "page", "error")
