@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from packloom.operators import manifest, manifest_tree
+from packloom.operators import assets, manifest, manifest_tree
 from packloom.plans.registry import _case, _pick, query
 from packloom.rewrite import chain
 from packloom.runtime import materialise, scratch_base, table
@@ -206,3 +206,20 @@ def recorded_failures(spark, sf):
     """What went wrong in recorded lists."""
     wanted = recorded.requests(spark, _BASE, [str(i) for i in range(30)], ("files",))
     return recorded.failures(_answers(spark, sf), wanted).select("course", "page", "error")
+
+@query("""WITH p AS (SELECT page_id, (page_id % 5)::VARCHAR AS package, html, 'data:image/png;base64,' || to_base64(encode('hot' || page_id % 5)) AS hot, CASE WHEN page_id % 4 <> 0 THEN 'data:image/jpeg;base64,' || to_base64(encode(url)) END AS own FROM pages)
+SELECT package, 'w/p' || page_id || '.html' AS path, md5('<img src="' || hot || '"><img src=' || chr(39) || coalesce(own, 'i/p' || page_id || '.jpg') || chr(39) || '><img src="none.png"><img src="' || hot || '">' || html) AS digest,
+ 3 - (page_id % 4 = 0)::BIGINT AS embedded, (page_id % 4 = 0)::BIGINT AS too_large FROM p""")
+def embedded_images(spark, sf):
+    """Pages with their images in them: one that all pages of a package have, and one
+    each, of which some are too large."""
+    k = F.col("page_id")
+    p = table(spark, sf, "pages").withColumn("package", (k % 5).cast("string"))
+    own = _text("i/p", k, ".jpg")
+    html = _text('<img src="../Hot.PNG"><img src=\'', own, '\'><img src="none.png"><img src="/hot.png?v=1">', F.col("html"))
+    pages = p.select("package", _text("w/p", k, ".html").alias("path"), html.alias("html"))
+    content = F.when(k % 4 == 0, F.repeat("url", 100)).otherwise(F.col("url"))
+    images = p.select("package", F.concat(F.lit("w/"), own).alias("path"), F.encode(content, "UTF-8").alias("content"))
+    hot = p.select("package", F.lit("hot.png").alias("path"), F.encode(_text("hot", F.col("package")), "UTF-8").alias("content")).distinct()
+    got = assets.embed(pages, images.unionByName(hot), image_bytes=1000)
+    return got.select("package", "path", F.md5("html").alias("digest"), "embedded", "too_large")
