@@ -10,10 +10,13 @@ import shutil
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
 from contextlib import contextmanager
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _local_base: str | None = None
 #: Tables written so far, by the frame that reads them, and their paths.
@@ -49,6 +52,25 @@ def trim() -> None:
         release(0)
 
 
+#: What this worker keeps from task to task, by who keeps it.
+_kept: dict[object, object] = {}
+
+
+def keep_only(owner: object, make: Callable[[], T] | None = None) -> T | None:
+    """In a task: the object that this worker keeps for ``owner``, made if there is none.
+
+    Workers go from stage to stage and from query to query, so what others kept (tables of
+    words, codecs) is given back first: a worker holds one owner's object at a time. Without
+    ``make`` nothing is kept.
+    """
+    if _kept and owner not in _kept:
+        _kept.clear()
+        trim()
+    if make is not None and owner not in _kept:
+        _kept[owner] = make()
+    return _kept.get(owner)
+
+
 def scratch_base(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
