@@ -20,16 +20,15 @@ import base64
 import hashlib
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from packloom.runtime import prepare, trim
+from packloom.runtime import keep_only, prepare, trim
 
 #: Runs of a generation of the table; when one is full the one before it goes.
-CACHED_RUNS = 300_000
+CACHED_RUNS = 200_000
 CACHED_CHARS = 64
 #: The published pattern of pre-tokens. Runs are cut for it alone.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -223,10 +222,14 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return out
 
 
-@lru_cache(maxsize=2)
 def _codec(path: str, pattern: str) -> Codec:
-    with open(path, "rb") as f:
-        return Codec(read_ranks(f.read()), pattern)
+    """The codec that a worker keeps from task to task."""
+
+    def make() -> Codec:
+        with open(path, "rb") as f:
+            return Codec(read_ranks(f.read()), pattern)
+
+    return keep_only(("byte_bpe", path, pattern), make)
 
 
 def encode_decode(df: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packloom.llm.sums import SCHEMA, blocks, sum_vectors
-from packloom.runtime import materialise, prepare, renamed, trim
+from packloom.runtime import keep_only, materialise, prepare, renamed, trim
 
 PASSAGE, STRIDE = 64, 32
 RANK = 48
@@ -187,6 +187,7 @@ def numbered(df: DataFrame, text: str, items: Items, carry: list[str]) -> DataFr
     schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
 
     def run(batches):
+        keep_only("lsa_decontamination")
         get = sent.value.get
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -409,6 +410,7 @@ def _match(df: DataFrame, items: Items, *limits: float) -> DataFrame:
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.float64()), ("first_word", pa.int64())]))
 
     def run(batches):
+        keep_only("lsa_decontamination")
         it, lim = sent.value
         matcher = Matcher(it, *lim)
         for part, texts in _texts(batches, last + 1):

@@ -29,17 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packloom.runtime import prepare, renamed, trim
+from packloom.runtime import keep_only, prepare, renamed, trim
 
 SAMPLE = 300
-SAMPLE_CHARS = 20_000
-#: Words of a window of a sampled text.
-SPAN = 16
 BUCKETS = 1 << 16
 WIDTH = 24
 UND = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -300,26 +297,9 @@ class Tagger:
         return out
 
 
-def sampled_words(text: str, row: int, most: int) -> str:
-    """The words of a text; of one with more than ``most`` characters, windows of
-    SPAN words from anywhere in it, by the hashes of row and place, in order."""
-    words = _words(text)
-    if len(text) <= most:
-        return " ".join(words)
-    parts = [" ".join(words[i : i + SPAN]) for i in range(0, len(words), SPAN)]
-    room, taken = most, []
-    for i in sorted(range(len(parts)), key=lambda i: zlib.crc32(b"%d:%d" % (row, i))):
-        if room <= 0:
-            break
-        taken.append(i)
-        room -= len(parts[i])
-    return " ".join(parts[i] for i in sorted(taken))
-
-
-def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", where: Column | None = None, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
+def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", where: Column | None = None, sample: int = SAMPLE) -> Model:
     """Learn from at most ``sample`` labelled rows of each language, those with the
-    smallest hashes of key and text, whole or, of a text of more than
-    ``sample_chars`` characters, windows from all of it to about that length.
+    smallest hashes of key and text, each whole, as its words.
 
     The numbers of different rows by language give a hash bound below which about
     twice the sample lies, so one further pass brings a bounded number of rows to
@@ -336,14 +316,15 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
         share = min(1.0, (2 * sample + 50) / max(1, n))
         bound = F.when(F.col("l") == lab, F.lit(min((1 << 63) - 1, low + int(share * span)))).otherwise(bound)
 
-    def windows(batches):
+    def words(batches):
+        keep_only("language_crf")
         for b in batches:
-            t = [sampled_words(x, h, sample_chars) for h, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
+            t = [" ".join(_words(x)) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(t, pa.string())], names=["h", "l", "t"])
 
     prepare(df.sparkSession)
     # Repeated rows are one before they are sent, however many there are.
-    got = rows.where(F.col("h") <= bound).mapInArrow(windows, "h long, l string, t string").groupBy("h", "l").agg(F.min("t").alias("t")).collect()
+    got = rows.where(F.col("h") <= bound).mapInArrow(words, "h long, l string, t string").groupBy("h", "l").agg(F.min("t").alias("t")).collect()
     by: dict[str, list] = {}
     for r in sorted(got, key=lambda r: (r.h, r.l)):
         by.setdefault(r.l, []).append((r.t, r.l))
@@ -357,18 +338,15 @@ def predict(df: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     kept = [f"__c{names.index(c)}" for c in keep]
     work = work.select(*kept, F.col(t).alias("__text"))
     schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in work.schema.fields[:-1])
-    cache: dict[str, Tagger] = {}
 
     def run(batches):
-        if "t" not in cache:
-            cache["t"] = Tagger(sent.value)
-        tagger = cache["t"]
+        keep_only("language_crf")
+        tagger = Tagger(sent.value)
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
                 got = tagger.tag(part.column(part.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*kept, "lang_pred", "score"])
-        cache.clear()
         del tagger
         trim()
 

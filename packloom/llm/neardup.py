@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packloom.llm.graph import components
-from packloom.runtime import materialise, prepare, renamed, trim
+from packloom.runtime import keep_only, materialise, prepare, renamed, trim
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -169,6 +169,7 @@ def _sets(df: DataFrame, width: int) -> DataFrame:
     """DataFrame[key, tkey, node, n, bands]: what the first pass keeps of a row."""
 
     def run(batches):
+        keep_only("jaccard_join")
         hashes = _WordHashes()
         a, b = _coefficients(BANDS * ROWS, 5)
         band = np.arange(1, BANDS + 1, dtype=np.uint64)
@@ -276,6 +277,7 @@ def _compare(rows: DataFrame, width: int, threshold: float, tolerance: float) ->
         return out
 
     def run(batches):
+        keep_only("jaccard_join")
         hashes = _WordHashes()
         current, members = None, []
 

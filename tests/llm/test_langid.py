@@ -66,7 +66,14 @@ def test_learns_behind_a_common_opening(spark):
     model = langid.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"))
     got = langid.Tagger(model).tag([ROWS[0][0], ROWS[1][0]])
     assert [g[0] for g in got] == ["en", "de"] and min(g[1] for g in got) > 0.8
-    assert langid.sampled_words("One two, three", 1, 100) == "one two three"
+
+
+def test_sampled_rows_are_learned_whole(spark, monkeypatch):
+    words = [f"{a}{b}{c}" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyzabcd"] * 12
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda rows: seen.extend(rows))
+    langid.fit(spark.createDataFrame([(1, ", ".join(words), "en"), (2, "One two, three", "de")], "doc_id long, text string, lang string"))
+    assert len(", ".join(words)) > 50_000 and seen == [("one two three", "de"), (" ".join(words), "en")]
 
 
 def test_long_words_have_all_their_grams():
