@@ -65,8 +65,12 @@ def test_registered_queries(spark, tmp_path):
     pages = [(1, "u", "<p>a</p>"), (2, None, "<p>a</p>"), (3, "v", None), (4, "w", ""), (5, "x", "é")]
     pq.write_table(pa.table({"page_id": [p[0] for p in pages], "url": pa.array([p[1] for p in pages], pa.string()), "html": pa.array([p[2] for p in pages], pa.string())}), tmp_path / "pages.parquet")
     pq.write_table(pa.table({"item_id": [1], "text": [" ".join(docs[7][1].split()[3:])]}), tmp_path / "benchmark.parquet")
+    vectors = [(i, i % 3, [((i * 7 + j * 5) % 11) / 11 - 0.3 for j in range(4)]) for i in range(120)] + [(200, None, [0.1] * 4), (300, 1, None), (None, 1, [0.2] * 4), (100, 1, [0.5] * 4)]
+    pq.write_table(pa.table({"vec_id": pa.array([v[0] for v in vectors], pa.int64()), "embedding": pa.array([v[2] for v in vectors], pa.list_(pa.float32())), "label": pa.array([v[1] for v in vectors], pa.int32())}), tmp_path / "embeddings.parquet")
+    turns = [(c, t, ("user", "assistant", "system", "", None)[(c * t) % 5], ("Yes.", "no", "", None, f"t{t}!")[(c + t) % 5]) for c in range(30) for t in range(6)] + [(None, None, None, None), (None, 1, "user", "x.")]
+    pq.write_table(pa.table({"conv_id": pa.array([t[0] for t in turns], pa.int64()), "turn": pa.array([t[1] for t in turns], pa.int64()), "role": pa.array([t[2] for t in turns], pa.string()), "text": pa.array([t[3] for t in turns], pa.string())}), tmp_path / "conversations.parquet")
     con = duckdb.connect()
-    for name in ("documents", "pages", "benchmark"):
+    for name in ("documents", "pages", "benchmark", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
     for name, query in queries.QUERIES.items():
         out = query(spark, str(tmp_path))
