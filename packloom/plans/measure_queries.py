@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packloom.operators import corpus, findings, links, metrics, patterns, render, reports, review
+from packloom.operators import corpus, findings, links, metrics, patterns, readiness, render, reports, review
 from packloom.plans import registry
 from packloom.plans.registry import _LIVE_SQL, _TRIGGER_SQL, _case, _pick, query
 from packloom.runtime import table
@@ -171,3 +171,30 @@ def findings_report(spark, sf):
     k = F.col("s_suppkey") % 3
     rows = registry._live(spark, sf).withColumn("content_type", F.when(k == 0, "page").when(k == 1, "assignment").otherwise("discussion"))
     return render.findings_report(links.audit_counts(rows))
+
+
+_REPORT_KINDS = [readiness.CONVERSION, *readiness.KINDS]
+
+
+@query(f"""WITH r AS (SELECT user_id % 400 AS package, CASE event_id % 23 {' '.join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_REPORT_KINDS))} END AS kind, ts AS tm, event_id AS e FROM events),
+l AS (SELECT package, kind, arg_max(e, row(tm, e::VARCHAR)) AS e, max(tm) AS tm FROM r WHERE kind IS NOT NULL GROUP BY package, kind),
+i AS (SELECT package, CASE WHEN kind = 'issues_post' THEN 'issues' ELSE kind END AS kind, e, tm FROM l WHERE kind <> 'issues' OR package NOT IN (SELECT package FROM l WHERE kind = 'issues_post')),
+c AS (SELECT package, tm FROM i WHERE kind = 'migration_report'),
+w AS (SELECT i.package, max(e) FILTER (kind = 'migration_report') AS mig, {', '.join(f"max(e) FILTER (kind = '{k}' AND (c.tm IS NULL OR i.tm >= c.tm)) AS {k}" for k in readiness.KINDS if k != 'issues_post')} FROM i LEFT JOIN c ON c.package = i.package GROUP BY i.package),
+p AS (SELECT DISTINCT package FROM r),
+n AS (SELECT p.package, mig IS NOT NULL AS converted, coalesce(mig % 1000, 0) AS changes, coalesce(mig % 3, 0) AS manual, coalesce(mig % 4, 0) AS accessibility,
+ CASE WHEN approval_report IS NOT NULL THEN 'approval_report' WHEN pattern_report IS NOT NULL THEN 'pattern_report' WHEN page_review IS NOT NULL THEN 'page_review' WHEN math_audit IS NOT NULL THEN 'math_audit' WHEN visual_audit IS NOT NULL THEN 'visual_audit' ELSE 'none' END AS review,
+ CASE approval_report % 2 WHEN 0 THEN 'approved' WHEN 1 THEN 'review' END AS review_status, coalesce(approval_report % 101, 0) AS score, coalesce(page_review % 2, 0) AS high_pages, coalesce(pattern_report % 5, 0) AS gaps, coalesce(math_audit % 6, 0) AS math_flags,
+ coalesce(issues % 2, 0) AS issues, coalesce(live_audit % 2, 0) AS findings, snapshot, page_review, approval_report FROM p LEFT JOIN w USING (package)),
+s AS (SELECT *, snapshot IS NOT NULL OR issues > 0 OR findings > 0 AS imported FROM n)
+SELECT package, converted, changes, manual, accessibility, review, review_status, score, high_pages, gaps, math_flags, imported, issues, findings,
+ CASE WHEN approval_report IS NOT NULL AND NOT imported THEN 'import' WHEN review_status = 'approved' AND issues = 0 AND findings = 0 THEN 'done' WHEN approval_report IS NOT NULL THEN 'checklist' WHEN page_review IS NOT NULL AND high_pages > 0 THEN 'pages' WHEN converted THEN 'review' ELSE 'prepare' END AS step FROM s""")
+def package_readiness(spark, sf):
+    """How far packages are by the reports that there are of them."""
+    e = F.col("event_id")
+    kind = F.get(F.array(*map(F.lit, _REPORT_KINDS)), (e % 23).cast("int"))
+    remainders = {"changes": 1000, "manual": 3, "accessibility": 4, "score": 101, "high_priority": 2, "gaps": 5, "flags": 6, "count": 2, "findings": 2}
+    numbers = F.create_map(*(x for k, m in remainders.items() for x in (F.lit(k), e % m)))
+    status = F.when(e % 2 == 0, " Approved").otherwise("review")
+    rows = table(spark, sf, "events").select((F.col("user_id") % 400).alias("package"), kind.alias("kind"), F.col("ts").alias("at"), e.cast("string").alias("name"), status.alias("status"), numbers.alias("numbers"))
+    return readiness.readiness(rows).drop("next_step")

@@ -54,8 +54,8 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), os.path.abspath(path)
 
 
-def _archives(path: str) -> list[tuple[str, int]]:
-    """Names and sizes of an archive, or of those in a folder at any depth."""
+def _archives(path: str, suffixes: tuple[str, ...] = SUFFIXES) -> list[tuple[str, int]]:
+    """Names and sizes of a file, or of those of a kind in a folder at any depth."""
     store, at = _store(path)
     info = store.get_file_info(at)
     if info.type == fs.FileType.File:
@@ -64,7 +64,7 @@ def _archives(path: str) -> list[tuple[str, int]]:
         raise FileNotFoundError(path)
     found = store.get_file_info(fs.FileSelector(at, recursive=True))
     hidden = lambda p: any(part[:1] in "._" for part in p[len(at) :].strip("/").split("/"))
-    return sorted((i.path, i.size) for i in found if i.type == fs.FileType.File and i.path.lower().endswith(SUFFIXES) and not hidden(i.path))
+    return sorted((i.path, i.size) for i in found if i.type == fs.FileType.File and i.path.lower().endswith(suffixes) and not hidden(i.path))
 
 
 def package_of(archive: str) -> str:
@@ -196,6 +196,8 @@ class Written(WriterCommitMessage):
 
 
 class Writer(DataSourceArrowWriter):
+    suffixes = SUFFIXES
+
     def __init__(self, options, overwrite: bool):
         self.root, self.overwrite = options["path"], overwrite
         _, self.at = _store(self.root)
@@ -238,7 +240,7 @@ class Writer(DataSourceArrowWriter):
         if len(set(to)) < len(to):
             self.abort(messages)
             raise ValueError("a package was written by more than one task")
-        there = [name for name, _ in _archives(self.root)] if store.get_file_info(self.at).type == fs.FileType.Directory else []
+        there = [name for name, _ in _archives(self.root, self.suffixes)] if store.get_file_info(self.at).type == fs.FileType.Directory else []
         if not self.overwrite and set(there) & set(to):
             self.abort(messages)
             raise ValueError(f"{sorted(set(there) & set(to))[0]} is there already")
