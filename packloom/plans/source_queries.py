@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from packloom.operators import assets, manifest, manifest_tree
+from packloom.operators import assets, manifest, manifest_tree, package_reports
 from packloom.plans.registry import _case, _pick, query
 from packloom.rewrite import chain
 from packloom.runtime import materialise, scratch_base, table
-from packloom.sources import archive, package, recorded
+from packloom.sources import archive, package, recorded, texts
 
 
 def _archives(rows):
@@ -223,3 +223,26 @@ def embedded_images(spark, sf):
     hot = p.select("package", F.lit("hot.png").alias("path"), F.encode(_text("hot", F.col("package")), "UTF-8").alias("content")).distinct()
     got = assets.embed(pages, images.unionByName(hot), image_bytes=1000)
     return got.select("package", "path", F.md5("html").alias("digest"), "embedded", "too_large")
+
+@query("""WITH f AS (SELECT s_nationkey AS p, s_suppkey AS k, lpad(s_suppkey::VARCHAR, 9, '0') AS path, CASE WHEN s_suppkey % 2 = 0 THEN 'R' || s_suppkey % 3 END AS m, CASE WHEN s_suppkey % 5 = 0 THEN 'Alt' END AS a FROM supplier),
+t AS (SELECT p, count(*) AS n, count(*) FILTER (k % 4 = 0) AS c, count(m) AS mm, count(a) AS aa FROM f GROUP BY p),
+r AS (SELECT p, 0 AS kind, m AS reason, count(*) AS n, min(path) AS first FROM f WHERE m IS NOT NULL GROUP BY p, m UNION ALL SELECT p, 1, a, count(*), min(path) FROM f WHERE a IS NOT NULL GROUP BY p, a),
+g AS (SELECT p, kind, '### ' || CASE kind WHEN 0 THEN 'Manual Review' ELSE 'Accessibility' END || ' Reasons' || chr(10) || chr(10) || string_agg('- [ ] (' || n || ') ' || reason || chr(10), '' ORDER BY n DESC, first) || chr(10) AS x FROM r GROUP BY p, kind),
+s AS (SELECT p, string_agg(x, '' ORDER BY kind) AS x FROM g GROUP BY p)
+SELECT t.p::VARCHAR AS package, md5('# Migration Preflight Checklist' || chr(10) || chr(10) || '- Input zip: `' || t.p || '.zip`' || chr(10) || '- Output zip: `out`' || chr(10) || '- Policy profile: `strict`' || chr(10) || '- Profile description: Strict' || chr(10) || chr(10) || '## Automated Summary' || chr(10) || chr(10)
+ || '- HTML files scanned: ' || n || chr(10) || '- HTML files changed: ' || c || chr(10) || '- Manual review issues: ' || mm || chr(10) || '- Accessibility issues: ' || aa || chr(10) || chr(10) || '## Required Verifications Before Release' || chr(10) || chr(10) || '- [ ] One' || chr(10) || '- [ ] Two' || chr(10) || chr(10)
+ || '## Findings-Based Follow-Up' || chr(10) || chr(10) || coalesce(left(x, length(x) - 1), '- [ ] No issues flagged by automation.' || chr(10))) AS digest FROM t LEFT JOIN s ON s.p = t.p""")
+def preflight_files(spark, sf):
+    """Checklists of packages, written a file each and read again."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf, "supplier").withColumn("package", F.col("s_nationkey").cast("string"))
+    found = lambda cond, reason: F.when(cond, F.array(F.struct(reason.alias("reason"), F.lit("e").alias("evidence"))))
+    changes = F.lit(None).cast("array<struct<category:string,description:string,count:int>>")
+    files = s.select("package", F.lpad(k.cast("string"), 9, "0").alias("path"), (k % 4 == 0).alias("changed"), changes.alias("changes"), found(k % 2 == 0, _text("R", k % 3)).alias("manual"), found(k % 5 == 0, F.lit("Alt")).alias("accessibility"))
+    packages = s.select("package", _text(F.col("package"), ".zip").alias("input"), F.lit("out").alias("output"), F.lit("strict").alias("profile")).distinct()
+    profiles = spark.createDataFrame([("strict", "Strict", ["One", "Two"])], "profile string, description string, items array<string>")
+    lines = package_reports.preflight_checklists(packages, files, profiles)
+    at = f"{scratch_base(spark)}/packloom/{spark.sparkContext.applicationId}/checklists-{uuid.uuid4().hex}"
+    texts.write_texts(lines, at, package_reports.ORDER)
+    got = spark.read.text(at, wholetext=True)
+    return got.select(F.regexp_extract(F.input_file_name(), r"([^/]*)\.md$", 1).alias("package"), F.md5("value").alias("digest"))
