@@ -15,20 +15,40 @@ def course_token(code: Column) -> Column:
     return F.regexp_replace(F.lower(code), "[^a-z0-9]+", "")
 
 
+def number_tokens(text: Column) -> Column:
+    """Numbers of 4 or 5 digits in a text, longer ones cut."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\d{4,5}"), F.lit(0)))
+
+
+def snapshot_index(files: DataFrame) -> DataFrame:
+    """DataFrame[snapshot, keys, numbers] of snapshots (path, content as JSON text): the
+    tokens of the folder, the course's code and name and its id, and the numbers in them.
+    Where a text is no JSON object the folder alone counts."""
+    at = lambda p: F.coalesce(F.get_json_object("content", p), F.lit(""))
+    folder = F.regexp_extract(F.replace("path", F.lit("\\"), F.lit("/")), "([^/]*)/[^/]*$", 1)
+    told = F.array(folder, at("$.course.course_code"), at("$.course.name"), at("$.course_id"))
+    keys = F.array_distinct(F.filter(F.transform(told, course_token), lambda k: k != ""))
+    return files.select(F.col("path").alias("snapshot"), keys.alias("keys"), F.array_distinct(F.flatten(F.transform(told, number_tokens))).alias("numbers"))
+
+
 def match_snapshots(courses: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Courses (course) to snapshots (snapshot, name): an equal token, else a name
-    whose token holds the course's, else the one snapshot that shares a number of
-    4 or 5 digits. Adds ``snapshot`` and ``how``.
+    """Courses (course) to snapshots, those of ``snapshot_index`` (snapshot, keys, numbers)
+    or with one key each (snapshot, name): an equal token, else a key that holds the
+    course's token, else the one snapshot that shares a number of 4 or 5 digits. Of several
+    snapshots the first by name counts. Adds ``snapshot`` and ``how``.
 
-    The containment arm compares a course that has no equal token with the names
-    that hold the rarest gram of its token.
+    The containment arm compares a course that has no equal token with the keys that hold
+    the rarest gram of its token.
     """
-    numbers = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?<!\d)\d{4,5}(?!\d)"), F.lit(0)))
-    c = courses.select("course", course_token(F.col("course")).alias("token"), numbers(F.col("course")).alias("nums")).where("token <> ''")
-    s = snapshots.select("snapshot", course_token(F.col("name")).alias("key"), numbers(F.col("name")).alias("snums"))
+    c = courses.select("course", course_token(F.col("course")).alias("token"), number_tokens(F.col("course")).alias("nums")).where("token <> ''")
+    if "keys" in snapshots.columns:
+        every = snapshots.select("snapshot", "keys", F.col("numbers").alias("snums"))
+    else:
+        every = snapshots.select("snapshot", F.array(course_token(F.col("name"))).alias("keys"), number_tokens(F.col("name")).alias("snums"))
+    s = every.select("snapshot", F.explode("keys").alias("key"))
     exact = c.join(s, c["token"] == s["key"]).groupBy("course").agg(F.min("snapshot").alias("exact"))
     cn = c.select("course", "token", F.explode("nums").alias("num"))
-    sn = s.select("snapshot", "key", F.explode("snums").alias("num"))
+    sn = every.select("snapshot", F.explode("snums").alias("num"))
     shared = cn.join(sn, "num")
     open_ = c.join(exact, "course", "left_anti").select("course", "token").distinct()
     inside = holders_by_gram(open_, "token", s.select("snapshot", "key"), "key").groupBy("course").agg(F.min("snapshot").alias("inside"))

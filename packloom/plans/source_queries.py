@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from packloom.operators import assets, manifest, manifest_tree, package_reports
+from packloom.operators import assets, corpus, manifest, manifest_tree, package_reports
 from packloom.plans.registry import _case, _pick, query
 from packloom.rewrite import chain
 from packloom.runtime import materialise, scratch_base, table
@@ -246,3 +246,16 @@ def preflight_files(spark, sf):
     texts.write_texts(lines, at, package_reports.ORDER)
     got = spark.read.text(at, wholetext=True)
     return got.select(F.regexp_extract(F.input_file_name(), r"([^/]*)\.md$", 1).alias("package"), F.md5("value").alias("digest"))
+
+@query("""WITH k AS (SELECT s_suppkey AS k FROM supplier)
+SELECT CASE k % 5 WHEN 0 THEN 'FOLDER-' || k WHEN 1 THEN 'Name of c' || k || 'x' WHEN 2 THEN 'id' || k || '.q' WHEN 3 THEN 'zz ' || (30000 + k) || '9' ELSE 'none' || k END AS course,
+ CASE WHEN k % 5 < 4 THEN 'd/folder ' || k || '/canvas-course-' || k || '.snapshot.json' END AS snapshot, CASE k % 5 WHEN 0 THEN 'token' WHEN 1 THEN 'contains' WHEN 2 THEN 'token' WHEN 3 THEN 'number' END AS how FROM k""")
+def snapshot_keys(spark, sf):
+    """Courses to snapshots by the keys that each has: folder, code, name and id."""
+    k = F.col("s_suppkey")
+    n = k.cast("string")
+    s = table(spark, sf, "supplier")
+    told = F.to_json(F.struct(_text("id", k, "Q").alias("course_id"), F.struct(_text("code ", k + 30000).alias("course_code"), _text("The Name of C", k, "x, all").alias("name")).alias("course")))
+    files = s.where(k % 5 < 4).select(_text("d/folder ", n, "/canvas-course-", n, ".snapshot.json").alias("path"), F.when(k % 5 == 0, "no json").otherwise(told).alias("content"))
+    course = F.when(k % 5 == 0, _text("FOLDER-", k)).when(k % 5 == 1, _text("Name of c", k, "x")).when(k % 5 == 2, _text("id", k, ".q")).when(k % 5 == 3, _text("zz ", k + 30000, "9")).otherwise(_text("none", k))
+    return corpus.match_snapshots(s.select(course.alias("course")), corpus.snapshot_index(files)).select("course", "snapshot", "how")
