@@ -170,3 +170,107 @@ def preflight_checklists(packages: DataFrame, files: DataFrame, profiles: DataFr
             when((gaps == 0) & (wanted == 0), "Reference audit shows no unresolved governance gaps."), "",
         ]))
     return _all(*parts)
+
+
+# Lines of the summaries of packages, by column.
+SAFE = [("html_files_scanned", "scanned"), ("html_files_changed", "changed"), ("total_automated_changes", "changes"), ("manual_review_issues", "manual"), ("accessibility_issues", "access")]
+VISUAL = [
+    ("Files scanned", "files_scanned"), ("Files with duplicate title/first-block", "files_with_duplicate_title_first_block"), ("Files with shared template refs remaining", "files_with_remaining_shared_template_refs"),
+    ("Files with <title> tags remaining", "files_with_remaining_title_tags"), ("Files with nonstandard horizontal dividers", "files_with_nonstandard_hr"), ("Files with icon sizing anomalies", "files_with_icon_size_anomalies"),
+    ("Accordion cards in original", "total_original_accordion_cards"), ("Details blocks in converted", "total_converted_details_blocks"), ("MathML expressions in original", "total_original_mathml"),
+    ("MathML expressions in converted", "total_converted_mathml"), ("WIRIS annotation nodes remaining in converted", "total_converted_wiris_annotations"),
+]
+SNAPSHOT = ["pages", "modules", "files", "assignments", "discussions", "announcements"]
+CORPUS = [
+    ("D2L html files", "html_file_count"), ("D2L local refs", "local_refs"), ("D2L legacy /d2l refs", "legacy_d2l_refs"), ("D2L shared template refs", "shared_template_refs"),
+    ("D2L unresolved local refs (pre-fix)", "local_refs_unresolved"), ("Canvas issues total", "issues"), ("Canvas missing page links", "missing_page_links"), ("Canvas quiz-answer-key warnings", "quiz_key_warnings"),
+]
+
+
+def _number(label: str, c: str) -> Column:
+    return _text(f"{label}: ", F.coalesce(F.col(c), F.lit(0)))
+
+
+def safe_summaries(packages: DataFrame, files: DataFrame) -> DataFrame:
+    """Counts of each package (package, profile) and of its reasons, with no text of any
+    page."""
+    t = _with_totals(packages, files)
+    reasons = _reasons(issues_of(files))
+    profile = F.coalesce(F.when(F.col("profile") != "", F.col("profile")), F.lit("unknown"))
+    parts = [section(t, 0, ["SUMMARY", _text("policy_profile: ", profile), *(_number(k, c) for k, c in SAFE), ""]), section(t, 6, [""])]
+    for kind, number, label in (("manual", 1, "MANUAL_REVIEW"), ("accessibility", 4, "ACCESSIBILITY")):
+        own = reasons.where(F.col("type") == kind)
+        none = t.select("package").join(own.select("package").distinct(), "package", "left_anti")
+        parts += [section(t, number, [f"{label}_REASON_COUNTS"]), section(own, number + 1, [_text(F.col("n"), " | ", F.col("reason"))], F.col("place")), section(none, number + 1, ["0 | none"])]
+    parts.append(section(t, 3, [""]))
+    return _all(*parts)
+
+
+def visual_reports(summaries: DataFrame) -> DataFrame:
+    """What the visual audit of each package counted (package and the columns of VISUAL)."""
+    return section(summaries, 0, ["# Visual Audit", "", "## Summary", "", *(_number(f"- {label}", c) for label, c in VISUAL), ""])
+
+
+def snapshot_reports(snapshots: DataFrame) -> DataFrame:
+    """Snapshots of courses: package, generated, base_url, course_id, name, code, counts of
+    SNAPSHOT, json and markdown (paths)."""
+    code = lambda label, c: _text(f"- {label}: `", F.col(c), "`")
+    return section(snapshots, 0, [
+        "# Canvas Course Snapshot", "", _text("Generated: ", F.col("generated")), "", "## Course", "", code("Base URL", "base_url"), code("Course ID", "course_id"), code("Course Name", "name"), code("Course Code", "code"), "",
+        "## Counts", "", *(_number(f"- {k.capitalize()}", k) for k in SNAPSHOT), "", "## Outputs", "", code("Snapshot JSON", "json"), code("Snapshot Markdown", "markdown"),
+    ])
+
+
+def practice_reports(tables: DataFrame, duplicates: DataFrame, conflicts: DataFrame, redundancies: DataFrame, shown: int = 25) -> DataFrame:
+    """Audits of practice tables: ``tables`` (package, input, rows), groups of equal rows
+    (package, group, row), sources with several pieces of advice (package, source, row) and
+    near-equal rows (package, left_row, right_row, similarity as text), of which the first
+    ``shown`` are told. Groups are told by their first row, rows of a group in order; a
+    group's rows are one line."""
+
+    def grouped(df: DataFrame, by: str) -> DataFrame:
+        rows = df.groupBy("package", by).agg(F.min("row").alias("first"), F.concat_ws(", ", F.transform(F.sort_array(F.collect_list("row")), lambda r: r.cast("string"))).alias("rows"))
+        return rows.withColumn("place", F.row_number().over(Window.partitionBy("package").orderBy("first", by)))
+
+    same, against = grouped(duplicates, "group"), grouped(conflicts, "source")
+    near = redundancies.withColumn("place", F.row_number().over(Window.partitionBy("package").orderBy("left_row", "right_row")))
+    n = lambda df: df.groupBy("package").agg(F.count("*").alias("n"))
+    t = tables
+    for name, df in (("same", same), ("against", against), ("near", near)):
+        t = t.join(n(df).withColumnRenamed("n", name), "package", "left")
+    parts = [section(t, 0, [
+        "# Best Practices Audit Report", "", _text("Input: `", F.col("input"), "`"), _text("Rows evaluated: ", F.col("rows")), "", "## Findings", "",
+        _number("- Exact duplicates", "same"), _number("- Potential conflicts", "against"), _number("- Potential redundancies", "near"), "",
+    ])]
+    line = F.col("place")
+    for number, df, title, row in (
+        (1, same, "## Duplicate Groups", _text("- Rows: ", F.col("rows"))),
+        (4, against, "## Conflict Groups", _text("- Source key `", F.col("source"), "` in rows: ", F.col("rows"))),
+        (7, near.where(F.col("place") <= shown), "## Redundancy Candidates", _text("- Rows ", F.col("left_row"), " and ", F.col("right_row"), " (similarity: ", F.col("similarity"), ")")),
+    ):
+        head = df.where("place = 1")
+        parts += [section(head, number, [title, ""]), section(df, number + 1, [row], line), section(head, number + 2, [""])]
+    return _all(*parts)
+
+
+def corpus_reports(corpora: DataFrame, overall: DataFrame, courses: DataFrame, skipped: DataFrame) -> DataFrame:
+    """Analyses of training corpora: ``corpora`` (package, generated, examples, snapshots),
+    totals (package, key, value), courses (package, course, source, snapshot or null,
+    snapshot_id, snapshot_code, the columns of CORPUS, pages, modules, files) and folders
+    that were passed over (package, course, reason). Courses and folders come by name."""
+    c = F.col
+    there = c("snapshot").isNotNull()
+    gold = F.when(there, _text("- Gold snapshot pages/modules/files: ", F.coalesce("pages", F.lit(0)), "/", F.coalesce("modules", F.lit(0)), "/", F.coalesce("files", F.lit(0)))).otherwise("- Gold snapshot pages/modules/files: n/a")
+    head = skipped.select("package").distinct()
+    return _all(
+        section(corpora, 0, ["# Training Corpus Analysis", "", _text("Generated: ", c("generated")), "", _text("- Examples directory: `", c("examples"), "`"), _text("- Snapshot root: `", c("snapshots"), "`"), "", "## Overall", ""]),
+        section(overall, 1, [_text("- ", c("key"), ": ", c("value"))], key=c("key")),
+        section(corpora, 2, ["", "## Per Course", ""]),
+        section(courses, 3, [
+            _text("### ", c("course")), _text("- Source package: `", c("source"), "`"), F.when(there, _text("- Snapshot JSON: `", c("snapshot"), "`")).otherwise("- Snapshot JSON: `(not found)`"),
+            F.when(there, _text("- Snapshot course: `", c("snapshot_id"), "` | `", c("snapshot_code"), "`")), *(_number(f"- {label}", k) for label, k in CORPUS), gold, "",
+        ], key=c("course")),
+        section(head, 4, ["## Skipped Folders", ""]),
+        section(skipped, 5, [_text("- ", c("course"), ": ", c("reason"))], key=c("course")),
+        section(head, 6, [""]),
+    )

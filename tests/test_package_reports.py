@@ -167,3 +167,44 @@ def test_readiness(spark):
     assert {k: r.step for k, r in got.items()} == {"new": "prepare", "conv": "review", "pages": "pages", "imp": "import", "done": "done", "list": "checklist", "post": "checklist", "tie": "review"}
     assert got["conv"].review == "none" and got["conv"].changes == 7 and got["new"].review == "visual_audit" and got["tie"].changes == 2
     assert got["list"].review_status == "unknown" and got["post"].issues == 0 and got["imp"].score == 88 and got["done"].next_step == readiness.STEPS["done"]
+
+
+def lines_of(df, package="a"):
+    return "\n".join(r.line for r in df.where(F.col("package") == package).orderBy(*reports.ORDER).collect())
+
+
+def test_safe_summaries(spark):
+    packages, files, *_ = tables(spark)
+    got = reports.safe_summaries(packages, files)
+    assert lines_of(got) == "SUMMARY\npolicy_profile: strict\nhtml_files_scanned: 3\nhtml_files_changed: 1\ntotal_automated_changes: 6\nmanual_review_issues: 4\naccessibility_issues: 1\n\nMANUAL_REVIEW_REASON_COUNTS\n2 | Twice\n1 | Late\n\nACCESSIBILITY_REASON_COUNTS\n1 | Alt\n"
+    assert lines_of(got, "b").endswith("MANUAL_REVIEW_REASON_COUNTS\n0 | none\n\nACCESSIBILITY_REASON_COUNTS\n0 | none\n")
+
+
+def test_other_reports(spark):
+    visual = spark.createDataFrame([("a", *range(len(reports.VISUAL)))], "package string, " + ", ".join(f"{c} int" for _, c in reports.VISUAL))
+    text = lines_of(reports.visual_reports(visual)).split("\n")
+    assert text[:5] == ["# Visual Audit", "", "## Summary", "", "- Files scanned: 0"] and text[-2] == "- WIRIS annotation nodes remaining in converted: 10" and text[-1] == ""
+    snap = spark.createDataFrame([("a", "now", "u", "7", "N", None, 1, 2, 3, 4, 5, None, "j", "m")], "package string, generated string, base_url string, course_id string, name string, code string, pages int, modules int, files int, assignments int, discussions int, announcements int, json string, markdown string")
+    text = lines_of(reports.snapshot_reports(snap))
+    assert "- Course Code: ``\n\n## Counts\n\n- Pages: 1\n" in text and "- Announcements: 0\n" in text and text.endswith("- Snapshot Markdown: `m`")
+
+
+def test_practice_reports(spark):
+    t = spark.createDataFrame([("a", "in.csv", 9), ("b", "x.csv", 0)], "package string, input string, rows int")
+    same = spark.createDataFrame([("a", "g2", 9), ("a", "g1", 11), ("a", "g2", 2), ("a", "g1", 4)], "package string, group string, row int")
+    against = spark.createDataFrame([("a", "quiz", 5), ("a", "quiz", 3)], "package string, source string, row int")
+    near = spark.createDataFrame([("a", i, i + 1, "0.95") for i in range(2, 32)], "package string, left_row int, right_row int, similarity string")
+    text = lines_of(reports.practice_reports(t, same, against, near))
+    assert "- Exact duplicates: 2\n- Potential conflicts: 1\n- Potential redundancies: 30\n\n## Duplicate Groups\n\n- Rows: 2, 9\n- Rows: 4, 11\n\n## Conflict Groups\n\n- Source key `quiz` in rows: 3, 5\n\n## Redundancy Candidates\n\n- Rows 2 and 3 (similarity: 0.95)\n" in text
+    assert text.count("similarity") == 25 and text.endswith("\n") and lines_of(reports.practice_reports(t, same, against, near), "b").endswith("- Potential redundancies: 0\n")
+
+
+def test_corpus_reports(spark):
+    corpora = spark.createDataFrame([("a", "now", "ex", "sn")], "package string, generated string, examples string, snapshots string")
+    overall = spark.createDataFrame([("a", "courses", 2), ("a", "all", 5)], "package string, key string, value int")
+    columns = ", ".join(f"{k} int" for _, k in reports.CORPUS)
+    courses = spark.createDataFrame([("a", "X2", "x2.zip", None, None, None, *range(8), None, None, None), ("a", "X1", "x1.zip", "s.json", "7", "C", *range(8), 1, None, 3)], f"package string, course string, source string, snapshot string, snapshot_id string, snapshot_code string, {columns}, pages int, modules int, files int")
+    skipped = spark.createDataFrame([("a", "Z", "no package")], "package string, course string, reason string")
+    text = lines_of(reports.corpus_reports(corpora, overall, courses, skipped))
+    assert "## Overall\n\n- all: 5\n- courses: 2\n\n## Per Course\n\n### X1\n- Source package: `x1.zip`\n- Snapshot JSON: `s.json`\n- Snapshot course: `7` | `C`\n- D2L html files: 0\n" in text
+    assert "- Gold snapshot pages/modules/files: 1/0/3\n\n### X2\n" in text and "`(not found)`\n- D2L html" in text and text.endswith("files: n/a\n\n## Skipped Folders\n\n- Z: no package\n")
