@@ -31,6 +31,21 @@ def query(sql: str | None = None):
     return add
 
 
+def _case(key: str, values: list, quote: bool = True) -> str:
+    """SQL that picks a value by key; # in it is the key."""
+    text = lambda v: "NULL" if v is None else "'" + v.replace("'", "''").replace("#", f"' || {key} || '") + "'" if quote else str(v)
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN {text(v)}" for i, v in enumerate(values)) + " END"
+
+
+def _pick(key: Column, values: list) -> Column:
+    """The same as a column."""
+    text = lambda v: F.replace(F.lit(v), F.lit("#"), key.cast("string")) if isinstance(v, str) else F.lit(v)
+    out = F.when(key % len(values) == 0, text(values[0]))
+    for i, v in enumerate(values[1:], 1):
+        out = out.when(key % len(values) == i, text(v))
+    return out
+
+
 REPLACEMENTS = [
     rules.Replacement("Drop comments", r"<!--.*?-->", "", "s"),
     rules.Replacement("Decode ampersands", r"&amp;", "&"),
@@ -52,15 +67,18 @@ WITH p AS (SELECT page_id, html,
   trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
     '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'),
     '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS plain FROM pages)
-SELECT page_id, len(regexp_extract_all(html, '(?i)<h[1-6]\b'))::BIGINT AS heading_count, len(regexp_extract_all(html, '(?i)<img\b'))::BIGINT AS image_count,
+SELECT page_id, len(regexp_extract_all(html, '(?i)<h[1-6]\b'))::BIGINT AS heading_count, len(regexp_extract_all(html, '(?i)<img\b'))::BIGINT + (page_id % 4 = 0)::INT AS image_count,
+  len(regexp_extract_all(html, '(?i)<iframe\b'))::BIGINT + (page_id % 2) AS iframe_count, len(regexp_extract_all(html, '(?i)<table\b'))::BIGINT + 2 AS table_count, len(regexp_extract_all(html, '(?i)<details\b'))::BIGINT + (page_id % 3 = 0)::INT AS accordion_count,
+  len(regexp_extract_all(html, '(?i)<hr\b'))::BIGINT + 1 AS divider_count, (page_id % 4 = 0)::BIGINT AS template_icon_count,
   len(regexp_extract_all(html, '(?i)<(?:ul|ol)\b'))::BIGINT AS list_count, len(regexp_extract_all(html, '(?i)<a\b'))::BIGINT AS link_count,
   len(regexp_extract_all(plain, '[\p{L}\p{N}_\p{M}]+'))::BIGINT AS word_count
 FROM p""")
 def page_content_metrics(spark, sf):
     """Counts of tags and words of each page."""
-    m = metrics.content_metrics(F.col("html"))
-    keep = ["heading_count", "image_count", "list_count", "link_count", "word_count"]
-    return table(spark, sf, "pages").select("page_id", *(m[k].alias(k) for k in keep))
+    k = F.col("page_id")
+    more = F.concat(F.when(k % 2 == 1, "<IFRAME>").otherwise(""), F.lit("<table><hr><table >"), F.when(k % 3 == 0, "<details>").otherwise(""), F.when(k % 4 == 0, '<img src="../TemplateAssets/a.png">').otherwise(""))
+    m = metrics.content_metrics(F.concat("html", more))
+    return table(spark, sf, "pages").select("page_id", *(c.alias(n) for n, c in m.items()))
 
 
 @query(r"""
@@ -303,15 +321,33 @@ def template_compatibility(spark, sf):
     return resolve.availability(refs, assets)
 
 
-@query(r"""
-WITH b AS (SELECT page_id, html, len(regexp_extract_all(html, '(?i)<h[1-6]\b')) AS h, len(string_split(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), ' ')) AS w FROM pages WHERE page_id % 5 <> 4)
-SELECT p.page_id, p.page_id % 5 <> 4 AS converted_exists, CASE WHEN p.page_id % 5 = 4 THEN 0 ELSE len(regexp_extract_all(html, '(?i)<title\b')) * (p.page_id % 2) END::BIGINT AS title_tags FROM pages p""")
-def before_after_audit(spark, sf):
+_FIRST = ["<title>A &amp; #</title><h1>a and #</h1>", "<title>A</title><h1>B</h1>", "<h1>zz #</h1>"]
+_BEFORE = ['<div id=a class="a card b"><DIV class=\'card\'></div></div>', "<math></math><MATH>", "", '<div class="cards">']
+_AFTER = [
+    '<details class="migration-accordion x"><details>', '<a href="/Shared/Brightspace_HTML_Template/a">', '<hr><HR style="Height: 2px">', '<img src="../TemplateAssets/a.png"><img style="width: 45px" src="TemplateAssets/b.png"><img src="TemplateAssets/banner-1.png">',
+    "<math><annotation x encoding='WIRIS'>a</annotation></math>", "",
+]
+_VISUAL_SQL = rf"""p AS (SELECT page_id AS path, html || {_case('page_id', _BEFORE)} AS o, CASE WHEN page_id % 5 = 4 THEN '' ELSE {_case('page_id', _FIRST)} || {_case('page_id', _AFTER)} || CASE WHEN page_id % 2 = 0 THEN regexp_replace(html, '(?is)<title\b[^>]*>.*?</title>', '', 'g') ELSE html END END AS c FROM pages),
+v AS (SELECT path, o <> '' AS original_exists, c <> '' AS converted_exists, c <> '' AND path % 3 = 0 AS duplicate_title_first_block, len(regexp_extract_all(o, '(?i)<div\b[^>]*class\s*=\s*["''][^"'']*\bcard\b[^"'']*["''][^>]*>'))::BIGINT AS original_accordion_cards,
+ len(regexp_extract_all(c, '(?i)<details\b[^>]*class\s*=\s*["''][^"'']*\bmigration-accordion\b[^"'']*["''][^>]*>'))::BIGINT AS converted_details_blocks, len(regexp_extract_all(lower(c), '/shared/brightspace_html_template/'))::BIGINT AS converted_shared_template_refs, len(regexp_extract_all(c, '(?i)<title\b'))::BIGINT AS converted_title_tags,
+ len(list_filter(regexp_extract_all(c, '(?i)<hr\b[^>]*>'), lambda x: NOT contains(lower(x), 'height: 2px')))::BIGINT AS converted_hr_nonstandard,
+ len(list_filter(regexp_extract_all(c, '(?i)<img\b[^>]*src\s*=\s*["''][^"'']*templateassets/[^"'']+["''][^>]*>'), lambda x: NOT regexp_matches(lower(x), 'banner-|footer\.png|course-card\.png|width: 24px|width: 45px|width: 72px')))::BIGINT AS converted_template_icons_missing_size_style,
+ len(regexp_extract_all(o, '(?i)<math\b'))::BIGINT AS original_mathml_count, len(regexp_extract_all(c, '(?i)<math\b'))::BIGINT AS converted_mathml_count, len(regexp_extract_all(c, '(?i)<annotation\b[^>]*\bencoding\s*=\s*["'']wiris["'']'))::BIGINT AS converted_wiris_annotation_count FROM p)"""
+
+
+def _visual(spark, sf) -> DataFrame:
     """Pages against a conversion that drops every second title and every fifth page."""
+    k = F.col("path")
     p = table(spark, sf, "pages").select(F.col("page_id").alias("path"), "html")
-    after = p.where(F.col("path") % 5 != 4).withColumn("html", F.when(F.col("path") % 2 == 0, F.regexp_replace("html", r"(?is)<title\b[^>]*>.*?</title>", "")).otherwise(F.col("html")))
-    rows = metrics.visual_audit(metrics.pair_versions(p, after))
-    return rows.select(F.col("path").alias("page_id"), "converted_exists", F.col("converted_title_tags").alias("title_tags"))
+    html = F.when(k % 2 == 0, F.regexp_replace("html", r"(?is)<title\b[^>]*>.*?</title>", "")).otherwise(F.col("html"))
+    after = p.where(k % 5 != 4).withColumn("html", F.concat(_pick(k, _FIRST), _pick(k, _AFTER), html))
+    return metrics.visual_audit(metrics.pair_versions(p.withColumn("html", F.concat("html", _pick(k, _BEFORE))), after))
+
+
+@query(f"WITH {_VISUAL_SQL} SELECT * FROM v")
+def before_after_audit(spark, sf):
+    """What a conversion left or changed of each page."""
+    return _visual(spark, sf)
 
 
 @query()
@@ -490,9 +526,16 @@ _FEATURES = f"""t AS ({_TITLES}), f AS (SELECT package, count(*) FILTER (kind =
 p AS (SELECT *, round(ms / greatest(mc, 1), 3) AS mr, round(ts / greatest(mc, 1), 3) AS tr, mc % 7 AS iss, CASE WHEN ms >= 4 AND ic >= 2 AND la >= 2 THEN 'template-module' WHEN ts >= 4 THEN 'topic-sequence' WHEN hd > 0 OR ov > 0 OR io > ic THEN 'overview-objectives' ELSE 'hybrid' END AS cohort FROM f)"""
 
 
-@query(f"WITH {_FEATURES} SELECT package, mc AS module_count, pc AS page_count, ms AS module_style_count, ts AS topic_style_count, io AS intro_objectives_pages, sh AS start_here_modules, cohort FROM p")
+_FEATURE_COLUMNS = {
+    "module_count": "mc", "page_count": "pc", "assignment_count": "ac", "discussion_count": "dc", "module_style_count": "ms", "topic_style_count": "ts", "start_here_modules": "sh", "instructor_modules": "im", "help_discussion_modules": "hd",
+    "overview_modules": "ov", "intro_objectives_pages": "io", "intro_checklist_pages": "ic", "learning_activities_pages": "la", "module_style_ratio": "mr", "topic_style_ratio": "tr", "issue_total": "iss",
+}
+
+
+@query(f"WITH {_FEATURES} SELECT package, {', '.join(f'{b} AS {a}' for a, b in _FEATURE_COLUMNS.items())}, cohort FROM p")
 def package_features(spark, sf):
-    return _profiles(spark, sf).select("package", "module_count", "page_count", "module_style_count", "topic_style_count", "intro_objectives_pages", "start_here_modules", "cohort")
+    """Features of packages and their cohorts."""
+    return _profiles(spark, sf).select("package", *_FEATURE_COLUMNS, "cohort")
 
 
 _AGREED = """count(*)::BIGINT AS reference_courses, CASE WHEN sum(ts) > sum(ms) THEN 'topic' WHEN sum(ms) = 0 AND sum(ts) = 0 THEN 'neutral' ELSE 'module' END AS preferred_module_style,
@@ -584,21 +627,6 @@ def approval_gates(spark, sf):
     return g.join(cohort.approval_score(g), "package").select("package", "gate", "status", "score", "overall")
 
 
-def _case(key: str, values: list, quote: bool = True) -> str:
-    """SQL that picks a value by key; # in it is the key."""
-    text = lambda v: "NULL" if v is None else "'" + v.replace("'", "''").replace("#", f"' || {key} || '") + "'" if quote else str(v)
-    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN {text(v)}" for i, v in enumerate(values)) + " END"
-
-
-def _pick(key: Column, values: list) -> Column:
-    """The same as a column."""
-    text = lambda v: F.replace(F.lit(v), F.lit("#"), key.cast("string")) if isinstance(v, str) else F.lit(v)
-    out = F.when(key % len(values) == 0, text(values[0]))
-    for i, v in enumerate(values[1:], 1):
-        out = out.when(key % len(values) == i, text(v))
-    return out
-
-
 #: Titles of items and what they become.
 TITLE_CASES = [
     ("Topic 0# | Start", "Module #: Start"), ("Topic# - A - b", "Module #: A - b"), ("topic 7 : x", "Module 7: x"), ("Topic # Start", "Topic # Start"), ("A Topic # | b", "A Topic # | b"),
@@ -744,12 +772,12 @@ def math_summary(spark, sf):
     return metrics.math_summary(_math(spark, sf))
 
 
-@query(r"""
-SELECT count(*)::BIGINT AS files_scanned, count(*) FILTER (page_id % 5 <> 4 AND page_id % 2 = 1)::BIGINT AS files_with_remaining_title_tags FROM pages""")
+@query(f"""WITH {_VISUAL_SQL} SELECT count(*)::BIGINT AS files_scanned, count(*) FILTER (duplicate_title_first_block)::BIGINT AS files_with_duplicate_title_first_block, count(*) FILTER (converted_shared_template_refs > 0)::BIGINT AS files_with_remaining_shared_template_refs, count(*) FILTER (converted_title_tags > 0)::BIGINT AS files_with_remaining_title_tags,
+ count(*) FILTER (converted_hr_nonstandard > 0)::BIGINT AS files_with_nonstandard_hr, count(*) FILTER (converted_template_icons_missing_size_style > 0)::BIGINT AS files_with_icon_size_anomalies, sum(original_accordion_cards)::BIGINT AS total_original_accordion_cards, sum(converted_details_blocks)::BIGINT AS total_converted_details_blocks,
+ sum(original_mathml_count)::BIGINT AS total_original_mathml, sum(converted_mathml_count)::BIGINT AS total_converted_mathml, sum(converted_wiris_annotation_count)::BIGINT AS total_converted_wiris_annotations FROM v""")
 def visual_summary(spark, sf):
-    p = table(spark, sf, "pages").select(F.col("page_id").alias("path"), "html")
-    after = p.where(F.col("path") % 5 != 4).withColumn("html", F.when(F.col("path") % 2 == 0, F.regexp_replace("html", r"(?is)<title\b[^>]*>.*?</title>", "")).otherwise(F.col("html")))
-    return metrics.visual_summary(metrics.visual_audit(metrics.pair_versions(p, after))).select("files_scanned", "files_with_remaining_title_tags")
+    """Totals of what a conversion left or changed."""
+    return metrics.visual_summary(_visual(spark, sf))
 
 
 from packloom.operators import links, patterns, reports  # noqa: E402
