@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packloom.functions.arrow import similarity
@@ -45,14 +45,22 @@ def review_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("files_scanned"), n(F.col("priority") == "high").alias("high"), n(F.col("priority") == "medium").alias("medium"), n(F.col("manual") > 0).alias("with_manual"), n(F.col("accessibility") > 0).alias("with_accessibility"), n(F.size("visual") > 0).alias("with_visual"), n(F.size("structural") > 0).alias("with_drift"))
 
 
+def with_body(html: Column, body: Column) -> Column:
+    """A page whose body's content, up to its first end, is another one without white space
+    around it; a page without a body becomes it."""
+    m = r"(?is)^(.*?<body\b[^>]*>)(.*?)(</body>.*)$"
+    new = F.regexp_replace(body, r"(?U)^\s+|\s+$", "")
+    inside = F.concat(F.lit("\n"), F.when(new != "", F.concat(new, F.lit("\n"))).otherwise(""))
+    return F.when(html.rlike(m), F.concat(F.regexp_extract(html, m, 1), inside, F.regexp_extract(html, m, 3))).otherwise(new)
+
+
 def apply_drafts(pages: DataFrame, drafts: DataFrame) -> DataFrame:
     """Pages (path, html) with the bodies of drafts (path, edited_body_html) in
     place, and ``status``: kept, updated, unchanged, or missing for drafts of
     pages that are not there."""
     d = drafts.select("path", F.col("edited_body_html").alias("edit"))
     j = pages.join(d, "path", "full_outer")
-    body = r"(?is)^(.*?<body\b[^>]*>)(.*)(</body>.*)$"
     h = F.col("html")
-    new = F.when(h.rlike(body), F.concat(F.regexp_extract(h, body, 1), F.lit("\n"), F.col("edit"), F.lit("\n"), F.regexp_extract(h, body, 3))).otherwise(F.col("edit"))
+    new = with_body(h, F.col("edit"))
     status = F.when(h.isNull(), "missing").when(F.col("edit").isNull(), "kept").when(new == h, "unchanged").otherwise("updated")
     return j.select("path", F.when(F.col("edit").isNull(), h).otherwise(F.when(h.isNotNull(), new)).alias("html"), status.alias("status"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packloom.operators import detect, rules
+from packloom.operators import detect, review, rules
 from packloom.rewrite import chain
 
 
@@ -70,3 +70,37 @@ def convert(pages: DataFrame, config: rules.Rules, chosen: Profile, policy: chai
     layout = F.transform(detect.layout_elements(h), lambda x: detect.issue(F.when(detect.is_breaking(x.intent), "Layout-breaking CSS detected").otherwise("Layout CSS may render differently in Canvas"), F.left(x.tag, F.lit(120))))
     manual += [layout, detect.tool_embeds(h)]
     return df.select("path", "html", (~h.eqNullSafe(F.col("__before"))).alias("changed"), "changes", F.concat(*manual).alias("manual"), detect.accessibility(h).alias("accessibility"))
+
+
+def write_back(pages: DataFrame, drafts: DataFrame, triggers: list[rules.Trigger], chosen: Profile, policy: chain.Policy = chain.Policy(), best_practice: bool = False) -> DataFrame:
+    """A reviewer's drafts in converted pages: DataFrame[path, html, status, found, changed,
+    edited_body_changed, changes, manual, accessibility, and the numbers of manual and
+    accessibility issues and of changes of the chain and of best practice].
+
+    ``pages`` (path, html), ``drafts`` (path, original_body_html, edited_body_html). Pages
+    with a draft get its body, go through the chain again (and best practice) and are
+    searched for what is left to do by hand; others pass as they are (kept), drafts without
+    a page are missing. A page drafted twice has the larger text.
+    """
+    policy = replace(policy, template_assets=chosen.sanitize_brightspace_assets, legacy_links=chosen.neutralize_legacy_d2l_links, alt_text_for_removed_images=chosen.use_alt_text_for_removed_template_images)
+    text = lambda c: F.coalesce(c, F.lit(""))
+    path = F.replace(F.trim(text("path")), F.lit("\\"), F.lit("/"))
+    d = drafts.select(path.alias("path"), F.struct(text("edited_body_html").alias("edit"), text("original_body_html").alias("was")).alias("x")).groupBy("path").agg(F.max("x").alias("x"))
+    j = d.join(pages.select("path", F.col("html").alias("before")), "path", "left")
+    found = j.where("before IS NOT NULL").select("path", "before", "x", review.with_body(F.col("before"), F.col("x.edit")).alias("html"))
+    df = chain.sanitise(found, policy=policy)
+    if best_practice:
+        df = chain.enforce(df, closer=chosen.require_mc_closing_bullet)
+    h = F.col("html")
+    done = df.withColumn("manual", F.concat(rules.triggered(h, triggers), detect.tool_embeds(h))).withColumn("accessibility", detect.accessibility(h))
+    count = lambda own: F.aggregate(F.filter("changes", lambda c: (c["category"] == "best_practice") == own), F.lit(0).cast("long"), lambda a, c: a + c["count"])
+    trimmed = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    done = done.select(
+        "path", "html", F.when(h == F.col("before"), "unchanged").otherwise("updated").alias("status"), F.lit(True).alias("found"), (h != F.col("before")).alias("changed"),
+        (trimmed(F.col("x.edit")) != trimmed(F.col("x.was"))).alias("edited_body_changed"), "changes", "manual", "accessibility",
+        F.size("manual").cast("long").alias("manual_review_issues"), F.size("accessibility").cast("long").alias("accessibility_issues"), count(False).alias("sanitizer_changes"), count(True).alias("best_practice_changes"),
+    )
+    flat = lambda df, status, there: df.withColumns({"status": F.lit(status), "found": F.lit(there), "changed": F.lit(False)})
+    kept = flat(pages.select("path", "html").join(d, "path", "left_anti"), "kept", True)
+    missing = flat(j.where("before IS NULL").select("path"), "missing", False)
+    return done.unionByName(kept, allowMissingColumns=True).unionByName(missing, allowMissingColumns=True)
