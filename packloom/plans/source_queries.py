@@ -8,6 +8,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from packloom.operators import assets, corpus, manifest, manifest_tree, package_reports
+from packloom.plans import convert
 from packloom.plans.registry import _case, _pick, query
 from packloom.rewrite import chain
 from packloom.runtime import materialise, scratch_base, table
@@ -259,3 +260,19 @@ def snapshot_keys(spark, sf):
     files = s.where(k % 5 < 4).select(_text("d/folder ", n, "/canvas-course-", n, ".snapshot.json").alias("path"), F.when(k % 5 == 0, "no json").otherwise(told).alias("content"))
     course = F.when(k % 5 == 0, _text("FOLDER-", k)).when(k % 5 == 1, _text("Name of c", k, "x")).when(k % 5 == 2, _text("id", k, ".q")).when(k % 5 == 3, _text("zz ", k + 30000, "9")).otherwise(_text("none", k))
     return corpus.match_snapshots(s.select(course.alias("course")), corpus.snapshot_index(files)).select("course", "snapshot", "how")
+
+@query(f"""WITH p AS (SELECT page_id AS k, 'w/' || page_id || '.html' AS path FROM pages), d AS (SELECT * FROM p WHERE k % 3 = 0)
+SELECT path, CASE WHEN k % 3 <> 0 THEN 'kept' WHEN k % 2 = 0 THEN 'updated' ELSE 'unchanged' END AS status, CASE WHEN k % 3 = 0 THEN k % 2 = 0 END AS edited_body_changed,
+ '<body>' || chr(10) || CASE WHEN k % 3 = 0 AND k % 2 = 0 THEN '<p>new ' || k || ' <a href="{'#'}" data-migration-link-status="needs-review" data-migration-original-href="/d2l/le/' || k || '">x</a></p>' ELSE '<p>old ' || k || '</p>' END || chr(10) || '</body>' AS html,
+ CASE WHEN k % 3 = 0 THEN (k % 2 = 0)::BIGINT END AS sanitizer_changes, CASE WHEN k % 3 = 0 THEN 0::BIGINT END AS best_practice_changes FROM p
+UNION ALL SELECT 'gone/' || k, 'missing', NULL, NULL, NULL, NULL FROM p WHERE k % 10 = 0""")
+def review_write_back(spark, sf):
+    """Drafts of a reviewer, written back through the chain."""
+    k = F.col("page_id")
+    p = table(spark, sf, "pages").select(k, _text("w/", k, ".html").alias("path"), _text("<body>\n<p>old ", k, "</p>\n</body>").alias("html"))
+    old = _text("<p>old ", k, "</p>")
+    new = F.when(k % 2 == 0, _text(" <p>new ", k, ' <a href="/d2l/le/', k, '">x</a></p>\n')).otherwise(old)
+    drafts = p.where(k % 3 == 0).select("path", old.alias("original_body_html"), new.alias("edited_body_html"))
+    drafts = drafts.unionByName(p.where(k % 10 == 0).select(_text("gone/", k).alias("path"), F.lit("a").alias("original_body_html"), F.lit("b").alias("edited_body_html")))
+    got = convert.write_back(p.select("path", "html"), drafts, [], convert.Profile("any"))
+    return got.select("path", "status", "edited_body_changed", "html", "sanitizer_changes", "best_practice_changes")
