@@ -68,8 +68,9 @@ def raw_score(x: Column, y: Column) -> Column:
 
 
 #: Profiles that cells are built around, width of a ring of a cell, and what rounding a
-#: score to one digit can move.
-PIVOTS, RING, ROUNDING = 64, 2.0, 0.1
+#: score to one digit can move. No more profiles than FEW are met one by one.
+PIVOTS, RING, ROUNDING = 64, 2.0, 0.11
+FEW = 4 * PIVOTS
 _FEATURES = ["cohort", *WEIGHTS, *FLAGS, "issue_total"]
 
 
@@ -84,6 +85,9 @@ def nearest(queries: DataFrame, profiles: DataFrame, package: str = "package", k
     equal features k + 1 are met, those with the smallest names.
     """
     work = profiles.select(F.col(package).alias("reference"), F.struct(*_FEATURES).alias("r"))
+    wanted = queries.select(F.col(package).alias("query"), F.struct(*_FEATURES).alias("l"))
+    if work.limit(FEW + 1).count() <= FEW:
+        return _first(wanted.join(F.broadcast(work), F.col("query") != F.col("reference")), k)
     same = Window.partitionBy("r").orderBy("reference")
     few = work.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n")
     few = materialise(few, "profiles")
@@ -98,7 +102,7 @@ def nearest(queries: DataFrame, profiles: DataFrame, package: str = "package", k
     # At most PIVOTS times the largest distance by RING rows.
     rings = cells.groupBy("cell", "ring").agg(F.count("*").alias("n"), F.min("radius").alias("least"), F.max("radius").alias("most"))
     told = rings.agg(F.collect_list(F.struct("cell", "ring", "n", "least", "most")).alias("rings"))
-    q = from_pivots(queries.select(F.col(package).alias("query"), F.struct(*_FEATURES).alias("l")), "l").crossJoin(F.broadcast(told))
+    q = from_pivots(wanted, "l").crossJoin(F.broadcast(told))
     near = F.sort_array(F.transform("rings", lambda b: F.struct((F.get("far", b["cell"]) + b["most"]).alias("d"), b["n"].alias("n"))))
     # The distance within which the nearest rings have k rows beside the query's own.
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("d"))
@@ -108,8 +112,12 @@ def nearest(queries: DataFrame, profiles: DataFrame, package: str = "package", k
     open_ = bound.isNull() | (bound >= 100.0 - ROUNDING)
     met = F.filter("rings", lambda b: F.col("open_") | (F.greatest(F.get("far", b["cell"]) - b["most"], b["least"] - F.get("far", b["cell"])) <= F.col("bound")))
     q = q.withColumn("bound", bound).withColumn("open_", open_).select("query", "l", F.explode(met).alias("b")).select("query", "l", "b.cell", "b.ring")
-    rows = q.join(cells, ["cell", "ring"]).where(F.col("query") != F.col("reference"))
-    rows = rows.withColumn("score", round_half_even(F.greatest(raw_score(F.col("l"), F.col("r")), F.lit(0.0)), F.lit(1)))
+    return _first(q.join(cells, ["cell", "ring"]).where(F.col("query") != F.col("reference")), k)
+
+
+def _first(pairs: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` references of each query of pairs (query, l, reference, r)."""
+    rows = pairs.withColumn("score", round_half_even(F.greatest(raw_score(F.col("l"), F.col("r")), F.lit(0.0)), F.lit(1)))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "reference")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "reference", "score")
 

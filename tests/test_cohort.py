@@ -53,9 +53,10 @@ def test_unseen_cohort_follows_all_profiles(spark):
     assert {r.gate: r.status for r in gates.collect()}["structure-conventions"] == "review"
 
 
-@pytest.mark.parametrize("n", [5, 300])
-def test_nearest_equals_all_pairs(spark, monkeypatch, n):
+@pytest.mark.parametrize("n,few", [(5, 256), (5, 0), (300, 256)])
+def test_nearest_equals_all_pairs(spark, monkeypatch, n, few):
     monkeypatch.setattr(cohort, "PIVOTS", 8)
+    monkeypatch.setattr(cohort, "FEW", few)
     rows = made(n, 3) + [(f"same{i:02}", *made(1)[0][1:]) for i in range(20)]
     far = ("zfar", "other", *([10**9] * (len(COLUMNS) - 2)))
     df = spark.createDataFrame(rows + [tuple(float(v) if c.endswith("ratio") else v for c, v in zip(COLUMNS, far))], SCHEMA)
