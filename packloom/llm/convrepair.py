@@ -28,6 +28,7 @@ are duplicates; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -213,17 +214,21 @@ class Repair:
         prepare(df.sparkSession)
         work, _, (c, t, r, x) = renamed(df, conv, turn, role, text)
         rows = work.select(F.col(c).alias("conv"), F.col(t).alias("turn"), F.coalesce(r, F.lit(SPACE)).alias("role"), F.coalesce(x, F.lit(SPACE)).alias("text"))
-        copies = rows.groupBy("conv", "turn", "role", "text").agg(F.count("*").alias("copies")).withColumn("same", F.sha2("text", 256))
+        core = F.rtrim("text", F.lit(BLANKS))
+        look = F.when(core == "", "blank").when(~F.right(core, F.lit(1)).isin(".", "!", "?"), "truncated")
+        #: Rows with their texts, told apart by ``same``. All else is done without texts.
+        self.texts = rows.withColumn("same", F.sha2("text", 256))
+        narrow = self.texts.select("conv", "turn", "role", "same", F.left("text", F.lit(100)).alias("start"), look.alias("look"))
+        copies = narrow.groupBy("conv", "turn", "role", "same").agg(F.count("*").alias("copies"), F.first("start").alias("start"), F.first("look").alias("look"))
         first = copies.groupBy("conv", "role", "same").agg(F.min(F.struct("turn")).alias("first"))
         a, b = copies.alias("a"), first.alias("b")
         met = a.join(b, F.col("a.conv").eqNullSafe(F.col("b.conv")) & (F.col("a.role") == F.col("b.role")) & (F.col("a.same") == F.col("b.same"))).select("a.*", (~F.col("turn").eqNullSafe(F.col("first.turn"))).alias("seen"))
-        core = F.rtrim("text", F.lit(BLANKS))
-        fault = F.when(core == "", "blank").when(F.col("seen"), "duplicate").when(~F.right(core, F.lit(1)).isin(".", "!", "?"), "truncated")
-        order = ["conv", "turn", "role", F.left("text", F.lit(100)), "same"]
+        fault = F.when(F.col("look") == "blank", "blank").when(F.col("seen"), "duplicate").otherwise(F.col("look"))
+        order = ["conv", "turn", "role", "start", "same"]
         numbered = met.withColumn("fault", fault).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("pos", F.monotonically_increasing_id())
         self.kind = dict(work.dtypes)[c]
         #: Different rows, in order of ``pos``, with their copies and first faults.
-        self.rows = materialise(numbered.select("pos", "conv", "turn", "role", "text", "copies", "fault"), "turns")
+        self.rows = materialise(numbered.select("pos", "conv", "turn", "role", "same", "copies", "fault"), "turns")
         flag = F.when(F.col("fault").isin("blank", "duplicate"), "x").when(F.col("fault") == "truncated", "t").otherwise("k")
         narrow = F.struct("pos", F.left("role", F.lit(1)).alias("initial"), flag.alias("flag"), "copies")
         frags = self.rows.groupBy("conv", F.shiftright("pos", FRAGMENT_BITS).alias("frag")).agg(F.sort_array(F.collect_list(narrow)).alias("rows"))
@@ -240,7 +245,12 @@ class Repair:
         own = self.paths.select(F.explode(F.arrays_zip("pos", F.slice("codes", 1, F.size("pos")).alias("code"))).alias("x")).select("x.pos", "x.code")
         end = self.paths.where("audit IS NOT NULL").select(F.element_at("pos", -1).alias("pos"), F.element_at("codes", -1).alias("tail"))
         told = own.join(end, "pos", "left").withColumn("code", F.concat("code", F.coalesce("tail", F.lit(""))))
-        every = self.rows.join(told.select("pos", "code"), "pos").where(F.length("code") > 0)
+        at = self.rows.join(told.select("pos", "code"), "pos").where(F.length(F.replace("code", F.lit("d"), F.lit(""))) > 0)
+        # Equal rows are one before they meet their place, however many there are.
+        one_each = self.texts.groupBy("conv", "turn", "role", "same").agg(F.first("text").alias("text"))
+        a, b = at.alias("a"), one_each.alias("b")
+        same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in ("conv", "turn")] + [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("role", "same")]
+        every = a.join(b, reduce(Column.__and__, same)).select("a.conv", "a.pos", "a.role", "a.code", "b.text")
         one = every.select("conv", "pos", "role", "text", F.posexplode(F.split("code", "")).alias("at", "did")).where("did NOT IN ('d', '')")
         role = F.when(F.col("did").isin("u", "U"), "user").when(F.col("did").isin("a", "A"), "assistant").otherwise(F.col("role"))
         return one.select("conv", "pos", "at", role.alias("role"), F.when(F.col("did").isin("U", "A"), "").otherwise(F.col("text")).alias("text"))
