@@ -523,7 +523,7 @@ _FEATURES = f"""t AS ({_TITLES}), f AS (SELECT package, count(*) FILTER (kind =
  count(*) FILTER (kind = 'module' AND title LIKE 'Module %') AS ms, count(*) FILTER (kind = 'module' AND title LIKE 'Topic %') AS ts, count(*) FILTER (kind = 'module' AND title = 'Start Here') AS sh, count(*) FILTER (kind = 'module' AND title = 'Do Not Publish') AS im,
  count(*) FILTER (kind = 'module' AND title = 'Help Discussion') AS hd, count(*) FILTER (kind = 'module' AND title = 'Course Overview') AS ov, count(*) FILTER (kind = 'page' AND title = 'Introduction and Objectives') AS io,
  count(*) FILTER (kind = 'page' AND title = 'Introduction and Checklist') AS ic, count(*) FILTER (kind = 'page' AND title = 'Learning Activities') AS la FROM t GROUP BY package),
-p AS (SELECT *, round(ms / greatest(mc, 1), 3) AS mr, round(ts / greatest(mc, 1), 3) AS tr, mc % 7 AS iss, CASE WHEN ms >= 4 AND ic >= 2 AND la >= 2 THEN 'template-module' WHEN ts >= 4 THEN 'topic-sequence' WHEN hd > 0 OR ov > 0 OR io > ic THEN 'overview-objectives' ELSE 'hybrid' END AS cohort FROM f)"""
+p AS (SELECT *, format('{{:.3f}}', ms / greatest(mc, 1))::DOUBLE AS mr, format('{{:.3f}}', ts / greatest(mc, 1))::DOUBLE AS tr, mc % 7 AS iss, CASE WHEN ms >= 4 AND ic >= 2 AND la >= 2 THEN 'template-module' WHEN ts >= 4 THEN 'topic-sequence' WHEN hd > 0 OR ov > 0 OR io > ic THEN 'overview-objectives' ELSE 'hybrid' END AS cohort FROM f)"""
 
 
 _FEATURE_COLUMNS = {
@@ -540,7 +540,7 @@ def package_features(spark, sf):
 
 _AGREED = """count(*)::BIGINT AS reference_courses, CASE WHEN sum(ts) > sum(ms) THEN 'topic' WHEN sum(ms) = 0 AND sum(ts) = 0 THEN 'neutral' ELSE 'module' END AS preferred_module_style,
  CASE WHEN sum(io) > sum(ic) THEN 'objectives' ELSE 'checklist' END AS preferred_intro_style, median(pc)::DOUBLE AS median_pages, median(mc)::DOUBLE AS median_modules, median(ac)::DOUBLE AS median_assignments, median(iss)::DOUBLE AS median_post_import_issues,
- round(avg(CASE WHEN sh > 0 THEN 1.0 ELSE 0.0 END), 3) AS start_here_presence_rate, round(avg(CASE WHEN im > 0 THEN 1.0 ELSE 0.0 END), 3) AS instructor_module_presence_rate, round(avg(CASE WHEN la > 0 THEN 1.0 ELSE 0.0 END), 3) AS learning_activities_presence_rate"""
+ format('{:.3f}', avg(CASE WHEN sh > 0 THEN 1.0 ELSE 0.0 END))::DOUBLE AS start_here_presence_rate, format('{:.3f}', avg(CASE WHEN im > 0 THEN 1.0 ELSE 0.0 END))::DOUBLE AS instructor_module_presence_rate, format('{:.3f}', avg(CASE WHEN la > 0 THEN 1.0 ELSE 0.0 END))::DOUBLE AS learning_activities_presence_rate"""
 
 
 @query(f"WITH {_FEATURES} SELECT cohort, {_AGREED} FROM p GROUP BY cohort")
@@ -554,7 +554,7 @@ def cohort_consensus(spark, sf):
 _MANY = """t AS (SELECT 'c' || lpad((o_custkey % 400)::VARCHAR, 4, '0') AS package, CASE o_orderkey % 4 WHEN 0 THEN 'module' WHEN 1 THEN 'page' WHEN 2 THEN 'assignment' ELSE 'discussion' END AS kind, title FROM orders JOIN (SELECT o_orderkey, x.title FROM (SELECT o_orderkey, CASE (o_orderkey // 4) % 6 WHEN 0 THEN 'Module 1' WHEN 1 THEN 'Topic 1 | a' WHEN 2 THEN 'Start Here' WHEN 3 THEN 'Introduction and Objectives' WHEN 4 THEN 'Introduction and Checklist' ELSE 'Learning Activities' END AS title FROM orders) x) USING (o_orderkey)),
 f AS (SELECT package, count(*) FILTER (kind = 'module') AS mc, count(*) FILTER (kind = 'page') AS pc, count(*) FILTER (kind = 'assignment') AS ac, count(*) FILTER (kind = 'discussion') AS dc, count(*) FILTER (kind = 'module' AND title = 'Module 1') AS ms, count(*) FILTER (kind = 'module' AND title LIKE 'Topic%') AS ts,
  count(*) FILTER (kind = 'module' AND title = 'Start Here') AS sh, 0 AS im, 0 AS hd, 0 AS ov, count(*) FILTER (kind = 'page' AND title = 'Introduction and Objectives') AS io, count(*) FILTER (kind = 'page' AND title = 'Introduction and Checklist') AS ic, count(*) FILTER (kind = 'page' AND title = 'Learning Activities') AS la, substr(package, 2)::INT AS i FROM t GROUP BY package),
-p AS (SELECT *, round(ms / greatest(mc, 1), 3) AS mr, round(ts / greatest(mc, 1), 3) AS tr, mc % 7 AS iss, CASE WHEN i % 40 = 0 THEN 'one-' || i WHEN i % 40 < 3 THEN 'two-' || i // 40 WHEN i % 40 < 6 THEN 'three-' || i // 40 ELSE 'k' || i % 5 END AS cohort FROM f)"""
+p AS (SELECT *, format('{:.3f}', ms / greatest(mc, 1))::DOUBLE AS mr, format('{:.3f}', ts / greatest(mc, 1))::DOUBLE AS tr, mc % 7 AS iss, CASE WHEN i % 40 = 0 THEN 'one-' || i WHEN i % 40 < 3 THEN 'two-' || i // 40 WHEN i % 40 < 6 THEN 'three-' || i // 40 ELSE 'k' || i % 5 END AS cohort FROM f)"""
 
 
 def _many(spark, sf) -> DataFrame:
@@ -582,8 +582,8 @@ def consensus_of_others(spark, sf):
 _D = lambda a: f"abs(x.{a} - y.{a}) / greatest(abs(x.{a}), abs(y.{a}), 1.0)"
 
 
-@query(f"""WITH {_FEATURES}, s AS (SELECT x.package AS query, y.package AS reference, round(greatest(100.0 - CASE WHEN x.cohort <> y.cohort THEN 25.0 ELSE 0.0 END - 14.0 * {_D('mc')} - 14.0 * {_D('pc')} - 8.0 * {_D('ac')} - 4.0 * {_D('dc')} - 8.0 * {_D('mr')} - 8.0 * {_D('tr')} - 6.0 * {_D('ic')} - 6.0 * {_D('io')} - 6.0 * {_D('la')}
- - 3.0 * ((x.sh > 0) <> (y.sh > 0))::INT - 3.0 * ((x.im > 0) <> (y.im > 0))::INT - 3.0 * ((x.hd > 0) <> (y.hd > 0))::INT - 3.0 * ((x.ov > 0) <> (y.ov > 0))::INT - 8.0 * {_D('iss')}, 0.0), 1) AS score FROM p x JOIN p y ON x.package <> y.package)
+@query(f"""WITH {_FEATURES}, s AS (SELECT x.package AS query, y.package AS reference, format('{{:.1f}}', greatest(100.0 - CASE WHEN x.cohort <> y.cohort THEN 25.0 ELSE 0.0 END - 14.0 * {_D('mc')} - 14.0 * {_D('pc')} - 8.0 * {_D('ac')} - 4.0 * {_D('dc')} - 8.0 * {_D('mr')} - 8.0 * {_D('tr')} - 6.0 * {_D('ic')} - 6.0 * {_D('io')} - 6.0 * {_D('la')}
+ - 3.0 * ((x.sh > 0) <> (y.sh > 0))::INT - 3.0 * ((x.im > 0) <> (y.im > 0))::INT - 3.0 * ((x.hd > 0) <> (y.hd > 0))::INT - 3.0 * ((x.ov > 0) <> (y.ov > 0))::INT - 8.0 * {_D('iss')}, 0.0))::DOUBLE AS score FROM p x JOIN p y ON x.package <> y.package)
 SELECT query, rank, reference, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, reference)::INT AS rank FROM s) WHERE rank <= 3""")
 def nearest_packages(spark, sf):
     p = _profiles(spark, sf)
