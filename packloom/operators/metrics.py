@@ -59,20 +59,23 @@ def first_block(text: Column) -> Column:
 
 
 def title_repeated(text: Column) -> Column:
-    """The title is the text of the first heading."""
-    title, head = title_text(text), F.coalesce(F.get(headings(text), F.lit(0)), F.lit(""))
-    return (title != "") & (compare_key(title) == compare_key(head))
+    """The title is the text of the first heading. Texts without a letter or digit that
+    is compared (other alphabets) say nothing, so they repeat nothing."""
+    title, head = compare_key(title_text(text)), F.coalesce(compare_key(F.get(headings(text), F.lit(0))), F.lit(""))
+    return (title != "") & (title == head)
 
 
 def visual_audit(pairs: DataFrame) -> DataFrame:
     o, c = F.col("original"), F.col("converted")
+    # The audit compares keys of two texts that are there, also where both keys are empty.
+    title, head = title_text(c), F.coalesce(F.get(headings(c), F.lit(0)), F.lit(""))
     icons = matches(c, r"""(?i)<img\b[^>]*src\s*=\s*["'][^"']*templateassets/[^"']+["'][^>]*>""")
     odd = F.filter(icons, lambda t: ~F.lower(t).rlike(r"banner-|footer\.png|course-card\.png|width: 24px|width: 45px|width: 72px"))
     return pairs.select(
         "path",
         (o != "").alias("original_exists"),
         (c != "").alias("converted_exists"),
-        title_repeated(c).alias("duplicate_title_first_block"),
+        ((title != "") & (head != "") & (compare_key(title) == compare_key(head))).alias("duplicate_title_first_block"),
         count_of(o, r"""(?i)<div\b[^>]*class\s*=\s*["'][^"']*\bcard\b[^"']*["'][^>]*>""").alias("original_accordion_cards"),
         count_of(c, r"""(?i)<details\b[^>]*class\s*=\s*['"][^'"]*\bmigration-accordion\b[^'"]*['"][^>]*>""").alias("converted_details_blocks"),
         count_of(F.lower(c), "/shared/brightspace_html_template/").alias("converted_shared_template_refs"),
