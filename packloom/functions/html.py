@@ -71,27 +71,25 @@ def compare_key(text: Column, gap: str = " ") -> Column:
     return collapse(F.regexp_replace(low, "[^a-z0-9 ]+", gap))
 
 
-#: Length of the grams by which texts that hold another are found.
+#: Length of the heads by which texts that another holds are found.
 GRAM = 4
 
 
-def grams(c: Column, n: int | Column) -> Column:
-    """Substrings of ``n`` characters; none of a shorter text."""
-    n = F.lit(n) if isinstance(n, int) else n
-    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n))).otherwise(F.array().cast("array<string>"))
-
-
-def holders_by_gram(texts: DataFrame, text: str, keys: DataFrame, key: str) -> DataFrame:
-    """Pairs of a text and a key that holds it. A key that holds a text has the text's
-    rarest gram of GRAM characters (the text itself where that is shorter), so texts
-    meet only the keys of that gram. ``texts`` are distinct and not empty."""
-    every = F.array_distinct(F.flatten(F.array(*(grams(F.col(key), n) for n in range(1, GRAM + 1)))))
-    by = keys.withColumn("__gram", F.explode(every))
-    held = by.groupBy("__gram").agg(F.count("*").alias("k"))
-    own = texts.withColumn("__gram", F.explode(grams(F.col(text), F.least(F.length(text), F.lit(GRAM)))))
-    rarest = own.join(held, "__gram", "left").groupBy(*texts.columns).agg(F.min(F.struct(F.coalesce("k", F.lit(0)).alias("k"), "__gram")).alias("r"))
-    pairs = rarest.select(*texts.columns, F.col("r.__gram").alias("__gram")).join(by, "__gram").drop("__gram")
-    return pairs.where(F.contains(key, F.col(text)))
+def held_parts(keys: DataFrame, key: str, texts: DataFrame, text: str) -> DataFrame:
+    """``keys`` with ``part``: each substring of a key that begins with the first GRAM
+    characters of a text and is as long as such a text (the text itself where that is
+    shorter than GRAM). Every text that a key holds is one of its parts, so what texts and
+    keys have to do with each other is a join by equal parts, and rows grow with the
+    characters of the keys, not with pairs."""
+    k = F.col(key)
+    left = lambda i: F.length(k) - i + 1
+    head = lambda i, n: F.struct(i.alias("at"), F.substring(k, i, n).alias("head"))
+    heads = F.flatten(F.transform(F.sequence(F.lit(1), F.length(k)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), left(i))), lambda n: head(i, n))))
+    starts = texts.where(F.col(text) != "").groupBy(F.substring(text, 1, GRAM).alias("__head")).agg(F.collect_set(F.length(text)).alias("__lengths"))
+    rows = keys.where(k != "").withColumn("__x", F.explode(heads)).select(*keys.columns, F.col("__x.at").alias("__at"), F.col("__x.head").alias("__head"))
+    rows = rows.join(starts.hint("merge"), "__head")
+    fits = F.filter("__lengths", lambda n: n <= left(F.col("__at")))
+    return rows.select(*keys.columns, F.explode(F.transform(fits, lambda n: F.substring(k, F.col("__at"), n))).alias("part"))
 
 
 def fold(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packloom.functions.html import holders_by_gram, is_local, references
+from packloom.functions.html import held_parts, is_local, references
 from packloom.operators.resolve import resolve_paths
 
 TOPIC_PART, MODULE_PART = r"(?i)^topic\s*\d+", r"(?i)^module\s*\d+"
@@ -37,22 +37,28 @@ def match_snapshots(courses: DataFrame, snapshots: DataFrame) -> DataFrame:
     course's token, else the one snapshot that shares a number of 4 or 5 digits. Of several
     snapshots the first by name counts. Adds ``snapshot`` and ``how``.
 
-    The containment arm compares a course that has no equal token with the keys that hold
-    the rarest gram of its token.
+    ``pos`` in the snapshots, where there is one, is their place in the listing: then the
+    first by place counts, and names only decide where places are equal.
+
+    Nothing meets in pairs: a key stands for all snapshots that have it, the containment arm
+    joins by equal parts of keys, and a number tells only its first and last snapshot (all
+    are one where these are one).
     """
-    c = courses.select("course", course_token(F.col("course")).alias("token"), number_tokens(F.col("course")).alias("nums")).where("token <> ''")
+    c = courses.select("course", course_token(F.col("course")).alias("token"), number_tokens(F.col("course")).alias("nums")).where("token <> ''").distinct()
+    place = F.col("pos").cast("long") if "pos" in snapshots.columns else F.lit(0).cast("long")
+    who = F.struct(place.alias("pos"), "snapshot").alias("who")
     if "keys" in snapshots.columns:
-        every = snapshots.select("snapshot", "keys", F.col("numbers").alias("snums"))
+        every = snapshots.select(who, "keys", F.col("numbers").alias("snums"))
     else:
-        every = snapshots.select("snapshot", F.array(course_token(F.col("name"))).alias("keys"), number_tokens(F.col("name")).alias("snums"))
-    s = every.select("snapshot", F.explode("keys").alias("key"))
-    exact = c.join(s, c["token"] == s["key"]).groupBy("course").agg(F.min("snapshot").alias("exact"))
-    cn = c.select("course", "token", F.explode("nums").alias("num"))
-    sn = every.select("snapshot", F.explode("snums").alias("num"))
-    shared = cn.join(sn, "num")
-    open_ = c.join(exact, "course", "left_anti").select("course", "token").distinct()
-    inside = holders_by_gram(open_, "token", s.select("snapshot", "key"), "key").groupBy("course").agg(F.min("snapshot").alias("inside"))
-    only = shared.groupBy("course").agg(F.countDistinct("snapshot").alias("k"), F.min("snapshot").alias("only")).where("k = 1").drop("k")
+        every = snapshots.select(who, F.array(course_token(F.col("name"))).alias("keys"), number_tokens(F.col("name")).alias("snums"))
+    s = every.select("who", F.explode("keys").alias("key")).groupBy("key").agg(F.min("who").alias("who"))
+    exact = c.join(s.hint("merge"), c["token"] == s["key"]).groupBy("course").agg(F.min("who.snapshot").alias("exact"))
+    open_ = c.join(exact.hint("merge"), "course", "left_anti").select("course", "token")
+    parts = held_parts(s, "key", open_.select("token").distinct(), "token").groupBy(F.col("part").alias("token")).agg(F.min("who").alias("who"))
+    inside = open_.join(parts.hint("merge"), "token").groupBy("course").agg(F.min("who.snapshot").alias("inside"))
+    told = every.select("who.snapshot", F.explode("snums").alias("num")).groupBy("num").agg(F.min("snapshot").alias("a"), F.max("snapshot").alias("z"))
+    shared = c.select("course", F.explode("nums").alias("num")).join(told.hint("merge"), "num")
+    only = shared.groupBy("course").agg(F.min("a").alias("only"), F.max("z").alias("last")).where("only = last").drop("last")
     j = courses.join(exact, "course", "left").join(inside, "course", "left").join(only, "course", "left")
     how = F.when(F.col("exact").isNotNull(), "token").when(F.col("inside").isNotNull(), "contains").when(F.col("only").isNotNull(), "number")
     return j.select(*courses.columns, F.coalesce("exact", "inside", "only").alias("snapshot"), how.alias("how"))

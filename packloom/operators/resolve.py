@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packloom.functions.html import basename, holders_by_gram
+from packloom.functions.html import basename, held_parts
 
 
 def _index(paths: DataFrame, key: Column, name: str) -> DataFrame:
@@ -88,12 +88,13 @@ def best_targets(links: DataFrame, targets: DataFrame) -> DataFrame:
     " quiz" 94, a key that starts with the text and " survey" 93, that starts with the
     text 90, that holds it 80; ties go to the larger url. Links without a target,
     null and empty texts have null."""
-    texts = links.select("text").where("text <> ''").distinct()
     t, k = F.col("text"), F.col("key")
     survey, quiz = F.concat(t, F.lit(" survey")), F.concat(t, F.lit(" quiz"))
     score = F.when(k == t, 100).when(k == survey, 95).when(k == quiz, 94).when(F.startswith(k, survey), 93).when(F.startswith(k, t), 90).otherwise(80)
-    pairs = holders_by_gram(texts, "text", targets.select("key", "url"), "key").withColumn("score", score)
-    best = pairs.groupBy("text").agg(F.max(F.struct("score", "url")).alias("b"))
+    # Equal keys score alike, so one of them, with the largest url, stands for all.
+    keys = targets.groupBy("key").agg(F.max("url").alias("url"))
+    parts = held_parts(keys, "key", links.select("text").distinct(), "text").withColumnRenamed("part", "text")
+    best = parts.groupBy("text").agg(F.max(F.struct(score.alias("score"), "url")).alias("b")).hint("merge")
     return links.join(best, "text", "left").select("link_id", F.col("b.url").alias("url"), F.col("b.score").alias("score"))
 
 
