@@ -905,13 +905,14 @@ def draft_write_back(spark, sf):
 WITH c AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'ABC-' || (1000 + s_suppkey) WHEN 1 THEN 'sec ' || (1000 + s_suppkey) WHEN 2 THEN 'zz ' || (1000 + s_suppkey) || ' q' ELSE 'none' || s_suppkey END AS course FROM supplier)
 SELECT course, CASE WHEN s_suppkey % 4 < 3 THEN 's' || s_suppkey END AS snapshot, CASE s_suppkey % 4 WHEN 0 THEN 'token' WHEN 1 THEN 'contains' WHEN 2 THEN 'number' END AS how FROM c""")
 def snapshot_match(spark, sf):
-    """Courses to snapshots by an equal token, by containment and by number."""
+    """Courses to snapshots by an equal token, by containment and by number; the snapshots
+    are listed by supplier, and the first in the list that holds a token is its own."""
     s = table(spark, sf, "supplier")
     k = F.col("s_suppkey")
     n = (k + 1000).cast("string")
     course = F.when(k % 4 == 0, F.concat(F.lit("ABC-"), n)).when(k % 4 == 1, F.concat(F.lit("sec "), n)).when(k % 4 == 2, F.concat(F.lit("zz "), n, F.lit(" q"))).otherwise(F.concat(F.lit("none"), k.cast("string")))
     name = F.when(k % 4 == 0, F.concat(F.lit("abc "), n)).when(k % 4 == 1, F.concat(F.lit("Fall sec "), n, F.lit(" x"))).otherwise(F.concat(F.lit("other "), n))
-    return corpus.match_snapshots(s.select(course.alias("course")), s.where(k % 4 < 3).select(F.concat(F.lit("s"), k.cast("string")).alias("snapshot"), name.alias("name")))
+    return corpus.match_snapshots(s.select(course.alias("course")), s.where(k % 4 < 3).select(k.alias("pos"), F.concat(F.lit("s"), k.cast("string")).alias("snapshot"), name.alias("name")))
 
 
 @query("""
