@@ -151,9 +151,9 @@ def basename(path: Column) -> Column:
 def style_map(style: Column) -> Column:
     """map<property, value> of an inline style: keys lower-cased, parts without a
     colon skipped, the last of equal keys wins."""
-    parts = F.filter(F.split(style, ";"), lambda p: p.contains(":"))
+    parts = F.filter(F.split(style, ";"), lambda p: F.contains(p, F.lit(":")))
     pairs = F.transform(parts, lambda p: F.struct(F.lower(F.trim(F.regexp_extract(p, r"(?s)^([^:]*):", 1))).alias("k"), F.trim(F.regexp_extract(p, r"(?s)^[^:]*:(.*)$", 1)).alias("v")))
     pairs = F.filter(pairs, lambda p: (p.k != "") & (p.v != ""))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p.k))
-    last = lambda k: F.element_at(F.filter(pairs, lambda p: p.k == k), -1).v
-    return F.map_from_arrays(keys, F.transform(keys, last))
+    last = lambda xs, k: F.element_at(F.filter(xs, lambda p: p.k == k), -1).v
+    # Values inside lambdas are not shared by the optimizer, so each is bound once.
+    return let(pairs, lambda xs: let(F.array_distinct(F.transform(xs, lambda p: p.k)), lambda keys: F.map_from_arrays(keys, F.transform(keys, lambda k: last(xs, k)))))

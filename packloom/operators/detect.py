@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from packloom.functions.html import attribute, decode_basic, heading_levels, matches, plain_text, style_map
+from packloom.functions.html import attribute, decode_basic, heading_levels, let, matches, plain_text, style_map
 
 #: Link texts that say nothing, and domains of embedded tools.
 VAGUE = ["click here", "here", "learn more", "more"]
@@ -81,7 +81,10 @@ _STYLED = (
 
 def layout_intent(tag: Column) -> Column:
     """struct of the layout patterns in a tag's inline style."""
-    m = style_map(F.coalesce(attribute(tag, "style"), F.lit("")))
+    return let(style_map(F.coalesce(attribute(tag, "style"), F.lit(""))), _intent)
+
+
+def _intent(m: Column) -> Column:
     get = lambda k: F.lower(F.coalesce(F.element_at(m, F.lit(k)), F.lit("")))
     px = F.regexp_extract(get("width"), r"^(\d+(?:\.\d+)?)px$", 1)
     wide = F.when(px != "", F.floor(px.try_cast("double")).cast("int"))

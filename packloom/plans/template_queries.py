@@ -8,7 +8,7 @@ from packloom.functions import html as H
 from packloom.operators import metrics, overlay, patterns, render, resolve, sets
 from packloom.plans import registry
 from packloom.plans.registry import _CHECKLIST_SQL, _MATH_SQL, _case, _pick, query
-from packloom.runtime import table
+from packloom.runtime import spread, table
 
 #: Label, icon, and the label in the template's wording.
 LABEL_CASES = [
@@ -31,7 +31,7 @@ ICON_CASES = [
 def heading_labels(spark, sf):
     """Labels of headings in the template's wording."""
     k = F.col("p_partkey")
-    return table(spark, sf, "part").select("p_partkey", overlay.heading_label(_pick(k, [c[0] for c in LABEL_CASES]), _pick(k, [c[1] for c in LABEL_CASES])).alias("label"))
+    return spread(table(spark, sf, "part"), "p_partkey").select("p_partkey", overlay.heading_label(_pick(k, [c[0] for c in LABEL_CASES]), _pick(k, [c[1] for c in LABEL_CASES])).alias("label"))
 
 
 @query(f"SELECT p_partkey, {_case('p_partkey', [c[3] for c in ICON_CASES])} AS icon FROM part")
@@ -39,7 +39,7 @@ def semantic_icons(spark, sf):
     """Icons that labels and titles call for."""
     k = F.col("p_partkey")
     at = lambda i: _pick(k, [c[i] for c in ICON_CASES])
-    return table(spark, sf, "part").select("p_partkey", overlay.semantic_icon(at(0), at(1), at(2)).alias("icon"))
+    return spread(table(spark, sf, "part"), "p_partkey").select("p_partkey", overlay.semantic_icon(at(0), at(1), at(2)).alias("icon"))
 
 
 @query("""WITH a AS (SELECT lower(p_brand) || '-' || (p_size % 9) || '.png' AS name, min('w/' || lpad(p_partkey::VARCHAR, 9, '0')) AS source, count(*) AS n FROM part GROUP BY 1)
@@ -99,7 +99,7 @@ def syllabus_pages(spark, sf):
     """Which pages are syllabuses."""
     k = F.col("s_suppkey")
     at = lambda i: _pick(k, [c[i] for c in SYLLABUS_CASES])
-    return table(spark, sf, "supplier").select("s_suppkey", overlay.is_syllabus(at(0), at(1), at(2)).cast("string").alias("answer"))
+    return spread(table(spark, sf, "supplier"), "s_suppkey").select("s_suppkey", overlay.is_syllabus(at(0), at(1), at(2)).cast("string").alias("answer"))
 
 
 #: Lines of a policy document, by document.
@@ -119,7 +119,7 @@ def policy_facts(spark, sf):
 @query("""SELECT true AS closer_present, 'fill in text here,' || chr(92) || '[title here' || chr(92) || ']' AS placeholders""")
 def template_placeholders(spark, sf):
     """Text that a template leaves to be filled in."""
-    s = table(spark, sf, "supplier")
+    s = spread(table(spark, sf, "supplier"), "s_suppkey")
     text = F.when(F.col("s_suppkey") % 2 == 0, "x Fill in\n TEXT here").otherwise("[Title  Here] Contact your instructor with any questions or post in the course Q&A.")
     return sets.template_placeholders(s.select(text.alias("text")), "text").select("closer_present", F.array_join("placeholders", ",").alias("placeholders"))
 
@@ -151,7 +151,7 @@ def template_overlay(spark, sf):
     aliases = [("old.pdf", 0, "missing.pdf"), ("old.pdf", 1, "guide.pdf"), ("tick.png", 0, "checklist.png")]
     t = page.load_template(spark.createDataFrame(names, "name string"), spark.createDataFrame(aliases, "source string, pos int, target string"))
     html = F.replace(_pick(k, [c[1] for c in OVERLAY_CASES]), F.lit("@"), F.lit("#"))
-    pages = table(spark, sf, "supplier").select("s_suppkey", _pick(k, [c[0] for c in OVERLAY_CASES]).alias("path"), html.alias("html"))
+    pages = spread(table(spark, sf, "supplier"), "s_suppkey").select("s_suppkey", _pick(k, [c[0] for c in OVERLAY_CASES]).alias("path"), html.alias("html"))
     return page.overlay(pages, t).select("s_suppkey", "html", "mapped_direct", "mapped_alias", "unresolved", "ignored", "unmapped")
 
 
@@ -191,7 +191,7 @@ def template_blocks(spark, sf):
     k = F.col("p_partkey")
     labels = {"folder.png": "Additional Resources", "book.png": "Read", "educator.png": "Instructor Information"}
     t = page.load_template(spark.createDataFrame([("x.png",), ("y.png",), ("q.png",)], "name string"), spark.createDataFrame([], "source string, pos int, target string"), labels)
-    pages = table(spark, sf, "part").select("p_partkey", _pick(k, [c[0] for c in BLOCK_CASES]).alias("path"), F.replace(_pick(k, [c[1] for c in BLOCK_CASES]), F.lit("@"), F.lit("#")).alias("html"))
+    pages = spread(table(spark, sf, "part"), "p_partkey").select("p_partkey", _pick(k, [c[0] for c in BLOCK_CASES]).alias("path"), F.replace(_pick(k, [c[1] for c in BLOCK_CASES]), F.lit("@"), F.lit("#")).alias("html"))
     n = lambda what: F.coalesce(F.get(F.filter("changes", lambda c: c["description"] == what), F.lit(0))["count"], F.lit(0)).alias
     return page.overlay(pages, t).select("p_partkey", "html", n(page.MERGED)("merged"), n(page.PROMOTED)("promoted"), n(page.HEADINGS)("headings"), n(page.DIVIDERS)("dividers"))
 
@@ -205,7 +205,7 @@ SELECT * FROM k UNION ALL SELECT source, arg_min(label, pos) FROM t JOIN k ON k.
 def icon_glossary(spark, sf):
     """Labels of icons that a template's pages explain."""
     k, size = F.col("p_partkey"), F.col("p_size").cast("string")
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part"), "p_partkey")
     icon = F.concat(F.lit('<h3 class="x"><img alt="a" src="../images/Icons/I'), size, F.lit('.PNG"> <span>'), "p_name", F.lit("</span>&nbsp;or something else</h3><h2>no icon</h2>"))
     later = F.concat(F.lit('<h4><img src="x/icons/i'), size, F.lit('.png"> later</h4>'))
     html = F.concat(F.lit("<h1>a</h1>"), F.when(k % 5 == 0, F.lit("<h2><img src='/icons/none.gif'></h2>")).otherwise(F.concat(icon, later)))
@@ -235,7 +235,7 @@ def syllabus_tables(spark, sf):
     from packloom.rewrite import chain
 
     k = F.col("s_suppkey")
-    pages = table(spark, sf, "supplier").select("s_suppkey", _pick(k, [c[0] for c in TABLE_CASES]).alias("path"), _pick(k, [c[1] for c in TABLE_CASES]).alias("html"))
+    pages = spread(table(spark, sf, "supplier"), "s_suppkey").select("s_suppkey", _pick(k, [c[0] for c in TABLE_CASES]).alias("path"), _pick(k, [c[1] for c in TABLE_CASES]).alias("html"))
     return chain.sanitise(pages).select("s_suppkey", F.md5("html").alias("digest"))
 
 
@@ -252,7 +252,7 @@ def item_descriptions(spark, sf):
     from packloom.rewrite import chain
 
     k = F.col("s_suppkey")
-    return table(spark, sf, "supplier").select("s_suppkey", chain.without_leading_title(_pick(k, [c[0] for c in DESCRIPTION_CASES]), _pick(k, [c[1] for c in DESCRIPTION_CASES])).alias("description"))
+    return spread(table(spark, sf, "supplier"), "s_suppkey").select("s_suppkey", chain.without_leading_title(_pick(k, [c[0] for c in DESCRIPTION_CASES]), _pick(k, [c[1] for c in DESCRIPTION_CASES])).alias("description"))
 
 
 _NEUTRAL = '<a href="@" data-migration-link-status="needs-review"{} data-migration-original-href="{}">'
@@ -308,7 +308,7 @@ def chain_passes(spark, sf):
     from packloom.rewrite import chain
 
     k = F.col("id")
-    ids = table(spark, sf, "supplier").select(F.explode(F.sequence(F.col("s_suppkey") * len(CHAIN_CASES), F.col("s_suppkey") * len(CHAIN_CASES) + len(CHAIN_CASES) - 1)).alias("id"))
+    ids = spread(table(spark, sf, "supplier"), "s_suppkey").select(F.explode(F.sequence(F.col("s_suppkey") * len(CHAIN_CASES), F.col("s_suppkey") * len(CHAIN_CASES) + len(CHAIN_CASES) - 1)).alias("id"))
     pages = chain.sanitise(ids.select("id", F.lit("a.html").alias("path"), _pick(k, [c[0] for c in CHAIN_CASES]).alias("html")))
     return pages.select("id", "html", F.aggregate("changes", F.lit(0).cast("long"), lambda a, c: a + c["count"]).alias("n"))
 
@@ -336,7 +336,7 @@ def best_practice_pages(spark, sf):
 
     k = F.col("s_suppkey")
     none = F.array().cast("array<struct<category:string,description:string,count:bigint>>")
-    pages = table(spark, sf, "supplier").select("s_suppkey", _pick(k, [c[0] for c in PRACTICE_PAGES]).alias("path"), _pick(k, [c[1] for c in PRACTICE_PAGES]).alias("html"), none.alias("changes"))
+    pages = spread(table(spark, sf, "supplier"), "s_suppkey").select("s_suppkey", _pick(k, [c[0] for c in PRACTICE_PAGES]).alias("path"), _pick(k, [c[1] for c in PRACTICE_PAGES]).alias("html"), none.alias("changes"))
     told = F.array_join(F.transform("changes", lambda c: F.concat_ws(" ", F.split_part(c.description, F.lit(" "), F.lit(1)), c["count"])), ",")
     return chain.enforce(pages).select("s_suppkey", "html", told.alias("told"))
 
