@@ -2,7 +2,7 @@
 
 Stages keep their order: replacements, literal rewrites, banner, the sanitising
 chain, best practice, then detectors on the result. All but two are built-in
-expressions; the chain and the best-practice pass share one Arrow stage each.
+expressions; the chain and the best-practice pass share one Arrow stage.
 """
 
 from __future__ import annotations
@@ -57,19 +57,19 @@ def profile(name: str, text: str) -> Profile:
 def convert(pages: DataFrame, config: rules.Rules, chosen: Profile, policy: chain.Policy = chain.Policy(), best_practice: bool = False) -> DataFrame:
     """Pages (path, html) to (path, html, changed, changes, manual, accessibility)."""
     policy = replace(policy, template_assets=chosen.sanitize_brightspace_assets, legacy_links=chosen.neutralize_legacy_d2l_links, alt_text_for_removed_images=chosen.use_alt_text_for_removed_template_images)
-    df = pages.withColumn("__before", F.col("html"))
+    # The page before goes along as a digest: the stage of the chain need not hold it.
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    df = pages.withColumn("__before", digest(F.col("html")))
     df = rules.apply_rewrites(rules.apply_replacements(df, config.replacements), config.rewrites)
     df = rules.apply_banner(df, config.banner).withColumnRenamed("changes", "__first")
-    df = chain.sanitise(df, policy=policy).withColumn("changes", F.concat("__first", "changes"))
-    if best_practice:
-        df = chain.enforce(df)
+    df = chain.sanitise(df, policy=policy, practice=best_practice).withColumn("changes", F.concat("__first", "changes"))
     h = F.col("html")
     manual = [rules.triggered(h, config.triggers)]
     if chosen.template_checks_enabled:
         manual.append(detect.template_issues(h, F.col("path"), chosen.check_instructor_notes, chosen.check_template_placeholders, chosen.check_legacy_quiz_wording, chosen.require_mc_closing_bullet))
     layout = F.transform(detect.layout_elements(h), lambda x: detect.issue(F.when(detect.is_breaking(x.intent), "Layout-breaking CSS detected").otherwise("Layout CSS may render differently in Canvas"), F.left(x.tag, F.lit(120))))
     manual += [layout, detect.tool_embeds(h)]
-    return df.select("path", "html", (~h.eqNullSafe(F.col("__before"))).alias("changed"), "changes", F.concat(*manual).alias("manual"), detect.accessibility(h).alias("accessibility"))
+    return df.select("path", "html", (~digest(h).eqNullSafe(F.col("__before"))).alias("changed"), "changes", F.concat(*manual).alias("manual"), detect.accessibility(h).alias("accessibility"))
 
 
 def write_back(pages: DataFrame, drafts: DataFrame, triggers: list[rules.Trigger], chosen: Profile, policy: chain.Policy = chain.Policy(), best_practice: bool = False) -> DataFrame:
