@@ -31,6 +31,8 @@ MIN_SUPPORT = 3
 GENERALISE = 0.8
 REMOVE = 0.95
 KINDS = ("email", "ip", "card", "phone")
+#: Terms whose counts are sent to all tasks, at most.
+FREQUENT = 1 << 16
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: The base patterns, written for a matcher that must not recurse or rescan: a
@@ -147,19 +149,37 @@ def _scan(df: DataFrame, text: str) -> DataFrame:
 
 def _holders(scanned: DataFrame, min_support: int) -> tuple[DataFrame, DataFrame]:
     """Entities that recur, DataFrame[entity, df_e], and the different texts that
-    hold one, DataFrame[__id, n, entity, term], a row for each of their terms; n
-    documents have the text. Entities of fewer documents support no term."""
+    hold one, DataFrame[__id, __mask, n, entities] with those entities and their
+    counts; n documents have the text. Entities of fewer documents support no term."""
     hold = scanned.where("__id is not null")
     held = hold.select("__id", F.explode("__entities").alias("entity")).groupBy("__id", "entity").agg(F.count("*").alias("n"))
     held = materialise(held, "pii-entities")
     entity = held.groupBy("entity").agg(F.sum("n").alias("df_e")).where(F.col("df_e") >= min_support)
-    terms = hold.groupBy("__id").agg(F.first("__mask").alias("__mask"))
-    terms = terms.select("__id", F.array_distinct(F.transform(F.regexp_extract_all("__mask", F.lit(_WORD), F.lit(0)), F.lower)).alias("terms"))
-    rows = held.join(entity.select("entity"), "entity").join(terms, "__id")
-    return entity, rows.select("__id", "n", "entity", F.explode("terms").alias("term"))
+    known = held.join(entity, "entity").groupBy("__id").agg(F.first("n").alias("n"), F.collect_list(F.struct("entity", "df_e")).alias("entities"))
+    masks = hold.groupBy("__id").agg(F.first("__mask").alias("__mask"))
+    return entity, materialise(masks.join(known, "__id"), "pii-texts")
 
 
-def disclosing(docs: DataFrame, scanned: DataFrame, entity: DataFrame, rows: DataFrame, text: str, min_support: int, generalise: float, remove: float) -> DataFrame:
+def _rows(texts: DataFrame, counts: DataFrame, n: int, generalise: float) -> DataFrame:
+    """DataFrame[__id, n, entity, term] of the terms of texts that may reveal an entity.
+
+    A term is in no more texts with an entity than either is in. Where even that many
+    leave the disclosure too small, the pair is dropped before anything is shuffled. This
+    is told by the counts of the FREQUENT most frequent terms; other terms all go on.
+    """
+    frequent = counts.orderBy(F.desc("df_t"), "term").limit(FREQUENT)
+    terms = F.array_distinct(F.transform(F.regexp_extract_all("__mask", F.lit(_WORD), F.lit(0)), F.lower))
+    rows = texts.select("__id", "n", "entities", F.explode(terms).alias("term")).join(F.broadcast(frequent), "term", "left")
+
+    def may(x: Column) -> Column:
+        ic = F.log(F.lit(float(n)) / x.df_e)
+        most = F.log(F.lit(float(n)) * F.least(F.col("df_t"), x.df_e) / (F.col("df_t") * x.df_e))
+        return F.col("df_t").isNull() | (ic <= 0) | (most >= generalise * ic - 1e-9)
+
+    return rows.select("__id", "n", F.explode(F.filter("entities", may)).alias("x"), "term").select("__id", "n", "x.entity", "term")
+
+
+def disclosing(entity: DataFrame, rows: DataFrame, counts: DataFrame, n: int, min_support: int, generalise: float, remove: float) -> DataFrame:
     """DataFrame[entity, term, disclosure, remove] of terms that reveal entities.
 
     Counts of terms and entities are summed per task before they are shuffled.
@@ -169,19 +189,27 @@ def disclosing(docs: DataFrame, scanned: DataFrame, entity: DataFrame, rows: Dat
     pairs = rows.groupBy("entity", "term").agg(F.sum("n").alias("df_te"))
     pairs = pairs.where(F.col("df_te") >= min_support).join(entity, "entity")
     pairs = materialise(pairs, "pii-pairs")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(_WORD), F.lit(0)))).alias("term"))
-    counts = words.groupBy("term").agg(F.count("*").alias("df_t"))
-    n = scanned.agg(F.count("*").alias("n")).first()["n"]
     ic = F.log(F.lit(float(n)) / F.col("df_e"))
     pmi = F.log(F.lit(float(n)) * F.col("df_te") / (F.col("df_t") * F.col("df_e")))
     out = pairs.join(counts, "term").withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)))
     return out.where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure", (F.col("disclosure") >= remove).alias("remove"))
 
 
-def _placed(scanned: DataFrame, terms: DataFrame) -> DataFrame:
+def _among(rows: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """Rows whose ``by`` may be among the wanted ones: they meet a bitmap of hashes, in
+    256 pieces of 4 KB however many are wanted, before the join that is exact."""
+    hashed = F.pmod(F.xxhash64(*by), F.lit(1 << 23))
+    piece, bit = F.shiftright(hashed, 15).alias("__piece"), hashed.bitwiseAND(F.lit((1 << 15) - 1)).alias("__bit")
+    bits = wanted.select(piece, bit).groupBy("__piece").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    met = rows.select("*", piece, bit).join(F.broadcast(bits), "__piece")
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright("__bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.where(F.getbit(byte, F.pmod(F.col("__bit"), F.lit(8)).cast("int")) == 1).select(rows.columns)
+
+
+def _placed(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """DataFrame[__id, s, e, remove]: where the terms (__id, term, remove) stand."""
-    texts = scanned.where("__id is not null").groupBy("__id").agg(F.first("__mask").alias("__mask"))
-    texts = texts.join(terms.select("__id").distinct(), "__id", "left_semi")
+    texts = texts.select("__id", "__mask").join(terms.select("__id").distinct(), "__id", "left_semi")
+    texts = texts.repartition("__id")  # here, before a text becomes a row for each of its runs
     runs = texts.select("__id", F.posexplode(F.split("__mask", _EDGE, -1)).alias("pos", "run")).withColumn("e", F.sum(F.length("run")).over(Window.partitionBy("__id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     runs = runs.where(F.col("run").rlike(_WORD)).select("__id", F.lower("run").alias("term"), (F.col("e") - F.length("run")).alias("s"), "e")
     return runs.join(terms, ["__id", "term"]).select("__id", "s", "e", "remove")
@@ -193,10 +221,17 @@ def _found(plain: DataFrame, text: str, keep: list[str], min_support: int, gener
     plain = plain.select(*dict.fromkeys([*keep, text]))
     whole = _scan(plain, text).drop("__text", *([] if text in keep else [text]))
     scanned = materialise(whole, "pii-scan")
-    entity, rows = _holders(scanned, min_support)
-    reveal = materialise(disclosing(plain, scanned, entity, rows, text, min_support, generalise, remove), "pii-terms")
+    n = scanned.count()
+    entity, texts = _holders(scanned, min_support)
+    words = plain.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(_WORD), F.lit(0)))).alias("term"))
+    counts = words.groupBy("term").agg(F.count("*").alias("df_t"))
+    # A term is counted with no entity more often than it is in texts.
+    counts = materialise(counts.where(F.col("df_t") >= min_support), "pii-words")
+    rows = _rows(texts, counts, n, generalise)
+    reveal = materialise(disclosing(entity, rows, counts, n, min_support, generalise, remove), "pii-terms")
+    rows = _among(rows, reveal, ["entity", "term"])
     terms = rows.join(reveal, ["entity", "term"]).groupBy("__id", "term").agg(F.max("remove").alias("remove"))
-    terms = _placed(scanned, materialise(terms, "pii-placed"))
+    terms = _placed(texts, materialise(terms, "pii-placed"))
     terms = terms.groupBy("__id").agg(F.sort_array(F.collect_list(F.struct("s", "e", "remove"))).alias("__terms"))
     # Rows without personal data have no id and stay out of the join.
     none = F.array().cast("array<struct<s:int,e:int,remove:boolean>>")

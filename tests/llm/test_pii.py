@@ -104,3 +104,23 @@ def test_terms_of_whole_texts_and_shared_entities(spark):
     assert not any("day" in x or "write" in x for x in got.values())
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert all("Osprey" not in clean[i] and "Kestrel" not in clean[i - 4] for i in range(4, 7)) and clean[3] == texts[3]
+
+
+def test_pairs_that_cannot_disclose_are_dropped_before_a_shuffle(spark, monkeypatch):
+    """What meets in a join by entity and term grows with what may be disclosed."""
+    rows = [(i, f"common words everywhere mail{i % 5}@site{i % 3}.org special{i % 5}") if i % 4 == 0 else (i, "common words everywhere") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    plain = pii.disclosing
+    monkeypatch.setattr(pii, "disclosing", lambda entity, pairs, *rest: seen.append({r.term for r in pairs.collect()}) or plain(entity, pairs, *rest))
+    got = {r.doc_id: r.n_term for r in pii.find(df).collect()}
+    assert seen == [{"special"}]
+    assert all(got[i] == (1 if i % 4 == 0 else 0) for i, _ in rows)
+
+
+def test_bitmap_keeps_all_that_is_wanted(spark):
+    rows = spark.range(5000).selectExpr("concat('e', id % 50) AS entity", "concat('t', id) AS term", "id")
+    wanted = rows.where("id % 97 = 3").select("entity", "term")
+    got = {r.id for r in pii._among(rows, wanted, ["entity", "term"]).collect()}
+    assert {i for i in range(5000) if i % 97 == 3} <= got and len(got) < 60
+    assert pii._among(rows, wanted.limit(0), ["entity", "term"]).count() == 0
