@@ -6,8 +6,9 @@ bytes that also starts anywhere else in the corpus, found by suffix arrays.
    The windows of one anchor are consecutive; with ``length - 1`` more bytes they
    form its context. Each row keeps only hashes and positions.
 2. Contexts are summed by (anchor hash, context hash). Where an anchor hash
-   occurs once, none of its windows repeats. All others go on, one row for each
-   distinct context with the number of its occurrences.
+   occurs once, none of its windows repeats; where all its contexts are one, all
+   do. All others go on, one row for each distinct context with the number of its
+   occurrences.
 3. Their bytes are read and dealt to shards by anchor hash, so that equal windows
    meet in one shard. A shard's suffix array (induced sorting) and permuted
    common prefixes give the groups of windows that agree in ``length`` bytes; a
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packloom.llm.suffix import permuted_lcp, suffix_array
-from packloom.runtime import materialise, prepare, renamed
+from packloom.runtime import drop_table, materialise, prepare, renamed
 
 LENGTH = 400
 SHARD_BYTES = 1 << 20
@@ -274,7 +275,8 @@ def _count_windows(contexts: DataFrame, length: int, core: int = CORE) -> DataFr
 
 
 def _cut(rows: DataFrame, key: str, kind: str, length: int, with_text: bool) -> DataFrame:
-    names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
+    more = rows.columns[3:]  # longs that are handed on
+    names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text + more
 
     def run(batches):
         for batch in batches:
@@ -294,14 +296,16 @@ def _cut(rows: DataFrame, key: str, kind: str, length: int, with_text: bool) ->
                     kept = b"".join([*kept, data[end:]])
                     out.append((len(data), removed, spans, hashlib.sha256(kept).hexdigest()) + (kept,) * with_text)
                 types = [pa.int64()] * 3 + [pa.string()] + [pa.binary()] * with_text
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(c), t) for c, t in zip(zip(*out), types))], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(c), t) for c, t in zip(zip(*out), types)), *(part.column(3 + i) for i in range(len(more)))], names=names)
 
-    return rows.mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return rows.mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text + "".join(f", {c} long" for c in more))
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES, hot_blocks: int = HOT_BLOCKS, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES, hot_blocks: int = HOT_BLOCKS, with_text: bool = False, passage_words: int | None = None) -> DataFrame:
     """DataFrame[key, n_bytes, n_removed, n_spans, kept_sha256], with the bytes
-    that remain if ``with_text`` is set."""
+    that remain if ``with_text`` is set. With ``passage_words`` also n_shared_words, the
+    words in passages of so many words or more that another document has too; many of
+    these are shorter than ``length`` bytes, and nothing is removed for them."""
     docs, _, (k, t) = renamed(docs, key, text)
     plain = docs.select(F.xxhash64(k).alias("key"), F.xxhash64(t).alias("tkey"), F.col(t).alias("text"))
     every = materialise(_find_runs(plain, length), "runs")
@@ -309,9 +313,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     sums = every.groupBy("anchor", "ctx").agg(F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("key", "tkey", "s", "n", "off")))
     sums = materialise(sums, "run-sums")
     size = (F.col("n") + length - 1).cast("long")
-    anchors = sums.groupBy("anchor").agg(F.sum("times").alias("all"), F.sum(size).alias("bytes")).where("all > 1")
-    anchors = anchors.select("anchor", F.when(F.col("bytes") > shard_bytes, F.ceil(2 * F.col("bytes") / shard_bytes)).otherwise(1).cast("long").alias("blocks"))
+    anchors = sums.groupBy("anchor").agg(F.sum("times").alias("all"), F.sum(size).alias("bytes"), F.count("*").alias("contexts")).where("all > 1")
+    anchors = anchors.select("anchor", "contexts", F.when(F.col("bytes") > shard_bytes, F.ceil(2 * F.col("bytes") / shard_bytes)).otherwise(1).cast("long").alias("blocks"))
     need = materialise(sums.join(anchors, "anchor"), "contexts-needed")
+    drop_table(sums)
+    alone, need = need.where("contexts = 1"), need.where("contexts > 1")
     total, most = need.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max("blocks"), F.lit(0))).first()
     by_text = need.groupBy("key", "tkey").agg(F.collect_list(F.struct("anchor", "ctx", "s", "n", "off", "times", "blocks")).alias("need"))
     contexts = _read_contexts(plain.join(by_text, ["key", "tkey"]).select("text", "need"), length)
@@ -320,10 +326,22 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     found = _search(contexts.where(F.col("blocks") <= hot_blocks), length, int(total // shard_bytes) + 1)
     if most > hot_blocks:
         found = found.unionAll(_count_windows(contexts.where(F.col("blocks") > hot_blocks), length))
+    # A context that occurs again and is its anchor's only one repeats in all its windows.
+    found = found.unionAll(alone.select("anchor", "ctx", F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))
     found = materialise(found, "repeats")
     # Rows are told by key and text: a text that many rows have is many groups.
     row = ["key", "tkey"]
     spans = every.join(found, ["anchor", "ctx"]).select(*row, F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b") + length - 1).alias("b")).alias("r"))
     spans = spans.groupBy(*row).agg(F.collect_set("r").alias("ranges"))
-    rows = docs.select(F.col(k).alias("__k"), F.xxhash64(k).alias("key"), F.xxhash64(t).alias("tkey"), F.col(t).alias("text")).join(spans, row, "left").select("__k", "text", "ranges")
+    if passage_words:
+        from packloom.llm.passages import shared_words
+
+        words = shared_words(plain, passage_words).withColumnRenamed("row", "r")
+        spans = spans.withColumn("r", F.xxhash64(*row)).join(words, "r", "full").drop(*row).withColumnRenamed("r", "row")
+    rows = docs.select(F.col(k).alias("__k"), F.xxhash64(k).alias("key"), F.xxhash64(t).alias("tkey"), F.col(t).alias("text"))
+    if passage_words:
+        rows = rows.withColumn("row", F.xxhash64(*row))
+        row = ["row"]
+    rows = rows.join(spans, row, "left")
+    rows = rows.select("__k", "text", "ranges", *([F.coalesce("n_shared_words", F.lit(0)).alias("n_shared_words")] if passage_words else []))
     return _cut(rows, key, dict(docs.dtypes)[k], length, with_text)
